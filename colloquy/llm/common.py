@@ -70,7 +70,7 @@ def drop(spark: SparkSession, path: str) -> None:
 def parts(df: DataFrame, mb: int = 16) -> int:
     """Partitions of about so many MB each by the optimiser's size of the input; at least the session's shuffle partitions."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size.longValue() // (mb << 20)) + 1)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(str(size)) // (mb << 20) + 1)
 
 
 def ranked(keys: DataFrame, order: list[Column], rank: str) -> DataFrame:
