@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from colloquy.llm import decision_list, transducer
+from colloquy.llm import bitplanes, decision_list, entropy_mix, external_shuffle, simhash, transducer
 
 QUERIES = {
     "op2_quality_rules": decision_list.op2,
     "op3_bpe_transducer": transducer.op3,
+    "op5_bitplanes": bitplanes.op5,
+    "op7_entropy_mix": entropy_mix.op7,
+    "op8_external_shuffle": external_shuffle.op8,
+    "op9_simhash": simhash.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {}
