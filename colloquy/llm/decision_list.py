@@ -152,13 +152,14 @@ def _prune(rows: list[dict], tests: tuple[Test, ...]) -> tuple[Test, ...]:
 def fit_rules(stats: DataFrame, labels: DataFrame, max_rows: int = 4000, max_rules: int = 12, max_tests: int = 4, max_cuts: int = 64, min_precision: float = 0.95) -> list[Rule]:
     """Sequential covering on at most max_rows labelled rows (those of smallest hashed id, so that reruns agree).
 
-    stats: doc_id and FEATURES; labels: doc_id and bad (0 or 1). Two rows in three grow rules, the third prunes and
+    stats: doc_id, base_failed and FEATURES (of repeated ids the least row counts; what fails the base is left out);
+    labels: doc_id and bad (0 or 1). Two rows in three grow rules, the third prunes and
     judges them; a rule under min_precision there ends the list. max_rows bounds what the driver holds.
     """
     sample = labels.where(F.col("bad").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("bad").alias("bad"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    found = stats.join(F.broadcast(sample), "doc_id").select("doc_id", "bad", *FEATURES).limit(2 * max_rows)
-    rows = sorted((r.asDict() for r in found.collect()), key=lambda r: (r["doc_id"], [r[f] for f in FEATURES]))
+    found = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "bad").agg(F.min(F.struct("base_failed", *FEATURES)).alias("s"))
+    rows = sorted((r.asDict() for r in found.select("doc_id", "bad", "s.*").collect() if not r["base_failed"]), key=lambda r: r["doc_id"])
     return cover(rows, max_rules, max_tests, max_cuts, min_precision)
 
 
@@ -196,8 +197,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> D
     ids = bad_labels(labels)
     picked = ids.where("bad is not null and doc_id is not null").groupBy("doc_id").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     labelled = docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
-    stats = text_statistics(labelled).where(~base_failed())
-    rules = fit_rules(stats, picked, max_rows)
+    rules = fit_rules(text_statistics(labelled).withColumn("base_failed", base_failed()), picked, max_rows)
     judged = text_statistics(docs).withColumn("base_failed", base_failed())
     return judged.withColumn("rule", F.when(~F.col("base_failed"), verdict(rules))).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
