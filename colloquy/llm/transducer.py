@@ -16,10 +16,12 @@ import hashlib
 import json
 import mmap
 import os
+import struct
 import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 from operator import itemgetter
 from pathlib import Path
 
@@ -28,13 +30,13 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import text_of
+from colloquy.llm.common import cut, text_of
 from colloquy.shipping import ship
 
 #: Words that the lexicon takes from the corpus, at most; with it the bound of what is broadcast (a few MB).
 LEXICON_WORDS = 32_768
-#: Words of one worker kept besides the lexicon, at most.
-MEMO_WORDS = 400_000
+#: Words of one worker kept besides the lexicon, at most twice so many.
+MEMO_WORDS = 250_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -53,6 +55,7 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
+        self.merged = ["".join(pair) for pair in self.ranks]
         self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         pattern = next(p["pattern"]["Regex"] for p in held["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -65,33 +68,28 @@ class WordBpe:
         """NFC, then each character's own lower case (so no final sigma)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def units(self, word: str) -> list[str]:
+        found = list(word.encode().decode("latin-1").translate(self.bytes))
+        found[-1] += self.suffix
+        return found
+
     def merge(self, word: str) -> list[int]:
         """The ids of one word by its merges, lowest rank first and from the left."""
-        units = [self.bytes[b] for b in word.encode()]
-        units[-1] += self.suffix
-        ranks, none = self.ranks, 1 << 60
+        units, ranks, merged, none = self.units(word), self.ranks.get, self.merged, len(self.merged)
         while len(units) > 1:
-            least = min(zip(units, units[1:], strict=False), key=lambda p: ranks.get(p, none))
-            if least not in ranks:
+            found = list(map(ranks, zip(units, units[1:], strict=False), repeat(none)))
+            least = min(found)
+            if least == none:
                 break
-            a, b = least
-            out, k, end = [], 0, len(units)
-            while k < end:
-                if k + 1 < end and units[k] == a and units[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(units[k])
-                    k += 1
-            units = out
-        return [self.vocab[u] for u in units]
+            k = found.index(least)
+            units[k : k + 2] = [merged[least]]
+        return list(map(self.vocab.__getitem__, units))
 
     def merge_long(self, word: str) -> list[int]:
         """The same for very long words in n log n: a heap of (rank, place) over a linked list."""
         import heapq
 
-        units: list[str | None] = [self.bytes[b] for b in word.encode()]
-        units[-1] += self.suffix
+        units: list[str | None] = self.units(word)
         n = len(units)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, k, units[k], units[k + 1]) for k in range(n - 1) if (r := self.ranks.get((units[k], units[k + 1]))) is not None]
@@ -190,20 +188,22 @@ class Lexicon:
             f.flush()
             held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         top = int.from_bytes(held[:8], "little")
-        return cls({name: np.frombuffer(held, kind, n, 8 + top + at) for name, kind, at, n in json.loads(held[8 : 8 + top])})
+        view, kinds = memoryview(held), {"<u4": "I", "|u1": "B"}
+        span = lambda kind, n, at: view[8 + top + at : 8 + top + at + n * np.dtype(kind).itemsize].cast(kinds[kind])
+        return cls({name: span(kind, n, at) for name, kind, at, n in json.loads(held[8 : 8 + top])})
 
     def find(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers, or None."""
-        state, before = 0, 0
+        state = before = 0
         first, labels, targets, counts = self.first, self.labels, self.targets, self.counts
         for b in word:
-            lo, hi = int(first[state]), int(first[state + 1])
-            k = bisect.bisect_left(labels, b, lo, hi)
+            hi = first[state + 1]
+            k = bisect.bisect_left(labels, b, first[state], hi)
             if k == hi or labels[k] != b:
                 return None
-            before += int(counts[k])
-            state = int(targets[k])
-        return self.ids[int(self.starts[before]) : int(self.starts[before + 1])].tobytes() if self.final[state] else None
+            before += counts[k]
+            state = targets[k]
+        return self.ids[self.starts[before] : self.starts[before + 1]].tobytes() if self.final[state] else None
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -217,12 +217,20 @@ class Codec:
         codec = self
 
         class Memo(dict):
+            """Words met lately: when it is full it becomes the older half, and what is met again comes back from there."""
+
+            older: dict[str, bytes] = {}
+
             def __missing__(self, word: str) -> bytes:
-                found = codec.lexicon.find(word.encode())
+                found = self.older.get(word)
                 if found is None:
-                    codec.misses += 1
-                    found = np.array(codec.bpe.ids_of(word), "<u4").tobytes()
+                    found = codec.lexicon.find(word.encode())
+                    if found is None:
+                        codec.misses += 1
+                        ids = codec.bpe.ids_of(word)
+                        found = struct.pack(f"<{len(ids)}I", *ids)
                 if len(self) >= MEMO_WORDS:
+                    self.older = dict(self)
                     self.clear()
                 self[word] = found
                 return found
@@ -245,10 +253,21 @@ class Codec:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, text_col: str = "text") -> list[str]:
-    """The most frequent lower-case letter runs over all texts (ties by the word), by one aggregation."""
+    """The most frequent lower-case letter runs over all texts, at most so many.
+
+    Counts are aggregated over the corpus; how many words have each count gives the least count that still fits, and
+    only words from there on come to the driver, so no task sorts or sends more than that.
+    """
     found = docs.select(F.explode(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+")).alias("w")).where("w <> ''")
-    top = found.groupBy("w").count().where("count > 1").orderBy(F.desc("count"), "w").limit(most)
-    return [r["w"] for r in top.collect()]
+    counted = cut(found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "words")
+    steps = counted.groupBy(F.floor(16 * F.log2("n")).alias("step")).count().collect()  # a bounded number of rows: 16 a doubling
+    room, least = most, None
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    return [] if least is None else [r["w"] for r in counted.where(F.floor(16 * F.log2("n")) >= least).select("w").collect()]
 
 
 @lru_cache(maxsize=2)
