@@ -67,7 +67,8 @@ def links(points: DataFrame) -> DataFrame:
     masks = F.array(*[F.lit(1 << k if k < BITS - 1 else -(1 << k)).cast("long") for k in range(BITS)])
     flips = F.transform(masks, lambda m: F.struct(F.col("fp").bitwiseXOR(m).alias("v"), m.alias("m")))
     own = F.array(F.struct(F.col("fp").alias("v"), F.lit(0).cast("long").alias("m")))
-    ball = points.select(F.inline(F.concat(own, flips)))
+    spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a point becomes 65 rows
+    ball = points.repartition(spread, "fp").select(F.inline(F.concat(own, flips)))
     met = ball.groupBy("v").agg(F.bit_or("m").alias("m"), F.max(F.col("m") == 0).alias("own"))
     met = met.where((F.bit_count("m") + F.col("own").cast("int")) > 1)
     members = F.concat(
