@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from colloquy.llm import bitplanes, decision_list, entropy_mix, external_shuffle, simhash, transducer
+from colloquy.llm import bitplanes, decision_list, entropy_mix, external_shuffle, imatch, license_scan, pages, simhash, transducer, url_rules
 
 QUERIES = {
+    "op1_page_differencing": pages.op1,
     "op2_quality_rules": decision_list.op2,
     "op3_bpe_transducer": transducer.op3,
+    "op4_url_rules": url_rules.op4,
     "op5_bitplanes": bitplanes.op5,
+    "op6_license_scan": license_scan.op6,
     "op7_entropy_mix": entropy_mix.op7,
     "op8_external_shuffle": external_shuffle.op8,
     "op9_simhash": simhash.op9,
+    "op10_imatch": imatch.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
