@@ -18,7 +18,7 @@ from colloquy.llm.common import new_dir, text_of
 
 #: Hash cells from which buckets are made up: the bound of what is broadcast (bucket, offset), a row each.
 CELLS = 1 << 16
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def size_of(text: str = "text"):
