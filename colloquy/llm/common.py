@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -67,6 +68,14 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table made by SQL functions, so that no Python worker has to bring them."""
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    held = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ",".join(f"{x.split(' ', 1)[0]}:{x.split(' ', 1)[1]}" for x in schema.split(", "))
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(held), f"array<struct<{fields}>>")))
+
+
 def parts(df: DataFrame, mb: int = 16) -> int:
     """Partitions of about so many MB each by the optimiser's size of the input; at least the session's shuffle partitions."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -88,5 +97,5 @@ def ranked(keys: DataFrame, order: list[Column], rank: str) -> DataFrame:
     for row in placed.groupBy("_part").count().orderBy("_part").collect():
         offsets.append((row["_part"], before))
         before += row["count"]
-    ahead = spark.createDataFrame(offsets or [(0, 0)], "_part int, _before long")
+    ahead = local_rows(spark, offsets or [(0, 0)], "_part int, _before long")
     return placed.join(F.broadcast(ahead), "_part").withColumn(rank, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")

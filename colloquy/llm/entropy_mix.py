@@ -19,12 +19,14 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from colloquy.llm.common import cut, words
+from colloquy.llm.common import cut, local_rows, words
 
 CAP = 3
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_ROWS = 2000
+#: Stands for an infinite multiplier: every document at the cap, or none.
+HUGE = 1e300
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> dict[str | None, float]:
@@ -58,7 +60,7 @@ def tilt(counts: DataFrame, totals: dict, goal: dict, cap: float = CAP, most_ste
         z = F.col("size") / F.col("mean")
         x = F.least(F.col("lam") * z, F.lit(top))
         mass = F.col("n") * F.col("size") * F.exp(x)
-        step = counts.join(spark.createDataFrame(live, "s string, lam double, mean double"), F.col("source").eqNullSafe(F.col("s")))
+        step = counts.join(local_rows(spark, live, "s string, lam double, mean double"), F.col("source").eqNullSafe(F.col("s")))
         for r in step.groupBy("source").agg(F.sum(mass).alias("g"), F.sum(F.when(x < top, mass * z).otherwise(0.0)).alias("h")).collect():
             s, (lam, lo, hi) = r["source"], state[r["source"]]
             miss = r["g"] - goal[s]
@@ -83,12 +85,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
     sums = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("rows")).collect()
     goal = targets([(r["source"], r["words"]) for r in sums], weights, cap)
     lam = tilt(counts, {r["source"]: (r["words"], r["k"]) for r in sums}, goal, cap)
-    per = [(r["source"], r["words"], goal[r["source"]], float(lam.get(r["source"], 0.0)), r["words"] / r["k"] if r["k"] else 1.0, r["rows"] // BLOCK_ROWS + 1) for r in sums]
-    known = spark.createDataFrame(per, "s string, source_size long, target double, lam double, mean double, blocks long")
+    per = [(r["source"], r["words"], goal[r["source"]], max(-HUGE, min(HUGE, lam.get(r["source"], 0.0))), r["words"] / r["k"] if r["k"] else 1.0, r["rows"] // BLOCK_ROWS + 1) for r in sums]
+    known = local_rows(spark, per, "s string, source_size long, target double, lam double, mean double, blocks long")
 
     same = F.col("source").eqNullSafe(F.col("s"))
     rate = F.when(F.col("size") == 0, 0.0).otherwise(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap)))))
-    rate = F.when(F.col("lam") == math.inf, F.lit(float(cap))).when(F.col("lam") == -math.inf, 0.0).otherwise(rate)
+    rate = F.when(F.col("lam") == HUGE, F.lit(float(cap))).when(F.col("lam") == -HUGE, 0.0).otherwise(rate)
     rated = sized.join(known, same).withColumn("rate", F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate))
     over = Window.partitionBy("source", F.pmod("_h", "blocks")).orderBy(F.desc("size"), "_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
     start = F.pmod(F.xxhash64(F.lit(seed), "source", F.pmod("_h", "blocks")), F.lit(1 << 20)) / F.lit(1 << 20)
@@ -103,12 +105,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
         left = [(r["source"], r["target"] - r["taken"]) for r in now if abs(r["target"] - r["taken"]) >= 1]
         if not left:
             break
-        gap = held.join(spark.createDataFrame(left, "s string, gap double"), same)
+        gap = held.join(local_rows(spark, left, "s string, gap double"), same)
         able = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
         best = gap.where(able).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("miss"), "_h", "_id", F.signum("gap").cast("long").alias("step"))).alias("b")).collect()
         if not best:
             break
-        picked = spark.createDataFrame([(r["source"], r["b"]["_h"], r["b"]["step"]) for r in best], "s string, ph long, step long")
+        picked = local_rows(spark, [(r["source"], r["b"]["_h"], r["b"]["step"]) for r in best], "s string, ph long, step long")
         held = held.join(picked, same & (F.col("_h") == F.col("ph")), "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("s", "ph", "step")
     out = held.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(F.col("_id").alias(id_col), F.col("source").alias(source_col), "_h", *own)
