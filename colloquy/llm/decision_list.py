@@ -192,13 +192,13 @@ def bad_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("bad"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> DataFrame:
-    """Every document with its statistics, base_failed, the number of the rule that rejects it and kept."""
+def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every document with its statistics, base_failed, the number of the rule that rejects it, kept, and columns keep."""
     ids = bad_labels(labels)
     picked = ids.where("bad is not null and doc_id is not null").groupBy("doc_id").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     labelled = docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
     rules = fit_rules(text_statistics(labelled).withColumn("base_failed", base_failed()), picked, max_rows)
-    judged = text_statistics(docs).withColumn("base_failed", base_failed())
+    judged = text_statistics(docs, keep=keep).withColumn("base_failed", base_failed())
     return judged.withColumn("rule", F.when(~F.col("base_failed"), verdict(rules))).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
