@@ -19,7 +19,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.llm.common import cut, let, lower_ascii, ranked, text_of, words
+from colloquy.llm.common import cut, let, lower_ascii, parts, ranked, text_of, words
 
 GROUPS = 32
 BITS = 20
@@ -93,18 +93,20 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     before = place.select((F.pmod(F.col("rank") + 1, F.lit(max(total, 1)))).alias("rank"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.floor(F.col("n") / 2).cast("int").alias("half"))
     lends = place.select("k", "h", "rank").join(before, "rank").drop("rank")
 
-    whole = keyed.withColumn("fp", fingerprint("text", bitmap, bits))
-    lent = whole.join(lends.hint("shuffle_hash"), ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.expr("left(text, half)").alias("start"), F.col("fp").alias("next_fp"))
+    # one exchange for both sides of the join: the same columns, and nothing computed before it
+    whole = keyed.repartition(parts(docs), "k", "h")
+    lent = whole.join(lends.hint("shuffle_hash"), ["k", "h"])
+    lent = lent.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.col("doc_id").alias("next_id"), F.expr("left(text, half)").alias("start"), fingerprint("text", bitmap, bits).alias("next_fp"))
     if (copies or 1) > 1:
-        lent = lent.groupBy("k", "h").agg(F.first("start").alias("start"), F.first("next_fp").alias("next_fp"))
-    met = whole.join(lent.hint("shuffle_hash"), ["k", "h"])
+        lent = lent.groupBy("k", "h").agg(F.first("next_id").alias("next_id"), F.first("start").alias("start"), F.first("next_fp").alias("next_fp"))
+    met = whole.join(lent.hint("shuffle_hash"), ["k", "h"]).withColumn("fp", fingerprint("text", bitmap, bits))
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.col("start"))
-    made = met.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
-    seen = made.select("doc_id", "n_chars", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("edited", bitmap, bits).alias("edited_fp"))
+    made = met.select("doc_id", n.cast("long").alias("n_chars"), "next_id", "fp", "next_fp", edited.alias("edited"))
+    seen = made.select("doc_id", "n_chars", "next_id", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("edited", bitmap, bits).alias("edited_fp"))
     return seen.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "next_id",
     )
 
 
