@@ -209,18 +209,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     marked = template_lines(pages, id_col, url_col, html_col)
     marked = marked.groupBy("id", "url").agg(F.min("template").alias("template"))
 
-    def text(batches: Iterator[tuple]) -> Iterator[pd.Series]:
-        for page, template in batches:
-            out = []
-            for p, t in zip(page, template, strict=True):
-                gone = set() if t is None else set(map(int, t))
-                out.append("\n\n".join(x for k, (x, kind) in enumerate(blocks(p)) if kind == 1 or kind == 0 and k not in gone))
-            yield pd.Series(out)
-
-    own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    both = own.join(marked, own["id"].eqNullSafe(marked["id"]) & own["url"].eqNullSafe(marked["url"]), "left").select(own["id"], own["url"], "html", "template")
-    made = both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.pandas_udf(text, "string", F.PandasUDFType.SCALAR_ITER)("html", "template").alias("text"), F.size(F.coalesce("template", F.array().cast("array<int>"))).alias("n_template"))
-    return made.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+    def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[(k, kind == 1, x) for k, (x, kind) in enumerate(blocks(p)) if kind != 2] for p in texts])
+
+    read = F.pandas_udf(candidates, "array<struct<at:int,main:boolean,text:string>>", F.PandasUDFType.SCALAR_ITER)
+    own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), read(F.col(html_col)).alias("blocks"))
+    same = own["id"].eqNullSafe(marked["id"]) & own["url"].eqNullSafe(marked["url"])
+    both = own.join(marked, same, "left").select(own["id"].alias(id_col), own["url"].alias(url_col), "blocks", F.coalesce("template", F.array().cast("array<int>")).alias("template"))
+    kept = F.filter("blocks", lambda b: b["main"] | ~F.array_contains("template", b["at"]))
+    made = both.withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"))
+    return made.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), F.size("template").alias("n_template"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
