@@ -29,7 +29,7 @@ ALIAS_SQL = f"""{LOG_SQL}, ops AS (SELECT key, event_id, event_type = 'encounter
 
 
 def occasion_sql(seconds: int) -> str:
-    return f"""WITH {LOG_SQL}, m AS (SELECT key, event_id, occurred_at, CASE WHEN lag(occurred_at) OVER o IS NULL OR epoch_us(occurred_at) - epoch_us(lag(occurred_at) OVER o) > {seconds} * 1000000 THEN 1 ELSE 0 END AS fresh FROM log WINDOW o AS (PARTITION BY key ORDER BY occurred_at, event_id))
+    return f"""WITH {LOG_SQL}, m AS (SELECT key, event_id, occurred_at, CASE WHEN lag(occurred_at) OVER o IS NULL OR epoch_us(occurred_at) - epoch_us(lag(occurred_at) OVER o) > {seconds * 1000000} THEN 1 ELSE 0 END AS fresh FROM log WINDOW o AS (PARTITION BY key ORDER BY occurred_at, event_id))
   SELECT event_id, key, CAST(sum(fresh) OVER (PARTITION BY key ORDER BY occurred_at, event_id) AS BIGINT) AS occasion FROM m"""
 
 
