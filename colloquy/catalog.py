@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.operators import exchange
+from colloquy.plans import exchanges, folds, graphs_terms, judging, live, naming, reporting, spending, writes
+from colloquy.sources.domain import turns
+
+FAMILIES = (exchanges, folds, spending, naming, judging, graphs_terms, reporting, writes, live)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """Exchanges, islands and sizes of every session."""
+    return exchange.island_sizes(exchange.islands(exchange.exchanges(turns(spark, sf_dir))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
