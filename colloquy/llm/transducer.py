@@ -36,7 +36,9 @@ from colloquy.shipping import ship
 #: Words that the lexicon takes from the corpus, at most; with it the bound of what is broadcast (a few MB).
 LEXICON_WORDS = 32_768
 #: Words of one worker kept besides the lexicon, at most twice so many.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 160_000
+#: Rows whose ids and decoded text a worker holds at once.
+ROWS = 128
 
 
 def byte_characters() -> dict[int, str]:
@@ -321,12 +323,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, text_col: str = "text", mo
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(key, Load())
         for texts in batches:
-            ids = [codec.encode(t) for t in texts]
-            decoded = [codec.decode(x) for x in ids]
-            if digest:
-                yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded]})
-            else:
-                yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": [np.frombuffer(x, "<u4").astype("i4") for x in ids], "decoded": decoded})
+            for at in range(0, len(texts), ROWS):
+                ids = [codec.encode(t) for t in texts.iloc[at : at + ROWS]]
+                decoded = [codec.decode(x) for x in ids]
+                n = [len(x) // 4 for x in ids]
+                if digest:
+                    yield pd.DataFrame({"n_tokens": n, "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded]})
+                else:
+                    yield pd.DataFrame({"n_tokens": n, "ids": [np.frombuffer(x, "<i4") for x in ids], "decoded": decoded})
 
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids array<int>, decoded string"
     out = docs.withColumn("_bpe", F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
