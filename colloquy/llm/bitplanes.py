@@ -68,7 +68,7 @@ def from_planes(planes: list[bytes], n: int, plane: str = "byte") -> np.ndarray:
     if plane == "byte":
         for k, p in enumerate(planes):
             raw[:, k] = np.frombuffer(open_(p), "u1")
-    elif planes:
+    elif len(planes):
         bits = np.zeros((n, 32), "u1")
         for k, p in enumerate(planes):
             bits[:, k] = np.unpackbits(np.frombuffer(open_(p), "u1"), bitorder="little")[:n]

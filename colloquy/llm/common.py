@@ -77,9 +77,13 @@ def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
 
 
 def parts(df: DataFrame, mb: int = 16) -> int:
-    """Partitions of about so many MB each by the optimiser's size of the input; at least the session's shuffle partitions."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(str(size)) // (mb << 20) + 1)
+    """Partitions of about so many MB each by the optimiser's size of the input; at least the session's shuffle partitions.
+
+    Beyond 100,000 partitions they grow instead; an input whose size the optimiser cannot tell gets the session's.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return session if size >= 1 << 60 else max(session, min(size // (mb << 20) + 1, 100_000))
 
 
 def ranked(keys: DataFrame, order: list[Column], rank: str) -> DataFrame:
