@@ -182,6 +182,7 @@ def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             yield pd.Series([line_hashes(blocks(t)) for t in texts])
 
     keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.pandas_udf(lines, "array<long>", F.PandasUDFType.SCALAR_ITER)(F.col(html_col)).alias("lines"))
+    keyed = cut(keyed, "lines")  # hashes of lines only; else sampling the ranges would parse every page once more
     order = [F.asc("host"), F.asc("path"), F.asc_nulls_first("id"), F.asc_nulls_first("url"), F.asc("lines")]
     places = cut(ranked(keyed, order, "rank"), "places")
     near = places.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("h0"), F.col("lines").alias("before"))
