@@ -11,18 +11,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from colloquy.state import cut
 
 
-def merge_chain(merges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def merge_chain(merges: DataFrame) -> DataFrame:
     """Where each merged node ends up. merges: src, dst, one row a src.
 
     Pointer doubling, so rounds grow with the logarithm of the longest chain; a node of a cycle resolves to itself,
     a node that leads into a cycle to the first cycle node it meets.
     """
-    spark = merges.sparkSession
-    step = merges.groupBy("src").agg(F.min("dst").alias("dst"))
-    # nodes on cycles: those still there after peeling every node that nothing points to is costly; instead walk
-    # doubled pointers past the longest possible chain and collect what is reached, which lies on a cycle or at an end
-    jump = cut(step, "chain")
-    for _ in range(most_rounds):
+    step = cut(merges.groupBy("src").agg(F.min("dst").alias("dst")), "merges")
+    jump = step
+    # past as many steps as there are merges, whatever still moves goes round a cycle, and where it is lies on it
+    for _ in range(step.count().bit_length() + 1):
         ahead = jump.alias("n")
         nxt = jump.alias("a").join(ahead, F.col("a.dst") == F.col("n.src"), "left").select(F.col("a.src").alias("src"), F.coalesce("n.dst", "a.dst").alias("dst"), F.col("n.src").isNotNull().alias("more"))
         nxt = cut(nxt, "chain")
@@ -30,11 +28,9 @@ def merge_chain(merges: DataFrame, most_rounds: int = 64) -> DataFrame:
         if moving.isEmpty():
             return nxt.select("src", "dst")
         jump = nxt.select("src", "dst")
-        if _ >= 40:  # 2**40 steps: what still moves is in a cycle
-            break
     on_cycle = jump.join(step.select(F.col("src").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("node")).distinct()
     cycle = cut(on_cycle, "cycle")
-    broken = step.join(cycle, step.src == cycle.node, "left_anti").union(spark.createDataFrame([], step.schema))
+    broken = step.join(cycle, step.src == cycle.node, "left_anti")
     inner = cycle.select(F.col("node").alias("src"), F.col("node").alias("dst"))
     return merge_chain(broken).union(inner)
 
