@@ -3,7 +3,8 @@
 Frequent words are compiled, with their ids as output, into a minimal acyclic automaton (states with equal futures
 are one, so suffixes are shared). Each arc carries how many words come before it, so a walk sums up to the word's
 number and that to its ids. The flat arrays are memory-mapped by each worker; words that the lexicon lacks are
-merged exactly by the merge ranks. Results are those of the tokenizer file whatever the lexicon holds.
+merged exactly by the merge ranks. Results are those of the tokenizer file whatever the lexicon holds. A text with
+characters that are newer than Python's Unicode tables is encoded by the file's own library.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; the strings of special tokens become
 their ids wherever they stand, as in the file's library; repeated rows encode alike; a very long text is one row.
@@ -16,11 +17,12 @@ import hashlib
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import repeat
 from operator import itemgetter
 from pathlib import Path
@@ -36,9 +38,11 @@ from colloquy.shipping import ship
 #: Words that the lexicon takes from the corpus, at most; with it the bound of what is broadcast (a few MB).
 LEXICON_WORDS = 32_768
 #: Words of one worker kept besides the lexicon, at most twice so many.
-MEMO_WORDS = 160_000
+MEMO_WORDS = 220_000
 #: Rows whose ids and decoded text a worker holds at once.
 ROWS = 128
+#: Finds characters beyond the first blocks, all of which every Unicode table has.
+BEYOND = re.compile("[^\x00-\u036f]").search
 
 
 def byte_characters() -> dict[int, str]:
@@ -52,6 +56,7 @@ class WordBpe:
     """A byte-level BPE whose words end in a suffix, read from a tokenizer file's content."""
 
     def __init__(self, content: str):
+        self.content = content
         held = json.loads(content)
         model = held["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -65,6 +70,28 @@ class WordBpe:
         self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split
         self.bytes = byte_characters()
 
+    @cached_property
+    def unassigned(self):
+        """Finds characters that this Python's Unicode tables lack: newer tables, as of the regex module or of the
+        tokenizer library, may each have them in another class or case."""
+        import sys
+
+        ranges, start = [], None
+        for c in range(0x370, sys.maxunicode + 2):
+            lacks = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+            if lacks and start is None:
+                start = c
+            elif not lacks and start is not None:
+                ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+                start = None
+        return re.compile(f"[{''.join(ranges)}]").search
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.content)
+
     @staticmethod
     def normal(text: str) -> str:
         """NFC, then each character's own lower case (so no final sigma)."""
@@ -241,6 +268,9 @@ class Codec:
 
     def encode(self, text: str | None) -> bytes:
         out: list[bytes] = []
+        if text and BEYOND(text) and self.bpe.unassigned(text):
+            ids = self.bpe.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         for part in self.bpe.parts(text or ""):
             if part in self.bpe.special:
                 out.append(self.bpe.special[part].to_bytes(4, "little"))

@@ -112,6 +112,16 @@ def test_lexicon_shares_suffixes_and_finds_exactly_its_words():
     assert len(lexicon) == len(held) and len(lexicon.first) - 1 < sum(map(len, held)) / 3
 
 
+def test_every_character_is_encoded_as_in_the_library(word_bpe):
+    path, library = word_bpe
+    content = open(path).read()
+    codec = transducer.Codec(transducer.WordBpe(content), transducer.build(content, []))
+    for at in range(1, 0x30000, 7):
+        if not 0xD800 <= at < 0xE000:
+            text = f"a{chr(at)}b {chr(at)} 'S"
+            assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(at)
+
+
 def test_long_words_merge_like_short_ones(word_bpe):
     bpe = transducer.WordBpe(open(word_bpe[0]).read())
     for w in ("internationalisation", "aaaaaaaaaaaaaaaaab", "zxqjk" * 9, "é" * 20):
