@@ -77,7 +77,7 @@ WEEKLY = f"""{LOG_SQL}, {JUDGMENT_SQL}, f0 AS (SELECT key, arg_min(occurred_at,
  one AS (SELECT count(*) AS flags, count(*) FILTER (k % 10 = 0) AS manual, count(*) FILTER (judged OR explained) AS engaged, count(*) FILTER (judged) AS judged, count(*) FILTER (judged AND judgment = 'dismissed') AS dismissed_now FROM f),
  last AS (SELECT key, arg_max(k, event_id) AS k FROM log WHERE event_type = 'session_analysed' AND {{0}} GROUP BY key), clean AS (SELECT count(*) AS sessions, count(*) FILTER (k % 4 = 0) AS sessions_clean FROM last),
  ev AS (SELECT count(*) FILTER (event_type = 'encounter_confirmed') AS confirms, count(*) FILTER (event_type = 'encounter_dismissed') AS dismissals, count(*) FILTER (event_type = 'encounter_judgment_retracted') AS undos FROM log WHERE {{0}})
- SELECT *, dismissed_now / judged AS dismissal_rate FROM one, clean, ev"""
+ SELECT *, dismissed_now / nullif(judged, 0) AS dismissal_rate FROM one, clean, ev"""
 
 ORACLE_SQL = {
     "weekly_metrics": "WITH " + WEEKLY.format(IN),
