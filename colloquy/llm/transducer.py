@@ -38,7 +38,9 @@ from colloquy.shipping import ship
 #: Words that the lexicon takes from the corpus, at most; with it the bound of what is broadcast (a few MB).
 LEXICON_WORDS = 32_768
 #: Words of one worker kept besides the lexicon, at most twice so many.
-MEMO_WORDS = 220_000
+MEMO_WORDS = 300_000
+#: Above any id: two ids make one key.
+PAIR = 1 << 20
 #: Rows whose ids and decoded text a worker holds at once.
 ROWS = 128
 #: Finds characters beyond the first blocks, all of which every Unicode table has.
@@ -136,6 +138,66 @@ class WordBpe:
                     heapq.heappush(heap, (r, x, units[x], units[y]))
         return [self.vocab[u] for u in units if u is not None]
 
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """Ids of bytes inside and at the end of a word; sorted pair keys with their ranks; the id each rank merges to."""
+        inner = np.array([self.vocab[self.bytes[b]] for b in range(256)], "i8")
+        final = np.array([self.vocab[self.bytes[b] + self.suffix] for b in range(256)], "i8")
+        keys = np.array([self.vocab[a] * PAIR + self.vocab[b] for a, b in self.ranks], "i8")
+        order = np.argsort(keys)
+        return inner, final, keys[order], order.astype("i8"), np.array([self.vocab[m] for m in self.merged], "i8")
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """The ids of many words at once, as little-endian 32-bit integers: every round merges each word's lowest and
+        leftmost pair, and only pairs beside a merge are looked up again."""
+        if not words:
+            return []
+        inner, final, keys, ranks, merged = self.tables
+        none = len(merged)
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(r) for r in raw])
+        flat = np.frombuffer(b"".join(raw), "u1")
+        sym, owner = inner[flat], np.repeat(np.arange(len(raw)), sizes)
+        last = np.cumsum(sizes) - 1
+        sym[last] = final[flat[last]]
+
+        def rank_at(at: np.ndarray) -> np.ndarray:
+            """Ranks of the pairs that begin at these places; none at a word's end."""
+            right = np.minimum(at + 1, len(sym) - 1)
+            key = sym[at] * PAIR + sym[right]
+            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where((owner[at] == owner[right]) & (right > at) & (keys[k] == key), ranks[k], none)
+
+        rank = rank_at(np.arange(len(sym)))
+        out: list[bytes] = [b""] * len(raw)
+        while len(sym):
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            spans = np.diff(np.append(first, len(sym)))
+            least = np.repeat(np.minimum.reduceat(rank, first), spans)
+            ended = least == none
+            if ended.any():
+                ids = sym[ended].astype("<u4").tobytes()
+                begins = np.flatnonzero(ended[first])
+                at = 0
+                for w, n in zip(owner[first[begins]].tolist(), (spans[begins] * 4).tolist(), strict=True):
+                    out[w] = ids[at : at + n]
+                    at += n
+                keep = ~ended
+                sym, owner, rank, least = sym[keep], owner[keep], rank[keep], least[keep]
+                if not len(sym):
+                    break
+            hits = np.flatnonzero(rank == least)
+            hits = hits[np.append(True, owner[hits[1:]] != owner[hits[:-1]])]
+            sym[hits] = merged[rank[hits]]
+            keep = np.ones(len(sym), bool)
+            keep[hits + 1] = False
+            moved = np.cumsum(keep) - 1
+            sym, owner, rank = sym[keep], owner[keep], rank[keep]
+            at = moved[hits]
+            touched = np.concatenate([at, at[at > 0] - 1])
+            rank[touched] = rank_at(touched)
+        return out
+
     def ids_of(self, word: str) -> list[int]:
         return self.merge(word) if len(word) < 64 else self.merge_long(word)
 
@@ -266,12 +328,42 @@ class Codec:
 
         self.memo = Memo()
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Brings words that were not met before into the memo, those that the lexicon lacks merged all at once."""
+        memo = self.memo
+        new, rest = [w for w in words if w not in memo and w not in memo.older and len(w) < 64], []
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.older = dict(memo)
+            memo.clear()
+        for w in new:
+            found = self.lexicon.find(w.encode())
+            if found is None:
+                rest.append(w)
+            else:
+                memo[w] = found
+        if rest:
+            self.misses += len(rest)
+            memo.update(zip(rest, self.bpe.merge_many(rest), strict=True))
+
     def encode(self, text: str | None) -> bytes:
-        out: list[bytes] = []
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        found = [self.words(t) for t in texts]
+        self.learn(set().union(*(ws for ws in found if isinstance(ws, list))))
+        return [ws if isinstance(ws, bytes) else b"".join(map(self.memo.__getitem__, ws)) for ws in found]
+
+    def words(self, text: str | None) -> list[str] | bytes:
+        """The words of a text, or its ids if special tokens or unknown characters are in it."""
         if text and BEYOND(text) and self.bpe.unassigned(text):
             ids = self.bpe.library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        for part in self.bpe.parts(text or ""):
+        parts = self.bpe.parts(text or "")
+        if len(parts) == 1:
+            return self.bpe.find(self.bpe.normal(parts[0]))
+        out: list[bytes] = []
+        for part in parts:
             if part in self.bpe.special:
                 out.append(self.bpe.special[part].to_bytes(4, "little"))
             elif part:
@@ -354,7 +446,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text_col: str = "text", mo
         codec = _codec(key, Load())
         for texts in batches:
             for at in range(0, len(texts), ROWS):
-                ids = [codec.encode(t) for t in texts.iloc[at : at + ROWS]]
+                ids = codec.encode_all(texts.iloc[at : at + ROWS].tolist())
                 decoded = [codec.decode(x) for x in ids]
                 n = [len(x) // 4 for x in ids]
                 if digest:

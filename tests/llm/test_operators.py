@@ -128,6 +128,14 @@ def test_long_words_merge_like_short_ones(word_bpe):
         assert bpe.merge(w) == bpe.merge_long(w)
 
 
+def test_many_words_merge_as_one_by_one(word_bpe):
+    bpe = transducer.WordBpe(open(word_bpe[0]).read())
+    rng = np.random.default_rng(4)
+    some = ["a", "é", "the", "漢字", "👍", *{"".join(rng.choice(list("abetinorsth漢é👍"), rng.integers(1, 30))) for _ in range(500)}]
+    assert [np.frombuffer(b, "<u4").tolist() for b in bpe.merge_many(some)] == [bpe.merge(w) for w in some]
+    assert bpe.merge_many([]) == []
+
+
 @pytest.mark.parametrize("plane", ["bit", "byte"])
 def test_bit_planes_round_trip(docs, spark, tmp_path, plane):
     path = public_tokenizers.path("byte_bpe_50k.json")
