@@ -7,7 +7,7 @@ lines inside declared main content (article, main) stay, since copies of an arti
 shared lines too; and what the markup itself declares not to be content (navigation, header, footer, aside, form,
 hidden parts, advert and comment blocks) goes even if no neighbour has it.
 
-Only 64-bit hashes of lines travel to the neighbour. Places in the order are ranks over ranges of (host, path), so a
+Only hashes of lines travel to the neighbour. Places in the order are ranks over ranges of (host, path), so a
 host with a third of all pages is many tasks.
 
 Defined cases: a null or empty page has no text and no lines; a null URL has an empty host and path; equal URLs are
@@ -168,8 +168,14 @@ def _aligned(own: list[int], other: list[int]) -> np.ndarray:
     return hit
 
 
-def line_hashes(found: list[tuple[str, int]]) -> list[int]:
-    return [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found]
+def line_hashes(found: list[tuple[str, int]]) -> bytes:
+    """48 bits of hash a line; only lines of two neighbouring pages are ever compared."""
+    return b"".join(xxhash.xxh64_digest(t)[:6] for t, _ in found)
+
+
+def numbers(lines: bytes) -> np.ndarray:
+    raw = np.frombuffer(lines, "u1").reshape(-1, 6)
+    return np.pad(raw, ((0, 0), (0, 2))).view("<i8").ravel()
 
 
 def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -181,10 +187,9 @@ def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         for texts in batches:
             yield pd.Series([line_hashes(blocks(t)) for t in texts])
 
-    keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.pandas_udf(lines, "array<long>", F.PandasUDFType.SCALAR_ITER)(F.col(html_col)).alias("lines"))
-    keyed = cut(keyed, "lines")  # hashes of lines only; else sampling the ranges would parse every page once more
+    keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.pandas_udf(lines, "binary", F.PandasUDFType.SCALAR_ITER)(F.col(html_col)).alias("lines"))
     order = [F.asc("host"), F.asc("path"), F.asc_nulls_first("id"), F.asc_nulls_first("url"), F.asc("lines")]
-    places = cut(ranked(keyed, order, "rank"), "places")
+    places = ranked(keyed, order, "rank").select("id", "url", "rank", F.xxhash64("host").alias("host"), "lines")
     near = places.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("h0"), F.col("lines").alias("before"))
     after = places.select((F.col("rank") - 1).alias("rank"), F.col("host").alias("h1"), F.col("lines").alias("after"))
     met = places.join(near, "rank", "left").join(after, "rank", "left")
@@ -194,10 +199,11 @@ def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         for own, before, after in batches:
             found = []
             for a, *others in zip(own, before, after, strict=True):
-                hit = np.zeros(len(a), bool)
+                mine = numbers(a)
+                hit = np.zeros(len(mine), bool)
                 for o in others:
                     if o is not None:
-                        hit |= shared(np.asarray(a, "i8"), np.asarray(o, "i8"))
+                        hit |= shared(mine, numbers(o))
                 found.append(np.flatnonzero(hit).astype("i4").tolist())
             yield pd.Series(found)
 
