@@ -48,14 +48,23 @@ ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\
 SPACES = re.compile(r"\s+")
 
 
-def declared(attrs: str) -> bool:
-    """The attributes say that this is not content."""
+#: Of those, words that count on a main element too, and words beside which "header" means the heading of the text.
+ASIDE = frozenset("ad ads advert advertisement comment comments discussion promo promoted related replies reply sponsored".split())
+HEADING = frozenset("article content entry page post story title".split())
+
+
+def declared(attrs: str, main: bool = False) -> bool:
+    """The attributes say that this is not content. main: of an article or main element, whose names are mostly layout."""
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id", "role") and NAMES & set(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id", "role"):
+            said = set(re.split(r"[^a-z]+", value))
+            if said & HEADING:
+                said.discard("header")
+            if said & (ASIDE if main else NAMES):
+                return True
     return False
 
 
@@ -114,7 +123,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if kind != 2:
             # an article may have a header of its own; its heading is content
             inside = kind == 1 and name == "header"
-            if (name in CHROME and not inside and name != "figcaption") or name not in ("html", "body") and declared(m[3]) and name not in MAIN and not inside:
+            if (name in CHROME and not inside and name != "figcaption") or name not in ("html", "body") and not inside and declared(m[3], name in MAIN):
                 kind = 2
             elif name in MAIN and kind == 0:
                 kind = 1

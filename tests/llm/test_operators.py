@@ -367,6 +367,8 @@ def test_declared_content_stays_and_declared_chrome_goes():
     assert all(kind == 2 for t, kind in pages.blocks(html) if t in ("Site", "n", "c", "f", "r", "s", "e"))
     assert pages.blocks("<p>a <b title='1 > 0'>b</b> <!-- <p>no</p> --> c") == [("a b c", 0)]
     assert pages.blocks("<article><p>cut off") == [("cut off", 1)]
+    odd = "<main class='with-sidebar'><div class='entry-header'>T</div><p>x</p><article class='comment'><p>c</p></article></main><div id=related-posts>r</div>"
+    assert pages.blocks(odd) == [("T", 1), ("x", 1), ("c", 2), ("r", 2)]
 
 
 def test_alignment_is_a_longest_common_subsequence():
