@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.operators import exchange as X, export as E, fold as D, reports as P, spend as S
+from colloquy.plans.compiled import compile_state
 from colloquy.plans.folds import JUDGMENT_SQL, STATE_SQL
 from colloquy.sources.domain import CALLS_SQL, LOG_SQL, TURNS_SQL, calls, log, turns
 
@@ -54,7 +55,18 @@ def frames(s, d):
     return {"confirms": stamped.where("event_type = 'encounter_confirmed'"), "flags": stamped.where("event_type = 'encounter_recorded'"), "sessions": stamped.where("event_type = 'session_analysed'")}
 
 
+def typed(s, d):
+    """Stored events as a typed log: a concept for each small k that was analysed, an encounter for each key."""
+    t, k, key = F.col("event_type"), F.col("k").cast("string"), F.col("key").cast("string")
+    made = F.create_map(F.lit("concept_id"), k, F.lit("canonical_name"), F.concat(F.lit("c"), k))
+    met = F.create_map(F.lit("encounter_id"), key, F.lit("concept_id"), (F.col("k") % 60).cast("string"), F.lit("source"), F.lit("s"), F.lit("paraphrase"), F.lit("p"))
+    rows = log(s, d).where("event_type <> 'session_analysed' or k < 50")
+    return rows.select(F.lpad(F.col("event_id").cast("string"), 10, "0").alias("event_id"), "occurred_at", F.when(t == "session_analysed", "concept_created").otherwise(t).alias("event_type"), F.when(t == "session_analysed", made).when(t == "encounter_recorded", met).otherwise(F.create_map(F.lit("encounter_id"), key)).alias("payload"), F.lit(None).cast("string").alias("supersedes"))
+
+
 QUERIES = {
+    "compiled_concepts": lambda s, d: compile_state(typed(s, d)).concepts.select("concept_id", "encounter_count", "judgment", "state", "bucket"),
+    "compiled_encounters": lambda s, d: compile_state(typed(s, d)).encounters.select("encounter_id", "concept_id", "judgment"),
     "weekly_metrics": lambda s, d: P.weekly(log(s, d), SINCE, UNTIL),
     "weekly_all_time": lambda s, d: P.weekly(log(s, d), None, None),
     "pipeline_funnel": lambda s, d: P.funnel(log(s, d), SINCE, UNTIL),
@@ -79,7 +91,14 @@ WEEKLY = f"""{LOG_SQL}, {JUDGMENT_SQL}, f0 AS (SELECT key, arg_min(occurred_at,
  ev AS (SELECT count(*) FILTER (event_type = 'encounter_confirmed') AS confirms, count(*) FILTER (event_type = 'encounter_dismissed') AS dismissals, count(*) FILTER (event_type = 'encounter_judgment_retracted') AS undos FROM log WHERE {{0}})
  SELECT *, dismissed_now / nullif(judged, 0) AS dismissal_rate FROM one, clean, ev"""
 
+COMPILED = f"""{LOG_SQL}, {JUDGMENT_SQL}, e AS (SELECT key, arg_max(k % 60, event_id) AS k, max(event_id) AS event_id FROM log WHERE event_type = 'encounter_recorded' GROUP BY key), enc AS (SELECT * FROM e LEFT JOIN judgments USING (key)),
+ made AS (SELECT DISTINCT k FROM log WHERE event_type = 'session_analysed' AND k < 50),
+ roll AS (SELECT k, count(*) AS n, arg_max(judgment, epoch_us(judged_at) * 100000 + event_id % 100000) FILTER (judgment IS NOT NULL) AS judgment FROM enc GROUP BY k),
+ st AS (SELECT CAST(k AS VARCHAR) AS concept_id, coalesce(n, 0) AS encounter_count, judgment, CASE WHEN coalesce(n, 0) = 0 THEN 'referenced' WHEN judgment = 'dismissed' THEN 'known' ELSE 'gap' END AS state FROM made LEFT JOIN roll USING (k))"""
+
 ORACLE_SQL = {
+    "compiled_concepts": f"WITH {COMPILED} SELECT *, CASE WHEN state = 'referenced' THEN 'hidden' WHEN state = 'known' THEN 'closed' WHEN judgment IS NOT NULL THEN 'learning' ELSE 'open' END AS bucket FROM st",
+    "compiled_encounters": f"WITH {COMPILED} SELECT CAST(key AS VARCHAR) AS encounter_id, CAST(k AS VARCHAR) AS concept_id, judgment FROM enc",
     "weekly_metrics": "WITH " + WEEKLY.format(IN),
     "weekly_all_time": "WITH " + WEEKLY.format("true"),
     "pipeline_funnel": f"""WITH {LOG_SQL}, {JUDGMENT_SQL}, r AS (SELECT key, arg_max(k, event_id) AS found FROM log WHERE event_type = 'session_analysed' AND {IN} GROUP BY key), c AS (SELECT key, count(*) AS filed FROM log WHERE event_type = 'encounter_recorded' AND {IN} GROUP BY key),
