@@ -93,7 +93,7 @@ WEEKLY = f"""{LOG_SQL}, {JUDGMENT_SQL}, f0 AS (SELECT key, arg_min(occurred_at,
 
 COMPILED = f"""{LOG_SQL}, {JUDGMENT_SQL}, e AS (SELECT key, arg_max(k % 60, event_id) AS k, max(event_id) AS event_id FROM log WHERE event_type = 'encounter_recorded' GROUP BY key), enc AS (SELECT * FROM e LEFT JOIN judgments USING (key)),
  made AS (SELECT DISTINCT k FROM log WHERE event_type = 'session_analysed' AND k < 50),
- roll AS (SELECT k, count(*) AS n, arg_max(judgment, epoch_us(judged_at) * 100000 + event_id % 100000) FILTER (judgment IS NOT NULL) AS judgment FROM enc GROUP BY k),
+ roll AS (SELECT k, count(*) AS n, arg_max(judgment, lpad(CAST(epoch_us(judged_at) AS VARCHAR), 20, '0') || lpad(CAST(event_id AS VARCHAR), 10, '0')) FILTER (judgment IS NOT NULL) AS judgment FROM enc GROUP BY k),
  st AS (SELECT CAST(k AS VARCHAR) AS concept_id, coalesce(n, 0) AS encounter_count, judgment, CASE WHEN coalesce(n, 0) = 0 THEN 'referenced' WHEN judgment = 'dismissed' THEN 'known' ELSE 'gap' END AS state FROM made LEFT JOIN roll USING (k))"""
 
 ORACLE_SQL = {
