@@ -108,11 +108,15 @@ def abbreviates(short: Column, long: Column) -> Column:
     return ~short.contains(" ") & F.length(short).between(2, 8) & F.when(numeric, F.coalesce(number, F.lit(False))).otherwise(letters)
 
 
+def prepare(name: Column) -> Column:
+    """What scoring needs of a name, for each variant: its norm n, run together c and stems t."""
+    return F.transform(variants(name), lambda v: F.struct(v.alias("n"), F.replace(v, F.lit(" "), F.lit("")).alias("c"), tokens(v).alias("t")))
+
+
 def pair_score(left: Column, right: Column, rarity: Column) -> Column:
-    """How much two normalised names look like one thing. rarity: map of stem to weight ('' for any other stem)."""
+    """How much two prepared variants look like one thing. rarity: map of stem to weight ('' for any other stem)."""
     weight = lambda t: F.coalesce(F.try_element_at(rarity, t), F.try_element_at(rarity, F.lit("")), F.lit(1.0))
     total = lambda ts: F.aggregate(ts, F.lit(0.0), lambda s, t: s + weight(t))
-    compact = lambda n: F.replace(n, F.lit(" "), F.lit(""))
 
     def soft(ls: Column, rs: Column) -> Column:
         best = lambda t: F.array_max(F.transform(rs, lambda o: F.struct(likeness(t, o).alias("s"), o.alias("o"))))
@@ -123,16 +127,21 @@ def pair_score(left: Column, right: Column, rarity: Column) -> Column:
         shorter, longer = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
         return (F.length(shorter) >= CONTAINED_MIN) & F.contains(longer, shorter)
 
-    score = let(tokens(left), lambda ls: let(tokens(right), lambda rs: soft(ls, rs)))
+    score = soft(left["t"], right["t"])
     return (
-        F.when(compact(left) == compact(right), COMPACT_EQUAL).when(abbreviates(left, right) | abbreviates(right, left), ABBREVIATION)
-        .when(inside(compact(left), compact(right)), F.greatest(score, F.lit(CONTAINED))).otherwise(score)
+        F.when(left["c"] == right["c"], COMPACT_EQUAL).when(abbreviates(left["n"], right["n"]) | abbreviates(right["n"], left["n"]), ABBREVIATION)
+        .when(inside(left["c"], right["c"]), F.greatest(score, F.lit(CONTAINED))).otherwise(score)
     )
 
 
+def prepared_overlap(xs: Column, ys: Column, rarity: Column) -> Column:
+    """Best score over the prepared variants of two names; 0 if either has none."""
+    return F.coalesce(F.array_max(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pair_score(x, y, rarity))))), F.lit(0.0))
+
+
 def overlap(a: Column, b: Column, rarity: Column) -> Column:
     """Best score over the variants of both names."""
-    return F.coalesce(let(variants(a), lambda xs: let(variants(b), lambda ys: F.array_max(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pair_score(x, y, rarity))))))), F.lit(0.0))
+    return let(prepare(a), lambda xs: let(prepare(b), lambda ys: prepared_overlap(xs, ys, rarity)))
 
 
 def slug(name: Column) -> Column:

@@ -67,11 +67,13 @@ def shortlist(submissions: DataFrame, concepts: DataFrame, most: int = SHORTLIST
     """
     weights = rarity(concepts)
     n = concepts.agg(F.count(F.lit(1)).alias("n")).select(F.lit("").alias("stem"), (1 + F.log(F.col("n") + 1)).alias("weight"))
-    pairs = candidates(submissions, concepts).join(submissions.select("submission_id", "text"), "submission_id").join(name_rows(concepts), "concept_id")
-    held = lambda c: F.flatten(F.transform(N.variants(F.col(c)), N.tokens))
-    stems = pairs.select("submission_id", "concept_id", "name", F.explode(F.array_distinct(F.concat(held("text"), held("name"), F.array(F.lit(""))))).alias("stem"))
+    asked = submissions.select("submission_id", N.prepare(F.col("text")).alias("p"))
+    known = name_rows(concepts).withColumn("q", N.prepare(F.col("name")))
+    pairs = candidates(submissions, concepts).join(asked, "submission_id").join(known, "concept_id")
+    held = lambda c: F.flatten(F.transform(c, lambda x: x["t"]))
+    stems = pairs.select("submission_id", "concept_id", "name", F.explode(F.array_distinct(F.concat(held("p"), held("q"), F.array(F.lit(""))))).alias("stem"))
     found = stems.join(weights.select("stem", "weight").unionByName(n), "stem").groupBy("submission_id", "concept_id", "name").agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("rarity"))
-    scored = pairs.join(found, ["submission_id", "concept_id", "name"]).withColumn("score", N.overlap(F.col("text"), F.col("name"), F.col("rarity")))
+    scored = pairs.join(found, ["submission_id", "concept_id", "name"]).withColumn("score", N.prepared_overlap(F.col("p"), F.col("q"), F.col("rarity")))
     best = scored.groupBy("submission_id", "concept_id", "canonical_name", "encounter_count").agg(F.max("score").alias("score")).where("score > 0")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("submission_id").orderBy(F.desc("score"), F.desc("encounter_count"), "canonical_name", "concept_id"))).where(F.col("rank") <= most)
     met = concepts.orderBy(F.desc("encounter_count"), "canonical_name", "concept_id").limit(most)  # a dozen rows
