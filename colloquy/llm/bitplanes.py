@@ -151,7 +151,7 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                     have, size = [ids[k:]], len(ids) - k
             yield pd.DataFrame({"part": [x[0] for x in out], "doc_id": pd.array([None if pd.isna(x[1]) else int(x[1]) for x in out], dtype="Int64"), "at": [x[2] for x in out], "n_tokens": [x[3] for x in out], "last": [x[4] for x in out]})
 
-    held = blocks.repartition(max(1, len(offsets)), "part").sortWithinPartitions("part", "block")
+    held = blocks.repartitionById(max([1, *(p + 1 for p, _ in offsets)]), F.col("part")).sortWithinPartitions("part", "block")  # a part a task
     found = held.mapInPandas(run, f"part int, doc_id long, at long, n_tokens long, last {'long' if digest else 'array<int>'}")
     ahead_of = spark.createDataFrame(offsets or [(0, 0)], "part int, _ahead long")
     return found.join(F.broadcast(ahead_of), "part").select("doc_id", (F.col("at") + F.col("_ahead")).alias("start"), "n_tokens", F.col("last").alias("ids_crc32" if digest else "ids"))
