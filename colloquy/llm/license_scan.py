@@ -102,3 +102,21 @@ def op6(spark, sf_dir: str) -> DataFrame:
     from colloquy.llm.common import read
 
     return scan(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "license_score", "license_line", F.array_join("licenses", ",").alias("licenses"))
+
+
+def oracle_sql(templates=TEMPLATES, least: float = 0.8) -> str:
+    """The same scan of documents in DuckDB SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    ws = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    grams = "CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END"
+    rows = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in templates)
+    return f"""WITH tpl AS (SELECT name, body, {ws.format('body')} AS ws FROM (VALUES {rows}) t(name, body)),
+ tg AS (SELECT name, body, list_distinct({grams}) AS tg FROM tpl),
+ texts AS (SELECT doc_id, list_prepend(coalesce(text, ''), string_split(coalesce(text, ''), chr(10))) AS ls FROM documents),
+ lines AS (SELECT doc_id, unnest(range(0, len(ls))) AS k, unnest(ls) AS line FROM texts),
+ split AS (SELECT doc_id, k, {ws.format('line')} AS ws FROM lines),
+ own AS (SELECT doc_id, k, list_distinct({grams}) AS g, greatest(len(ws) - 1, 1) AS a FROM split WHERE len(ws) BETWEEN 1 AND 200),
+ scored AS (SELECT doc_id, k, name, body, 2.0 * len(list_intersect(g, tg)) / (a + len(tg)) AS score FROM own JOIN tg ON 2.0 * least(a, len(tg)) / (a + len(tg)) >= {least}),
+ best AS (SELECT * FROM scored WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY score DESC, name, body) = 1),
+ found AS (SELECT doc_id, arg_min(name, (1 - score) * 1000000 + k / 1000000) AS license, max(score) AS score, arg_min(k, (1 - score) * 1000000 + k / 1000000) AS k, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM best GROUP BY doc_id)
+ SELECT d.doc_id, license, coalesce(round(CAST(score AS DOUBLE), 6), 0.0) AS license_score, CAST(coalesce(k, 0) AS INTEGER) AS license_line, coalesce(licenses, '') AS licenses FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id"""

@@ -17,4 +17,5 @@ QUERIES = {
     "op10_imatch": imatch.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Learned lists, merges, majority bits, planes and shuffles have no SQL form; tests/llm holds those to brute force.
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}

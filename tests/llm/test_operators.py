@@ -346,6 +346,15 @@ def test_licences_by_dice(spark, docs):
     assert license_scan.scan(docs).count() == len(TEXTS)
 
 
+def test_licences_equal_their_sql(spark, small):
+    import duckdb
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{small}/documents.parquet')")
+    want = duckdb.sql(license_scan.oracle_sql())
+    got = license_scan.op6(spark, small).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_differencing_deletes_shared_lines(spark):
     page = lambda body: f"<html><body><div>Our shop - the best</div><div>Menu one two</div>{body}<div>All rights kept 2020</div></body></html>"
     rows = [(k, f"http://h.example.com/a/{k}", page(f"<p>Story {k} of a kind</p><p>Second &amp; last {k}<br>line</p>")) for k in range(5)]
