@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colloquy.state import running
+
 
 def auc(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Area under the curve with half credit for ties, from counts by distinct score. scored: score, label (0/1)."""
     by = scored.groupBy(*keys, "score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    part = by.withColumn("_below", below)
+    if keys:
+        part = by.withColumn("_below", F.sum("n").over(Window.partitionBy(*keys).orderBy("score")) - F.col("n"))
+    else:
+        part = running(by, [F.asc("score")], ["n"]).withColumn("_below", F.col("n_upto") - F.col("n"))
     return part.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * (F.col("_below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def best_threshold(scored: DataFrame) -> DataFrame:
     """The cut (score >= cut is positive) of the highest accuracy, the lowest such; over counts by distinct score."""
     by = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    up, below = Window.orderBy(F.desc("score")), Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    right = by.withColumn("right", F.sum("p").over(up) + F.coalesce(F.sum("n").over(below), F.lit(0))).withColumn("all", F.sum(F.col("p") + F.col("n")).over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return right.agg(F.min_by("score", F.struct(-F.col("right"), "score")).alias("cut"), F.max(F.col("right") / F.col("all")).alias("accuracy"))
+    down = running(by, [F.desc("score")], ["p", "n"])
+    gained = down.withColumn("gain", F.col("p_upto") - F.col("n_upto"))  # right answers, less all negatives
+    best = gained.agg(F.min_by("score", F.struct(-F.col("gain"), "score")).alias("cut"), F.max("gain").alias("gain"), F.sum("n").alias("n"), F.sum("p").alias("p"))
+    return best.select("cut", ((F.col("gain") + F.col("n")) / (F.col("p") + F.col("n"))).alias("accuracy"))
 
 
 def confusion(rows: DataFrame, truth: str, found: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colloquy.state import running
+
 # Fixed values of the rules.
 SIGNALS = {"accepted": 0, "unclear": 1}
 IMPORTANCE = {"central": 0, "supporting": 1}
@@ -52,8 +54,12 @@ def calibrate(entries: DataFrame, target: float = TARGET, keys: tuple[str, ...]
     Counts by distinct score come first, so the running sums see one row a score and group, never the entries.
     """
     by = entries.groupBy(*keys, "score").agg(F.sum("known").alias("k"), F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    cut = by.withColumn("precision", F.sum("k").over(up) / F.sum("n").over(up)).where(F.col("precision") >= target)
+    if keys:
+        up = Window.partitionBy(*keys).orderBy(F.desc("score"))
+        summed = by.withColumns({"k_upto": F.sum("k").over(up), "n_upto": F.sum("n").over(up)})
+    else:
+        summed = running(by, [F.desc("score")], ["k", "n"])
+    cut = summed.withColumn("precision", F.col("k_upto") / F.col("n_upto")).where(F.col("precision") >= target)
     return cut.groupBy(*keys).agg(F.min("score").alias("cut"), F.min_by("precision", "score").alias("precision"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +22,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """Adds ``<name>_upto``, the sum of each column over all rows up to this one in a total order.
+
+    Rows are sorted over ranges; each range sums up on its own and adds what the ranges before it hold, one row a range.
+    No task ever sees all rows.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "running")
+    ranges, before = placed.groupBy("_part").agg(*[F.sum(c).alias(c) for c in sums]), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranges.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(F.broadcast(ahead), "_part")
+    return joined.withColumns({f"{c}_upto": F.sum(c).over(own) + F.col(f"_{c}") for c in sums}).drop("_part", *[f"_{c}" for c in sums])
