@@ -270,6 +270,27 @@ def test_similar_texts_find_near_copies_and_leave_others(spark):
     assert near >= 58 and all(got[200 + k] == k for k in range(60)) and all(got[300 + k] == 300 + k for k in range(60))
 
 
+def test_similar_texts_link_a_star_and_a_chain_like_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    hub = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+    texts = []
+    for k in range(400):  # each at 0.8 or more to the original, few to each other
+        ws = list(hub)
+        for at in rng.choice(np.arange(10, 290, 10), 4, replace=False):
+            ws[at + int(rng.integers(0, 5))] = f"e{k}x{at}"
+        texts.append(" ".join(ws))
+    texts.insert(250, " ".join(hub))
+    for k in range(12):  # a chain: each is like the next one only
+        texts.append(" ".join([f"c{k * 8 + j}" for j in range(100)]))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert all(like(250, k) for k in range(401)) and sum(like(0, k) for k in range(1, 200)) < 20
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component for r in simhash.similar_texts(table).collect()}
+    assert [got[k] for k in range(401)] == [0] * 401
+    assert all((got[401 + k] == got[402 + k]) >= like(401 + k, 402 + k) for k in range(11))
+
+
 def test_imatch_texts_neighbours_and_likeness(spark, docs):
     rows = [(i, t) for i, t, _ in TEXTS] + [(50 + k, " ".join(f"t{(k * 31 + j * j) % 700}" for j in range(200))) for k in range(30)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
