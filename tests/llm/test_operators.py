@@ -291,6 +291,22 @@ def test_similar_texts_link_a_star_and_a_chain_like_all_pairs(spark):
     assert all((got[401 + k] == got[402 + k]) >= like(401 + k, 402 + k) for k in range(11))
 
 
+def test_similar_texts_find_appended_cut_and_short_texts(spark):
+    rng = np.random.default_rng(9)
+    rows, kinds = [], []
+    for k in range(300):
+        n, share, cut_off = int(rng.choice([20, 60, 300, 2000])), float(rng.choice([0.1, 0.2, 0.24])), k % 2
+        ws = [f"w{x}" for x in rng.integers(0, 20_000, n)]
+        more = [f"w{x}" for x in rng.integers(0, 20_000, int(n * share))]
+        pair = (ws + more, ws) if cut_off else (ws, ws + more)
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in pair]
+        if len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8:
+            rows += [(2 * k, " ".join(pair[0])), (2 * k + 1, " ".join(pair[1]))]
+            kinds.append(2 * k)
+    got = {r.id: r.component for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(kinds) > 150 and sum(got[k] == got[k + 1] for k in kinds) >= 0.99 * len(kinds)
+
+
 def test_imatch_texts_neighbours_and_likeness(spark, docs):
     rows = [(i, t) for i, t, _ in TEXTS] + [(50 + k, " ".join(f"t{(k * 31 + j * j) % 700}" for j in range(200))) for k in range(30)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
