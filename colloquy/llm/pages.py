@@ -1,26 +1,28 @@
 """HTML extraction by nearest-URL page differencing.
 
-A page becomes text lines (one a block element). Pages of a host are put in order of path; a page's neighbours in
-that order are the pages most likely made from the same template. Lines are aligned with each neighbour's by longest
-common subsequence, and lines shared with a neighbour are template: they are deleted. Two guards keep real text:
-lines inside declared main content (article, main) stay, since copies of an article and widely quoted passages are
-shared lines too; and what the markup itself declares not to be content (navigation, header, footer, aside, form,
-hidden parts, advert and comment blocks) goes even if no neighbour has it.
-
-Only hashes of lines travel to the neighbour. Places in the order are ranks over ranges of (host, path), so a
-host with a third of all pages is many tasks.
-
-Defined cases: a null or empty page has no text and no lines; a null URL has an empty host and path; equal URLs are
-ordered by id and are neighbours; repeated rows (equal id and URL) share one place and each keeps its row; a page
-alone on its host has no neighbour and loses only what its markup declares; an empty table gives an empty result;
-extra columns are ignored.
+A page becomes text lines (one a block element). The URL paths of a host are put in order; the pages at the path before
+and at the path after are those most likely made from the same template. Lines are aligned with theirs by longest
+common subsequence, and lines shared with either are template: they are deleted. Two guards keep real text and one
+rule drops what no neighbour can show: lines inside declared main content (article, main) stay, since copies of an
+article and widely quoted passages are shared lines too; a page without such an element whose every line would go
+loses only lines that both neighbours share, or else none; and what the markup itself declares not to be content
+(navigation, header, footer, aside, form, hidden parts, advert and comment blocks) goes even if no neighbour has it.
+
+Pages are parsed once, into a table in the shared folder. Only hashes of lines travel to the neighbour. Places in the
+order are ranks over ranges of (host, path), so a host with a third of all pages is many tasks.
+
+Defined cases: a null or empty page has no text and no lines; a page whose URL is null or without a host has no
+neighbour. Neighbours differ in path and in lines: of several pages at one path the one of least hash stands for the
+path, of paths of a host with equal lines the first stands for all; so repeated rows and copies under other URLs never
+delete each other's text. Each row of the input is a row of the result. A page alone on its host loses only what its
+markup declares; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ CHROME = frozenset("nav header footer aside form menu dialog button figcaption".
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Raw elements whose text is never markup; the others of RAW, when not closed, are passed over as a tag alone.
+OPAQUE = frozenset("script style textarea title".split())
 #: Elements that a new one of the kinds named closes.
 CLOSES = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words of a class, id or role that declare a block not to be content.
@@ -48,9 +52,10 @@ ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\
 SPACES = re.compile(r"\s+")
 
 
-#: Of those, words that count on a main element too, and words beside which "header" means the heading of the text.
+#: Of those, words that count on a main element too, and words beside which those of MILD name a part of the text.
 ASIDE = frozenset("ad ads advert advertisement comment comments discussion promo promoted related replies reply sponsored".split())
-HEADING = frozenset("article content entry page post story title".split())
+HEADING = frozenset("article body content entry page post results story text title".split())
+MILD = frozenset("banner header notice search share toolbar".split())
 
 
 def declared(attrs: str, main: bool = False) -> bool:
@@ -62,7 +67,7 @@ def declared(attrs: str, main: bool = False) -> bool:
         if name in ("class", "id", "role"):
             said = set(re.split(r"[^a-z]+", value))
             if said & HEADING:
-                said.discard("header")
+                said -= MILD
             if said & (ASIDE if main else NAMES):
                 return True
     return False
@@ -75,6 +80,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # (element, kind inside)
+    opened: Counter[str] = Counter()  # how often each element is on the stack
     kind = 0
 
     def close() -> None:
@@ -97,9 +103,10 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if m[1]:
             if name in BLOCKS:
                 close()
-            if any(name == n for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if opened[name]:
+                while (gone := stack.pop()[0]) != name:
+                    opened[gone] -= 1
+                opened[name] -= 1
                 kind = stack[-1][1] if stack else 0
             continue
         if name == "br":
@@ -110,13 +117,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 close_at = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 if name == "head" and close_at is None:
                     close_at = re.compile(r"(?=<body)", re.I).search(page, at)
-                at = close_at.end() if close_at else (at if name == "head" else end)
+                at = close_at.end() if close_at else (end if name in OPAQUE else at)
             text.append(" ")
             continue
         if name in BLOCKS:
             close()
             while stack and name in CLOSES.get(stack[-1][0], ()):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             kind = stack[-1][1] if stack else 0
         if name in VOID or m[3].endswith("/"):
             continue
@@ -128,6 +135,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             elif name in MAIN and kind == 0:
                 kind = 1
         stack.append((name, kind))
+        opened[name] += 1
     close()
     return out
 
@@ -136,45 +144,70 @@ def shared(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Which of own's lines a longest common subsequence with other pairs up.
 
     A run of equal lines counts as one. Common ends are paired first and lines that the other page lacks are set
-    aside; the middles that are left are aligned by the longest increasing run of places.
+    aside; what is left is aligned exactly.
     """
     if not len(own) or not len(other):
         return np.zeros(len(own), bool)
     new = np.append(True, own[1:] != own[:-1])
-    hit = _aligned(own[new].tolist(), other[np.append(True, other[1:] != other[:-1])].tolist())
-    return hit[np.cumsum(new) - 1]
-
-
-def _aligned(own: list[int], other: list[int]) -> np.ndarray:
-    hit = np.zeros(len(own), bool)
-    lo, a, b = 0, len(own), len(other)
-    while lo < min(a, b) and own[lo] == other[lo]:
+    x, y = own[new].tolist(), other[np.append(True, other[1:] != other[:-1])].tolist()
+    hit = np.zeros(len(x), bool)
+    lo, a, b = 0, len(x), len(y)
+    while lo < min(a, b) and x[lo] == y[lo]:
         hit[lo] = True
         lo += 1
-    while a > lo and b > lo and own[a - 1] == other[b - 1]:
+    while a > lo and b > lo and x[a - 1] == y[b - 1]:
         a, b = a - 1, b - 1
         hit[a] = True
-    mine = set(own[lo:a])
-    places: dict[int, list[int]] = {}
-    for k in range(lo, b):
-        if other[k] in mine:
-            places.setdefault(other[k], []).append(k)
-    tails: list[int] = []
-    chain: list[tuple] = []
-    for k in range(lo, a):  # Hunt and Szymanski: each line's places in falling order
-        for p in reversed(places.get(own[k], ())):
-            t = bisect.bisect_left(tails, p)
-            node = (k, chain[t - 1] if t else None)
-            if t == len(tails):
-                tails.append(p)
-                chain.append(node)
-            else:
-                tails[t], chain[t] = p, node
-    node = chain[-1] if chain else None
-    while node:
-        hit[node[0]] = True
-        node = node[1]
-    return hit
+    mine, theirs = set(x[lo:a]), set(y[lo:b])
+    at = [k for k in range(lo, a) if x[k] in theirs]
+    _pair([x[k] for k in at], at, [v for v in y[lo:b] if v in mine], hit)
+    return hit[np.cumsum(new) - 1]
+
+
+#: Bits of alignment rows kept at once; longer pairs of pages are halved first, so memory stays at 16 MB.
+MOST_BITS = 1 << 27
+
+
+def _rows(x: list[int], y: list[int]) -> Iterator[int]:
+    """After each item of x: an integer with bit k clear where the longest common subsequence grows at y[k]."""
+    places: dict[int, int] = {}
+    for k, v in enumerate(y):
+        places[v] = places.get(v, 0) | 1 << k
+    full = row = (1 << len(y)) - 1
+    for v in x:
+        met = row & places.get(v, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of x with each prefix of y."""
+    row = 0
+    for row in _rows(x, y):
+        pass
+    clear = 1 - np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), "u1"), bitorder="little")[: len(y)].astype("i8")
+    return np.append(0, np.cumsum(clear))
+
+
+def _pair(x: list[int], at: list[int], y: list[int], hit: np.ndarray) -> None:
+    """Marks in hit the places (at) of those items of x that are paired."""
+    if not x or not y:
+        return
+    if len(x) > 1 and len(x) * len(y) > MOST_BITS:
+        mid = len(x) // 2
+        cut_at = int(np.argmax(_lengths(x[:mid], y) + _lengths(x[mid:][::-1], y[::-1])[::-1]))
+        _pair(x[:mid], at[:mid], y[:cut_at], hit)
+        _pair(x[mid:], at[mid:], y[cut_at:], hit)
+        return
+    rows, i, j = list(_rows(x, y)), len(x), len(y)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        elif x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            hit[at[i]] = True
+        else:
+            i -= 1
 
 
 def line_hashes(found: list[tuple[str, int]]) -> bytes:
@@ -187,55 +220,69 @@ def numbers(lines: bytes) -> np.ndarray:
     return np.pad(raw, ((0, 0), (0, 2))).view("<i8").ravel()
 
 
-def template_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url and template: the (0-based) lines of each page that its nearest neighbours by URL share."""
-    spark = pages.sparkSession
-    ship(spark)
+def deleted(lines: bytes, others: list[bytes | None], loose: list[int], main: bool) -> list[int]:
+    """The (0-based) lines of a page that its neighbours' show to be template.
+
+    loose: lines that stand in no declared main content and are not declared chrome; main: there is main content.
+    """
+    own = numbers(lines)
+    hits = [shared(own, numbers(x)) for x in others if x is not None]
+    if not hits:
+        return []
+    hit = np.any(hits, axis=0)
+    if not main and len(loose) and hit[loose].all():
+        hit = np.all(hits, axis=0) if len(hits) > 1 else np.zeros(len(own), bool)
+        if hit[loose].all():
+            return []
+    return np.flatnonzero(hit).astype("i4").tolist()
 
-    def lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([line_hashes(blocks(t)) for t in texts])
 
-    keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.pandas_udf(lines, "binary", F.PandasUDFType.SCALAR_ITER)(F.col(html_col)).alias("lines"))
-    order = [F.asc("host"), F.asc("path"), F.asc_nulls_first("id"), F.asc_nulls_first("url"), F.asc("lines")]
-    places = ranked(keyed, order, "rank").select("id", "url", "rank", F.xxhash64("host").alias("host"), "lines")
-    near = places.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("h0"), F.col("lines").alias("before"))
-    after = places.select((F.col("rank") - 1).alias("rank"), F.col("host").alias("h1"), F.col("lines").alias("after"))
-    met = places.join(near, "rank", "left").join(after, "rank", "left")
-    met = met.select("id", "url", "lines", F.when(F.col("h0") == F.col("host"), F.col("before")).alias("before"), F.when(F.col("h1") == F.col("host"), F.col("after")).alias("after"))
+def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Each page once: row, id, url, host, path, lines (hashes), main, loose and blocks, as a table in the shared folder."""
+    ship(pages.sparkSession)
+
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            made = []
+            for p in texts:
+                found = blocks(p)
+                held = [(k, kind == 1, x) for k, (x, kind) in enumerate(found) if kind != 2]
+                made.append((line_hashes(found), any(m for _, m, _ in held), [k for k, m, _ in held if not m], held))
+            yield pd.DataFrame(made, columns=["lines", "main", "loose", "blocks"])
+
+    kinds = "lines binary, main boolean, loose array<int>, blocks array<struct<at:int,main:boolean,text:string>>"
+    url = F.col(url_col)
+    once = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.pandas_udf(read, kinds, F.PandasUDFType.SCALAR_ITER)(F.col(html_col)).alias("_s"))
+    return cut(once.select("row", "id", "url", "host", "path", "_s.*"), "parsed", compression="zstd")
+
+
+def template_lines(table: DataFrame) -> DataFrame:
+    """row and template: the lines of each parsed page that its neighbours by URL show to be template."""
+    ship(table.sparkSession)
+    keys = table.where("host <> ''").select("row", "host", "path", "lines", "main", "loose", F.xxhash64("lines").alias("content"))
+    paths = keys.groupBy("host", "path").agg(F.min(F.struct("content", "lines")).alias("c")).select("host", "path", "c.*")
+    classes = paths.groupBy("host", "content").agg(F.min(F.struct("path", "lines")).alias("p")).select("host", "content", "p.*")
+    places = ranked(classes, [F.asc("host"), F.asc("path"), F.asc("content")], "rank")
+    near = lambda step, name: places.select((F.col("rank") + step).alias("rank"), F.struct("host", "path", "content", "lines").alias(name))
+    met = places.select("host", "content", "rank").join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left").drop("rank")
+    asked = keys.join(paths.select("host", "path", F.col("content").alias("stands")).join(met.withColumnRenamed("content", "stands"), ["host", "stands"]), ["host", "path"])
+    other = lambda n: F.when((F.col(n)["host"] == F.col("host")) & (F.col(n)["path"] != F.col("path")) & (F.col(n)["content"] != F.col("content")), F.col(n)["lines"])
 
     def differ(batches: Iterator[tuple]) -> Iterator[pd.Series]:
-        for own, before, after in batches:
-            found = []
-            for a, *others in zip(own, before, after, strict=True):
-                mine = numbers(a)
-                hit = np.zeros(len(mine), bool)
-                for o in others:
-                    if o is not None:
-                        hit |= shared(mine, numbers(o))
-                found.append(np.flatnonzero(hit).astype("i4").tolist())
-            yield pd.Series(found)
+        for own, before, after, loose, main in batches:
+            yield pd.Series([deleted(a, [b, c], list(e), m) for a, b, c, e, m in zip(own, before, after, loose, main, strict=True)])
 
     mark = F.pandas_udf(differ, "array<int>", F.PandasUDFType.SCALAR_ITER)
-    return met.select("id", "url", mark("lines", "before", "after").alias("template"))
+    return asked.select("row", mark("lines", other("before"), other("after"), "loose", "main").alias("template"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every page with text (blocks joined by an empty line), n_chars and n_template, the lines that were shared."""
-    marked = template_lines(pages, id_col, url_col, html_col)
-    marked = marked.groupBy("id", "url").agg(F.min("template").alias("template"))
-
-    def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[(k, kind == 1, x) for k, (x, kind) in enumerate(blocks(p)) if kind != 2] for p in texts])
-
-    read = F.pandas_udf(candidates, "array<struct<at:int,main:boolean,text:string>>", F.PandasUDFType.SCALAR_ITER)
-    own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), read(F.col(html_col)).alias("blocks"))
-    same = own["id"].eqNullSafe(marked["id"]) & own["url"].eqNullSafe(marked["url"])
-    both = own.join(marked, same, "left").select(own["id"].alias(id_col), own["url"].alias(url_col), "blocks", F.coalesce("template", F.array().cast("array<int>")).alias("template"))
-    kept = F.filter("blocks", lambda b: b["main"] | ~F.array_contains("template", b["at"]))
+    table = parsed(pages, id_col, url_col, html_col)
+    both = table.select("row", F.col("id").alias(id_col), F.col("url").alias(url_col), "blocks").join(template_lines(table), "row", "left")
+    kept = F.filter("blocks", lambda b: b["main"] | ~F.array_contains(F.coalesce("template", F.array().cast("array<int>")), b["at"]))
     made = both.withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"))
-    return made.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), F.size("template").alias("n_template"))
+    return made.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), F.coalesce(F.size("template"), F.lit(0)).alias("n_template"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
