@@ -1,11 +1,16 @@
 """I-Match fingerprints: hashes of randomised lexicon subsets.
 
-The lexicon is every term whose inverse document frequency lies in a band, counted over all documents. Terms are
-hashed into 2**bits buckets and the band is one bitmap over buckets, so its size is fixed (128 KB at 20 bits)
-whatever the corpus holds; colliding terms share their counts. A document's distinct terms of the lexicon are sorted
-(by hash) and split over GROUPS randomised sub-lexicons, thinned by halves until about one term a sub-lexicon is
-left; each sub-lexicon is hashed. Two neighbouring levels of thinning are kept so that texts a little apart in
-length can be compared. Likeness is the share of equal hashes among sub-lexicons that either text has terms in.
+The lexicon is every term whose inverse document frequency lies in a band; document frequencies are counted term by
+term over all documents. A document's distinct terms of the lexicon are sorted (by hash) and looked at through GROUPS
+randomised sub-lexicons that overlap (each term is in two of them, by independent bits of its hash); each sub-lexicon's
+terms are hashed together. Sub-lexicons are thinned by halves with a text's length, until about two terms are left in
+each; LEVELS neighbouring thinnings are kept, so that texts up to some 2**(LEVELS - 1) times apart in length can be
+compared at the thinning of the longer. Likeness is the share of equal hashes among sub-lexicons that either text has
+terms in.
+
+Where the lexicon is held as a bitmap of hashed terms it has at least 16 bits a term, 64 where 2**MOST_BITS bits allow
+it: a term outside the band then passes with a probability of at most 1/16 (1/64), always the same terms for all
+documents. A lexicon too large for that is joined to the documents' terms instead, exactly.
 
 Defined cases: null and empty texts have no terms and the fingerprint of an empty text (likeness 1 to each other, 0 to
 any other); a text without a term in the band uses all its terms; equal texts have equal fingerprints; equal ids are
@@ -16,15 +21,17 @@ its row; a single document is its own next; an empty table gives an empty result
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.llm.common import cut, let, lower_ascii, parts, ranked, text_of, words
 
-GROUPS = 32
-BITS = 20
-#: The band, as powers of the number of documents: terms in more than N**0.1 and at most N**0.7 documents.
-BAND = (0.1, 0.7)
+GROUPS, LEVELS = 32, 4
+#: Bits of the largest bitmap: 2 MB, a literal of the plan.
+MOST_BITS = 24
+#: The band, as powers of the number of documents: terms in more than N**0.3 and at most N**0.7 documents.
+BAND = (0.3, 0.7)
 
 
 def terms(text: Column | str) -> Column:
@@ -32,58 +39,87 @@ def terms(text: Column | str) -> Column:
     return F.array_distinct(F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", bits: int = BITS, band: tuple[float, float] = BAND) -> Column:
-    """The bitmap of buckets in the band as a literal array of 2**bits / 64 longs."""
-    mask = F.lit((1 << bits) - 1)
-    buckets = F.array_distinct(F.transform(terms(text_col), lambda t: t.bitwiseAND(mask).cast("int")))
-    n = docs.count()
-    counted = docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    inside = counted.where((F.col("df") > n ** band[0]) & (F.col("df") <= max(2.0, n ** band[1])))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bucket").bitwiseAND(F.lit(63)))
-    held = {r["w"]: r["m"] for r in inside.groupBy(F.shiftright("bucket", 6).alias("w")).agg(F.bit_or(bit).alias("m")).collect()}  # a fixed number of rows
-    return F.from_json(F.lit(json.dumps([held.get(k, 0) for k in range(max(1, (1 << bits) >> 6))])), "array<bigint>")
+@dataclass(frozen=True)
+class Lexicon:
+    """The terms (hashes) of the band: as a table, and as a literal of 2**bits / 64 longs if that is large enough."""
+
+    table: DataFrame
+    bits: int | None
+    bitmap: Column | None
 
+    def held(self, df: DataFrame, texts: dict[str, str]) -> DataFrame:
+        """df with an array column of the terms of each text that are in the lexicon. texts: new name -> text column."""
+        if self.bitmap is not None:
+            mask = F.lit((1 << self.bits) - 1)
+            inside = lambda t: F.getbit(F.get(self.bitmap, F.shiftright(t.bitwiseAND(mask), 6).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+            return df.withColumns({name: F.filter(terms(text), inside) for name, text in texts.items()})
+        rows = cut(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+        for name, text in texts.items():
+            found = rows.select("_row", F.explode(terms(text)).alias("term")).join(self.table, "term", "left_semi").groupBy("_row").agg(F.collect_list("term").alias(name))
+            rows = rows.join(found, "_row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
+        return rows.drop("_row")
 
-def fingerprint(text: Column | str, bitmap: Column, bits: int = BITS) -> Column:
-    """struct(level, a, b): hashes of the sub-lexicons at a level of thinning and at the next; 0 for one without terms."""
-    mask = F.lit((1 << bits) - 1)
 
-    def of(ts: Column) -> Column:
-        held = F.filter(ts, lambda t: F.getbit(F.get(bitmap, F.shiftright(t.bitwiseAND(mask), 6).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return let(held, lambda hs: let(F.sort_array(F.when(F.size(hs) > 0, hs).otherwise(ts)), thinned))
+def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND, most_bits: int = MOST_BITS) -> Lexicon:
+    n = docs.count()
+    counted = docs.select(F.explode(terms(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    table = cut(counted.where((F.col("df") > n ** band[0]) & (F.col("df") <= max(2.0, n ** band[1]))).select("term"), "lexicon")
+    size = table.count()
+    bits = max(6, min(most_bits, (64 * size).bit_length()))
+    if 16 * size > 1 << bits:
+        return Lexicon(table, None, None)
+    at = F.col("term").bitwiseAND(F.lit((1 << bits) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    used = {r["w"]: r["m"] for r in table.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(bit).alias("m")).collect()}  # 262,144 rows at most
+    return Lexicon(table, bits, F.from_json(F.lit(json.dumps([used.get(k, 0) for k in range(1 << (bits - 6))])), "array<bigint>"))
+
+
+def fingerprint(text: Column | str, held: Column | str) -> Column:
+    """struct(level, hashes): those of the sub-lexicons at LEVELS thinnings, from the text's own level on; 0 for none."""
+    held = F.col(held) if isinstance(held, str) else held
 
     def thinned(ts: Column) -> Column:
         level = F.greatest(F.lit(0), F.round(F.log2(F.greatest(F.size(ts), F.lit(1)) / F.lit(float(GROUPS))))).cast("int")
         keep = lambda xs, n: F.filter(xs, lambda t: F.shiftrightunsigned(t, 32).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1) == 0)
-        hashes = lambda xs: F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: let(F.filter(xs, lambda t: F.shiftrightunsigned(t, 56).bitwiseAND(F.lit(GROUPS - 1)) == g), lambda s: F.when(F.size(s) == 0, F.lit(0)).otherwise(F.hash(s).bitwiseOR(F.lit(1)))))
-        return let(level, lambda n: let(keep(ts, n), lambda a: F.struct(n.alias("level"), hashes(a).alias("a"), let(keep(a, n + 1), hashes).alias("b"))))
+        # two numbers of a group in one: its bit is set in the mask of a term
+        masks = lambda xs: F.transform(xs, lambda t: F.struct(t.alias("t"), F.shiftrightunsigned(t, 59).cast("int").alias("g"), F.shiftrightunsigned(t, 54).bitwiseAND(F.lit(GROUPS - 1)).cast("int").alias("o")))
+        one = lambda ms, g: let(F.filter(ms, lambda m: (m["g"] == g) | (m["o"] == g)), lambda s: F.when(F.size(s) == 0, F.lit(0)).otherwise(F.hash(F.transform(s, lambda m: m["t"])).bitwiseOR(F.lit(1))))
+        hashes = lambda xs: let(masks(xs), lambda ms: F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: one(ms, g)))
+
+        def more(xs: Column, n: Column, left: int) -> Column:
+            """Hashes at this thinning and at those after it, one array."""
+            own = hashes(xs)
+            return own if left == 1 else F.concat(own, let(keep(xs, n + 1), lambda ys: more(ys, n + 1, left - 1)))
 
-    return let(terms(text), of)
+        return let(level, lambda n: let(keep(ts, n), lambda xs: F.struct(n.alias("level"), more(xs, n, LEVELS).alias("hashes"))))
+
+    return let(F.sort_array(F.when(F.size(held) > 0, held).otherwise(terms(text))), thinned)
 
 
 def as_text(fp: Column) -> Column:
-    four = lambda xs: F.array_join(F.transform(xs, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
-    return F.concat(F.lower(F.lpad(F.hex(fp["level"]), 2, "0")), F.lit("-"), four(fp["a"]), F.lit("-"), four(fp["b"]))
+    four = F.array_join(F.transform(fp["hashes"], lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+    return F.concat(F.lower(F.lpad(F.hex(fp["level"]), 2, "0")), F.lit("-"), four)
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """Equal sub-lexicons over those with terms in either, at the level both have; 1 for two texts without terms."""
-
-    def share(a: Column, b: Column) -> Column:
-        both = F.zip_with(a, b, lambda p, q: F.when((p == 0) & (q == 0), F.lit(0)).when(p == q, F.lit(65537)).otherwise(F.lit(1)))
-        return let(F.aggregate(both, F.lit(0), lambda s, v: s + v), lambda s: F.when(s == 0, 1.0).otherwise(F.shiftright(s, 16) / s.bitwiseAND(F.lit(65535))))
+    """Equal sub-lexicons over those with terms in either, at the longer text's level; 1 for two texts without terms.
 
+    0 for texts LEVELS or more levels apart, of which the longer has some 2**(LEVELS - 0.5) times the terms at least.
+    """
     apart = y["level"] - x["level"]
-    return F.when(apart == 0, share(x["a"], y["a"])).when(apart == 1, share(x["b"], y["a"])).when(apart == -1, share(x["a"], y["b"])).otherwise(0.0).cast("double")
+    at = lambda fp, back: F.slice(fp["hashes"], back * GROUPS + 1, F.lit(GROUPS))
+    both = F.zip_with(at(x, F.greatest(apart, F.lit(0))), at(y, F.greatest(-apart, F.lit(0))), lambda p, q: F.when((p == 0) & (q == 0), F.lit(0)).when(p == q, F.lit(65537)).otherwise(F.lit(1)))
+    share = let(F.aggregate(both, F.lit(0), lambda s, v: s + v), lambda s: F.when(s == 0, F.when(x["hashes"] == y["hashes"], 1.0).otherwise(0.0)).otherwise(F.shiftright(s, 16) / s.bitwiseAND(F.lit(65535))))
+    return F.when(F.abs(apart) < LEVELS, share).otherwise(0.0).cast("double")
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, band: tuple[float, float] = BAND) -> DataFrame:
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND, most_bits: int = MOST_BITS) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and likeness to that and to the next document.
 
     Neighbours in the order are found on (id, hash, length) alone; then whole texts are shuffled once and the half that
     each text lends to its neighbour once more.
     """
-    bitmap = lexicon(docs, text_col, bits, band)
+    words_of = lexicon(docs, text_col, band, most_bits)
     first = -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     keyed = rows.withColumns({"k": F.coalesce("doc_id", F.lit(first)), "h": F.xxhash64("text")})
@@ -94,16 +130,16 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lends = place.select("k", "h", "rank").join(before, "rank").drop("rank")
 
     # one exchange for both sides of the join: the same columns, and nothing computed before it
-    whole = keyed.repartition(parts(docs), "k", "h")
-    lent = whole.join(lends.hint("shuffle_hash"), ["k", "h"])
-    lent = lent.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.col("doc_id").alias("next_id"), F.expr("left(text, half)").alias("start"), fingerprint("text", bitmap, bits).alias("next_fp"))
+    whole = keyed.repartition(parts(docs, 8), "k", "h")
+    lent = words_of.held(whole.join(lends.hint("shuffle_hash"), ["k", "h"]), {"_held": "text"})
+    lent = lent.select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.col("doc_id").alias("next_id"), F.expr("left(text, half)").alias("start"), fingerprint("text", "_held").alias("next_fp"))
     if (copies or 1) > 1:
         lent = lent.groupBy("k", "h").agg(F.first("next_id").alias("next_id"), F.first("start").alias("start"), F.first("next_fp").alias("next_fp"))
-    met = whole.join(lent.hint("shuffle_hash"), ["k", "h"]).withColumn("fp", fingerprint("text", bitmap, bits))
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.col("start"))
-    made = met.select("doc_id", n.cast("long").alias("n_chars"), "next_id", "fp", "next_fp", edited.alias("edited"))
-    seen = made.select("doc_id", "n_chars", "next_id", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("edited", bitmap, bits).alias("edited_fp"))
+    met = whole.join(lent.hint("shuffle_hash"), ["k", "h"]).select("doc_id", n.cast("long").alias("n_chars"), "next_id", "next_fp", "text", edited.alias("edited"))
+    seen = words_of.held(met, {"_own": "text", "_edited": "edited"})
+    seen = seen.select("doc_id", "n_chars", "next_id", "next_fp", fingerprint("text", "_own").alias("fp"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint("edited", "_edited").alias("edited_fp"))
     return seen.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "next_id",
