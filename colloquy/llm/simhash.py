@@ -123,10 +123,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 TABLES, TABLE_BITS = 4, 32
 BANDS, BAND_ROWS = 16, 4
-#: Bits of 128 in which sketches of texts at 0.8 may differ: one bit of each minimum, so 13 on average, 3.4 the deviation.
+#: Bits of 128 in which sketches of texts at 0.8 may differ: one bit of each minimum, so 13 on average, 3.4 the
+#: deviation; a pair at exactly 0.8 differs in more with a probability of 1e-6.
 SKETCH_SLACK = 30
-#: Members of a meeting up to which all pairs are compared at once.
-SMALL = 8
+#: Members of a meeting up to which all pairs are compared at once; and members of a block, where larger ones are left.
+SMALL, GRID = 32, 128
+#: Rounds of pivots at most, before what is still left is compared pair by pair in blocks.
+PIVOT_ROUNDS = 6
 _RANDOM = np.random.default_rng(301)
 _FACTORS, _ADDENDS = _RANDOM.integers(0, 1 << 63, (2, 128), dtype="u8") * np.array([[2], [1]], "u8") + np.array([[1], [0]], "u8")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -154,23 +157,29 @@ def _minima(ws: list[bytes], shingle: int) -> np.ndarray:
     return low
 
 
-def sketch(text: str | None, shingle: int) -> tuple[list[int], list[int], int, int]:
-    """TABLES fingerprints of the distinct words (unsigned, TABLE_BITS each), BANDS keys, and two longs of one bit a minimum."""
+def table_bits(texts: int) -> int:
+    """Bits of a short fingerprint: enough that random meetings of so many texts stay in proportion to them."""
+    return min(56, max(TABLE_BITS, texts.bit_length() + 12))
+
+
+def sketch(text: str | None, shingle: int, bits: int = TABLE_BITS) -> tuple[list[int], list[int], int, int]:
+    """TABLES fingerprints of the distinct words (unsigned, of so many bits), BANDS keys, and two longs of one bit a minimum."""
     ws = (text or "").encode().lower().split()
-    short = np.packbits(_votes(list(dict.fromkeys(ws)), (101, 102)), bitorder="little").view("<u4") if ws else [0] * TABLES
+    seeds, kind = ((101, 102), "<u4") if bits <= 32 else ((101, 102, 103, 104), "<u8")
+    short = np.packbits(_votes(list(dict.fromkeys(ws)), seeds), bitorder="little").view(kind) if ws else [0] * TABLES
     low = _minima(ws, shingle)
     keys = [xxhash.xxh64_intdigest(low[k * BAND_ROWS : (k + 1) * BAND_ROWS].astype("<u8").tobytes(), k) for k in range(BANDS)]
     bits = np.packbits(((low * _MIX) >> np.uint64(63)).astype(bool), bitorder="little").view("<i8")
-    return list(map(int, short)), [k - (1 << 64) if k >> 63 else k for k in keys], int(bits[0]), int(bits[1])
+    return [int(x) & (1 << bits) - 1 for x in short], [k - (1 << 64) if k >> 63 else k for k in keys], int(bits[0]), int(bits[1])
 
 
-def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+def sketches(texts: DataFrame, shingle: int, bits: int = TABLE_BITS) -> DataFrame:
     """id, tables and bands (arrays of long), s1, s2 of every row of (id, text)."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for some in batches:
-            yield pd.DataFrame([sketch(t, shingle) for t in some], columns=["tables", "bands", "s1", "s2"])
+            yield pd.DataFrame([sketch(t, shingle, bits) for t in some], columns=["tables", "bands", "s1", "s2"])
 
     made = texts.select("id", F.pandas_udf(run, "tables array<long>, bands array<long>, s1 long, s2 long", F.PandasUDFType.SCALAR_ITER)("text").alias("_s"))
     return made.select("id", "_s.*")
@@ -192,17 +201,17 @@ def band_meetings(sketched: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
 
 
-def ball_meetings(sketched: DataFrame, labels: DataFrame) -> DataFrame:
+def ball_meetings(sketched: DataFrame, labels: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
     """(key, id) of all that meet in a ball of any table, where not all that meet have one label already.
 
     A node is (table, fingerprint); only distinct nodes have balls, and only meetings of several labels get their ids.
     """
-    own_bit = 1 << TABLE_BITS
+    own_bit = 1 << bits
     nodes = sketched.select("id", F.posexplode("tables").alias("t", "f")).select("id", (F.col("t") * F.lit(own_bit) + F.col("f")).alias("node"))
     nodes = cut(nodes.join(labels, "id"), "nodes")
     spans = cut(nodes.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "spans")
     spread = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = F.array(*[F.lit(1 << k).cast("long") for k in range(TABLE_BITS)])
+    masks = F.array(*[F.lit(1 << k).cast("long") for k in range(bits)])
     flips = F.transform(masks, lambda m: F.struct(F.col("node").bitwiseXOR(m).alias("v"), m.alias("m")))
     own = F.array(F.struct(F.col("node").alias("v"), F.lit(own_bit).cast("long").alias("m")))
     met = spans.select("node").repartition(spread, "node").select(F.inline(F.concat(own, flips))).groupBy("v").agg(F.bit_or("m").alias("m")).where(F.bit_count("m") > 1)
@@ -215,73 +224,105 @@ def ball_meetings(sketched: DataFrame, labels: DataFrame) -> DataFrame:
     return asked.join(nodes.select("node", "id"), "node").select("key", "id")
 
 
+def verified(near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b) those whose sets of shingles are at least so similar."""
+    both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return both.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+
+
+def blockwise(left: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels and near sketches within each meeting (key), dealt over blocks of some GRID members.
+
+    No task holds more than two blocks; of the pairs only those that pass are rows.
+    """
+    block = F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")
+    held = left.join(sizes.select("key", F.ceil(F.col("n") / GRID).alias("blocks")), "key").withColumn("at", block)
+    cells = held.select("key", "id", "label", "s1", "s2", "at", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"))
+    cells = cells.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "id", "label", "s1", "s2")
+    x, y = cells.where("at = i"), cells.where("at = j").toDF("key", "i", "j", "at2", "id2", "label2", "t1", "t2")
+    met = x.join(y, ["key", "i", "j"]).where((F.col("label") != F.col("label2")) & ((F.col("i") != F.col("j")) | (F.col("id") < F.col("id2"))) & close("s1", "s2", "t1", "t2"))
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def close(s1: str, s2: str, t1: str, t2: str) -> Column:
+    return F.bit_count(F.col(s1).bitwiseXOR(F.col(t1))) + F.bit_count(F.col(s2).bitwiseXOR(F.col(t2))) <= SKETCH_SLACK
+
+
 def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """labels (id, label) after every pair of ids that meet and are not linked already was verified.
 
-    meetings: key, id; light: id, s1, s2; sets: id and the distinct shingles. In a round each meeting names pivots, compares them with all
-    of its ids of other labels, and lets them go; links change labels, and a meeting ends when what is left of it has
-    one label. So each pair of a meeting is compared or its two are linked. Small meetings are all pivots. In large ones
-    what the last round linked most comes next (the original of many copies), and the number of others grows fourfold
-    a round, so that likes need pairs in proportion to their number and rounds are few.
+    meetings: key, id; light: id, s1, s2; sets: id and the distinct shingles. Small meetings compare all their pairs of
+    different labels at once. A large one names pivots, compares them with all of its ids of other labels, and lets
+    them go; from the second round on the ids that were linked most come first (the original of many copies). Links
+    merge labels, and a meeting ends when what is left of it has one label, so likes need pairs in proportion to their
+    number. When pivots merge no more, all pairs that are left are compared in blocks: nothing that meets is skipped.
     """
-    left, degrees, round_ = cut(meetings, "meetings"), None, 0
+    held, degrees, before = meetings.join(light, "id"), None, None
     key = F.xxhash64("id")
-    while True:
-        live = left.join(labels, "id")
-        live = live.withColumn("deg", F.lit(0)) if degrees is None else live.join(degrees, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-        live = cut(live.select("key", "id", "label", "deg"), "live")
-        hubs = [F.max_by(F.when(F.col("deg") > 0, F.col("id")), F.when(key.bitwiseAND(3) == k, F.struct("deg", key.alias("k")))) for k in range(4)]
-        picked = F.array(F.min_by("id", key), F.min_by("id", F.struct("label", key.alias("k"))), F.max_by("id", F.struct("label", key.alias("k"))), *(hubs if round_ else []))
-        found = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), picked.alias("picked")).where("lo < hi")
-        more = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) * F.col("n") < F.lit(float(4**round_ if round_ else 0)) * F.lit(1 << 30)
-        pivot = (F.col("n") <= SMALL) | F.coalesce(F.array_contains(F.array_compact("picked"), F.col("id")), F.lit(False)) | more
-        marked = cut(live.join(found, "key").select("key", "id", "label", pivot.alias("pivot")), "marked")
-        if marked.isEmpty():
+    for round_ in range(PIVOT_ROUNDS + 1):
+        live = held.join(labels, "id")
+        live = live.withColumn("deg", F.lit(0).cast("long")) if degrees is None else live.join(degrees, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0).cast("long")))
+        live = cut(live.select("key", "id", "s1", "s2", "label", "deg"), "live")
+        hubs = [F.max_by(F.when(F.col("deg") > 0, F.col("id")), F.when(key.bitwiseAND(1) == k, F.struct("deg", key.alias("k")))) for k in range(2)]
+        picked = F.array_compact(F.array(F.min_by("id", key), F.min_by("id", F.struct("label", key.alias("k"))), F.max_by("id", F.struct("label", key.alias("k"))), *hubs))
+        found = cut(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), picked.alias("picked")).where("lo < hi").drop("lo", "hi"), "found")
+        large = F.when(F.col("n") > SMALL, F.col("n").cast("double"))
+        keys, pairs = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(large * large), F.lit(0.0))).first()
+        if not keys:
+            return labels
+        last = not pairs or round_ == PIVOT_ROUNDS or before is not None and pairs > before / 2
+        if last:
+            near = blockwise(live.drop("deg"), found)
+        else:
+            pivot = (F.col("n") <= SMALL) | F.array_contains("picked", F.col("id"))
+            marked = cut(live.join(found, "key").select("key", "id", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large")), "marked")
+            one = marked.where("pivot").select("key", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
+            other = marked.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), "s1", "s2", "pivot")
+            met = one.join(other, "key").where((F.col("pl") != F.col("ql")) & (~F.col("pivot") | (F.col("p") < F.col("q"))) & close("p1", "p2", "s1", "s2"))
+            near = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+            held = marked.where("large and not pivot").select("key", "id", "s1", "s2")
+        edges = cut(verified(cut(near, "near"), sets, least), "edges")
+        degrees, before = edges.select(F.col("a").alias("id")).union(edges.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("deg")), pairs
+        named = edges.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        named = cut(named, "named")
+        points = named.select(F.col("a").alias("fp")).union(named.select("b")).distinct().select("fp", F.col("fp").alias("id"))
+        moved = components(cut(points, "points"), named).toDF("label", "to")
+        labels = cut(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+        if last or not pairs:
             return labels
-        one = marked.where("pivot").select("key", F.col("id").alias("p"), F.col("label").alias("pl"))
-        other = marked.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), "pivot")
-        pairs = one.join(other, (one["key"] == other["key"]) & (F.col("pl") != F.col("ql")) & (~F.col("pivot") | (F.col("p") < F.col("q"))))
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        pairs = pairs.join(light.toDF("a", "a1", "a2"), "a").join(light.toDF("b", "b1", "b2"), "b")
-        near = pairs.where(F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= SKETCH_SLACK)
-        near = cut(near.select("a", "b"), "near")
-        both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        edges = cut(both.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "edges")
-        left, round_ = marked.where("not pivot").select("key", "id"), round_ + 1
-        degrees = edges.select(F.col("a").alias("id")).union(edges.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
-        if not edges.isEmpty():
-            named = edges.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            named = cut(named, "named")
-            points = named.select(F.col("a").alias("fp")).union(named.select("b")).distinct().select("fp", F.col("fp").alias("id"))
-            moved = components(cut(points, "points"), named).toDF("label", "to")
-            labels = cut(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    return labels
 
 
 def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, h (hash of the text) and component of every row with an id: texts at least so similar are linked.
+    """id, h (hash of the text), component and first of every row: texts at least so similar are linked.
 
-    Equal texts are one class first; classes are linked by verified pairs. Rows without an id are left out.
+    Equal texts are one class first; classes are linked by verified pairs. component is the smallest id of a group (null
+    if it has none); first marks the rows of one (id, text) in each group: the one of smallest id, then of least hash,
+    so an id with several texts stands for one of them only. Rows without an id are grouped by their texts like others.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    keyed = rows.withColumn("h", F.sha2("text", 256))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.unhex(F.sha2("text", 256)))
     # a class has a number of its own, for an id may come with several texts
     classes = cut(keyed.groupBy("h").agg(F.min("id").alias("first")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    one = keyed.join(classes.withColumnRenamed("first", "id"), ["h", "id"]).select(F.col("class").alias("id"), "text")
-    sketched = cut(sketches(one, shingle).dropDuplicates(["id"]), "sketches")
+    bits = table_bits(classes.count())
+    rows, least_id = keyed.alias("k"), classes.alias("c")
+    one = rows.join(least_id, (F.col("k.h") == F.col("c.h")) & F.col("k.id").eqNullSafe(F.col("c.first"))).select(F.col("class").alias("id"), "text")
+    sketched = cut(sketches(one, shingle, bits).dropDuplicates(["id"]), "sketches")
     light, labels = sketched.select("id", "s1", "s2"), sketched.select("id", F.col("id").alias("label"))
 
     def settled(meetings: DataFrame, labels: DataFrame) -> DataFrame:
         meetings = cut(meetings, "meetings")
-        asked = classes.join(meetings.select(F.col("id").alias("class")).distinct(), "class", "left_semi").select("h", F.col("first").alias("id"), "class")
-        texts = keyed.join(asked, ["h", "id"]).select(F.col("class").alias("id"), "text").dropDuplicates(["id"])
+        asked = classes.join(meetings.select(F.col("id").alias("class")).distinct(), "class", "left_semi").alias("c")
+        texts = rows.join(asked, (F.col("k.h") == F.col("c.h")) & F.col("k.id").eqNullSafe(F.col("c.first"))).select(F.col("class").alias("id"), "text").dropDuplicates(["id"])
         sets = cut(texts.select("id", shingle_set("text", shingle).alias("set")), "sets")  # once a text, not once a pair
         return settle(meetings, labels, light, sets, least)
 
     labels = settled(band_meetings(sketched), labels)
-    labels = settled(ball_meetings(sketched, labels), labels)
+    labels = settled(ball_meetings(sketched, labels, bits), labels)
     named = labels.join(classes.select(F.col("class").alias("id"), "h", "first"), "id")
-    least_id = named.groupBy("label").agg(F.min("first").alias("component"))
-    return keyed.select("id", "h").join(named.join(least_id, "label").select("h", "component"), "h").select("id", "h", "component")
+    order = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("h"))
+    heads = named.groupBy("label").agg(F.min(order).alias("head"))
+    groups = named.join(heads, "label").select("h", F.col("head.first").alias("component"), (F.col("head.h") == F.col("h")).alias("heads"))
+    return keyed.select("id", "h").join(groups, "h").select("id", "h", "component", (F.col("heads") & F.col("id").eqNullSafe(F.col("component"))).alias("first"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
