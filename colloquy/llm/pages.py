@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from colloquy.llm.common import cut, ranked
@@ -238,20 +239,25 @@ def deleted(lines: bytes, others: list[bytes | None], loose: list[int], main: bo
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Each page once: row, id, url, host, path, lines (hashes), main, loose and blocks, as a table in the shared folder."""
+    """Each page once: row, id, url, host, path, and of its lines, as a table in the shared folder.
+
+    lines: the hash of each; at: places of those that are not declared chrome, packed their texts (one a line); loose:
+    the places of those that stand in no declared main content either.
+    """
     ship(pages.sparkSession)
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor().compress
         for texts in batches:
             made = []
             for p in texts:
                 found = blocks(p)
-                held = [(k, kind == 1, x) for k, (x, kind) in enumerate(found) if kind != 2]
-                made.append((line_hashes(found), any(m for _, m, _ in held), [k for k, m, _ in held if not m], held))
-            yield pd.DataFrame(made, columns=["lines", "main", "loose", "blocks"])
+                held = [(k, kind, x) for k, (x, kind) in enumerate(found) if kind != 2]
+                packed = press("\n".join(x for _, _, x in held).encode()) if held else b""
+                made.append((line_hashes(found), [k for k, _, _ in held], [k for k, kind, _ in held if kind == 0], packed))
+            yield pd.DataFrame(made, columns=["lines", "at", "loose", "packed"])
 
-    kinds = "lines binary, main boolean, loose array<int>, blocks array<struct<at:int,main:boolean,text:string>>"
-    url = F.col(url_col)
+    kinds, url = "lines binary, at array<int>, loose array<int>, packed binary", F.col(url_col)
     once = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.pandas_udf(read, kinds, F.PandasUDFType.SCALAR_ITER)(F.col(html_col)).alias("_s"))
     return cut(once.select("row", "id", "url", "host", "path", "_s.*"), "parsed", compression="zstd")
 
@@ -259,7 +265,7 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 def template_lines(table: DataFrame) -> DataFrame:
     """row and template: the lines of each parsed page that its neighbours by URL show to be template."""
     ship(table.sparkSession)
-    keys = table.where("host <> ''").select("row", "host", "path", "lines", "main", "loose", F.xxhash64("lines").alias("content"))
+    keys = table.where("host <> ''").select("row", "host", "path", "lines", "loose", (F.size("at") > F.size("loose")).alias("main"), F.xxhash64("lines").alias("content"))
     paths = keys.groupBy("host", "path").agg(F.min(F.struct("content", "lines")).alias("c")).select("host", "path", "c.*")
     classes = paths.groupBy("host", "content").agg(F.min(F.struct("path", "lines")).alias("p")).select("host", "content", "p.*")
     places = ranked(classes, [F.asc("host"), F.asc("path"), F.asc("content")], "rank")
@@ -279,10 +285,20 @@ def template_lines(table: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every page with text (blocks joined by an empty line), n_chars and n_template, the lines that were shared."""
     table = parsed(pages, id_col, url_col, html_col)
-    both = table.select("row", F.col("id").alias(id_col), F.col("url").alias(url_col), "blocks").join(template_lines(table), "row", "left")
-    kept = F.filter("blocks", lambda b: b["main"] | ~F.array_contains(F.coalesce("template", F.array().cast("array<int>")), b["at"]))
-    made = both.withColumn("text", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n"))
-    return made.select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), F.coalesce(F.size("template"), F.lit(0)).alias("n_template"))
+    both = table.select("row", F.col("id").alias(id_col), F.col("url").alias(url_col), "at", "loose", "packed").join(template_lines(table), "row", "left")
+
+    def kept(batches: Iterator[tuple]) -> Iterator[pd.Series]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for some in batches:
+            made = []
+            for at, loose, packed, template in zip(*some, strict=True):
+                gone = set(template) & set(loose) if template is not None else set()
+                texts = unpack(packed).decode().split("\n") if packed else []
+                made.append("\n\n".join(x for k, x in zip(at, texts, strict=True) if k not in gone))
+            yield pd.Series(made)
+
+    text = F.pandas_udf(kept, "string", F.PandasUDFType.SCALAR_ITER)("at", "loose", "packed", "template")
+    return both.withColumn("text", text).select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), F.greatest(F.size("template"), F.lit(0)).alias("n_template"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
