@@ -169,8 +169,8 @@ def sketch(text: str | None, shingle: int, bits: int = TABLE_BITS) -> tuple[list
     short = np.packbits(_votes(list(dict.fromkeys(ws)), seeds), bitorder="little").view(kind) if ws else [0] * TABLES
     low = _minima(ws, shingle)
     keys = [xxhash.xxh64_intdigest(low[k * BAND_ROWS : (k + 1) * BAND_ROWS].astype("<u8").tobytes(), k) for k in range(BANDS)]
-    bits = np.packbits(((low * _MIX) >> np.uint64(63)).astype(bool), bitorder="little").view("<i8")
-    return [int(x) & (1 << bits) - 1 for x in short], [k - (1 << 64) if k >> 63 else k for k in keys], int(bits[0]), int(bits[1])
+    signs = np.packbits(((low * _MIX) >> np.uint64(63)).astype(bool), bitorder="little").view("<i8")
+    return [int(x) & (1 << bits) - 1 for x in short], [k - (1 << 64) if k >> 63 else k for k in keys], int(signs[0]), int(signs[1])
 
 
 def sketches(texts: DataFrame, shingle: int, bits: int = TABLE_BITS) -> DataFrame:
