@@ -72,7 +72,7 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = 40, seed: int = 1
 
     row = F.struct("_key", *[F.col(f"`{c}`") for c in docs.columns])
     held = keyed.repartition(int(min(buckets, MOST_PARTS)), "_bucket").groupBy("_bucket").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    mixed = held.select("_bucket", F.shuffle("_rows", seed).alias("_rows"))
+    mixed = held.sortWithinPartitions("_bucket").select("_bucket", F.shuffle("_rows", seed).alias("_rows"))  # one stream of random numbers a partition
     placed = mixed.join(_small(ahead, buckets), "_bucket").select("_ahead", F.posexplode("_rows").alias("_pos", "_row"))
     shard = F.floor((F.col("_ahead") + F.col("_pos")) * F.lit(shards) / F.lit(max(total, 1))) if total * shards < 1 << 50 else F.expr(f"cast((_ahead + _pos) as decimal(38)) * {shards} div {total}")
     first = F.ceil(F.col("shard") * F.lit(total) / F.lit(shards)) if total * shards < 1 << 50 else F.expr(f"(cast(shard as decimal(38)) * {total} + {shards - 1}) div {shards}")
