@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What separates words (space, tab, line feed, vertical tab, form feed, return).
@@ -37,21 +40,23 @@ def lower_ascii(text: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; one of our own only where none is set."""
+    """The folder that driver and executors share, from the session; one of our own only where none is set and all run on this machine."""
     sc = spark.sparkContext
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if not here:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        here = f"file://{tempfile.mkdtemp(prefix='colloquy-')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(here)
+        here = spark.conf.get("spark.checkpoint.dir", None)
+        if not here and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(here or f"file://{tempfile.mkdtemp(prefix='colloquy-')}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder. All of them go when the driver ends."""
+    mine = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_llm_dir", None) != mine:
+        spark.sparkContext._llm_dir = mine
+        atexit.register(drop, mine)
+    return f"{mine}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
@@ -61,11 +66,12 @@ def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of ours, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(path: str) -> None:
+    """Deletes a folder of ours, on whatever file system it is, if the driver still can."""
+    with contextlib.suppress(Exception):  # the JVM may be gone first
+        jvm = SparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -6,7 +6,8 @@ ordered Spark conditional expression; statistics and verdicts are computed with
 
 Defined cases: a null text has no words and no lines; a null id is kept as it is; repeated rows are judged alike;
 an empty table gives an empty result; without labels (or without a bad label) the list is empty and only the base
-rules reject; columns of the input other than id and text are ignored by ``text_statistics``.
+rules reject; columns of the input other than id and text are ignored, or kept together in one column ``_row``, so that no name of
+theirs meets one of the statistics'.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ def repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) < WINDOW + 1, F.lit(0).cast("long")).otherwise(repeated)
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Base counts and the features of FEATURES for every text, in one pass without a shuffle."""
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """Base counts and the features of FEATURES for every text, in one pass without a shuffle; keep_row: and all input columns in _row."""
     text = text_of(text_col)
     count = lambda cls: F.length(F.regexp_replace(text, f"[^{cls}]+", ""))
 
@@ -63,10 +64,10 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             let(lines, lambda ls: F.struct(F.size(ls).cast("long").alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("dup"))).alias("lines"),
         )
 
-    held = [F.col(c) for c in dict.fromkeys((id_col, *keep))]
+    held = [F.col(id_col).alias(id_col), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep_row else [])]
     found = docs.select(*held, let(words(text_col), of).alias("_s"), *(count(c).cast("long").alias(n) for n, c in (("n_symbols", r"#*$%&|<>"), ("n_upper", r"\p{Lu}"), ("n_digits", r"0-9"), ("n_marks", "!?"))))
     base = found.select(
-        *[F.col(c) for c in dict.fromkeys((id_col, *keep))], "_s.n_words", "_s.word_chars", "n_symbols", F.col("_s.lines.dup").alias("n_dup_lines"), "_s.n_repeat_words", "n_upper", "n_digits", "n_marks",
+        id_col, *(["_row"] if keep_row else []), "_s.n_words", "_s.word_chars", "n_symbols", F.col("_s.lines.dup").alias("n_dup_lines"), "_s.n_repeat_words", "n_upper", "n_digits", "n_marks",
         F.col("_s.n_distinct_words").alias("n_distinct_words"), F.col("_s.lines.n").alias("n_lines"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
@@ -192,13 +193,13 @@ def bad_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("bad"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every document with its statistics, base_failed, the number of the rule that rejects it, kept, and columns keep."""
+def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, keep_row: bool = False) -> DataFrame:
+    """Every document with its statistics, base_failed, the number of the rule that rejects it, and kept; keep_row: and its row."""
     ids = bad_labels(labels)
     picked = ids.where("bad is not null and doc_id is not null").groupBy("doc_id").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     labelled = docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
     rules = fit_rules(text_statistics(labelled).withColumn("base_failed", base_failed()), picked, max_rows)
-    judged = text_statistics(docs, keep=keep).withColumn("base_failed", base_failed())
+    judged = text_statistics(docs, keep_row=keep_row).withColumn("base_failed", base_failed())
     return judged.withColumn("rule", F.when(~F.col("base_failed"), verdict(rules))).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 

@@ -119,10 +119,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
 def mixed_documents(docs: DataFrame, seed: int = 7, **settings) -> DataFrame:
     """The documents as the mix has them: each as many times as its copies, with the columns of the input."""
     plan = mix(docs, seed=seed, **settings)
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     chosen = plan.where("copies > 0").groupBy("_h").agg(F.max("copies").cast("int").alias("_copies"))
-    keyed = docs.drop("_h", "_copies").withColumn("_h", key).join(chosen, "_h")
-    return keyed.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_h"), row.alias("_row")).join(chosen, "_h")
+    return keyed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ merged exactly by the merge ranks. Results are those of the tokenizer file whate
 characters that are newer than Python's Unicode tables is encoded by the file's own library.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; the strings of special tokens become
-their ids wherever they stand, as in the file's library; repeated rows encode alike; a very long text is one row.
+their ids wherever they stand, as in the file's library; repeated rows encode alike; a very long text is one row; an
+empty table gives an empty result; columns of the input stay, unless they have a name of the result's.
 """
 
 from __future__ import annotations
@@ -426,9 +427,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, text_col: str = "text", mo
     content = Path(tokenizer).read_text()
     held = spark.sparkContext.broadcast((content, build(content, frequent_words(docs, most_words, text_col)).dump()))
     key = hashlib.sha256(held.value[1]).hexdigest()
-    taken = {"_ids", "_decoded", "_n"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"reserved columns: {sorted(taken)}")
 
     class Load:
         """Equal for equal content, so that a worker keeps one codec over its tasks."""
@@ -455,9 +453,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, text_col: str = "text", mo
                     yield pd.DataFrame({"n_tokens": n, "ids": [np.frombuffer(x, "<i4") for x in ids], "decoded": decoded})
 
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids array<int>, decoded string"
-    out = docs.withColumn("_bpe", F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
     new = [x.split(" ")[0] for x in kind.split(", ")]
-    return out.select(*[c for c in docs.columns if c not in new], "_bpe.*")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    made = F.pandas_udf(run, kind, F.PandasUDFType.SCALAR_ITER)(F.col(text_col)).alias(f"_{key}")
+    return docs.select(*kept, made).select(*kept, f"_{key}.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
