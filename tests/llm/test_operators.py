@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import collections
-import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -217,6 +217,15 @@ def test_shards_agree_over_reruns_and_mix(spark, tmp_path):
     assert order != sorted(order) and abs(np.corrcoef(order, range(500))[0, 1]) < 0.2
 
 
+def test_copies_of_one_row_scatter(spark, tmp_path):
+    table = spark.range(300_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one text").alias("text")).union(spark.range(3000).select("id", F.lit(None).cast("string")))
+    got = external_shuffle.external_shuffle(table, f"file://{tmp_path}/hot", shards=8, bucket_bytes=100_000)
+    by = got.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.count_if(F.col("text").isNull()).alias("others")).collect()
+    assert len(by) == 8 and sum(r.n for r in by) == 303_000 and all(r.n == r.slots == r["last"] + 1 and 250 < r.others < 500 for r in by)
+    buckets = external_shuffle.scattered(table, 17, "doc_id", "text").groupBy(F.pmod("_key", F.lit(50)).alias("b")).count().collect()
+    assert len(buckets) == 50 and max(r["count"] for r in buckets) < 1.1 * 303_000 / 50
+
+
 def test_shards_of_nothing(empty, tmp_path):
     assert external_shuffle.external_shuffle(empty, f"file://{tmp_path}/none").isEmpty()
 
@@ -270,6 +279,27 @@ def test_similar_texts_find_near_copies_and_leave_others(spark):
     assert near >= 58 and all(got[200 + k] == k for k in range(60)) and all(got[300 + k] == 300 + k for k in range(60))
 
 
+def test_an_id_with_two_texts_and_rows_without_one(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 9000, 80)) for _ in range(3))
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, c), (None, b), (9, None), (10, "")]
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    first = collections.Counter((r.id, r.component) for r in got if r.first)
+    assert len(got) == len(rows) and first == collections.Counter([(3, 3), (7, 7), (None, None), (None, None), (9, 9)])
+
+
+def test_meetings_left_by_pivots_are_compared_in_blocks(spark, monkeypatch):
+    """Many unlike texts and a few like pairs meet under one key."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 60)) for _ in range(150)]
+    texts += [t.replace(t.split()[30], "other", 1) for t in texts[:40]]
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    monkeypatch.setattr(simhash, "GRID", 16)
+    monkeypatch.setattr(simhash, "band_meetings", lambda sketched: sketched.select(F.lit(1).cast("long").alias("key"), "id"))
+    got = {r.id: r.component for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(150)] == list(range(150)) and [got[150 + k] for k in range(40)] == list(range(40))
+
+
 def test_similar_texts_link_a_star_and_a_chain_like_all_pairs(spark):
     rng = np.random.default_rng(8)
     hub = [f"w{k}" for k in rng.integers(0, 5000, 300)]
@@ -307,30 +337,6 @@ def test_similar_texts_find_appended_cut_and_short_texts(spark):
     assert len(kinds) > 150 and sum(got[k] == got[k + 1] for k in kinds) >= 0.99 * len(kinds)
 
 
-def test_imatch_texts_neighbours_and_likeness(spark, docs):
-    rows = [(i, t) for i, t, _ in TEXTS] + [(50 + k, " ".join(f"t{(k * 31 + j * j) % 700}" for j in range(200))) for k in range(30)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = imatch.edited_likeness(table, bits=14).collect()
-    assert len(got) == len(rows)
-    by_text = collections.defaultdict(set)
-    named = {r.doc_id: r for r in got if r.doc_id is not None}
-    distinct = sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda x: -x[0]) + [(None, "no id here at all")]
-    for k, (i, t) in enumerate(distinct[:-1]):
-        nxt = distinct[k + 1][1]
-        half = len(t) // 2
-        edited = t[: len(t) - half] + nxt[:half]
-        assert named[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and named[i].n_chars == len(t)
-        assert 0 <= named[i].near_edited <= 1 and 0 <= named[i].near_next <= 1
-        by_text[t].add(named[i].fingerprint)
-    assert all(len(x) == 1 for x in by_text.values())
-
-
-def test_imatch_single_and_none(spark, empty):
-    one = imatch.edited_likeness(spark.createDataFrame([(1, "some words of one text")], "doc_id long, text string"), bits=10).collect()
-    assert one[0].near_next == 1.0 and one[0].near_edited <= 1.0
-    assert imatch.edited_likeness(empty, bits=10).isEmpty()
-
-
 def url_parts(u):
     if u is None or "://" not in u:
         return "", ""
@@ -358,29 +364,67 @@ def test_association_rules_block_what_labels_call_bad(spark):
     labels = table.where("page_id < 300").select("page_id", "bad")
     got = url_rules.url_filter(table.drop("bad"), labels).collect()
     assert all((r.verdict == "block") == (r.page_id % 4 == 0) for r in got)
-    mined = url_rules.mine_rules(url_rules.url_filter(table, None).select(url_rules.tokens(F.col("url"), F.col("host"), F.col("path")).alias("items"), "bad"))
+    mined = url_rules.mine_rules(url_rules.url_filter(table.drop("bad"), None).join(table.select("page_id", "bad"), "page_id").select(url_rules.tokens(F.col("url"), F.col("host"), F.col("path")).alias("items"), "bad"))
     assert all(r.confidence >= 0.6 and r.hits >= 5 for r in mined.collect()) and not mined.isEmpty()
     assert url_rules.url_filter(table.where("false"), labels).isEmpty()
 
 
+def test_rules_of_sites_with_many_constant_tokens_and_of_pairs(spark):
+    rows = [(k, f"http://bad{k % 6}.x{k % 6}.y{k % 6}.de/{'abcdef'[k % 6]}b/{'abcdef'[k % 6]}d/f/g/h?p=1&q=2&r=3&s=4" if k < 600 else f"http://fine{k % 6}.de/a/b/{k}", int(k < 600)) for k in range(1200)]
+    rows += [(2000 + k, f"http://h{'xy'[k % 2]}.nl/{'pq'[k // 2 % 2]}/{k}", int(k % 4 == 3)) for k in range(400)]  # neither part is bad alone
+    table = spark.createDataFrame([*rows, (None, None, 1), (7000, None, None)], "page_id long, url string, bad int")
+    got = url_rules.url_filter(table.drop("bad"), table.select("page_id", "bad")).join(table.select("page_id", "bad"), "page_id").collect()
+    assert len(got) == 1601 and all((r.verdict == "block") == bool(r.bad) for r in got)
+
+
+def test_supports_are_those_of_a_plain_count(spark):
+    rng = np.random.default_rng(6)
+    drawn = [sorted({f"t{x}" for x in rng.integers(0, 9, 4)}) for _ in range(300)]
+    baskets = [(b, int(rng.random() < (0.8 if {"t1", "t2"} <= set(b) or {"t3", "t4"} <= set(b) or "t8" in b else 0.2))) for b in drawn]
+    got = {tuple(r["items"]): (r.hits, r.confidence) for r in url_rules.mine_rules(spark.createDataFrame(baskets, "items array<string>, bad int"), least=6, min_confidence=0.55).collect()}
+    items = sorted({t for b, _ in baskets for t in b})
+    want = {}
+    for n in (1, 2, 3, 4):
+        for some in itertools.combinations(items, n):
+            bad = [y for b, y in baskets if set(some) <= set(b)]
+            if sum(bad) >= 6 and sum(bad) / len(bad) >= 0.55 and not any(set(w) < set(some) for w in want):
+                want[some] = (sum(bad), sum(bad) / len(bad))
+    assert want and got == want
+
+
+def plain_licences(text, least=0.8):
+    """(score, size, name, place) of every window that reaches least."""
+    ws, found = license_scan._words(text or ""), []
+    for name, body in license_scan.TEMPLATES:
+        tw = license_scan._words(body)
+        own = set(zip(tw, tw[1:], strict=False))
+        for i in range(len(ws) - 1):
+            if (ws[i], ws[i + 1]) in own:
+                part = ws[i : i + len(tw)]
+                grams = set(zip(part, part[1:], strict=False))
+                score = 2 * len(grams & own) / (len(grams) + len(own))
+                if score >= least:
+                    found.append((score, len(own), name, i))
+    return found
+
+
 def test_licences_by_dice(spark, docs):
-    whole = dict(license_scan.TEMPLATES)
-    rows = [(1, "intro\n" + whole["MIT"].upper() + "\nmore text"), (2, "Licensed under the Apache License Version 2.0"), (3, "a licence of another kind"), (4, whole["GPL-3.0"]), (5, None), (6, ""), (7, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (8, "mit"), (9, " ".join(["Released under the MIT License."] * 40))]
-    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")).collect()}
-    assert got[1].license == "MIT" and got[1].license_line == 2 and got[2].license == "Apache-2.0" and got[4].license == "GPL-3.0"
-    assert [got[k].license for k in (3, 5, 6, 8)] == [None] * 4 and got[7].licenses == ["CC-BY-NC-4.0", "MIT"]
-    for r in got.values():
-        best = 0.0
-        for line in [r.text or "", *(r.text or "").split("\n")]:
-            ws = license_scan._words(line)
-            grams = [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)] or ws
-            for _, t in license_scan.TEMPLATES:
-                tw = license_scan._words(t)
-                tg = {f"{a} {b}" for a, b in zip(tw, tw[1:], strict=False)}
-                if grams:
-                    best = max(best, 2 * len(tg & set(grams)) / (len(grams) + len(tg)))
-        assert math.isclose(r.license_score, round(best, 6) if best >= 0.8 else 0.0, abs_tol=2e-6)
-    assert license_scan.scan(docs).count() == len(TEXTS)
+    whole = {n: max((t for m, t in license_scan.TEMPLATES if m == n), key=len) for n, _ in license_scan.TEMPLATES}
+    wrapped = whole["MIT"].replace(" ", "\n", 40)
+    rows = [
+        (1, "intro\n" + whole["MIT"].upper() + "\nmore text"), (2, "Licensed under the Apache License Version 2.0"), (3, "a licence of another kind"), (4, "Copyright 1999 Me. " + whole["GPL-3.0"] + " The end."), (5, None), (6, ""),
+        (7, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (8, "mit"), (9, " ".join(["Released under the MIT License."] * 40)), (10, "code. Released under\nthe MIT\n License. And then more words of it"), (11, "x " * 300 + wrapped + " y" * 300),
+        (12, whole["BSD-3-Clause"].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS")), (13, "the the the the license license license " * 50), (13, "the the the the license license license " * 50), (None, whole["ISC"] + whole["Unlicense"]),
+    ]
+    got = license_scan.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")).collect()
+    named = {r.doc_id: r for r in got}
+    assert [named[k].license for k in (1, 2, 4, 7, 9, 10, 11, 12)] == ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "MIT", "MIT", "MIT", "BSD-3-Clause"]
+    assert [named[k].license for k in (3, 5, 6, 8, 13)] == [None] * 5 and named[7].licenses == ["CC-BY-NC-4.0", "MIT"] and named[None].licenses == ["ISC", "Unlicense"]
+    for r in got:
+        found = plain_licences(r.text)
+        score, size, name, at = min(found, key=lambda x: (-x[0], -x[1], x[2], x[3]), default=(0.0, 0, None, -1))
+        assert (r.license, r.license_word, r.licenses) == (name, at, sorted({x[2] for x in found})) and math.isclose(r.license_score, score, abs_tol=2e-6)
+    assert license_scan.scan(docs).count() == len(TEXTS) and license_scan.scan(docs.where("false")).isEmpty()
 
 
 def test_licences_equal_their_sql(spark, small):
@@ -417,7 +461,24 @@ def test_declared_content_stays_and_declared_chrome_goes():
     assert pages.blocks(odd) == [("T", 1), ("x", 1), ("c", 2), ("r", 2)]
 
 
-def test_alignment_is_a_longest_common_subsequence():
+def test_repeated_rows_equal_and_odd_urls_keep_their_text(spark):
+    one, two = "<p>a long story</p><p>with an end</p>", "<div>top</div><p>other words</p>"
+    rows = [(1, "http://h.de/a", one), (1, "http://h.de/a", one), (2, "http://h.de/b", one), (3, "http://k.de/a", one), (4, "http://k.de/a?x=1", one), (5, None, one), (6, None, one), (7, "nothing", one), (8, "nothing", two), (9, "http:///p", one), (10, "http:///q", one)]
+    rows += [(20, "http://print.de/1", one), (21, "http://print.de/2", one + "<p>more</p>")]  # a page within another
+    got = collections.Counter((r.page_id, r.text) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    want = collections.Counter((i, "top\n\nother words" if h == two else "a long story\n\nwith an end") for i, _, h in rows if i != 21)
+    assert got == want + collections.Counter([(21, "more")])
+
+
+def test_awkward_pages():
+    assert pages.blocks("<p>a</p><video src=x><p>article text</p>") == [("a", 0), ("article text", 0)]
+    assert pages.blocks("<div class=search-results>hits</div><div class=search>box</div>") == [("hits", 0), ("box", 2)]
+    assert pages.blocks("<span></b>" * 20_000) == [] and pages.blocks("a<script>b") == [("a", 0)]
+    x, y = np.array([1, 2] * 8000 + [3]), np.array([2, 1, 5] * 8000)
+    assert pages.shared(x, y).sum() > 10_000
+
+
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
     rng = np.random.default_rng(0)
 
     def lcs(a, b):
@@ -429,9 +490,15 @@ def test_alignment_is_a_longest_common_subsequence():
             row = new
         return row[-1]
 
-    for _ in range(200):
-        a, b = (np.array([k for k, n in zip(rng.permutation(12), rng.integers(0, 2, 12), strict=True) if n], "i8") for _ in range(2))
-        assert pages.shared(a, b).sum() == lcs(a.tolist(), b.tolist())
+    def runs(a):
+        return [k for k in range(len(a)) if k == 0 or a[k - 1] != a[k]]
+
+    for bits in (1 << 27, 8):  # whole, and halved down to single lines
+        monkeypatch.setattr(pages, "MOST_BITS", bits)
+        for _ in range(300):
+            a, b = (rng.integers(0, 5, rng.integers(0, 16)) for _ in range(2))
+            hit = pages.shared(a, b)
+            assert hit[runs(a)].sum() == lcs(a[runs(a)].tolist(), b[runs(b)].tolist())
     assert pages.shared(np.zeros(0, "i8"), np.array([1])).tolist() == []
 
 
