@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where none is set."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='colloquy-')}")
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get()
+    """spark.checkpoint.dir of the session; a folder of our own only where none is set and all run on this machine."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        here = spark.conf.get("spark.checkpoint.dir", None)
+        if not here and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(here or f"file://{tempfile.mkdtemp(prefix='colloquy-')}")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def drop(path: str) -> None:
+    """Deletes a folder of ours, on whatever file system it is, if the driver still can."""
+    with contextlib.suppress(Exception):  # the JVM may be gone first
+        jvm = SparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read from a table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """The same rows read from a table in the shared folder; it goes when the driver ends."""
+    mine = f"{shared_dir(df.sparkSession)}/state-{df.sparkSession.sparkContext.applicationId}"
+    if getattr(df.sparkSession.sparkContext, "_state_dir", None) != mine:
+        df.sparkSession.sparkContext._state_dir = mine
+        atexit.register(drop, mine)
+    path = f"{mine}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
