@@ -136,3 +136,32 @@ def ingest_status(files: DataFrame, prior: DataFrame) -> DataFrame:
 def resolve_pointer(rows: DataFrame, session: str, first: int, last: int) -> DataFrame:
     """The raw lines of one range of one session; on a table partitioned by session only that one is read."""
     return rows.where((F.col("session_id") == session) & F.col("line_no").between(first, last))
+
+
+def sweep(spark: SparkSession, folder: str, prior: DataFrame, limit: int | None = None) -> DataFrame:
+    """ingest_status of every transcript below a folder, newest first up to limit; a file that cannot be read has status error.
+
+    Names come from the listing and contents from a read that passes over unreadable files, so one of them stops nothing.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folder).select("path", "modificationTime")
+    if limit is not None:
+        listed = listed.orderBy(F.desc("modificationTime"), "path").limit(limit)
+    name = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
+    whole = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    read = whole.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1).alias("session_id"), F.col("value").alias("content"))
+    asked = listed.select(name.alias("session_id"))
+    found = ingest_status(asked.join(read, "session_id"), prior)
+    return found.unionByName(asked.join(found.select("session_id"), "session_id", "left_anti").withColumn("status", F.lit("error")), allowMissingColumns=True)
+
+
+def ingested(files: DataFrame, status: DataFrame) -> DataFrame:
+    """The lines to add: of appended files those from from_line on, of new and rewritten ones all. files: session_id, content."""
+    asked = status.where("from_line is not null").select("session_id", "status", "from_line")
+    rows = lines(files, F.col("session_id")).join(asked, "session_id").where("line_no >= from_line")
+    return rows.select("session_id", "status", "line_no", "raw")
+
+
+def after(held: DataFrame, new: DataFrame) -> DataFrame:
+    """The table of lines with what was ingested: a rewritten session is replaced, others grow."""
+    gone = new.where("status = 'rewritten'").select("session_id").distinct()
+    return held.join(gone, "session_id", "left_anti").unionByName(new.select(*held.columns))
