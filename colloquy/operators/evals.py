@@ -70,15 +70,20 @@ def unit(v: Column) -> Column:
     return F.get(F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))), F.lit(0))
 
 
+#: Points of a block, about.
+BLOCK_POINTS = 20_000
+
+
 def knn_vote(queries: DataFrame, points: DataFrame, k: int = 7, tau: float = 0.05) -> DataFrame:
     """Softmax-weighted vote of the nearest other points by cosine. Both: vec_id, embedding, label (0/1 as vote).
 
-    A stated query set against all points, in blocks: points are cut into blocks by hash, each block keeps its k best
-    for a query, and those partial lists (k a block) meet in one small ranking.
+    A stated query set against all points, in blocks: points are cut into blocks by hash (of some BLOCK_POINTS), each
+    block keeps its k best for a query, and those partial lists (k a block) meet in one small ranking.
     """
+    blocks = max(16, points.count() // BLOCK_POINTS + 1)
     q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("qv"))
-    p = points.select("vec_id", "label", unit(F.col("embedding")).alias("pv"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("block"))
-    spread = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    p = points.select("vec_id", "label", unit(F.col("embedding")).alias("pv"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    spread = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     scored = spread.join(p, "block").where("query_id <> vec_id").withColumn("sim", dot(F.col("qv"), F.col("pv"))).select("query_id", "block", "vec_id", "label", "sim")
     best = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sim"), "vec_id"))).where(F.col("_n") <= k).drop("_n")
     near = best(best(scored, "query_id", "block"), "query_id")

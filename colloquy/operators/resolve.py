@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from colloquy.functions import names as N
+from colloquy.state import cut
 
 SHORTLIST = 12
 
@@ -69,7 +70,7 @@ def shortlist(submissions: DataFrame, concepts: DataFrame, most: int = SHORTLIST
     n = concepts.agg(F.count(F.lit(1)).alias("n")).select(F.lit("").alias("stem"), (1 + F.log(F.col("n") + 1)).alias("weight"))
     asked = submissions.select("submission_id", N.prepare(F.col("text")).alias("p"))
     known = name_rows(concepts).withColumn("q", N.prepare(F.col("name")))
-    pairs = candidates(submissions, concepts).join(asked, "submission_id").join(known, "concept_id")
+    pairs = cut(candidates(submissions, concepts), "pairs").join(asked, "submission_id").join(known, "concept_id")
     held = lambda c: F.flatten(F.transform(c, lambda x: x["t"]))
     stems = pairs.select("submission_id", "concept_id", "name", F.explode(F.array_distinct(F.concat(held("p"), held("q"), F.array(F.lit(""))))).alias("stem"))
     found = stems.join(weights.select("stem", "weight").unionByName(n), "stem").groupBy("submission_id", "concept_id", "name").agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("rarity"))

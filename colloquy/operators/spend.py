@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colloquy.state import quantiles
+
 #: Purposes that count towards what a session costs.
 ANALYSIS = ("click", "purchase", "view")
 
@@ -58,9 +60,8 @@ def stage_cost(calls: DataFrame, stages: tuple[str, ...]) -> DataFrame:
 
 def latency(calls: DataFrame) -> DataFrame:
     """Per purpose: failure rate, quantiles (exact, interpolated) and token sums."""
-    return calls.groupBy("purpose").agg(
-        F.count(F.lit(1)).alias("calls"), F.avg((~F.col("ok")).cast("double")).alias("fail_rate"), F.percentile("duration_ms", 0.5).alias("p50"), F.percentile("duration_ms", 0.9).alias("p90"), F.max("duration_ms").alias("longest"), F.sum("tokens").alias("tokens"),
-    )
+    found = calls.groupBy("purpose").agg(F.count(F.lit(1)).alias("calls"), F.avg((~F.col("ok")).cast("double")).alias("fail_rate"), F.max("duration_ms").alias("longest"), F.sum("tokens").alias("tokens"))
+    return found.join(quantiles(calls, "purpose", "duration_ms", {"p50": 0.5, "p90": 0.9}), "purpose", "left").select("purpose", "calls", "fail_rate", "p50", "p90", "longest", "tokens")
 
 
 def session_spend(calls: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colloquy.state import small
+
 #: Words that end a phrase.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "der", "die", "for", "from", "in", "is", "it", "la", "le", "of", "on", "or", "that", "the", "this", "to", "und", "was", "with")
 LONGEST = 4
@@ -54,10 +56,13 @@ def c_value(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def mentions(terms: DataFrame, docs: DataFrame, id_col: str, text_col: str, most: int = LONGEST) -> DataFrame:
-    """How often each term (of at most so many words) occurs in each text: an equi join on word runs. terms: term."""
+    """How often each term (of at most so many words) occurs in each text: an equi join on word runs. terms: term.
+
+    Terms are broadcast up to a checked number, so that runs which are no term never leave their task.
+    """
     runs = docs.select(F.col(id_col).alias("id"), F.explode(ngrams(clean_words(F.col(text_col)), most)).alias("run"))
     keyed = terms.select("term", F.array_join(clean_words(F.col("term")), " ").alias("run")).where("run <> ''").distinct()
-    return runs.join(keyed, "run").groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"))
+    return runs.join(small(keyed), "run").groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def persistence(found: DataFrame, terms: DataFrame, unit: str) -> DataFrame:
@@ -71,7 +76,7 @@ def passages(needles: DataFrame, docs: DataFrame, item: str, id_col: str, words:
     runs = lambda c: F.array_distinct(F.get(F.transform(F.array(clean_words(F.col(c))), lambda ws: F.when(F.size(ws) >= words, F.transform(F.sequence(F.lit(1), F.size(ws) - words + 1), lambda i: F.xxhash64(F.slice(ws, i, F.lit(words))))).otherwise(F.array().cast("array<long>"))), F.lit(0)))
     a = needles.select(item, F.explode(runs("text")).alias("h"))
     b = docs.select(id_col, F.explode(runs("text")).alias("h"))
-    return b.join(a, "h").groupBy(item, id_col).agg(F.count(F.lit(1)).alias("shared"))
+    return b.join(small(a), "h").groupBy(item, id_col).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def code_shape(term: Column) -> Column:

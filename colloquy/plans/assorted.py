@@ -17,22 +17,22 @@ def flags(s, d):
 
 
 def gold(s, d):
-    return log(s, d).where("event_type = 'session_analysed' and k < 40").select(F.col("key").alias("session_id"), F.concat(F.lit("term "), (F.col("k") % 20).cast("string")).alias("name"), (F.col("k") % 2 == 0).alias("is_gap"))
+    return log(s, d).where("event_type = 'session_analysed'").select(F.col("key").alias("session_id"), F.concat(F.lit("term "), (F.col("k") % 20).cast("string")).alias("name"), (F.col("k") % 2 == 0).alias("is_gap"))
 
 
 GOLD_SQL = f"""{LOG_SQL}, flags AS (SELECT event_id, key AS session_id, 'Term-' || (k % 20) AS term, 'term ' || (k % 20) AS norm FROM log WHERE event_type = 'encounter_recorded'),
- gold AS (SELECT key AS session_id, 'term ' || (k % 20) AS name, k % 2 = 0 AS is_gap FROM log WHERE event_type = 'session_analysed' AND k < 40)"""
+ gold AS (SELECT key AS session_id, 'term ' || (k % 20) AS name, k % 2 = 0 AS is_gap FROM log WHERE event_type = 'session_analysed')"""
 
 
 def points(s, d):
-    return log(s, d).where("event_id < 3000").select((F.col("key") % 10).alias("key"), F.col("k").alias("line"))
+    return log(s, d).where("event_type = 'session_analysed'").select("key", F.col("k").alias("line"))
 
 
 def units(s, d):
-    return log(s, d).where("event_id >= 9000").select((F.col("key") % 10).alias("key"), F.col("event_id").alias("unit"), F.col("k").alias("first"), (F.col("k") + F.col("event_id") % 5).alias("last")).where("unit % 4 = 0")
+    return log(s, d).where("event_type <> 'session_analysed'").select("key", F.col("event_id").alias("unit"), F.col("k").alias("first"), (F.col("k") + F.col("event_id") % 5).alias("last"))
 
 
-UNITS_SQL = f"{LOG_SQL}, points AS (SELECT DISTINCT key % 10 AS key, k AS line FROM log WHERE event_id < 3000), units AS (SELECT key % 10 AS key, event_id AS unit, k AS first, k + event_id % 5 AS last FROM log WHERE event_id >= 9000 AND event_id % 4 = 0)"
+UNITS_SQL = f"{LOG_SQL}, points AS (SELECT DISTINCT key, k AS line FROM log WHERE event_type = 'session_analysed'), units AS (SELECT key, event_id AS unit, k AS first, k + event_id % 5 AS last FROM log WHERE event_type <> 'session_analysed')"
 
 
 def usage_rows(s, d):
@@ -73,11 +73,11 @@ QUERIES = {
     "number_coerce": lambda s, d: log(s, d).select("event_id", R.number(F.when(F.col("k") % 4 == 0, "x1").when(F.col("k") % 4 == 1, "true").otherwise(F.col("k").cast("string")), F.when(F.col("k") % 4 == 1, "boolean").otherwise("string")).alias("n")),
     "difficulty_bucket": lambda s, d: log(s, d).select("event_id", R.difficulty(F.col("k") % 5 + 1, F.col("key") % 4).alias("bucket")),
     "question": lambda s, d: table(s, d, "nation").select("n_nationkey", R.question(F.col("n_name")).alias("text")),
-    "render_windows": lambda s, d: R.ordered_block(turns(s, d).select("session_id", "line_no", F.concat(F.lit("["), F.col("line_no").cast("string"), F.lit("] "), F.left("text", F.lit(30))).alias("l")), "session_id", ["line_no"], F.col("l")),
+    "render_windows": lambda s, d: R.ordered_block(turns(s, d).select("session_id", "line_no", F.concat(F.lit("["), F.col("line_no").cast("string"), F.lit("] "), "text").alias("l")), "session_id", ["line_no"], F.col("l")),
     "map_fingerprint": lambda s, d: R.map_fingerprint(table(s, d, "nation").select((F.col("n_regionkey") % 2).cast("string").alias("side"), "n_name"), "side", "n_name"),
     "backticked": lambda s, d: table(s, d, "nation").select("n_nationkey", F.array_join(R.backticked(F.concat(F.lit("use `a b` and `"), "n_name", F.lit("` or `a b` ```x `no` ``` end"))), "|").alias("code")),
     "clean_markdown": lambda s, d: table(s, d, "nation").select("n_nationkey", R.clean_markdown(F.concat(F.lit("## Head  `"), "n_name", F.lit("` see https://x.y/z?q now - item **"))).alias("text")),
-    "mean_sd_format": lambda s, d: log(s, d).where("event_id < 400").groupBy("key").agg(F.avg(F.col("k")).alias("m"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("k")).alias("sd")).select("key", R.mean_sd_text(F.floor(F.col("m")).cast("double"), F.floor("sd").cast("double")).alias("text")),
+    "mean_sd_format": lambda s, d: log(s, d).groupBy("key").agg(F.avg(F.col("k")).alias("m"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("k")).alias("sd")).select("key", R.mean_sd_text(F.floor(F.col("m")).cast("double"), F.floor("sd").cast("double")).alias("text")),
     "camel": lambda s, d: table(s, d, "part").select("p_partkey", R.camel(F.when(F.col("p_partkey") % 2 == 0, F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).otherwise(F.col("p_name"))).alias("is_camel")),
     "since_string": lambda s, d: log(s, d).where(F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss") >= "2024-01-20").select("event_id"),
     "key_union": lambda s, d: captured(s, d).union(done(s, d)).distinct(),
@@ -93,7 +93,7 @@ ORACLE_SQL = {
     "missed_gaps": f"WITH {GOLD_SQL} SELECT DISTINCT session_id, name FROM gold WHERE is_gap AND NOT EXISTS (SELECT 1 FROM flags f WHERE f.session_id = gold.session_id AND f.norm = gold.name)",
     "gold_cover": f"WITH {LOG_SQL} SELECT event_id, event_id % 2 = 1 AS covers FROM log WHERE {ENC}",
     "ngram_contains": "SELECT p_partkey, ends_with(p_name, ' ring') AS found FROM part",
-    "interval_locate": f"WITH {UNITS_SQL} SELECT p.key, p.line, arg_min(unit, (CASE WHEN first = line THEN 0 ELSE 1 END) * 1000000000 + (last - first) * 100000 + unit % 100000) AS unit FROM points p LEFT JOIN units u ON u.key = p.key AND line BETWEEN first AND last GROUP BY p.key, p.line",
+    "interval_locate": f"WITH {UNITS_SQL} SELECT p.key, p.line, arg_min(unit, (CASE WHEN first = line THEN 0 ELSE 1 END) * 1000000000000 + (last - first) * 100000000 + unit) AS unit FROM points p LEFT JOIN units u ON u.key = p.key AND line BETWEEN first AND last GROUP BY p.key, p.line",
     "leave_one_out": f"WITH {LOG_SQL} SELECT event_id, key, value, CASE WHEN count(value) OVER w > 1 THEN (sum(value) OVER w - value) / (count(value) OVER w - 1) END AS others FROM log WINDOW w AS (PARTITION BY key)",
     "seeded_split": f"WITH {LOG_SQL} SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY sha256('11:' || event_id), event_id) <= floor(count(*) OVER (PARTITION BY key) * 0.4) AS revealed FROM log",
     "pair_shuffle_flip": f"WITH {LOG_SQL}, f AS (SELECT event_id, key, k, CAST('0x' || left(sha256('5:' || key || ':' || k), 4) AS BIGINT) % 2 = 1 AS flipped FROM log) SELECT event_id, CASE WHEN flipped THEN k ELSE key END AS a, CASE WHEN flipped THEN key ELSE k END AS b, flipped FROM f",
@@ -109,11 +109,11 @@ ORACLE_SQL = {
     "number_coerce": f"WITH {LOG_SQL} SELECT event_id, CASE WHEN k % 4 > 1 THEN CAST(k AS DOUBLE) END AS n FROM log",
     "difficulty_bucket": f"WITH {LOG_SQL}, x AS (SELECT event_id, k % 5 + 1 AS d, key % 4 AS l FROM log) SELECT event_id, CASE WHEN l = 0 THEN 'outside' WHEN d <= l - 1 THEN 'easy' WHEN d = l THEN 'boundary_known' WHEN d = l + 1 THEN 'boundary_unknown' ELSE 'hard' END AS bucket FROM x",
     "question": "SELECT n_nationkey, 'In your own words, what is ' || n_name || ' and why does it matter here?' AS text FROM nation",
-    "render_windows": "SELECT conv_id AS session_id, string_agg('[' || (turn + 1) || '] ' || left(text, 30), chr(10) ORDER BY turn) AS block FROM conversations GROUP BY conv_id",
+    "render_windows": "SELECT conv_id AS session_id, string_agg('[' || (turn + 1) || '] ' || text, chr(10) ORDER BY turn) AS block FROM conversations GROUP BY conv_id",
     "map_fingerprint": """WITH s AS (SELECT CAST(n_regionkey % 2 AS VARCHAR) AS side, string_agg('"' || n_name || '"', ', ' ORDER BY n_name) AS l FROM nation GROUP BY side) SELECT left(sha256('{' || string_agg('"' || side || '": [' || l || ']', ', ' ORDER BY side) || '}'), 16) AS fingerprint FROM s""",
     "backticked": "SELECT n_nationkey, 'a b|' || n_name AS code FROM nation",
     "clean_markdown": "SELECT n_nationkey, 'Head ' || n_name || ' see now item' AS text FROM nation",
-    "mean_sd_format": f"WITH {LOG_SQL}, m AS (SELECT key, floor(avg(k)) AS m, floor(CASE WHEN count(*) > 1 THEN stddev_samp(k) END) AS sd FROM log WHERE event_id < 400 GROUP BY key) SELECT key, CASE WHEN sd IS NULL THEN printf('%.2f', m) ELSE printf('%.2f ± %.2f', m, sd) END AS text FROM m",
+    "mean_sd_format": f"WITH {LOG_SQL}, m AS (SELECT key, floor(avg(k)) AS m, floor(CASE WHEN count(*) > 1 THEN stddev_samp(k) END) AS sd FROM log GROUP BY key) SELECT key, CASE WHEN sd IS NULL THEN printf('%.2f', m) ELSE printf('%.2f ± %.2f', m, sd) END AS text FROM m",
     "camel": "SELECT p_partkey, p_partkey % 2 = 0 AS is_camel FROM part",
     "since_string": "SELECT event_id FROM events WHERE strftime(ts, '%Y-%m-%dT%H:%M:%S') >= '2024-01-20'",
     "key_union": f"WITH {SETS_SQL} SELECT * FROM captured UNION SELECT * FROM done",

@@ -10,17 +10,18 @@ from colloquy.sources.domain import LOG_SQL, log, table
 
 def merges(s, d):
     """Customers merge into a lower one of their nation, some in small cycles."""
-    return table(s, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("src"), F.when(F.col("c_custkey") % 50 == 1, F.col("c_custkey") + 1).when(F.col("c_custkey") % 50 == 2, F.col("c_custkey") - 1).otherwise(F.floor(F.col("c_custkey") / 2)).alias("dst"))
+    return table(s, d, "customer").select(F.col("c_custkey").alias("src"), F.when(F.col("c_custkey") % 50 == 1, F.col("c_custkey") + 1).when(F.col("c_custkey") % 50 == 2, F.col("c_custkey") - 1).otherwise(F.floor(F.col("c_custkey") / 2)).alias("dst"))
 
 
-MERGES_SQL = "merges AS (SELECT c_custkey AS src, CASE c_custkey % 50 WHEN 1 THEN c_custkey + 1 WHEN 2 THEN c_custkey - 1 ELSE c_custkey // 2 END AS dst FROM customer WHERE c_custkey % 3 <> 0)"
+MERGES_SQL = "merges AS (SELECT c_custkey AS src, CASE c_custkey % 50 WHEN 1 THEN c_custkey + 1 WHEN 2 THEN c_custkey - 1 ELSE c_custkey // 2 END AS dst FROM customer)"
 
 
 def edges(s, d):
-    return table(s, d, "orders").where("o_orderkey % 12 = 0").select(F.col("o_custkey").alias("a"), F.pmod(F.col("o_custkey") * 7 + F.col("o_orderkey") % 24, F.lit(1500)).alias("b"))
+    """Every order links its customer with another of the same twenty."""
+    return table(s, d, "orders").select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_custkey") / 20) * 20 + F.pmod(F.col("o_orderkey") * F.col("o_custkey"), F.lit(20))).alias("b"))
 
 
-EDGES_SQL = "edges AS (SELECT o_custkey AS a, (o_custkey * 7 + o_orderkey % 24) % 1500 AS b FROM orders WHERE o_orderkey % 12 = 0)"
+EDGES_SQL = "edges AS (SELECT o_custkey AS a, o_custkey // 20 * 20 + (o_orderkey * o_custkey) % 20 AS b FROM orders)"
 
 
 def small_edges(s, d):
@@ -31,22 +32,26 @@ SMALL_SQL = f"{LOG_SQL}, edges AS (SELECT DISTINCT least(key % 60, k % 60) AS a,
 
 
 def short_texts(s, d):
-    return table(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return table(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
 
 
 WS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
 STOP_RE = "|".join(T.STOP)
-PHRASES_SQL = f"""texts AS (SELECT conv_id * 100 + turn AS id, text FROM conversations WHERE role = 'user'), sentences AS (SELECT id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9 ]+')) AS s FROM texts),
+PHRASES_SQL = f"""texts AS (SELECT conv_id * 100 + turn AS id, text FROM conversations), sentences AS (SELECT id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9 ]+')) AS s FROM texts),
  runs AS (SELECT id, unnest(string_split(array_to_string(list_transform(list_filter(regexp_split_to_array(s, ' +'), lambda w: w <> ''), lambda w: CASE WHEN w IN ({', '.join(repr(x) for x in T.STOP)}) THEN '|' ELSE w END), ' '), '|')) AS p FROM sentences),
  phrases AS (SELECT id, trim(p) AS phrase FROM runs WHERE trim(p) <> '' AND len(string_split(trim(p), ' ')) <= 4)"""
 GRAM_SQL = " UNION ALL ".join(f"SELECT id, array_to_string(ws[i:i + {n - 1}], ' ') AS run FROM (SELECT id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w WHERE len(ws) >= {n})" for n in range(1, 5))
 
 
 def terms_of(s, d):
-    return s.range(1).select(F.explode(F.array(*map(F.lit, ("that", "the of", "is the", "en la", "Der Die", "de la", "nothing at all", "with the")))).alias("term"))
+    """Phrases of the benchmark's texts and a few of stop words."""
+    own = s.range(1).select(F.explode(F.array(*map(F.lit, ("that", "the of", "is the", "en la", "Der Die", "de la", "nothing at all", "with the")))).alias("term"))
+    return own.union(T.phrases(table(s, d, "benchmark"), "item_id", "text").select(F.col("phrase").alias("term"))).distinct()
 
 
-TERMS_SQL = "terms AS (SELECT unnest(['that', 'the of', 'is the', 'en la', 'Der Die', 'de la', 'nothing at all', 'with the']) AS term)"
+TERMS_SQL = f"""bs AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-9 ]+')) AS s FROM benchmark),
+ br AS (SELECT unnest(string_split(array_to_string(list_transform(list_filter(regexp_split_to_array(s, ' +'), lambda w: w <> ''), lambda w: CASE WHEN w IN ({', '.join(repr(x) for x in T.STOP)}) THEN '|' ELSE w END), ' '), '|')) AS p FROM bs),
+ terms AS (SELECT unnest(['that', 'the of', 'is the', 'en la', 'Der Die', 'de la', 'nothing at all', 'with the']) AS term UNION SELECT trim(p) FROM br WHERE trim(p) <> '' AND len(string_split(trim(p), ' ')) <= 4)"""
 
 QUERIES = {
     "merge_chain": lambda s, d: G.merge_chain(merges(s, d)),
@@ -54,9 +59,9 @@ QUERIES = {
     "component_sizes": lambda s, d: G.component_sizes(G.components(edges(s, d))),
     "triangles": lambda s, d: G.triangles(small_edges(s, d)),
     "relation_verdict": lambda s, d: log(s, d).select("event_id", G.relation(F.col("k") % 2 == 0, F.col("k") % 3 == 0, F.col("k") % 5 == 0).alias("verdict"), G.unswap(G.relation(F.col("k") % 2 == 0, F.col("k") % 3 == 0, F.col("k") % 5 == 0)).alias("swapped")),
-    "pair_generation": lambda s, d: G.pairs(log(s, d).where("k < 12"), "key", "k"),
+    "pair_generation": lambda s, d: G.pairs(log(s, d), "key", "k"),
     "umbrella_pick": lambda s, d: G.round_robin(log(s, d).select("event_id", "key"), "key", ["event_id"], 200).select("event_id", "key", "depth"),
-    "ngrams": lambda s, d: short_texts(s, d).select("id", F.explode(T.ngrams(T.clean_words(F.substring("text", 1, 80)))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")),
+    "ngrams": lambda s, d: short_texts(s, d).select("id", F.explode(T.ngrams(T.clean_words(F.col("text")))).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n")),
     "rake": lambda s, d: T.rake(short_texts(s, d), "id", "text"),
     "c_value": lambda s, d: T.c_value(short_texts(s, d), "id", "text"),
     "mentions_exact": lambda s, d: T.mentions(terms_of(s, d), short_texts(s, d), "id", "text"),
@@ -67,7 +72,7 @@ QUERIES = {
     "title_variants": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(T.title_variants(F.concat("p_name", F.lit("s"))), "|").alias("variants")),
     "surface_dedupe": lambda s, d: T.first_spelling(table(s, d, "part").withColumn("t", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))), "t", "p_partkey"),
     "rarity_min": lambda s, d: T.rarity_min(table(s, d, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("term")).distinct(), table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.log10(F.count(F.lit(1))).alias("zipf")).where("zipf > 2.4")),
-    "unit_union": lambda s, d: T.unit_union(log(s, d).where("k < 30").select("key", "event_id", F.array(F.col("k"), F.col("k") % 7, F.col("k")).alias("items")), "key", "event_id", "items"),
+    "unit_union": lambda s, d: T.unit_union(log(s, d).select("key", "event_id", F.array(F.col("k"), F.col("k") % 7, F.col("k")).alias("items")), "key", "event_id", "items"),
 }
 
 ORACLE_SQL = {
@@ -78,14 +83,14 @@ ORACLE_SQL = {
     "triangles": f"WITH {SMALL_SQL} SELECT x.a, x.b, y.b AS c FROM edges x JOIN edges y ON y.a = x.b JOIN edges z ON z.a = x.a AND z.b = y.b",
     "relation_verdict": f"""WITH {LOG_SQL} SELECT event_id, CASE WHEN k % 15 = 0 THEN 'same' WHEN k % 3 = 0 THEN 'narrower' WHEN k % 5 = 0 THEN 'broader' WHEN k % 2 = 0 THEN 'related' ELSE 'unrelated' END AS verdict,
   CASE WHEN k % 15 = 0 THEN 'same' WHEN k % 3 = 0 THEN 'broader' WHEN k % 5 = 0 THEN 'narrower' WHEN k % 2 = 0 THEN 'related' ELSE 'unrelated' END AS swapped FROM log""",
-    "pair_generation": f"WITH {LOG_SQL}, i AS (SELECT DISTINCT key, k FROM log WHERE k < 12) SELECT a.key, a.k AS a, b.k AS b FROM i a JOIN i b ON a.key = b.key AND a.k < b.k",
+    "pair_generation": f"WITH {LOG_SQL}, i AS (SELECT DISTINCT key, k FROM log) SELECT a.key, a.k AS a, b.k AS b FROM i a JOIN i b ON a.key = b.key AND a.k < b.k",
     "umbrella_pick": f"WITH {LOG_SQL}, n AS (SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY event_id) AS depth FROM log) SELECT * FROM n ORDER BY depth, key LIMIT 200",
-    "ngrams": f"WITH w AS (SELECT conv_id * 100 + turn AS id, {WS.format('substr(text, 1, 80)')} AS ws FROM conversations WHERE role = 'user'), g AS ({GRAM_SQL}) SELECT run, count(*) AS n FROM g GROUP BY run",
+    "ngrams": f"WITH w AS (SELECT conv_id * 100 + turn AS id, {WS.format('text')} AS ws FROM conversations), g AS ({GRAM_SQL}) SELECT run, count(*) AS n FROM g GROUP BY run",
     "rake": f"WITH {PHRASES_SQL}, words AS (SELECT id, phrase, unnest(string_split(phrase, ' ')) AS w, len(string_split(phrase, ' ')) AS n FROM phrases), score AS (SELECT id, w, sum(n) / count(*) AS score FROM words GROUP BY ALL), d AS (SELECT id, phrase, unnest(string_split(phrase, ' ')) AS w FROM (SELECT DISTINCT * FROM phrases)) SELECT id, phrase, sum(score) AS score FROM d JOIN score USING (id, w) GROUP BY id, phrase",
     "c_value": f"""WITH {PHRASES_SQL}, f AS (SELECT phrase, count(*) AS f, len(string_split(phrase, ' ')) AS n FROM phrases GROUP BY phrase), nested AS (SELECT a.phrase, avg(b.f) AS mean FROM f a JOIN f b ON b.n > a.n AND contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ') GROUP BY a.phrase)
   SELECT phrase, f, log2(n + 1.0) * (f - coalesce(mean, 0)) AS c_value FROM f LEFT JOIN nested USING (phrase)""",
-    "mentions_exact": f"WITH {TERMS_SQL}, w AS (SELECT conv_id * 100 + turn AS id, {WS.format('text')} AS ws FROM conversations WHERE role = 'user'), g AS ({GRAM_SQL}) SELECT term, id, count(*) AS n FROM g JOIN terms ON run = lower(term) GROUP BY ALL",
-    "persistence_summary": f"WITH {TERMS_SQL}, w AS (SELECT conv_id * 100 + turn AS id, {WS.format('text')} AS ws FROM conversations WHERE role = 'user'), g AS ({GRAM_SQL}), u AS (SELECT term, count(DISTINCT id) AS units FROM terms LEFT JOIN g ON run = lower(term) GROUP BY term) SELECT count(*) FILTER (units >= 2) AS persistent, count(*) FILTER (units = 0) AS never, count(*) AS terms FROM u",
+    "mentions_exact": f"WITH {TERMS_SQL}, w AS (SELECT conv_id * 100 + turn AS id, {WS.format('text')} AS ws FROM conversations), g AS ({GRAM_SQL}) SELECT term, id, count(*) AS n FROM g JOIN terms ON run = lower(term) GROUP BY ALL",
+    "persistence_summary": f"WITH {TERMS_SQL}, w AS (SELECT conv_id * 100 + turn AS id, {WS.format('text')} AS ws FROM conversations), g AS ({GRAM_SQL}), u AS (SELECT term, count(DISTINCT id) AS units FROM terms LEFT JOIN g ON run = lower(term) GROUP BY term) SELECT count(*) FILTER (units >= 2) AS persistent, count(*) FILTER (units = 0) AS never, count(*) AS terms FROM u",
     "passages": f"""WITH a AS (SELECT item_id, {WS.format('text')} AS ws FROM benchmark), b AS (SELECT doc_id, {WS.format('text')} AS ws FROM documents), ra AS (SELECT DISTINCT item_id, ws[i:i + 7] AS r FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM a)), rb AS (SELECT DISTINCT doc_id, ws[i:i + 7] AS r FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM b))
   SELECT item_id, doc_id, count(*) AS shared FROM ra JOIN rb USING (r) GROUP BY ALL""",
     "clean_term": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_partkey % 3 <> 0 THEN lower(p_name) END WHEN p_partkey % 3 <> 0 THEN 'x' || lower(p_name) END AS clean FROM part",
@@ -93,5 +98,5 @@ ORACLE_SQL = {
     "title_variants": "SELECT p_partkey, p_name || 's|' || p_name || '|' || t || 's|' || t AS variants FROM (SELECT p_partkey, p_name, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS t FROM part)",
     "surface_dedupe": "SELECT lower(p_name) AS norm, arg_min(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END, p_partkey) AS spelling, count(*) AS n FROM part GROUP BY lower(p_name)",
     "rarity_min": "WITH freq AS (SELECT word, log10(count(*)) AS zipf FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word HAVING log10(count(*)) > 2.4), t AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS term FROM part), w AS (SELECT term, unnest(string_split(term, ' ')) AS word FROM t) SELECT term, coalesce(min(zipf), 8.0) AS rarity FROM w LEFT JOIN freq USING (word) GROUP BY term",
-    "unit_union": f"WITH {LOG_SQL}, x AS (SELECT key, event_id, unnest([k, k % 7, k]) AS item, unnest([0, 1, 2]) AS p FROM log WHERE k < 30), f AS (SELECT key, item, min(event_id * 10 + p) AS first FROM x GROUP BY ALL) SELECT key, item, row_number() OVER (PARTITION BY key ORDER BY first) AS place FROM f",
+    "unit_union": f"WITH {LOG_SQL}, x AS (SELECT key, event_id, unnest([k, k % 7, k]) AS item, unnest([0, 1, 2]) AS p FROM log), f AS (SELECT key, item, min(event_id * 10 + p) AS first FROM x GROUP BY ALL) SELECT key, item, row_number() OVER (PARTITION BY key ORDER BY first) AS place FROM f",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import evals as E, fold as D, triage as T
 from colloquy.plans.folds import STATE_SQL
 from colloquy.sources.domain import LOG_SQL, log, table
+from colloquy.state import quantiles
 
 
 def proposed(s, d):
@@ -96,7 +97,7 @@ QUERIES = {
     "pair_cosine": lambda s, d: vectors(s, d).alias("a").join(vectors(s, d).alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("vec_id"), E.dot(E.unit(F.col("a.embedding")), E.unit(F.col("b.embedding"))).alias("cosine")),
     "knn_vote": lambda s, d: E.knn_vote(vectors(s, d).where("vec_id % 100 = 0"), vectors(s, d)),
     "mean_sd": lambda s, d: E.mean_sd(table(s, d, "events").withColumn("v", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))), "user_id", "v"),
-    "quantile_linear": lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_quantity", 0.9).alias("p90"), F.percentile("l_extendedprice", 0.25).alias("p25")),
+    "quantile_linear": lambda s, d: quantiles(table(s, d, "lineitem"), "l_returnflag", "l_quantity", {"p90": 0.9}).join(quantiles(table(s, d, "lineitem"), "l_returnflag", "l_extendedprice", {"p25": 0.25}), "l_returnflag"),
     "bench_scores": lambda s, d: E.bench_scores(log(s, d).select((F.col("key") % 3).alias("model"), (F.col("key") % 2).alias("effort"), F.col("key").alias("session"), F.when(F.col("k") % 3 == 0, "hit").when(F.col("k") % 3 == 1, "known").otherwise("unlabelled").alias("mark"), (F.col("k") % 2).alias("expected"), (F.col("event_id") % 10 != 0).alias("ok")), ("model", "effort")),
     "recall_at": lambda s, d: E.recall_at(log(s, d).select((F.col("key") % 5).alias("extractor"), F.col("key").alias("item"), F.when(F.col("k") > 10, F.col("k")).alias("rank")), "extractor", "item", "rank", 15),
 }

@@ -11,13 +11,13 @@ from colloquy.streaming import live as L
 
 
 def changes(s, d):
-    """The last 300 events as file changes, five projects."""
-    e = log(s, d).where("event_id >= 9700")
+    """Events as file changes, forty projects."""
+    e = log(s, d)
     return e.select(F.concat(F.lit("p"), (F.col("key") % 40).cast("string")).alias("project"), F.concat(F.lit("f"), F.col("key").cast("string")).alias("path"), F.col("occurred_at").cast("timestamp").alias("changed_at"))
 
 
 NOW = "2024-01-30 23:30:00"
-CHANGES_SQL = f"{LOG_SQL}, changes AS (SELECT 'p' || (key % 40) AS project, 'f' || key AS path, occurred_at AS changed_at FROM log WHERE event_id >= 9700)"
+CHANGES_SQL = f"{LOG_SQL}, changes AS (SELECT 'p' || (key % 40) AS project, 'f' || key AS path, occurred_at AS changed_at FROM log)"
 
 
 def occasions(s, d):
@@ -26,10 +26,10 @@ def occasions(s, d):
 
 
 def found(s, d):
-    return table(s, d, "pages").select(F.regexp_extract("url", r"://([^/]+)", 1).alias("term"), F.col("page_id").alias("place"), F.regexp_replace("url", r"[?#].*$", "").alias("url"), F.substring("html", 1, 300).alias("title"))
+    return table(s, d, "pages").select(F.regexp_extract("url", r"://([^/]+)", 1).alias("term"), F.col("page_id").alias("place"), F.regexp_replace("url", r"[?#].*$", "").alias("url"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
 
 
-FOUND_SQL = r"found AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS term, page_id AS place, regexp_replace(url, '[?#].*$', '') AS url, substr(html, 1, 300) AS title FROM pages)"
+FOUND_SQL = r"found AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS term, page_id AS place, regexp_replace(url, '[?#].*$', '') AS url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)"
 
 
 def probabilities():

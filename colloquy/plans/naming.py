@@ -29,14 +29,14 @@ def concepts(s, d):
 CONCEPTS_SQL = "concepts AS (SELECT min(p_partkey) AS concept_id, p_name || ' (' || lower(p_type) || ')' AS canonical_name, upper(p_name) || '-' || lower(p_type) AS alias, count(*) AS encounter_count FROM part GROUP BY p_name, p_type)"
 
 
-def submissions(s, d):
+def submissions(s, d, one_in=1):
     own = s.range(1).select(F.posexplode(F.array(*map(F.lit, PROBES))).alias("submission_id", "text")).withColumn("submission_id", F.col("submission_id").cast("long"))
-    named = table(s, d, "part").where("p_partkey % 97 = 0").select((F.col("p_partkey") + 1000).alias("submission_id"), F.concat(F.initcap("p_name"), F.lit("  "), F.lower("p_type"), F.lit("!")).alias("text"))
+    named = table(s, d, "part").where(F.col("p_partkey") % one_in == 0).select((F.col("p_partkey") + 1000).alias("submission_id"), F.concat(F.initcap("p_name"), F.lit("  "), F.lower("p_type"), F.lit("!")).alias("text"))
     return own.union(named)
 
 
 SUBMISSIONS_SQL = f"""submissions AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{p}')" for k, p in enumerate(PROBES))}) t(submission_id, text)
-  UNION ALL SELECT p_partkey + 1000, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) || '  ' || lower(p_type) || '!' FROM part WHERE p_partkey % 97 = 0)"""
+  UNION ALL SELECT p_partkey + 1000, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) || '  ' || lower(p_type) || '!' FROM part)"""
 
 
 def norm_sql(x: str) -> str:
@@ -71,17 +71,17 @@ QUERIES = {
     "trigram_dice": lambda s, d: word_rows(s, d).alias("l").join(word_rows(s, d).alias("r"), (F.col("l.word") < F.col("r.word")) & (F.substring("l.word", 1, 2) == F.substring("r.word", 1, 2))).select(F.col("l.word").alias("a"), F.col("r.word").alias("b"), N.likeness(F.col("l.word"), F.col("r.word")).alias("likeness")),
     "abbreviates": lambda s, d: concepts(s, d).select("concept_id", N.abbreviates(F.lit("swe"), N.normalise("canonical_name")).alias("is_swe"), N.abbreviates(F.lit("s3l"), N.normalise("canonical_name")).alias("is_s3l")),
     "exact_match": lambda s, d: R.exact_match(submissions(s, d), concepts(s, d)),
-    "shortlist_topk": lambda s, d: R.shortlist(submissions(s, d), concepts(s, d)),
+    "shortlist_topk": lambda s, d: R.shortlist(submissions(s, d, 100), concepts(s, d)),
     "resolve_all": lambda s, d: R.resolve_all(submissions(s, d), concepts(s, d)),
     "slug_id": lambda s, d: concepts(s, d).select("concept_id", N.slug(F.col("canonical_name")).alias("slug")),
-    "fingerprint": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", N.fingerprint(F.col("conv_id"), F.col("turn"), F.col("turn") + 1, F.substring("text", 1, 12)).alias("content_id")),
+    "fingerprint": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", N.fingerprint(F.col("conv_id"), F.col("turn"), F.col("turn") + 1, F.col("text")).alias("content_id")),
     "spot_check": lambda s, d: table(s, d, "part").select("p_partkey", N.spot_hash(F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string"))).alias("spot")),
     "ulid_decode": lambda s, d: log(s, d).select("event_id", N.ulid_decode(N.ulid_encode(F.lit(1704067200000) + F.col("event_id") * 977, F.col("key").cast("string"))).alias("ms")),
     "model_of": lambda s, d: table(s, d, "supplier").select("s_suppkey", N.model_of(F.when(F.col("s_suppkey") % 4 == 0, F.col("s_name")).otherwise(F.concat_ws("+", F.lit("detector/3"), "s_name", F.lit("x"), F.lit("p1")))).alias("model")),
     "repo_name": lambda s, d: table(s, d, "pages").select("page_id", N.repo_name(F.regexp_replace("url", r"[?#].*$", "")).alias("repo")),
     "html_strip": lambda s, d: table(s, d, "pages").select("page_id", N.html_strip(F.col("html")).alias("text")),
     "verify_page": lambda s, d: (lambda t: t.withColumn("_at", F.locate("the", F.lower("text"))).where("_at > 0").select("page_id", F.substring("text", F.greatest(F.col("_at") - 260, F.lit(1)), F.lit(800)).alias("excerpt")))(table(s, d, "pages").select("page_id", N.html_strip(F.col("html")).alias("text"))),
-    "keyword_grade": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", N.keyword_grade(F.substring("text", 1, 60), ("the", "and", "de la")).alias("level")),
+    "keyword_grade": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", N.keyword_grade(F.col("text"), ("the", "and", "de la")).alias("level")),
     "name_as_met": lambda s, d: table(s, d, "part").select("p_partkey", N.name_as_met(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("  "), F.upper("p_name"))).otherwise(F.concat("p_name", F.lit("  x"))), F.col("p_name")).alias("met")),
     "plural_count": lambda s, d: table(s, d, "nation").select("n_nationkey", N.plural_count(F.col("n_regionkey"), "session").alias("text")),
     "citation_check": lambda s, d: table(s, d, "nation").select("n_nationkey", N.citation_check(F.concat(F.lit("see [S"), F.col("n_regionkey").cast("string"), F.lit("] and [S1]")), F.lit(3)).alias("ok")),
@@ -110,14 +110,14 @@ ORACLE_SQL = {
   SELECT submission_id, text, CASE WHEN norm = '' THEN 'unclear' WHEN concept_id IS NOT NULL OR n > 1 THEN 'existing' ELSE 'new' END AS decision,
   CASE WHEN norm <> '' THEN coalesce(CAST(concept_id AS VARCHAR), left(replace(norm, ' ', '-'), 48) || '-' || left(sha256(norm), 6)) END AS concept_id FROM j""",
     "slug_id": f"WITH {CONCEPTS_SQL} SELECT concept_id, left(replace({norm_sql('canonical_name')}, ' ', '-'), 48) AS slug FROM concepts",
-    "fingerprint": f"SELECT conv_id, turn, 'e-' || upper(left(sha256(conv_id || '|' || turn || '|' || (turn + 1) || '|' || {norm_sql('substr(text, 1, 12)')}), 26)) AS content_id FROM conversations",
+    "fingerprint": f"SELECT conv_id, turn, 'e-' || upper(left(sha256(conv_id || '|' || turn || '|' || (turn + 1) || '|' || {norm_sql('text')}), 26)) AS content_id FROM conversations",
     "spot_check": "SELECT p_partkey, CAST(('0x' || left(sha256(p_name || '#' || p_partkey), 8)) AS BIGINT) % 5 = 0 AS spot FROM part",
     "ulid_decode": "SELECT event_id, 1704067200000 + event_id * 977 AS ms FROM events",
     "model_of": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN s_name || '+x' END AS model FROM supplier",
     "repo_name": r"SELECT page_id, nullif(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1], '') AS repo FROM pages",
     "html_strip": r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages",
     "verify_page": r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages) SELECT page_id, substr(text, greatest(strpos(lower(text), 'the') - 260, 1), 800) AS excerpt FROM t WHERE strpos(lower(text), 'the') > 0",
-    "keyword_grade": r"""WITH t AS (SELECT conv_id, turn, substr(text, 1, 60) AS a FROM conversations) SELECT conv_id, turn, CASE WHEN contains(' ' || lower(a) || ' ', ' the ') OR contains(' ' || lower(a) || ' ', ' and ') OR contains(' ' || lower(a) || ' ', ' de la ') THEN 'causal'
+    "keyword_grade": r"""WITH t AS (SELECT conv_id, turn, text AS a FROM conversations) SELECT conv_id, turn, CASE WHEN contains(' ' || lower(a) || ' ', ' the ') OR contains(' ' || lower(a) || ' ', ' and ') OR contains(' ' || lower(a) || ' ', ' de la ') THEN 'causal'
   WHEN len(list_filter(regexp_split_to_array(a, '[.;,]'), lambda c: length(trim(c)) > 0)) > 1 OR len(list_filter(regexp_split_to_array(a, '\s+'), lambda w: w <> '')) > 18 THEN 'listed' ELSE 'isolated' END AS level FROM t""",
     "name_as_met": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN p_name || ' x' END AS met FROM part",
     "plural_count": "SELECT n_nationkey, n_regionkey || CASE WHEN n_regionkey = 1 THEN ' session' ELSE ' sessions' END AS text FROM nation",

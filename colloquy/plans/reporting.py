@@ -24,8 +24,8 @@ def flags(s, d):
 
 
 def detections(s, d):
-    runs = of_type(s, d, "session_analysed").where("k < 50").select(F.col("event_id").alias("run_id"), F.when(F.col("k") % 5 != 0, F.transform(F.sequence(F.lit(1), F.col("k") % 5), lambda i: F.concat(F.lit("t"), i.cast("string")))).otherwise(F.array().cast("array<string>")).alias("candidates"))
-    verdicts = of_type(s, d, "session_analysed").where("k < 50 and event_id % 2 = 0").select(F.col("event_id").alias("run_id"), F.lit("t2").alias("term"), F.lit("held").alias("verdict"))
+    runs = of_type(s, d, "session_analysed").select(F.col("event_id").alias("run_id"), F.when(F.col("k") % 5 != 0, F.transform(F.sequence(F.lit(1), F.col("k") % 5), lambda i: F.concat(F.lit("t"), i.cast("string")))).otherwise(F.array().cast("array<string>")).alias("candidates"))
+    verdicts = of_type(s, d, "session_analysed").where("event_id % 2 = 0").select(F.col("event_id").alias("run_id"), F.lit("t2").alias("term"), F.lit("held").alias("verdict"))
     return E.detections(runs, verdicts).select("run_id", F.col("place").cast("long").alias("place"), "term", "verdict")
 
 
@@ -56,11 +56,11 @@ def frames(s, d):
 
 
 def typed(s, d):
-    """Stored events as a typed log: a concept for each small k that was analysed, an encounter for each key."""
+    """Stored events as a typed log: a concept for each k that was analysed, an encounter for each key."""
     t, k, key = F.col("event_type"), F.col("k").cast("string"), F.col("key").cast("string")
     made = F.create_map(F.lit("concept_id"), k, F.lit("canonical_name"), F.concat(F.lit("c"), k))
     met = F.create_map(F.lit("encounter_id"), key, F.lit("concept_id"), (F.col("k") % 60).cast("string"), F.lit("source"), F.lit("s"), F.lit("paraphrase"), F.lit("p"))
-    rows = log(s, d).where("event_type <> 'session_analysed' or k < 50")
+    rows = log(s, d)
     return rows.select(F.lpad(F.col("event_id").cast("string"), 10, "0").alias("event_id"), "occurred_at", F.when(t == "session_analysed", "concept_created").otherwise(t).alias("event_type"), F.when(t == "session_analysed", made).when(t == "encounter_recorded", met).otherwise(F.create_map(F.lit("encounter_id"), key)).alias("payload"), F.lit(None).cast("string").alias("supersedes"))
 
 
@@ -92,7 +92,7 @@ WEEKLY = f"""{LOG_SQL}, {JUDGMENT_SQL}, f0 AS (SELECT key, arg_min(occurred_at,
  SELECT *, dismissed_now / nullif(judged, 0) AS dismissal_rate FROM one, clean, ev"""
 
 COMPILED = f"""{LOG_SQL}, {JUDGMENT_SQL}, e AS (SELECT key, arg_max(k % 60, event_id) AS k, max(event_id) AS event_id FROM log WHERE event_type = 'encounter_recorded' GROUP BY key), enc AS (SELECT * FROM e LEFT JOIN judgments USING (key)),
- made AS (SELECT DISTINCT k FROM log WHERE event_type = 'session_analysed' AND k < 50),
+ made AS (SELECT DISTINCT k FROM log WHERE event_type = 'session_analysed'),
  roll AS (SELECT k, count(*) AS n, arg_max(judgment, lpad(CAST(epoch_us(judged_at) AS VARCHAR), 20, '0') || lpad(CAST(event_id AS VARCHAR), 10, '0')) FILTER (judgment IS NOT NULL) AS judgment FROM enc GROUP BY k),
  st AS (SELECT CAST(k AS VARCHAR) AS concept_id, coalesce(n, 0) AS encounter_count, judgment, CASE WHEN coalesce(n, 0) = 0 THEN 'referenced' WHEN judgment = 'dismissed' THEN 'known' ELSE 'gap' END AS state FROM made LEFT JOIN roll USING (k))"""
 
@@ -112,7 +112,7 @@ ORACLE_SQL = {
     "newest_concepts": f"WITH {LOG_SQL} SELECT key, max(occurred_at) AS last_seen FROM log GROUP BY key ORDER BY last_seen DESC, key LIMIT 25",
     "notify_select": f"WITH {LOG_SQL}, {JUDGMENT_SQL} SELECT key, min(event_id) AS event_id FROM log LEFT JOIN judgments USING (key) WHERE event_type = 'encounter_recorded' AND judgment IS NULL AND key NOT IN (SELECT key FROM log WHERE event_type = 'session_analysed' AND k > 95) GROUP BY key",
     "export_flags": f"WITH {LOG_SQL}, {JUDGMENT_SQL}, c AS (SELECT k AS concept_id, min(event_id) AS created FROM log WHERE event_type = 'session_analysed' AND k % 3 <> 0 GROUP BY k) SELECT key, concept_id, event_id, created, judgment, judged_at FROM (SELECT event_id, key, k AS concept_id FROM log WHERE event_type = 'encounter_recorded') LEFT JOIN c USING (concept_id) LEFT JOIN judgments USING (key)",
-    "export_detections": f"""WITH {LOG_SQL}, r AS (SELECT event_id AS run_id, k % 5 AS n FROM log WHERE event_type = 'session_analysed' AND k < 50), x AS (SELECT run_id, unnest(range(n)) AS place FROM r UNION ALL SELECT run_id, NULL FROM r WHERE n = 0)
+    "export_detections": f"""WITH {LOG_SQL}, r AS (SELECT event_id AS run_id, k % 5 AS n FROM log WHERE event_type = 'session_analysed'), x AS (SELECT run_id, unnest(range(n)) AS place FROM r UNION ALL SELECT run_id, NULL FROM r WHERE n = 0)
   SELECT run_id, CAST(place AS BIGINT) AS place, 't' || (place + 1) AS term, CASE WHEN place = 1 AND run_id % 2 = 0 THEN 'held' END AS verdict FROM x""",
     "export_sessions": f"""WITH {LOG_SQL}, {TURNS_SQL}, c AS (SELECT user_id AS session_id, count(*) AS calls, sum(CASE WHEN event_id % 11 <> 0 AND event_id % 7 <> 0 THEN value END) AS cost FROM events GROUP BY user_id),
   a AS (SELECT key AS session_id, max(k) AS found FROM log WHERE event_type = 'session_analysed' AND key % 2 = 0 GROUP BY key), r AS (SELECT key AS session_id, max(k) AS ran FROM log WHERE event_type = 'encounter_recorded' AND key % 3 = 0 GROUP BY key),

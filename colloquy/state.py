@@ -55,3 +55,24 @@ def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = placed.join(F.broadcast(ahead), "_part")
     return joined.withColumns({f"{c}_upto": F.sum(c).over(own) + F.col(f"_{c}") for c in sums}).drop("_part", *[f"_{c}" for c in sums])
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def quantiles(rows: DataFrame, key: str, value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each key, interpolated. wanted: column name -> share.
+
+    Values are counted first and ranked over ranges, so no task holds all values of a key.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(counts, [F.asc("_k"), F.asc("_v")], ["_n"])
+    spans = placed.groupBy("_k").agg(F.min(F.col("_n_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_all"))
+    both = placed.alias("p").join(spans.alias("s"), F.col("p._k").eqNullSafe(F.col("s._k"))).select(F.col("p._k").alias("_k"), "_v", (F.col("_n_upto") - F.col("_start")).alias("_upto"), "_all")
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v").cast("double")))
+    place = {name: share * (F.col("_all") - 1) for name, share in wanted.items()}
+    found = both.groupBy("_k", "_all").agg(*[at(f(place[name])).alias(f"_{f.__name__}_{name}") for name in wanted for f in (F.floor, F.ceil)])
+    part = lambda name: place[name] - F.floor(place[name])
+    return found.select(F.col("_k").alias(key), *[(F.col(f"_floor_{n}") * (1 - part(n)) + F.col(f"_ceil_{n}") * part(n)).alias(n) for n in wanted])
