@@ -150,3 +150,19 @@ def test_derived_queue(spark):
     covered = spark.createDataFrame([(1, 1)], "session_id long, seen long")
     live.derive_queue(lambda: covered, lambda: turns, lambda df: got.extend(df.collect()))(turns, 7)
     assert [(r.session_id, r.reason, r.epoch) for r in got] == [(2, "never", 7)]
+
+
+def test_a_sweep_goes_past_a_file_that_cannot_be_read(spark, tmp_path):
+    for name, body in (("new", "{}\n{}\n"), ("grown", "a\nb\nc\n"), ("again", "x\n"), ("empty", "no line end"), ("bad", "{}\n")):
+        (tmp_path / f"{name}.jsonl").write_text(body)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    prior = spark.createDataFrame([("grown", 2, 1, sha("a\n")), ("again", 9, 3, sha("y"))], "session_id string, bytes long, lines long, sha256 string")
+    (tmp_path / "bad.jsonl").write_bytes(b"{}\n")
+    (tmp_path / ".bad.jsonl.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x00\x00\x00\x00")  # a checksum that the file does not meet
+    found = {r.session_id: r for r in T.sweep(spark, str(tmp_path), prior).collect()}
+    assert {k: r.status for k, r in found.items()} == {"new": "new", "grown": "appended", "again": "rewritten", "empty": "empty", "bad": "error"}
+    assert T.sweep(spark, str(tmp_path), prior, limit=2).count() == 2
+    files = spark.createDataFrame([("grown", "a\nb\nc\n"), ("again", "x\n"), ("new", "{}\n{}\n")], "session_id string, content string")
+    new = T.ingested(files, T.sweep(spark, str(tmp_path), prior).where("session_id <> 'bad'"))
+    held = spark.createDataFrame([("grown", 1, "a"), ("again", 1, "y"), ("again", 2, "z"), ("other", 1, "o")], "session_id string, line_no long, raw string")
+    assert sorted(map(tuple, T.after(held, new).collect())) == [("again", 1, "x"), ("grown", 1, "a"), ("grown", 2, "b"), ("grown", 3, "c"), ("new", 1, "{}"), ("new", 2, "{}"), ("other", 1, "o")]
