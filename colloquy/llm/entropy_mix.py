@@ -10,7 +10,8 @@ take out what rounding left.
 Defined cases: a null source is one source, last in order; a null or empty text has size 0 and no words to take; a
 source without words has target 0; repeated rows are rounded on their own (one correction may touch all of them);
 an empty table gives an empty result; extra columns are carried along unless they have a name of the result's.
-The driver holds a few numbers for each source, never anything for each document.
+The driver holds a few numbers for each source up to MOST_SOURCES; the state of more (as when every site is a source)
+is a table, and each step a join with it. Neither holds anything for each document.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from colloquy.llm.common import cut, local_rows, words
+from colloquy.llm.common import cut, local_rows, ranked, words
+from colloquy.state import running
 
 CAP = 3
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_ROWS = 2000
+#: Sources whose state the driver holds, at most.
+MOST_SOURCES = 4096
 #: Stands for an infinite multiplier: every document at the cap, or none.
 HUGE = 1e300
 
@@ -75,6 +79,49 @@ def tilt(counts: DataFrame, totals: dict, goal: dict, cap: float = CAP, most_ste
     return {s: done.get(s, state[s][0]) for s in state}
 
 
+def target_table(sums: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """sums (source, words, k, rows) with target: as ``targets``, for any number of sources.
+
+    Sources in order of cap * words / weight are at their cap up to where the share of those left falls below it.
+    """
+    placed = ranked(sums, [F.asc_nulls_last("source")], "place")
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    rows = placed.withColumn("weight", weight).withColumn("most", F.col("words") * float(cap))
+    upto = cut(running(rows, [F.asc(F.col("most") / F.col("weight")), F.asc("place")], ["most", "weight"]), "upto")
+    total, all_weights = upto.agg(F.sum("words"), F.sum("weight")).first()
+    unit = (F.lit(float(total)) - (F.col("most_upto") - F.col("most"))) / (F.lit(all_weights) - (F.col("weight_upto") - F.col("weight")))
+    marked = cut(upto.withColumn("capped", unit * F.col("weight") > F.col("most")), "capped")
+    held, free = marked.agg(F.sum(F.when(F.col("capped"), F.col("most")).otherwise(0.0)), F.sum(F.when(~F.col("capped"), F.col("weight")))).first()
+    share = (total - held) / free if free else 0.0
+    return marked.select("source", "words", "k", "rows", F.when(F.col("capped"), F.col("most")).otherwise(F.col("weight") * share).alias("target"))
+
+
+def tilt_table(counts: DataFrame, goals: DataFrame, cap: float = CAP, most_steps: int = 60, near: float = 1e-9) -> DataFrame:
+    """goals (source, words, k, rows, target) with lam: as ``tilt``, for any number of sources."""
+    top, inf = math.log(cap), F.lit(math.inf)
+    mean = F.col("words") / F.when(F.col("k") > 0, F.col("k"))
+    at_cap, at_none = F.col("target") >= cap * F.col("words") * (1 - 1e-12), F.col("target") <= 0
+    fixed = F.when(F.col("words") == 0, 0.0).when(at_cap, HUGE).when(at_none, -HUGE)
+    state = cut(goals.select("*", F.coalesce(mean, F.lit(1.0)).alias("mean"), F.coalesce(fixed, F.lit(0.0)).alias("lam"), (-inf).alias("lo"), inf.alias("hi"), fixed.isNotNull().alias("done")), "tilt")
+    for _ in range(most_steps):
+        if state.where("not done").isEmpty():
+            break
+        live = state.where("not done").select(F.col("source").alias("s"), F.col("lam").alias("l"), F.col("mean").alias("m"))
+        z = F.col("size") / F.col("m")
+        x = F.least(F.col("l") * z, F.lit(top))
+        mass = F.col("n") * F.col("size") * F.exp(x)
+        step = counts.join(live, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(F.sum(mass).alias("g"), F.sum(F.when(x < top, mass * z).otherwise(0.0)).alias("h"))
+        miss = F.col("g") - F.col("target")
+        met = F.col("done") | (F.abs(miss) <= near * F.col("target"))
+        lo, hi = F.when(miss > 0, F.col("lo")).otherwise(F.col("lam")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
+        newton = F.when(F.col("h") > 0, F.col("lam") - miss / F.col("h"))
+        away = F.col("lam") + F.when(miss < 0, 2.0).otherwise(-2.0) * (1 + F.abs("lam"))
+        new = F.when((newton > lo) & (newton < hi), newton).when((lo > -inf) & (hi < inf), (lo + hi) / 2).otherwise(away)
+        moved = state.join(step, F.col("source").eqNullSafe(F.col("s")), "left")
+        state = cut(moved.select("source", "words", "k", "rows", "target", "mean", F.when(met, F.col("lam")).otherwise(new).alias("lam"), F.when(met, F.col("lo")).otherwise(lo).alias("lo"), F.when(met, F.col("hi")).otherwise(hi).alias("hi"), met.alias("done")), "tilt")
+    return state
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: int = 7, corrections: int = 4, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Every document with size, source_size, target, rate, copies and taken (copies * size)."""
     spark = docs.sparkSession
@@ -82,11 +129,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"), F.size(words(text_col)).cast("long").alias("size"))
     sized = cut(sized, "sizes")
     counts = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
-    sums = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("rows")).collect()
-    goal = targets([(r["source"], r["words"]) for r in sums], weights, cap)
-    lam = tilt(counts, {r["source"]: (r["words"], r["k"]) for r in sums}, goal, cap)
-    per = [(r["source"], r["words"], goal[r["source"]], max(-HUGE, min(HUGE, lam.get(r["source"], 0.0))), r["words"] / r["k"] if r["k"] else 1.0, r["rows"] // BLOCK_ROWS + 1) for r in sums]
-    known = local_rows(spark, per, "s string, source_size long, target double, lam double, mean double, blocks long")
+    sums = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("rows"))
+    few = counts.select("source").distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+    if few:
+        held = sums.collect()
+        goal = targets([(r["source"], r["words"]) for r in held], weights, cap)
+        lam = tilt(counts, {r["source"]: (r["words"], r["k"]) for r in held}, goal, cap)
+        per = [(r["source"], r["words"], goal[r["source"]], max(-HUGE, min(HUGE, lam.get(r["source"], 0.0))), r["words"] / r["k"] if r["k"] else 1.0, r["rows"] // BLOCK_ROWS + 1) for r in held]
+        known = local_rows(spark, per, "s string, source_size long, target double, lam double, mean double, blocks long")
+    else:
+        state = tilt_table(counts, target_table(cut(sums, "sums"), weights, cap), cap)
+        known = state.select(F.col("source").alias("s"), F.col("words").alias("source_size"), "target", "lam", "mean", F.expr(f"rows div {BLOCK_ROWS} + 1").alias("blocks"))
 
     same = F.col("source").eqNullSafe(F.col("s"))
     rate = F.when(F.col("size") == 0, 0.0).otherwise(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap)))))
@@ -101,17 +154,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
     held = cut(rounded, "copies")
 
     for _ in range(corrections):
-        now = held.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
-        left = [(r["source"], r["target"] - r["taken"]) for r in now if abs(r["target"] - r["taken"]) >= 1]
-        if not left:
-            break
-        gap = held.join(local_rows(spark, left, "s string, gap double"), same)
+        now = held.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).where("abs(gap) >= 1").select(F.col("source").alias("s"), "gap")
+        left = local_rows(spark, [tuple(r) for r in now.collect()], "s string, gap double") if few else now
         able = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-        best = gap.where(able).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("miss"), "_h", "_id", F.signum("gap").cast("long").alias("step"))).alias("b")).collect()
-        if not best:
+        best = held.join(left, same).where(able).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("miss"), "_h", "_id", F.signum("gap").cast("long").alias("step"))).alias("b"))
+        best = best.select(F.col("source").alias("s"), F.col("b._h").alias("ph"), F.col("b.step").alias("step"))
+        picked = local_rows(spark, [tuple(r) for r in best.collect()], "s string, ph long, step long") if few else cut(best, "picked")
+        if picked.isEmpty():
             break
-        picked = local_rows(spark, [(r["source"], r["b"]["_h"], r["b"]["step"]) for r in best], "s string, ph long, step long")
         held = held.join(picked, same & (F.col("_h") == F.col("ph")), "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("s", "ph", "step")
+        held = held if few else cut(held, "copies")
     out = held.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(F.col("_id").alias(id_col), F.col("source").alias(source_col), "_h", *own)
 
