@@ -190,6 +190,18 @@ def test_mix_meets_targets(spark):
     assert {(r.doc_id, r.copies) for r in got} == {(r.doc_id, r.copies) for r in again}
 
 
+def test_sources_as_a_table_mix_like_those_of_the_driver(spark, docs, monkeypatch):
+    rng = np.random.default_rng(15)
+    rows = [(k, " ".join(["w"] * int(rng.integers(0, 60))), f"s{int(rng.integers(0, 12)) ** 2}" if k % 9 else None) for k in range(900)] + [(1000 + k, "", "none") for k in range(3)]
+    for table in (spark.createDataFrame(rows, "doc_id long, text string, source string"), docs):
+        few = entropy_mix.mix(table).collect()
+        monkeypatch.setattr(entropy_mix, "MOST_SOURCES", 0)
+        many = entropy_mix.mix(table).collect()
+        monkeypatch.undo()
+        plain = lambda rs: collections.Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), round(r.rate, 6), r.copies) for r in rs)
+        assert plain(few) == plain(many)
+
+
 def test_mix_of_awkward_rows(docs, empty):
     got = entropy_mix.mix(docs).collect()
     assert len(got) == len(TEXTS) and all(r.taken <= 3 * r.size for r in got)
