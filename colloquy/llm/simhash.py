@@ -128,6 +128,8 @@ BANDS, BAND_ROWS = 16, 4
 SKETCH_SLACK = 30
 #: Members of a meeting up to which all pairs are compared at once; and members of a block, where larger ones are left.
 SMALL, GRID = 32, 128
+#: Shingles of a cell that are looked at at once.
+COLUMNS = 1 << 13
 #: Rounds of pivots at most, before what is still left is compared pair by pair in blocks.
 PIVOT_ROUNDS = 6
 _RANDOM = np.random.default_rng(301)
@@ -230,18 +232,58 @@ def verified(near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
 
 
-def blockwise(left: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels and near sketches within each meeting (key), dealt over blocks of some GRID members.
+def blockwise(left: DataFrame, sizes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the members of each meeting (key), dealt over cells of two blocks of some GRID members.
 
-    No task holds more than two blocks; of the pairs only those that pass are rows.
+    A task holds one cell with its sets of shingles; of a cell's pairs only a forest of those that are like comes out,
+    so there are fewer links than members, however many pairs are compared.
     """
+    ship(left.sparkSession)
     block = F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")
     held = left.join(sizes.select("key", F.ceil(F.col("n") / GRID).alias("blocks")), "key").withColumn("at", block)
-    cells = held.select("key", "id", "label", "s1", "s2", "at", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"))
-    cells = cells.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "id", "label", "s1", "s2")
-    x, y = cells.where("at = i"), cells.where("at = j").toDF("key", "i", "j", "at2", "id2", "label2", "t1", "t2")
-    met = x.join(y, ["key", "i", "j"]).where((F.col("label") != F.col("label2")) & ((F.col("i") != F.col("j")) | (F.col("id") < F.col("id2"))) & close("s1", "s2", "t1", "t2"))
-    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    cells = held.select("key", "id", "label", "at", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"))
+    cells = cells.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "id", "label").join(sets, "id")
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(forest(cell["id"].to_numpy(), cell["label"].to_numpy(), cell["at"].to_numpy(), list(cell["set"]), cell["i"].iloc[0] == cell["j"].iloc[0], least), columns=["a", "b"])
+
+    return cells.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def forest(ids: np.ndarray, labels: np.ndarray, at: np.ndarray, sets: list, inside: bool, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of different labels (and, unless inside, of different blocks) that are like."""
+    n, sizes = len(ids), np.array([len(x) for x in sets], "f8")
+    values, owners = np.concatenate([np.asarray(x, "i8") for x in sets]), np.repeat(np.arange(n), sizes.astype("i8"))
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    several = count > 1  # what only one text has is in no intersection
+    place = np.cumsum(several) - 1
+    keep = several[column]
+    owners, column = owners[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owners, column = owners[order], column[order]
+    shared = np.zeros((n, n), "f8")
+    for start in range(0, int(several.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        part = np.zeros((n, COLUMNS), "f4")
+        part[owners[lo:hi], column[lo:hi] - start] = 1
+        shared += part @ part.T
+    like = shared / np.maximum(sizes[:, None] + sizes[None, :] - shared, 1) >= least
+    like &= np.triu(labels[:, None] != labels[None, :], 1)
+    if not inside:
+        like &= at[:, None] != at[None, :]
+    root, out = list(range(n)), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x, y in zip(*map(np.ndarray.tolist, np.nonzero(like)), strict=True):
+        x0, y0 = top(x), top(y)
+        if x0 != y0:
+            root[y0] = x0
+            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+    return out
 
 
 def close(s1: str, s2: str, t1: str, t2: str) -> Column:
@@ -255,7 +297,7 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
     different labels at once. A large one names pivots, compares them with all of its ids of other labels, and lets
     them go; from the second round on the ids that were linked most come first (the original of many copies). Links
     merge labels, and a meeting ends when what is left of it has one label, so likes need pairs in proportion to their
-    number. When pivots merge no more, all pairs that are left are compared in blocks: nothing that meets is skipped.
+    number. When pivots merge little more, all pairs that are left are compared in blocks: nothing that meets is skipped.
     """
     held, degrees, before = meetings.join(light, "id"), None, None
     key = F.xxhash64("id")
@@ -271,17 +313,17 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
         if not keys:
             return labels
         last = not pairs or round_ == PIVOT_ROUNDS or before is not None and pairs > before / 2
-        if last:
-            near = blockwise(live.drop("deg"), found)
-        else:
-            pivot = (F.col("n") <= SMALL) | F.array_contains("picked", F.col("id"))
-            marked = cut(live.join(found, "key").select("key", "id", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large")), "marked")
-            one = marked.where("pivot").select("key", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
-            other = marked.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), "s1", "s2", "pivot")
-            met = one.join(other, "key").where((F.col("pl") != F.col("ql")) & (~F.col("pivot") | (F.col("p") < F.col("q"))) & close("p1", "p2", "s1", "s2"))
-            near = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-            held = marked.where("large and not pivot").select("key", "id", "s1", "s2")
-        edges = cut(verified(cut(near, "near"), sets, least), "edges")
+        pivot = (F.col("n") <= SMALL) | (F.array_contains("picked", F.col("id")) & F.lit(not last))
+        marked = cut(live.join(found, "key").select("key", "id", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large")), "marked")
+        one = marked.where("pivot").select("key", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
+        other = marked.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), "s1", "s2", "pivot")
+        met = one.join(other, "key").where((F.col("pl") != F.col("ql")) & (~F.col("pivot") | (F.col("p") < F.col("q"))) & close("p1", "p2", "s1", "s2"))
+        near = cut(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "near")
+        edges = verified(near, sets, least)
+        held = marked.where("large and not pivot").select("key", "id", "s1", "s2")
+        if last and pairs:
+            edges = edges.union(blockwise(marked.where("large"), found.where(F.col("n") > SMALL), sets, least)).distinct()
+        edges = cut(edges, "edges")
         degrees, before = edges.select(F.col("a").alias("id")).union(edges.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("deg")), pairs
         named = edges.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         named = cut(named, "named")
