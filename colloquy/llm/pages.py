@@ -263,7 +263,10 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 
 
 def template_lines(table: DataFrame) -> DataFrame:
-    """row and template: the lines of each parsed page that its neighbours by URL show to be template."""
+    """row and template: the lines of each parsed page that its neighbours by URL show to be template.
+
+    Pages without a loose line have none that could go; they are neighbours like all others, but are not asked about.
+    """
     ship(table.sparkSession)
     keys = table.where("host <> ''").select("row", "host", "path", "lines", "loose", (F.size("at") > F.size("loose")).alias("main"), F.xxhash64("lines").alias("content"))
     paths = keys.groupBy("host", "path").agg(F.min(F.struct("content", "lines")).alias("c")).select("host", "path", "c.*")
@@ -271,7 +274,7 @@ def template_lines(table: DataFrame) -> DataFrame:
     places = ranked(classes, [F.asc("host"), F.asc("path"), F.asc("content")], "rank")
     near = lambda step, name: places.select((F.col("rank") + step).alias("rank"), F.struct("host", "path", "content", "lines").alias(name))
     met = places.select("host", "content", "rank").join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left").drop("rank")
-    asked = keys.join(paths.select("host", "path", F.col("content").alias("stands")).join(met.withColumnRenamed("content", "stands"), ["host", "stands"]), ["host", "path"])
+    asked = keys.where(F.size("loose") > 0).join(paths.select("host", "path", F.col("content").alias("stands")).join(met.withColumnRenamed("content", "stands"), ["host", "stands"]), ["host", "path"])
     other = lambda n: F.when((F.col(n)["host"] == F.col("host")) & (F.col(n)["path"] != F.col("path")) & (F.col(n)["content"] != F.col("content")), F.col(n)["lines"])
 
     def differ(batches: Iterator[tuple]) -> Iterator[pd.Series]:
@@ -283,9 +286,11 @@ def template_lines(table: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Every page with text (blocks joined by an empty line), n_chars and n_template, the lines that were shared."""
+    """Every page with text (blocks joined by an empty line), n_chars and n_deleted, the lines deleted as shared."""
     table = parsed(pages, id_col, url_col, html_col)
-    both = table.select("row", F.col("id").alias(id_col), F.col("url").alias(url_col), "at", "loose", "packed").join(template_lines(table), "row", "left")
+    held = table.select("row", F.col("id").alias(id_col), F.col("url").alias(url_col), "at", "loose", "packed")
+    open_ = F.size("loose") > 0
+    both = held.where(open_).join(template_lines(table), "row", "left").unionByName(held.where(~open_).withColumn("template", F.lit(None).cast("array<int>")))
 
     def kept(batches: Iterator[tuple]) -> Iterator[pd.Series]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -298,7 +303,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pd.Series(made)
 
     text = F.pandas_udf(kept, "string", F.PandasUDFType.SCALAR_ITER)("at", "loose", "packed", "template")
-    return both.withColumn("text", text).select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), F.greatest(F.size("template"), F.lit(0)).alias("n_template"))
+    return both.withColumn("text", text).select(id_col, url_col, "text", F.length("text").cast("long").alias("n_chars"), F.greatest(F.size(F.array_intersect("template", "loose")), F.lit(0)).alias("n_deleted"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
