@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.operators import exchange
-from colloquy.plans import assorted, cycles, exchanges, folds, graphs_terms, judging, live, naming, reporting, spending, writes
+from colloquy.plans import assorted, cycles, exchanges, folds, graphs_terms, judging, live, naming, reporting, spending, summaries, writes
 from colloquy.sources.domain import turns
 
-FAMILIES = (exchanges, folds, spending, naming, judging, graphs_terms, reporting, writes, live, assorted, cycles)
+FAMILIES = (exchanges, folds, spending, naming, judging, graphs_terms, reporting, writes, live, assorted, cycles, summaries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

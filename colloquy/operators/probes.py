@@ -188,3 +188,75 @@ def secret_status(settings: DataFrame) -> DataFrame:
     """name, is_set and hint (the last four characters of long values) of each setting, never its value."""
     value = F.trim(F.coalesce("value", F.lit("")))
     return settings.select("name", (value != "").alias("is_set"), F.when(F.length(value) >= 12, F.concat(F.lit("..."), F.right(value, F.lit(4)))).alias("hint"))
+
+
+def last_days(rows: DataFrame, day: str, days: int = 14) -> DataFrame:
+    """Rows of the last so many days up to the newest one. day: a date or its text."""
+    newest = rows.agg(F.max(F.col(day).cast("date")).alias("_newest"))
+    return rows.join(F.broadcast(newest)).where(F.col(day).cast("date") > F.date_sub("_newest", days)).drop("_newest")
+
+
+def bucket_accuracy(rows: DataFrame) -> DataFrame:
+    """Per bucket the mean over seeds of the share that was right, and its deviation. rows: bucket, seed, correct."""
+    one = rows.groupBy("bucket", "seed").agg(F.avg(F.col("correct").cast("double")).alias("a"))
+    return one.groupBy("bucket").agg(F.avg("a").alias("accuracy"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("a")).alias("sd"), F.count(F.lit(1)).alias("seeds"))
+
+
+def known_level(level: Column, levels: tuple[str, ...]) -> Column:
+    """A level of the catalogue, the lowest for anything else: comprehension is never credited by mistake."""
+    clean = F.lower(F.trim(level))
+    return F.when(clean.isin(*levels), clean).otherwise(levels[0])
+
+
+def without_fixtures(rows: DataFrame, origin: str = "origin", fixture: str = "fixture") -> tuple[DataFrame, DataFrame]:
+    """Rows that are no fixtures (an unknown origin is none), and one row: how many were kept and how many excluded."""
+    real = ~F.coalesce(F.col(origin) == fixture, F.lit(False))
+    return rows.where(real), rows.agg(F.count_if(real).alias("kept"), F.count_if(~real).alias("excluded"))
+
+
+def materials_of(materials: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Material of each concept, newest first. materials: material_id, generated_at; bridge: material_id, concept_id."""
+    w = Window.partitionBy("concept_id").orderBy(F.desc("generated_at"), F.desc("material_id"))
+    return bridge.distinct().join(materials, "material_id").withColumn("place", F.row_number().over(w).cast("long")).select("concept_id", "material_id", "place")
+
+
+def resolvable(sessions: DataFrame, kept: DataFrame) -> DataFrame:
+    """Whether a copy of each session is kept."""
+    return sessions.join(kept.select("session_id").distinct().withColumn("_kept", F.lit(True)), "session_id", "left").select("session_id", F.col("_kept").isNotNull().alias("resolvable"))
+
+
+def extractor_union(lists: list[DataFrame], unit: str) -> DataFrame:
+    """Terms of several extractors as one list a unit: in the order of the extractors, then of their own lists.
+
+    lists: frames of unit, term and place.
+    """
+    every = lists[0].select(unit, "term", F.struct(F.lit(0).alias("e"), F.col("place").alias("p")).alias("at"))
+    for k, more in enumerate(lists[1:], 1):
+        every = every.unionByName(more.select(unit, "term", F.struct(F.lit(k).alias("e"), F.col("place").alias("p")).alias("at")))
+    first = every.groupBy(unit, "term").agg(F.min("at").alias("at"))
+    return first.select(unit, "term", F.row_number().over(Window.partitionBy(unit).orderBy("at")).cast("long").alias("place"))
+
+
+def undone(judgments: DataFrame, key: str, order: str, at: str, is_undo: Column, seconds: int) -> DataFrame:
+    """Of each answer whether the next event of its key takes it back, within so many seconds."""
+    w = Window.partitionBy(key).orderBy(order)
+    near = F.timestamp_diff("SECOND", F.col(at), F.lead(at).over(w)) <= seconds
+    staged = judgments.withColumn("_undo", is_undo)
+    return staged.withColumn("undone", F.coalesce(F.lead("_undo").over(w) & near, F.lit(False))).where("not _undo").select(key, order, "undone")
+
+
+def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
+    """stage_no, stage, n: how many are left at each stage, a row each."""
+    out = None
+    for k, (name, rows) in enumerate(stages):
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).cast("long").alias("stage_no"), F.lit(name).alias("stage"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def read_model(concepts: DataFrame, encounters: DataFrame) -> DataFrame:
+    """Each concept with its encounters below it, newest first. encounters: concept_id, event_id, judgment (null: waiting)."""
+    child = F.struct("event_id", F.coalesce("judgment", F.lit("waiting")).alias("judgment"))
+    nested = encounters.groupBy("concept_id").agg(F.sort_array(F.collect_list(child), asc=False).alias("children"), F.count_if(F.col("judgment").isNull()).alias("waiting"))
+    joined = concepts.join(nested, "concept_id", "left")
+    return joined.select(*concepts.columns, F.coalesce("waiting", F.lit(0).cast("long")).alias("waiting"), F.coalesce("children", F.array().cast("array<struct<event_id:bigint,judgment:string>>")).alias("children"))
