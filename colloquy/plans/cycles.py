@@ -118,7 +118,7 @@ QUERIES = {
     "session_shapes": lambda s, d: P.session_shapes(turns(s, d)),
     "old_pairing": lambda s, d: P.old_pairing(turns(s, d)),
     "next_waiting": lambda s, d: P.next_waiting(log(s, d).where(REC).select("key", F.col("k").alias("concept_id"), "event_id").join(D.latest_judgment(log(s, d)), "key", "left")),
-    "opportunity_rates": lambda s, d: P.opportunity_rates(log(s, d).select(F.col("event_type").alias("source"), (F.col("k") % 5).alias("unit"), F.col("key").alias("session_id")), log(s, d).select(F.col("event_type").alias("source"), F.col("key").alias("session_id"))),
+    "umbrella_opportunity_rates": lambda s, d: P.opportunity_rates(log(s, d).select(F.col("event_type").alias("source"), (F.col("k") % 5).alias("unit"), F.col("key").alias("session_id")), log(s, d).select(F.col("event_type").alias("source"), F.col("key").alias("session_id"))),
     "shortlist_hit": lambda s, d: P.shortlist_hit(ranked(s, d), log(s, d).select(F.concat(F.lit("key:"), text_of("key")).alias("a"), F.concat(F.lit("k:"), text_of("k")).alias("b")).distinct()),
     "title_state": lambda s, d: P.title_state(parts(s, d).select(F.concat("p_name", F.lit("s")).alias("term")).distinct(), parts(s, d).groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(F.when(F.col("k") % 2 == 0, F.initcap("p_name")).otherwise(F.concat("p_name", F.lit("z"))).alias("title"), F.when(F.col("k") % 4 == 0, "disambiguation").otherwise("article").alias("state"))),
     "in_repo": lambda s, d: P.in_repo(parts(s, d).select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_brand")).alias("repo"), F.concat("p_name", F.lit("s")).alias("term")), parts(s, d).where("p_size > 25").select(F.col("p_brand").alias("repo"), F.concat(F.lit("the "), "p_name", F.lit(" of "), F.lower("p_type")).alias("text"))),
@@ -159,7 +159,7 @@ ORACLE_SQL = {
  SELECT session_id, turns, human, assistant, sidechain, coalesce(windows, 0) AS windows, coalesce(unpaired, 0) AS unpaired, CAST(coalesce(biggest, 0) AS BIGINT) AS biggest_human FROM c LEFT JOIN w USING (session_id)""",
     "old_pairing": f"WITH {TURNS_SQL} SELECT session_id, line_no AS assistant_line, (SELECT min(h.line_no) FROM turns h WHERE h.session_id = a.session_id AND h.line_no > a.line_no AND h.role = 'user' AND NOT h.is_meta) AS human_line FROM turns a WHERE role = 'assistant'",
     "next_waiting": f"WITH {LOG_SQL}, {JUDGMENT_SQL}, e AS (SELECT k, event_id, judgment FROM log LEFT JOIN judgments USING (key) WHERE {REC}), c AS (SELECT k, max(event_id) AS met, min(CASE WHEN judgment IS NULL THEN event_id END) AS event_id FROM e GROUP BY k) SELECT k AS concept_id, event_id FROM c WHERE event_id IS NOT NULL ORDER BY met DESC, k LIMIT 1",
-    "opportunity_rates": f"WITH {LOG_SQL}, w AS (SELECT event_type, count(DISTINCT key) AS whole FROM log GROUP BY event_type), u AS (SELECT event_type, k % 5 AS unit, count(*) AS n, count(DISTINCT key) AS sessions FROM log GROUP BY ALL) SELECT event_type AS source, unit, n, sessions, sessions / whole AS rate FROM u JOIN w USING (event_type)",
+    "umbrella_opportunity_rates": f"WITH {LOG_SQL}, w AS (SELECT event_type, count(DISTINCT key) AS whole FROM log GROUP BY event_type), u AS (SELECT event_type, k % 5 AS unit, count(*) AS n, count(DISTINCT key) AS sessions FROM log GROUP BY ALL) SELECT event_type AS source, unit, n, sessions, sessions / whole AS rate FROM u JOIN w USING (event_type)",
     "shortlist_hit": f"WITH {LOG_SQL}, b AS (SELECT key, k, count(*) AS n FROM log GROUP BY ALL), r AS (SELECT key, k, row_number() OVER (PARTITION BY key ORDER BY n DESC, k) AS x, row_number() OVER (PARTITION BY k ORDER BY n DESC, key) AS y FROM b) SELECT 'key:' || key AS a, 'k:' || k AS b, nullif(least(CASE WHEN x <= 12 THEN x ELSE 99 END, CASE WHEN y <= 12 THEN y ELSE 99 END), 99) AS rank FROM r",
     "title_state": """WITH p AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name), t AS (SELECT p_name, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS cap, k FROM p)
  SELECT p_name || 's' AS term, CASE WHEN k % 2 <> 0 THEN 'missing' WHEN k % 4 = 0 THEN 'disambiguation' ELSE 'article' END AS state FROM t""",
