@@ -58,13 +58,13 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def links(points: DataFrame) -> DataFrame:
-    """Verified edges (a, b), a < b, between distinct fingerprints (column fp) at 2 or fewer differing bits.
+def links(points: DataFrame, bits: int = BITS) -> DataFrame:
+    """Verified edges (a, b), a < b, between distinct fingerprints (column fp) at 2 or fewer differing bits of the lowest so many.
 
     One edge joins every member of a ball's meeting point to the smallest there; members of one meeting point are
     within 2 bits of each other, so no connection is lost, and there are fewer edges than members.
     """
-    masks = F.array(*[F.lit(1 << k if k < BITS - 1 else -(1 << k)).cast("long") for k in range(BITS)])
+    masks = F.array(*[F.lit(1 << k if k < BITS - 1 else -(1 << k)).cast("long") for k in range(bits)])
     flips = F.transform(masks, lambda m: F.struct(F.col("fp").bitwiseXOR(m).alias("v"), m.alias("m")))
     own = F.array(F.struct(F.col("fp").alias("v"), F.lit(0).cast("long").alias("m")))
     spread = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a point becomes 65 rows
@@ -203,27 +203,18 @@ def band_meetings(sketched: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
 
 
-def ball_meetings(sketched: DataFrame, labels: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
-    """(key, id) of all that meet in a ball of any table, where not all that meet have one label already.
+def ball_meetings(sketched: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """(key, id) of all whose fingerprints hang together in a table by steps of 2 or fewer bits.
 
-    A node is (table, fingerprint); only distinct nodes have balls, and only meetings of several labels get their ids.
+    A node is (table, fingerprint). Distinct nodes emit their balls and are linked where these meet; the nodes that hang
+    together are one meeting, so an id comes once a table, however many points its ball shares with others'.
     """
-    own_bit = 1 << bits
-    nodes = sketched.select("id", F.posexplode("tables").alias("t", "f")).select("id", (F.col("t") * F.lit(own_bit) + F.col("f")).alias("node"))
-    nodes = cut(nodes.join(labels, "id"), "nodes")
-    spans = cut(nodes.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "spans")
-    spread = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = F.array(*[F.lit(1 << k).cast("long") for k in range(bits)])
-    flips = F.transform(masks, lambda m: F.struct(F.col("node").bitwiseXOR(m).alias("v"), m.alias("m")))
-    own = F.array(F.struct(F.col("node").alias("v"), F.lit(own_bit).cast("long").alias("m")))
-    met = spans.select("node").repartition(spread, "node").select(F.inline(F.concat(own, flips))).groupBy("v").agg(F.bit_or("m").alias("m")).where(F.bit_count("m") > 1)
-    members = F.concat(F.when(F.col("m") >= own_bit, F.array("v")).otherwise(F.array().cast("array<long>")), F.transform(F.filter(masks, lambda m: F.col("m").bitwiseAND(m) != 0), lambda m: F.col("v").bitwiseXOR(m)))
-    met = cut(met.select("v", F.explode(members).alias("node")).join(spans, "node"), "met")
-    mixed = met.groupBy("v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("v")
-    # a node of several labels is a meeting itself, whether or not another is near
-    alone = spans.where("lo < hi").select((-F.col("node") - 1).alias("key"), "node")
-    asked = met.join(mixed, "v", "left_semi").select(F.col("v").alias("key"), "node").union(alone)
-    return asked.join(nodes.select("node", "id"), "node").select("key", "id")
+    nodes = cut(sketched.select("id", F.posexplode("tables").alias("t", "f")).select("id", (F.col("t") * F.lit(1 << bits) + F.col("f")).alias("fp")), "nodes")
+    points = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "nodes")
+    linked = components(points.select("fp", F.col("fp").alias("id")), links(points.select("fp"), bits))
+    found = cut(points.join(linked, "fp"), "linked")
+    several = found.groupBy("label").agg(F.sum("n").alias("n")).where("n > 1").select("label")
+    return nodes.join(found.join(several, "label", "left_semi").select("fp", "label"), "fp").select(F.col("label").alias("key"), "id")
 
 
 def verified(near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -359,7 +350,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
         return settle(meetings, labels, light, sets, least)
 
     labels = settled(band_meetings(sketched), labels)
-    labels = settled(ball_meetings(sketched, labels, bits), labels)
+    labels = settled(ball_meetings(sketched, bits), labels)
     named = labels.join(classes.select(F.col("class").alias("id"), "h", "first"), "id")
     order = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("h"))
     heads = named.groupBy("label").agg(F.min(order).alias("head"))
