@@ -127,9 +127,9 @@ BANDS, BAND_ROWS = 16, 4
 #: deviation; a pair at exactly 0.8 differs in more with a probability of 1e-6.
 SKETCH_SLACK = 30
 #: Members of a meeting up to which all pairs are compared at once; and members of a block, where larger ones are left.
-SMALL, GRID = 32, 128
+SMALL, GRID = 32, 512
 #: Shingles of a cell that are looked at at once.
-COLUMNS = 1 << 13
+COLUMNS = 1 << 12
 #: Rounds of pivots at most, before what is still left is compared pair by pair in blocks.
 PIVOT_ROUNDS = 6
 _RANDOM = np.random.default_rng(301)
