@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import bitplanes, decision_list, entropy_mix, external_shuffle, imatch, license_scan, pages, simhash, transducer, url_rules
+from colloquy.llm import bitplanes, decision_list, entropy_mix, external_shuffle, imatch, license_scan, pages, simhash, token_counts, transducer, url_rules
 
 QUERIES = {
     "op1_page_differencing": pages.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_external_shuffle": external_shuffle.op8,
     "op9_simhash": simhash.op9,
     "op10_imatch": imatch.op10,
+    "op11_token_counts": token_counts.op11,
 }
 
 #: Learned lists, merges, majority bits, planes and shuffles have no SQL form; tests/llm holds those to brute force.
