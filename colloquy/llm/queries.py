@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import bitplanes, decision_list, entropy_mix, external_shuffle, imatch, license_scan, pages, phrases, simhash, token_counts, transducer, url_rules
+from colloquy.llm import bitplanes, decision_list, entropy_mix, external_shuffle, imatch, license_scan, pages, phrases, simhash, token_counts, transducer, turn_trie, url_rules
 
 QUERIES = {
     "op1_page_differencing": pages.op1,
@@ -17,7 +17,8 @@ QUERIES = {
     "op10_imatch": imatch.op10,
     "op11_token_counts": token_counts.op11,
     "op12_phrase_collocations": phrases.op12,
+    "op13_turn_trie": turn_trie.op13,
 }
 
 #: Learned lists, merges, majority bits, planes and shuffles have no SQL form; tests/llm holds those to brute force.
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql(), "op12_phrase_collocations": phrases.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql(), "op12_phrase_collocations": phrases.oracle_sql(), "op13_turn_trie": turn_trie.oracle_sql()}
