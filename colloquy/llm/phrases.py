@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from colloquy.llm.common import cut, ranked, read
 from colloquy.shipping import ship
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of text whose runs meet in one block of the sketch.
 BLOCK_BYTES = 16 << 20
 #: What ends a piece, and what parts words besides the space.
@@ -171,24 +171,29 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, text_col:
     def rows(lang: str, sizes: np.ndarray, names: list[str], found: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(names), pa.string()), "words": pa.array(sizes, pa.int32()), "phrase": pa.array(names, pa.string()), "f": pa.array(found, pa.int64())})
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequent(runs: Runs, chosen: np.ndarray) -> tuple[list[str], list[int]]:
         import ahocorasick
 
-        for shard in (shard for batch in batches for shard in zip(*batch.columns, strict=True)):
-            lang, body, blocks = (x.as_py() for x in shard)
-            runs = Runs(lang, body, longest, cell_bits)
-            yield rows(lang, np.ones(len(runs.words) - 1), [w.decode() for w in runs.words[1:]], np.bincount(runs.ids, minlength=len(runs.words))[1:])
-            reached = np.concatenate([np.zeros(0, "u1"), *[np.unpackbits(np.frombuffer(b["bits"], "u1"), count=b["n"]) for b in blocks or ()]])
-            chosen = np.flatnonzero(reached[runs.cell_of])
-            if not len(chosen):
-                continue
-            phrases = [runs.phrase(k).decode() for k in chosen]
-            automaton = ahocorasick.Automaton()
-            for k, phrase in enumerate(phrases):
-                automaton.add_word(f" {phrase} ", k)
-            automaton.make_automaton()
-            counted = Counter(map(itemgetter(1), automaton.iter(f" {b' '.join(runs.tokens).decode()} ")))
-            yield rows(lang, runs.lengths[chosen], phrases, [counted[k] for k in range(len(phrases))])
+        phrases = [runs.phrase(k).decode() for k in chosen]
+        automaton = ahocorasick.Automaton()
+        for k, phrase in enumerate(phrases):
+            automaton.add_word(f" {phrase} ", k)
+        automaton.make_automaton()
+        counted = Counter(map(itemgetter(1), automaton.iter(f" {b' '.join(runs.tokens).decode()} ")))
+        return phrases, [counted[k] for k in range(len(phrases))]
+
+    def counts(lang: str, body: bytes, blocks: list | None) -> Iterator[pa.RecordBatch]:
+        runs = Runs(lang, body, longest, cell_bits)
+        yield rows(lang, np.ones(len(runs.words) - 1), [w.decode() for w in runs.words[1:]], np.bincount(runs.ids, minlength=len(runs.words))[1:])
+        reached = np.concatenate([np.zeros(0, "u1"), *[np.unpackbits(np.frombuffer(b["bits"], "u1"), count=b["n"]) for b in blocks or ()]])
+        chosen = np.flatnonzero(reached[runs.cell_of])
+        if len(chosen):
+            yield rows(lang, runs.lengths[chosen], *frequent(runs, chosen))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in zip(*batch.columns, strict=True):
+                yield from counts(*(x.as_py() for x in shard))  # one shard's arrays and automaton are gone before the next
 
     found = packs.join(masks, "shard", "left").select("lang", "body", "blocks").mapInArrow(scan, COUNTS)
     return found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 1) | (F.col("f") >= least))
