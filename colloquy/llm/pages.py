@@ -49,26 +49,40 @@ CLOSES = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd"
 NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus footer gdpr header masthead menu nav navbar navigation newsletter notice pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary contentinfo search".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: One attribute after the other, each by its whole name.
+ATTR = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACES = re.compile(r"\s+")
 
 
-#: Of those, words that count on a main element too, and words beside which those of MILD name a part of the text.
+#: Of those, words that count on a main element too; words beside which those of MILD name a part of the text.
 ASIDE = frozenset("ad ads advert advertisement comment comments discussion promo promoted related replies reply sponsored".split())
 HEADING = frozenset("article body content entry page post results story text title".split())
-MILD = frozenset("banner header notice search share toolbar".split())
-
-
-def declared(attrs: str, main: bool = False) -> bool:
-    """The attributes say that this is not content. main: of an article or main element, whose names are mostly layout."""
+MILD = frozenset("banner header".split())
+#: Words that name something else on an inline element: marked words, notes, code.
+INLINE = frozenset("ad ads banner comment comments discussion header menu notice related reply respond search widget".split())
+#: Controls that stand inside a line.
+CONTROLS = frozenset("button label".split())
+#: Related work, as a part of a text.
+STUDIES = re.compile(r"\brelated[^a-z]+(?:works?|research|literature|studies)\b")
+
+
+def declared(attrs: str, element: str = "div") -> bool:
+    """The attributes say that this is not content; names of an article or main element are mostly layout."""
+    main, inline = element in MAIN, element not in BLOCKS
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if name in ("class", "id", "role"):
-            said = set(re.split(r"[^a-z]+", value))
+            said = set(re.split(r"[^a-z]+", STUDIES.sub(" ", value)))
             if said & HEADING:
                 said -= MILD
+            if said & {"result", "results"}:
+                said.discard("search")
+            if element in ("section", "article"):
+                said.discard("discussion")
+            if inline:
+                said -= INLINE
             if said & (ASIDE if main else NAMES):
                 return True
     return False
@@ -80,23 +94,28 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         return []
     out: list[tuple[str, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, int]] = []  # (element, kind inside)
+    stack: list[tuple[str, int, int]] = []  # (element, kind inside, kind of the block around it)
     opened: Counter[str] = Counter()  # how often each element is on the stack
-    kind = 0
+    kind = base = 0
+    endless: set[str] = set()  # raw elements that no closing tag follows any more
 
     def close() -> None:
         joined = SPACES.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         if joined:
-            out.append((joined, kind))
+            out.append((joined, base))
+
+    def add(part: str) -> None:
+        if kind == base:  # else inside an inline element that is not content
+            text.append(part)
 
     at, end = 0, len(page)
     while at < end:
         m = TAG.search(page, at)
         if m is None:
-            text.append(page[at:])
+            add(page[at:])
             break
-        text.append(page[at : m.start()])
+        add(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -108,16 +127,20 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 while (gone := stack.pop()[0]) != name:
                     opened[gone] -= 1
                 opened[name] -= 1
-                kind = stack[-1][1] if stack else 0
+                kind, base = stack[-1][1:] if stack else (0, 0)
             continue
         if name == "br":
             text.append(" ")
             continue
         if name in RAW:
             if name in ("head", "title") or not m[3].endswith("/"):
-                close_at = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if name == "head" and close_at is None:
+                close_at = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if close_at is None:
+                    endless.add(name)
+                if name == "head" and close_at is None and "body" not in endless:
                     close_at = re.compile(r"(?=<body)", re.I).search(page, at)
+                    if close_at is None:
+                        endless.add("body")
                 at = close_at.end() if close_at else (end if name in OPAQUE else at)
             text.append(" ")
             continue
@@ -125,17 +148,19 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             close()
             while stack and name in CLOSES.get(stack[-1][0], ()):
                 opened[stack.pop()[0]] -= 1
-            kind = stack[-1][1] if stack else 0
+            kind, base = stack[-1][1:] if stack else (0, 0)
         if name in VOID or m[3].endswith("/"):
             continue
         if kind != 2:
             # an article may have a header of its own; its heading is content
             inside = kind == 1 and name == "header"
-            if (name in CHROME and not inside and name != "figcaption") or name not in ("html", "body") and not inside and declared(m[3], name in MAIN):
+            if (name in CHROME and not inside and name != "figcaption") or name in CONTROLS or name not in ("html", "body") and not inside and declared(m[3], name):
                 kind = 2
             elif name in MAIN and kind == 0:
                 kind = 1
-        stack.append((name, kind))
+        if name in BLOCKS:
+            base = kind
+        stack.append((name, kind, base))
         opened[name] += 1
     close()
     return out
