@@ -127,7 +127,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
     spark = docs.sparkSession
     own = ("size", "source_size", "target", "rate", "copies", "taken")
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"), F.size(words(text_col)).cast("long").alias("size"))
-    sized = cut(sized, "sizes")
+    sized = cut(sized.withColumn("_n", F.monotonically_increasing_id()), "sizes")  # _n tells equal rows apart, from here on
     counts = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "counts")
     sums = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("rows"))
     few = counts.select("source").distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
@@ -145,11 +145,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
     rate = F.when(F.col("size") == 0, 0.0).otherwise(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(cap)))))
     rate = F.when(F.col("lam") == HUGE, F.lit(float(cap))).when(F.col("lam") == -HUGE, 0.0).otherwise(rate)
     rated = sized.join(known, same).withColumn("rate", F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate))
-    over = Window.partitionBy("source", F.pmod("_h", "blocks")).orderBy(F.desc("size"), "_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy("source", F.pmod("_h", "blocks")).orderBy(F.desc("size"), "_h", "_id", "_n").rowsBetween(Window.unboundedPreceding, 0)
     start = F.pmod(F.xxhash64(F.lit(seed), "source", F.pmod("_h", "blocks")), F.lit(1 << 20)) / F.lit(1 << 20)
     part = F.col("rate") - F.floor("rate")
     sofar = F.sum(part).over(over) + start
-    rounded = rated.withColumn("_c", sofar).withColumn("_p", part).select("_id", "_h", "source", "size", "source_size", "target", "rate", (F.floor("rate") + F.floor("_c") - F.floor(F.col("_c") - F.col("_p") + 1e-12)).alias("copies"))
+    rounded = rated.withColumn("_c", sofar).withColumn("_p", part).select("_id", "_h", "_n", "source", "size", "source_size", "target", "rate", (F.floor("rate") + F.floor("_c") - F.floor(F.col("_c") - F.col("_p") + 1e-12)).alias("copies"))
     rounded = rounded.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(cap), F.col("copies"))).cast("long"))
     held = cut(rounded, "copies")
 
@@ -157,24 +157,42 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
         now = held.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap")).where("abs(gap) >= 1").select(F.col("source").alias("s"), "gap")
         left = local_rows(spark, [tuple(r) for r in now.collect()], "s string, gap double") if few else now
         able = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap")) & F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-        best = held.join(left, same).where(able).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("miss"), "_h", "_id", F.signum("gap").cast("long").alias("step"))).alias("b"))
-        best = best.select(F.col("source").alias("s"), F.col("b._h").alias("ph"), F.col("b.step").alias("step"))
-        picked = local_rows(spark, [tuple(r) for r in best.collect()], "s string, ph long, step long") if few else cut(best, "picked")
+        best = held.join(left, same).where(able).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("miss"), "_h", "_id", "_n", F.signum("gap").cast("long").alias("step"))).alias("b"))
+        best = best.select(F.col("source").alias("s"), F.col("b._n").alias("pn"), F.col("b.step").alias("step"))
+        picked = local_rows(spark, [tuple(r) for r in best.collect()], "s string, pn long, step long") if few else cut(best, "picked")
         if picked.isEmpty():
             break
-        held = held.join(picked, same & (F.col("_h") == F.col("ph")), "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("s", "ph", "step")
+        held = held.join(picked, same & (F.col("_n") == F.col("pn")), "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("s", "pn", "step")
         held = held if few else cut(held, "copies")
     out = held.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(F.col("_id").alias(id_col), F.col("source").alias(source_col), "_h", *own)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, **settings) -> DataFrame:
-    """The documents as the mix has them: each as many times as its copies, with the columns of the input."""
-    plan = mix(docs, seed=seed, **settings)
-    chosen = plan.where("copies > 0").groupBy("_h").agg(F.max("copies").cast("int").alias("_copies"))
+    """The documents as the mix has them: each as many times as its copies, with the columns of the input.
+
+    Rows equal in id, text and source share what the mix gave them: each takes the same number of copies, and as many
+    of them as are left over take one more. Only rows of groups with such a rest are numbered, part by part, so a group
+    of any size is many tasks.
+    """
+    id_col, text_col, source_col = (settings.get(f"{x}_col", d) for x, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    plan = mix(docs, seed=seed, **settings).groupBy("_h", F.col(source_col).alias("_source")).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    shares = plan.where("_all > 0").select("_h", "_source", F.expr("_all div _rows").cast("int").alias("_copies"), (F.col("_all") % F.col("_rows")).alias("_rest"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_h"), row.alias("_row")).join(chosen, "_h")
-    return keyed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
+    keyed = docs.select(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), F.col(source_col).alias("s"), row.alias("_row"))
+    met = keyed.join(shares, (F.col("h") == F.col("_h")) & F.col("s").eqNullSafe(F.col("_source"))).select("_h", "_source", "_row", "_copies", "_rest")
+    even, rest = met.where("_rest = 0"), met.where("_rest > 0")
+    if not shares.where("_rest > 0").isEmpty():
+        placed = cut(rest.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "rest")
+        group = ["_h", "_source"]
+        held = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+        ahead = held.select(*group, "_part", (F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")).alias("_ahead"))  # a row a part
+        own = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_at"))
+        p, q = placed.withColumn("_own", own).alias("p"), ahead.alias("q")
+        joined = p.join(q, (F.col("p._h") == F.col("q._h")) & F.col("p._source").eqNullSafe(F.col("q._source")) & (F.col("p._part") == F.col("q._part")))
+        more = F.col("_copies") + (F.col("_own") + F.col("_ahead") <= F.col("_rest")).cast("int")
+        even = even.select("_row", "_copies").union(joined.select("_row", more.alias("_copies")).where("_copies > 0"))
+    return even.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
