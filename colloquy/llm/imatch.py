@@ -8,9 +8,8 @@ each; LEVELS neighbouring thinnings are kept, so that texts up to some 2**(LEVEL
 compared at the thinning of the longer. Likeness is the share of equal hashes among sub-lexicons that either text has
 terms in.
 
-Where the lexicon is held as a bitmap of hashed terms it has at least 16 bits a term, 64 where 2**MOST_BITS bits allow
-it: a term outside the band then passes with a probability of at most 1/16 (1/64), always the same terms for all
-documents. A lexicon too large for that is joined to the documents' terms instead, exactly.
+A lexicon of up to MOST_TERMS terms is a literal of the plan: hash buckets whose entries are compared whole. A larger one
+is joined to the documents' terms instead. Both are exact, so how large the lexicon is changes the plan and no result.
 
 Defined cases: null and empty texts have no terms and the fingerprint of an empty text (likeness 1 to each other, 0 to
 any other); a text without a term in the band uses all its terms; equal texts have equal fingerprints; equal ids are
@@ -28,8 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colloquy.llm.common import cut, let, lower_ascii, parts, ranked, text_of, words
 
 GROUPS, LEVELS = 32, 4
-#: Bits of the largest bitmap: 2 MB, a literal of the plan.
-MOST_BITS = 24
+#: Terms of the largest literal, some 2 MB of numbers and as many buckets.
+MOST_TERMS = 1 << 18
 #: The band, as powers of the number of documents: terms in more than N**0.3 and at most N**0.7 documents.
 BAND = (0.3, 0.7)
 
@@ -41,17 +40,17 @@ def terms(text: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """The terms (hashes) of the band: as a table, and as a literal of 2**bits / 64 longs if that is large enough."""
+    """The terms (hashes) of the band: as a table, and as a literal of 2**bits hash buckets if they are few enough."""
 
     table: DataFrame
-    bits: int | None
-    bitmap: Column | None
+    bits: int
+    buckets: Column | None
 
     def held(self, df: DataFrame, texts: dict[str, str]) -> DataFrame:
         """df with an array column of the terms of each text that are in the lexicon. texts: new name -> text column."""
-        if self.bitmap is not None:
+        if self.buckets is not None:
             mask = F.lit((1 << self.bits) - 1)
-            inside = lambda t: F.getbit(F.get(self.bitmap, F.shiftright(t.bitwiseAND(mask), 6).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")) == 1
+            inside = lambda t: F.array_contains(F.get(self.buckets, t.bitwiseAND(mask).cast("int")), t)
             return df.withColumns({name: F.filter(terms(text), inside) for name, text in texts.items()})
         rows = cut(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
         for name, text in texts.items():
@@ -60,18 +59,18 @@ class Lexicon:
         return rows.drop("_row")
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND, most_bits: int = MOST_BITS) -> Lexicon:
+def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND, most_terms: int = MOST_TERMS) -> Lexicon:
     n = docs.count()
     counted = docs.select(F.explode(terms(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     table = cut(counted.where((F.col("df") > n ** band[0]) & (F.col("df") <= max(2.0, n ** band[1]))).select("term"), "lexicon")
     size = table.count()
-    bits = max(6, min(most_bits, (64 * size).bit_length()))
-    if 16 * size > 1 << bits:
-        return Lexicon(table, None, None)
-    at = F.col("term").bitwiseAND(F.lit((1 << bits) - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    used = {r["w"]: r["m"] for r in table.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(bit).alias("m")).collect()}  # 262,144 rows at most
-    return Lexicon(table, bits, F.from_json(F.lit(json.dumps([used.get(k, 0) for k in range(1 << (bits - 6))])), "array<bigint>"))
+    bits = max(1, size.bit_length())
+    if size > most_terms:
+        return Lexicon(table, bits, None)
+    buckets: list[list[int]] = [[] for _ in range(1 << bits)]
+    for r in table.collect():  # most_terms numbers at most
+        buckets[r["term"] & ((1 << bits) - 1)].append(r["term"])
+    return Lexicon(table, bits, F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>"))
 
 
 def fingerprint(text: Column | str, held: Column | str) -> Column:
@@ -113,13 +112,13 @@ def likeness(x: Column, y: Column) -> Column:
     return F.when(F.abs(apart) < LEVELS, share).otherwise(0.0).cast("double")
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND, most_bits: int = MOST_BITS) -> DataFrame:
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND, most_terms: int = MOST_TERMS) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and likeness to that and to the next document.
 
     Neighbours in the order are found on (id, hash, length) alone; then whole texts are shuffled once and the half that
     each text lends to its neighbour once more.
     """
-    words_of = lexicon(docs, text_col, band, most_bits)
+    words_of = lexicon(docs, text_col, band, most_terms)
     first = -(1 << 63)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     keyed = rows.withColumns({"k": F.coalesce("doc_id", F.lit(first)), "h": F.xxhash64("text")})

@@ -263,17 +263,16 @@ def plain_likeness(x, y):
     return sum(used) / len(used) if used else float(x[1] == y[1])
 
 
-@pytest.mark.parametrize("most_bits", [24, 3])
-def test_op10(spark, tables, most_bits):
-    if most_bits == 24:
+@pytest.mark.parametrize("most_terms", [imatch.MOST_TERMS, 3])
+def test_op10(spark, tables, most_terms):
+    """The same answer whether the lexicon is a literal or joined."""
+    if most_terms == imatch.MOST_TERMS:
         got = rows_of(spark, "op10", tables, doc_id="bigint", n_chars="bigint", edited_sha256="string", fingerprint="string", edited_fingerprint="string", near_edited="double", near_next="double")
-    else:  # the lexicon is joined, not a bitmap
-        got = imatch.edited_likeness(spark.read.parquet(f"{tables}/documents.parquet"), most_bits=most_bits).collect()
+    else:
+        got = imatch.edited_likeness(spark.read.parquet(f"{tables}/documents.parquet"), most_terms=most_terms).collect()
     n, df = len(DOCS), collections.Counter(x for _, t, _ in DOCS for x in plain_terms(t))
     band = {x for x, k in df.items() if n**0.3 < k <= max(2.0, n**0.7)}
-    bits = max(6, min(24, (64 * len(band)).bit_length()))
-    held = {x & (1 << bits) - 1 for x in band}
-    inside = (lambda x: x & (1 << bits) - 1 in held) if most_bits == 24 else band.__contains__
+    inside = band.__contains__
     signed = lambda t: (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (h >> 63 << 64)
     order = sorted({(i, t or "") for i, t, _ in DOCS}, key=lambda x: (-x[0], signed(x[1]), len(x[1])))
     text = lambda fp: f"{fp[0]:02x}-" + "".join(f"{x:08x}" for x in fp[1])
