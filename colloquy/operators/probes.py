@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions import names as N
 from colloquy.operators import exchange as X, terms as T
 from colloquy.operators.dml import USER_ACTOR
-from colloquy.shipping import ship
-from colloquy.state import small
+from colloquy.state import cut, small
 
 #: Best first.
 TITLE_STATES = ("article", "disambiguation", "missing")
@@ -73,15 +69,11 @@ def title_state(terms: DataFrame, titles: DataFrame) -> DataFrame:
     return best.select("term", F.element_at(order, F.col("at").cast("int")).alias("state"))
 
 
-def stems(text: Column) -> Column:
-    return F.transform(T.clean_words(text), N.stem_token)
-
-
 def in_repo(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """Whether a term's stems stand in a run in its repository's texts; null without one. terms: id, repo, term; texts: repo, text."""
-    vocabulary = texts.select("repo", F.explode(T.ngrams(stems(F.col("text")))).alias("run")).distinct().withColumn("found", F.lit(True))
-    asked = terms.withColumn("run", F.array_join(stems(F.col("term")), " "))
-    return asked.join(vocabulary, ["repo", "run"], "left").select("id", "repo", "term", F.when(F.col("repo").isNotNull(), F.coalesce("found", F.lit(False))).alias("in_repo"))
+    asked = terms.withColumn("ws", T.stems(F.col("term")))
+    found = T.matched(asked.where("repo is not null"), texts.select("repo", T.stems(F.col("text")).alias("ws")), [], ("repo",)).distinct().withColumn("found", F.lit(True))
+    return asked.withColumn("run", F.array_join("ws", " ")).join(found, ["repo", "run"], "left").select("id", "repo", "term", F.when(F.col("repo").isNotNull(), F.coalesce("found", F.lit(False))).alias("in_repo"))
 
 
 def filter_chains(items: DataFrame, chains: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -96,32 +88,41 @@ def filter_chains(items: DataFrame, chains: dict[str, tuple[str, ...]]) -> DataF
     return rows.groupBy("extractor", "chain").agg(F.count_if("kept").alias("kept"), F.try_divide(F.count_if(F.col("kept") & F.col("is_gold")), gold).alias("recall"), F.try_divide(F.count_if("kept"), F.countDistinct(F.when(F.col("kept"), F.col("session_id")))).alias("mean_size"))
 
 
-def contained(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, most: int = 100_000) -> DataFrame:
-    """(id, term) for every term that is a substring of a text, case aside: one pass of an automaton over each text.
+#: Characters of a key gram, and of the pieces in which texts are searched.
+GRAM, PIECE = 3, 1_024
+
+
+def char_grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of so many characters; the text is taken apart once."""
+    none = F.array().cast("array<string>")
+    of = lambda cs, n: F.when(F.size(cs) >= n, F.transform(F.sequence(F.lit(1), F.size(cs) - n + 1), lambda i: F.array_join(F.slice(cs, i, F.lit(n)), ""))).otherwise(none)
+    return N.let(F.array_remove(F.split(text, ""), ""), lambda cs: F.array_distinct(F.concat(*[of(cs, n) for n in sizes])))
+
+
+def contained(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, most: int = 200_000) -> DataFrame:
+    """(id, term) for every text row and every term that is a substring of it, case aside. terms: term, any number of them.
 
-    terms: term, at most so many (the automaton is sent to every worker); more than that raise.
+    An inverted index on the rarest gram of each term: texts are cut into pieces that overlap by the longest term, term
+    grams are counted over the pieces, and each term is filed under its rarest one (a term with a gram that no piece has
+    is in no text). Pieces meet terms on that gram alone, and what meets is compared as a whole. Tables of up to ``most``
+    rows are broadcast; larger ones are joined by a shuffle.
     """
-    spark = texts.sparkSession
-    ship(spark)
-    held = [r.term for r in terms.select("term").where("term <> ''").distinct().limit(most + 1).collect()]
-    if len(held) > most:
-        raise ValueError(f"over {most} terms")
-    sent = spark.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton, spelled = ahocorasick.Automaton(), {}
-        for t in sent.value:
-            spelled.setdefault(t.lower(), []).append(t)
-        for low, ts in spelled.items():
-            automaton.add_word(low, ts)
-        automaton.make_automaton()
-        for some in batches:
-            yield pd.Series([sorted({t for _, ts in automaton.iter((x or "").lower()) for t in ts}) if spelled else [] for x in some])
-
-    found = F.pandas_udf(run, "array<string>", F.PandasUDFType.SCALAR_ITER)(F.col(text_col))
-    return texts.select(F.col(id_col).alias("id"), F.explode(found).alias("term"))
+    low = terms.where("term <> ''").select("term", F.lower("term").alias("low")).distinct()
+    found = low.agg(F.coalesce(F.max(F.length("low")), F.lit(1)).alias("longest"), F.collect_set(F.least(F.length("low"), F.lit(GRAM))).alias("sizes")).first()
+    longest, sizes = found["longest"], sorted(found["sizes"]) or [GRAM]
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+    parts = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{max(PIECE, longest)}}}"), 0)
+    pieces = N.let(parts, lambda ps: F.transform(ps, lambda p, k: F.concat(p, F.left(F.coalesce(F.get(ps, k + 1), F.lit("")), F.lit(longest - 1)))))
+    rows = cut(numbered.select("row", "id", F.posexplode(pieces).alias("n", "piece")), "pieces")
+    own = F.when(F.length("low") < GRAM, F.array("low")).otherwise(char_grams(F.col("low"), [GRAM]))
+    filed = low.select("low").distinct().select("low", F.explode(own).alias("gram"))
+    there = rows.select("row", "n", F.explode(char_grams(F.col("piece"), sizes)).alias("gram")).join(small(filed.select("gram").distinct(), most), "gram", "left_semi")
+    there = cut(there, "grams")
+    counts = there.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    rarest = filed.join(counts, "gram", "left").groupBy("low").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram")).alias("key")).where("key.seen > 0")
+    near = there.join(small(cut(rarest.select("low", "key.gram"), "rarest"), most), "gram").select("row", "n", "low")
+    met = rows.join(near, ["row", "n"]).where(F.contains("piece", F.col("low"))).select("row", "id", "low").distinct()
+    return met.join(small(low, most), "low").select("id", "term")
 
 
 def on_list(proposals: DataFrame, listed: DataFrame, key: str, term: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from colloquy.functions.names import let, stem_token
 from colloquy.state import small
 
 #: Words that end a phrase.
@@ -15,10 +16,16 @@ def clean_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
 
 
+def stems(text: Column) -> Column:
+    return let(clean_words(text), lambda ws: F.transform(ws, stem_token))
+
+
 def ngrams(ws: Column, most: int = LONGEST) -> Column:
-    """Every run of 1 to most words, joined by a space."""
+    """Every run of 1 to most words, joined by a space. The words are bound once, so a text is split once, not once a run."""
     sizes = F.array(*[F.lit(n) for n in range(1, most + 1)])
-    return F.flatten(F.transform(sizes, lambda n: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    of = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+    return let(ws, lambda w: F.flatten(F.transform(sizes, lambda n: of(w, n))))
 
 
 def phrases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,14 +62,52 @@ def c_value(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return freq.join(nested, "phrase", "left").select("phrase", "f", (F.log2(F.size(ws) + 1.0) * (F.col("f") - F.coalesce("mean", F.lit(0.0)))).alias("c_value"))
 
 
-def mentions(terms: DataFrame, docs: DataFrame, id_col: str, text_col: str, most: int = LONGEST) -> DataFrame:
-    """How often each term (of at most so many words) occurs in each text: an equi join on word runs. terms: term.
+def matched(asked: DataFrame, texts: DataFrame, keep: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Every place of a text at which an asked run of words stands: keep, by, run. asked and texts: ws (array of words) and by.
+
+    Two lookups on the small side come before any run is made: a place goes on only if its word begins an asked run, and
+    then makes only the runs of the lengths that are asked for after that word. So the work follows the words and the
+    hits; a place carries as many words as the longest run has.
+    """
+    clean = asked.where(F.size("ws") > 0).select(*by, F.get("ws", F.lit(0)).alias("first"), F.size("ws").alias("n"), F.array_join("ws", " ").alias("run")).distinct()
+    longest = clean.agg(F.max("n")).first()[0] or 1
+    lengths = clean.groupBy(*by, "first").agg(F.collect_set("n").alias("sizes"))
+    ahead = let(F.col("ws"), lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.slice(w, i, F.lit(longest)))).otherwise(F.array().cast("array<array<string>>")))
+    places = texts.select(*keep, *by, F.explode(ahead).alias("ahead")).withColumn("first", F.get("ahead", F.lit(0)))
+    near = places.join(small(lengths), [*by, "first"]).select(*keep, *by, "ahead", F.explode("sizes").alias("n")).where(F.size("ahead") >= F.col("n"))
+    runs = near.select(*keep, *by, F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("run"))
+    return runs.join(small(clean.select(*by, "run")), [*by, "run"], "left_semi")
+
+
+def mentions(terms: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """How often each term occurs in each text: term, id, n. terms: term, of any number of words."""
+    asked = terms.select("term", clean_words(F.col("term")).alias("ws"))
+    found = matched(asked, docs.select(F.col(id_col).alias("id"), clean_words(F.col(text_col)).alias("ws")), ["id"]).groupBy("id", "run").agg(F.count(F.lit(1)).alias("n"))
+    spelled = asked.select("term", F.array_join("ws", " ").alias("run")).distinct()
+    return found.join(small(spelled), "run").select("term", "id", "n")
+
+
+def mention_matrix(terms: DataFrame, docs: DataFrame, id_col: str, unit_col: str, text_col: str) -> DataFrame:
+    """Per term: texts with it and their units, by exact words and by stems, over all texts and over first copies only.
 
-    Terms are broadcast up to a checked number, so that runs which are no term never leave their task.
+    A text is a copy if one of a smaller id has the same content. Both forms are found in one pass.
     """
-    runs = docs.select(F.col(id_col).alias("id"), F.explode(ngrams(clean_words(F.col(text_col)), most)).alias("run"))
-    keyed = terms.select("term", F.array_join(clean_words(F.col("term")), " ").alias("run")).where("run <> ''").distinct()
-    return runs.join(small(keyed), "run").groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"))
+    forms = lambda text: F.array(F.struct(F.lit("exact").alias("form"), clean_words(text).alias("ws")), F.struct(F.lit("stem").alias("form"), stems(text).alias("ws")))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(unit_col).alias("unit"), F.col(text_col).alias("text"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("content"))
+    first = texts.groupBy("content").agg(F.min("id").alias("first"))
+    rows = texts.join(first, "content").select("id", "unit", (F.col("id") != F.col("first")).alias("copy"), F.inline(forms(F.col("text"))))
+    asked = terms.select("term", F.inline(forms(F.col("term"))))
+    hits = matched(asked, rows, ["id", "unit", "copy"], ("form",)).distinct()
+    spelled = asked.select("term", "form", F.array_join("ws", " ").alias("run")).distinct()
+    found = hits.join(small(spelled), ["form", "run"])
+    cells = []
+    for form in ("exact", "stem"):
+        for name, kept in (("", F.lit(True)), ("_dedup", ~F.col("copy"))):
+            here = (F.col("form") == form) & kept
+            cells += [F.count_if(here).alias(f"mentions_{form}{name}"), F.count_distinct(F.when(here, F.col("unit"))).alias(f"units_{form}{name}")]
+    counted = found.groupBy("term").agg(*cells)
+    none = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counted.columns if c != "term"]
+    return terms.select("term").distinct().join(counted, "term", "left").select("term", *none)
 
 
 def persistence(found: DataFrame, terms: DataFrame, unit: str) -> DataFrame:

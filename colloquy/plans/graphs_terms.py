@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.operators import graph as G, terms as T
+from colloquy.plans.naming import stem_sql
 from colloquy.sources.domain import LOG_SQL, log, table
 
 
@@ -66,6 +67,7 @@ QUERIES = {
     "c_value": lambda s, d: T.c_value(short_texts(s, d), "id", "text"),
     "mentions_exact": lambda s, d: T.mentions(terms_of(s, d), short_texts(s, d), "id", "text"),
     "persistence_summary": lambda s, d: T.persistence(T.mentions(terms_of(s, d), short_texts(s, d), "id", "text"), terms_of(s, d), "id"),
+    "mention_matrix": lambda s, d: T.mention_matrix(terms_of(s, d), table(s, d, "documents"), "doc_id", "source", "text"),
     "passages": lambda s, d: T.passages(table(s, d, "benchmark"), table(s, d, "documents"), "item_id", "doc_id"),
     "clean_term": lambda s, d: table(s, d, "part").select("p_partkey", T.clean_term(F.concat(F.when(F.col("p_partkey") % 2 == 0, " The a ").otherwise("x"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name")))).alias("clean")),
     "code_shape": lambda s, d: table(s, d, "part").select("p_partkey", T.code_shape(F.when(F.col("p_partkey") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).when(F.col("p_partkey") % 3 == 1, F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))).otherwise(F.col("p_name"))).alias("is_code")),
@@ -75,7 +77,18 @@ QUERIES = {
     "unit_union": lambda s, d: T.unit_union(log(s, d).select("key", "event_id", F.array(F.col("k"), F.col("k") % 7, F.col("k")).alias("items")), "key", "event_id", "items"),
 }
 
+MATRIX_SQL = f"""WITH {TERMS_SQL}, docs AS (SELECT doc_id AS id, source AS unit, doc_id <> min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS copy, {WS.format('text')} AS ws FROM documents),
+ asked AS (SELECT term, {WS.format('term')} AS ws FROM terms),
+ words AS (SELECT DISTINCT unnest(ws) AS word FROM (SELECT ws FROM docs UNION ALL SELECT ws FROM asked)), {stem_sql('words')},
+ dp AS (SELECT id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM docs), ds AS (SELECT id, list(stem ORDER BY p) AS ws FROM dp JOIN st USING (word) GROUP BY id),
+ ap AS (SELECT term, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM asked), ta AS (SELECT term, list(stem ORDER BY p) AS ws FROM ap JOIN st USING (word) GROUP BY term),
+ seqs AS (SELECT 'exact' AS form, id, ws FROM docs UNION ALL SELECT 'stem', id, ws FROM ds), want AS (SELECT 'exact' AS form, term, ws FROM asked UNION ALL SELECT 'stem', term, ws FROM ta),
+ runs AS (SELECT DISTINCT form, id, array_to_string(ws[i:i + n - 1], ' ') AS run FROM (SELECT form, id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM seqs, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(ws) >= n)),
+ hits AS (SELECT DISTINCT w.term, r.form, r.id, unit, copy FROM want w JOIN runs r ON r.form = w.form AND r.run = array_to_string(w.ws, ' ') JOIN docs USING (id))
+ SELECT term, {', '.join(f"count(*) FILTER (form = '{form}'{extra}) AS mentions_{form}{name}, count(DISTINCT unit) FILTER (form = '{form}'{extra}) AS units_{form}{name}" for form in ('exact', 'stem') for name, extra in (('', ''), ('_dedup', ' AND NOT copy')))} FROM (SELECT DISTINCT term FROM terms) LEFT JOIN hits USING (term) GROUP BY term"""
+
 ORACLE_SQL = {
+    "mention_matrix": MATRIX_SQL,
     "merge_chain": f"""WITH RECURSIVE {MERGES_SQL}, walk AS (SELECT src, dst, [src] AS seen FROM merges UNION ALL SELECT w.src, m.dst, list_append(w.seen, w.dst) FROM walk w JOIN merges m ON m.src = w.dst WHERE NOT list_contains(w.seen, w.dst))
   SELECT src, arg_max(dst, len(seen)) AS dst FROM walk GROUP BY src""",
     "components": f"WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS node, a AS r FROM both_ways WHERE a IN (SELECT a FROM both_ways WHERE a <> b) UNION SELECT t.b, reach.r FROM reach JOIN both_ways t ON t.a = reach.node WHERE reach.r <= t.b) SELECT node, min(r) AS component FROM reach GROUP BY node",
