@@ -1,13 +1,12 @@
 """Entity resolution of terms against a concept graph.
 
-The graph is the larger side at scale and is never broadcast: exact matching is an equi join on the normalised name,
-and the shortlist scores only concepts that share a stem, an abbreviation key, a run-together form or a long gram
-with the term, found by equi joins on those keys.
+The graph is the larger side at scale and is never broadcast: exact matching is an equi join on the normalised name.
+The shortlist is an exact top-k search over inverted lists of distinct name variants, rare keys first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions import names as N
 from colloquy.state import cut
@@ -37,51 +36,156 @@ def rarity(concepts: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("stem", "df", (1 + F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("weight"))
 
 
-def _keys(names: DataFrame, name: str, *ids: str) -> DataFrame:
-    """Rows by key under which two names with any score at all meet."""
-    parts = names.select(*ids, F.explode(N.variants(F.col(name))).alias("v"))
-    compact = F.replace("v", F.lit(" "), F.lit(""))
-    words = F.split("v", " ")
+#: Variants of concepts in which a stem is rare: its list is read for every submission, a longer one only where it can matter.
+RARE = 256
+#: Letters of the grams by which names meet that hold one another.
+HOLD = N.CONTAINED_MIN
+#: What rounding can add to a score.
+SLACK = 1e-9
+
+
+def variant_rows(names: DataFrame, name: str, key: str) -> DataFrame:
+    """key and v, each normalised variant of its names once."""
+    return names.select(key, F.explode(N.variants(F.col(name))).alias("v")).distinct()
+
+
+def _compact(v: Column | str) -> Column:
+    return F.replace(v, F.lit(" "), F.lit(""))
+
+
+def _short_keys(v: Column) -> Column:
+    """Under what a name is found as an abbreviation of another."""
+    one = ~F.contains(v, F.lit(" ")) & F.length(v).between(2, 8)
+    letters = F.array(F.concat(F.lit("i:"), v), F.concat(F.lit("i:"), F.regexp_replace(v, "s$", "")))
+    return F.when(one & v.rlike("^[a-z][0-9]{1,2}[a-z]$"), F.array_append(letters, F.concat(F.lit("n:"), v))).when(one, letters)
+
+
+def _long_keys(v: Column) -> Column:
+    """Under what the abbreviations of a name are found: initials, and first letter, length between and last letter of words."""
     stop = F.array(*map(F.lit, N.STOPWORDS))
-    initials = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(w, 1, 1)), "")
-    stems = N.tokens(F.col("v"))
-    numbers = F.transform(F.filter(F.concat(words, F.array(compact)), lambda w: F.length(w).between(3, 101)), lambda w: F.concat(F.lit("n:"), F.left(w, F.lit(1)), (F.length(w) - 2).cast("string"), F.right(w, F.lit(1))))
-    own_number = F.when(compact.rlike("^[a-z][0-9]{1,2}[a-z]$"), F.array(F.concat(F.lit("n:"), compact))).otherwise(F.array().cast("array<string>"))
-    letters = F.when(F.size(words) > 1, F.array(initials(words), initials(F.filter(words, lambda w: ~F.array_contains(stop, w))))).otherwise(F.array(compact, F.regexp_replace(compact, "s$", "")))
-    four = F.when(F.length(compact) >= 4, F.transform(F.sequence(F.lit(1), F.length(compact) - 3), lambda i: F.concat(F.lit("c:"), F.substring(compact, i, F.lit(4))))).otherwise(F.array().cast("array<string>"))
-    grams = F.flatten(F.transform(F.filter(stems, lambda s: F.length(s) >= N.FUZZY_MIN), lambda s: F.transform(N.grams(s), lambda g: F.concat(F.lit("g:"), g))))
-    keys = F.concat(F.transform(stems, lambda s: F.concat(F.lit("t:"), s)), F.transform(letters, lambda x: F.concat(F.lit("i:"), x)), numbers, own_number, four, grams, F.array(F.concat(F.lit("w:"), compact)))
-    return parts.select(*ids, F.explode(F.array_distinct(keys)).alias("key")).distinct()
+    first = lambda ws: F.concat(F.lit("i:"), F.array_join(F.transform(ws, lambda w: F.left(w, F.lit(1))), ""))
+    number = lambda w: F.concat(F.lit("n:"), F.left(w, F.lit(1)), (F.length(w) - 2).cast("string"), F.right(w, F.lit(1)))
+
+    def keys(ws: Column) -> Column:
+        numbers = F.transform(F.filter(F.array_append(ws, _compact(v)), lambda w: F.length(w).between(3, 101)), number)
+        return F.concat(numbers, F.when(F.size(ws) > 1, F.array(first(ws), first(F.filter(ws, lambda w: ~F.array_contains(stop, w))))).otherwise(F.array().cast("array<string>")))
 
+    return N.let(F.split(v, " "), keys)
 
-def candidates(submissions: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Pairs (submission_id, concept_id) that could score above 0."""
-    asked = _keys(submissions, "text", "submission_id")
-    known = _keys(name_rows(concepts), "name", "concept_id")
-    return asked.join(known, "key").select("submission_id", "concept_id").distinct()
 
+def _meet(asked: DataFrame, known: DataFrame, left, right) -> DataFrame:
+    """(x, y) of variants that share a key. left and right give the keys of either side."""
+    a = asked.select("x", F.explode(F.array_distinct(left(F.col("x")))).alias("key"))
+    b = known.select("y", F.explode(F.array_distinct(right(F.col("y")))).alias("key"))
+    return a.join(b, "key").select("x", "y")
 
-def shortlist(submissions: DataFrame, concepts: DataFrame, most: int = SHORTLIST) -> DataFrame:
+
+def alike_stems(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """t, o, s: stems of either side (t; o) that count as the same to degree s. Equal ones, and by their grams.
+
+    Grams are ordered by how many known stems have them. Dice of at least 0.75 needs 0.6 of either side's grams in
+    common, so two such stems share one of the rarest 0.4 of each, and only those are joined.
+    """
+    fuzzy = lambda df, c: df.where((F.length(c) >= N.FUZZY_MIN) & ~F.col(c).rlike("[^a-z]")).select(c, F.explode(N.grams(F.col(c))).alias("gram"))
+    mine, theirs = fuzzy(asked, "t"), fuzzy(known, "o")
+    counts = theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(grams: DataFrame, c: str) -> DataFrame:
+        order = grams.join(counts, "gram").groupBy(c).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+        sizes = grams.groupBy(c).agg(F.count(F.lit(1)).alias("all"))
+        # grams that no known stem has come first in the order and meet nothing
+        kept = (F.col("all") - F.ceil(F.col("all") * 0.6) + 1) - (F.col("all") - F.size("g"))
+        return order.join(sizes, c).select(c, F.explode(F.slice("g", F.lit(1), F.greatest(kept, F.lit(0)).cast("int"))).alias("g")).select(c, "g.gram")
+
+    near = rarest(mine, "t").join(rarest(theirs, "o"), "gram").select("t", "o").where("t <> o").distinct().withColumn("s", N.likeness(F.col("t"), F.col("o"))).where("s > 0")
+    return near.unionByName(asked.join(known, F.col("t") == F.col("o")).select("t", "o", F.lit(1.0).alias("s")))
+
+
+def holding(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(x, y) of which one, run together, holds the other. The shorter meets the longer on its own rarest gram only."""
+
+    def grams(df: DataFrame, c: str) -> DataFrame:
+        able = df.select(c, _compact(c).alias("c")).where(F.length("c") >= HOLD)
+        return able.select(c, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("c") - (HOLD - 1)), lambda i: F.substring("c", i, F.lit(HOLD))))).alias("gram"))
+
+    mine, theirs = grams(asked, "x"), cut(grams(known, "y"), "name-grams")
+    counts = theirs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = lambda g, c: g.join(counts, "gram", "left").groupBy(c).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select(c, "k.gram")
+    both = rarest(mine, "x").join(theirs, "gram").select("x", "y").unionByName(mine.join(rarest(theirs, "y"), "gram").select("x", "y"))
+    cx, cy = _compact("x"), _compact("y")
+    return both.where(F.contains(cx, cy) | F.contains(cy, cx)).distinct()
+
+
+def variant_scores(pairs: DataFrame, mine: DataFrame, theirs: DataFrame, alike: DataFrame) -> DataFrame:
+    """x, y, score of pairs (x, y, floor: what they score by form alone). mine: x, t, w, total; theirs: y, o, v, size."""
+    met = pairs.join(mine.select("x", "t", "w"), "x").join(alike, "t").join(theirs.select("y", "o", "v"), ["y", "o"])
+    best = met.groupBy("x", "y", "t", "w").agg(F.max(F.struct("s", "o", "v")).alias("b"))
+    matched = best.groupBy("x", "y").agg(F.sum(F.col("b.s") * (F.col("w") + F.col("b.v")) / 2).alias("m"))
+    sums = pairs.join(matched, ["x", "y"], "left").join(mine.select("x", "total").distinct(), "x").join(theirs.select("y", "size").distinct(), "y")
+    soft = F.coalesce(F.col("m") / (F.col("total") + F.col("size") - F.col("m")), F.lit(0.0))
+    return sums.select("x", "y", F.when(F.col("floor") >= N.ABBREVIATION, F.col("floor")).otherwise(F.greatest("floor", soft)).alias("score"))
+
+
+def shortlist(submissions: DataFrame, concepts: DataFrame, most: int = SHORTLIST, rare: int = RARE) -> DataFrame:
     """The best concepts of each submission by score, encounters and name; the most met ones where nothing scores.
 
-    The weights that a pair needs are joined by stem and gathered per pair, so no table of all weights is sent around.
+    Exact, without reading every list. Distinct variants are scored once, whatever share them. First, variants meet that
+    look alike as a whole (equal run together, abbreviated, one inside the other) or share a stem that is rare in the graph
+    or the rarest of the submission's; all that meets is scored, which gives each submission the score of its place
+    ``most`` so far. What has not met shares common stems only, and cannot score more than their weight over the rest:
+    those lists are read only where that reaches the place's score, and of them only names short enough to reach it.
+    Of the concepts that share a variant, the first ``most`` stand for all.
     """
-    weights = rarity(concepts)
-    n = concepts.agg(F.count(F.lit(1)).alias("n")).select(F.lit("").alias("stem"), (1 + F.log(F.col("n") + 1)).alias("weight"))
-    asked = submissions.select("submission_id", N.prepare(F.col("text")).alias("p"))
-    known = name_rows(concepts).withColumn("q", N.prepare(F.col("name")))
-    pairs = cut(candidates(submissions, concepts), "pairs").join(asked, "submission_id").join(known, "concept_id")
-    held = lambda c: F.flatten(F.transform(c, lambda x: x["t"]))
-    stems = pairs.select("submission_id", "concept_id", "name", F.explode(F.array_distinct(F.concat(held("p"), held("q"), F.array(F.lit(""))))).alias("stem"))
-    found = stems.join(weights.select("stem", "weight").unionByName(n), "stem").groupBy("submission_id", "concept_id", "name").agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("rarity"))
-    scored = pairs.join(found, ["submission_id", "concept_id", "name"]).withColumn("score", N.prepared_overlap(F.col("p"), F.col("q"), F.col("rarity")))
-    best = scored.groupBy("submission_id", "concept_id", "canonical_name", "encounter_count").agg(F.max("score").alias("score")).where("score > 0")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("submission_id").orderBy(F.desc("score"), F.desc("encounter_count"), "canonical_name", "concept_id"))).where(F.col("rank") <= most)
+    by_concept = variant_rows(name_rows(concepts), "name", "concept_id")
+    held = by_concept.join(concepts.select("concept_id", "canonical_name", "encounter_count"), "concept_id").withColumnRenamed("v", "y")
+    first = Window.partitionBy("y").orderBy(F.desc("encounter_count"), "canonical_name", "concept_id")
+    owners = cut(held.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n"), "owners")
+    asked_by = cut(variant_rows(submissions, "text", "submission_id").withColumnRenamed("v", "x"), "asked")
+    asked, known = asked_by.select("x").distinct(), cut(by_concept.select(F.col("v").alias("y")).distinct().withColumn("ts", N.tokens(F.col("y"))), "known")
+    # by concept, a stem counts once for all its variants
+    n = concepts.agg(F.count(F.lit(1)).alias("n"))
+    stems = by_concept.join(known, by_concept["v"] == known["y"]).select("concept_id", F.explode("ts").alias("o"))
+    weights = cut(stems.groupBy("o").agg(F.countDistinct("concept_id").alias("df")).join(F.broadcast(n)).select("o", (1 + F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("v")), "weights")
+    lists = known.select("y", F.explode("ts").alias("o")).join(weights, "o")
+    theirs = cut(lists.join(lists.groupBy("y").agg(F.sum("v").alias("size")), "y"), "lists")
+    own = asked.select("x", F.explode(N.tokens(F.col("x"))).alias("t"))
+    own = own.join(weights.select(F.col("o").alias("t"), F.col("v").alias("w")), "t", "left").join(F.broadcast(n)).select("x", "t", F.coalesce("w", 1 + F.log(F.col("n") + 1)).alias("w"))
+    mine = cut(own.join(own.groupBy("x").agg(F.sum("w").alias("total")), "x"), "own")
+    alike = cut(alike_stems(mine.select("t").distinct(), weights.select("o")), "alike")
+
+    # what each stem of a variant can add at most, how long its list is, and the least weight of a name that has it
+    lengths = theirs.groupBy("o", "v").agg(F.count(F.lit(1)).alias("n"))
+    reach = mine.join(alike, "t").join(lengths, "o").groupBy("x", "t", "w", "total").agg(F.sum("n").alias("n"), F.max(F.col("s") * (F.col("w") + F.col("v")) / 2).alias("most"), F.min("v").alias("least"))
+    reach = reach.withColumn("early", (F.col("n") <= rare) | (F.row_number().over(Window.partitionBy("x").orderBy("n", "t")) == 1))
+    reach = cut(reach, "reach")
+    early = reach.where("early").join(alike, "t").join(theirs.select("y", "o"), "o").select("x", "y")
+    equal = _meet(asked, known, lambda v: F.array(_compact(v)), lambda v: F.array(_compact(v))).withColumn("floor", F.lit(N.COMPACT_EQUAL))
+    short = _meet(asked, known, _short_keys, _long_keys).unionByName(_meet(asked, known, _long_keys, _short_keys))
+    short = short.where(N.abbreviates(F.col("x"), F.col("y")) | N.abbreviates(F.col("y"), F.col("x"))).withColumn("floor", F.lit(N.ABBREVIATION))
+    whole = equal.unionByName(short).unionByName(holding(asked, known.select("y")).withColumn("floor", F.lit(N.CONTAINED))).unionByName(early.withColumn("floor", F.lit(0.0)))
+    pairs = cut(whole.groupBy("x", "y").agg(F.max("floor").alias("floor")), "pairs")
+    scores = cut(variant_scores(pairs, mine, theirs, alike), "scores")
+
+    def best(scored: DataFrame) -> DataFrame:
+        found = scored.where("score > 0").join(asked_by, "x").join(owners, "y").groupBy("submission_id", "concept_id", "canonical_name", "encounter_count").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("submission_id").orderBy(F.desc(F.round("score", 9)), F.desc("encounter_count"), "canonical_name", "concept_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+    so_far = cut(best(scores), "best")
+    place = so_far.where(F.col("rank") == most).select("submission_id", F.col("score").alias("place"))
+    goal = asked_by.join(place, "submission_id", "left").groupBy("x").agg(F.min(F.coalesce("place", F.lit(0.0))).alias("place"))
+    left = reach.where("not early").groupBy("x", "total").agg(F.sum("most").alias("left"), F.min("least").alias("least")).join(goal, "x")
+    top = lambda size: F.when(F.col("total") + size > 2 * F.col("left"), F.col("left") / (F.col("total") + size - F.col("left"))).otherwise(1.0)
+    open_ = cut(left.where(top(F.col("least")) >= F.col("place") - SLACK), "open")
+    if not open_.isEmpty():
+        late = open_.join(reach.where("not early").select("x", "t"), "x").join(alike, "t").join(theirs.select("y", "o", "size"), "o").where(top(F.col("size")) >= F.col("place") - SLACK)
+        new = late.select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti").withColumn("floor", F.lit(0.0))
+        so_far = cut(best(scores.unionByName(variant_scores(new, mine, theirs, alike))), "best")
     met = concepts.orderBy(F.desc("encounter_count"), "canonical_name", "concept_id").limit(most)  # a dozen rows
     met = met.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("encounter_count"), "canonical_name", "concept_id")))
-    rest = submissions.join(ranked, "submission_id", "left_anti").select("submission_id").join(F.broadcast(met))
+    rest = submissions.join(so_far, "submission_id", "left_anti").select("submission_id").join(F.broadcast(met))
     columns = ["submission_id", "rank", "concept_id", "canonical_name", "score"]
-    return ranked.select(*columns).unionByName(rest.withColumn("score", F.lit(0.0)).select(*columns))
+    return so_far.select(*columns).unionByName(rest.withColumn("score", F.lit(0.0)).select(*columns))
 
 
 def resolve_all(submissions: DataFrame, concepts: DataFrame) -> DataFrame:

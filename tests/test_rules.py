@@ -61,15 +61,6 @@ def test_shortlist_puts_the_right_concept_first(spark):
     assert len(none) == 5 and [r.canonical_name for r in none][:2] == sorted(n for k, n in enumerate(CONCEPTS) if k % 3 == 2)[:2]
 
 
-def test_blocking_loses_no_scored_pair(spark):
-    concepts = spark.createDataFrame([(k, n, None, 0) for k, n in enumerate(CONCEPTS)], "concept_id long, canonical_name string, aliases array<string>, encounter_count long")
-    texts = ["outbox", "patterns", "log", "meshes", "lock", "tree of merkle", "eventsourcing", "bloomfilters", "limiter rate", "rl", "uds", "k8s", "filters", "saga-pattern", "kubernetess"]
-    subs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "submission_id long, text string")
-    every = subs.join(concepts, how="cross").where(N.overlap(F.col("text"), F.col("canonical_name"), plain()) > 0)
-    met = {(r.submission_id, r.concept_id) for r in R.candidates(subs, concepts).collect()}
-    assert {(r.submission_id, r.concept_id) for r in every.collect()} <= met
-
-
 def test_chunks_keep_the_budget_unless_a_group_is_larger(spark):
     sizes = [300, 500, 1, 900, 20, 780, 800, 10]
     table = spark.createDataFrame([(1, k + 1, s) for k, s in enumerate(sizes)], "session_id long, island long, size long")
