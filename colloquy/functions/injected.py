@@ -20,11 +20,12 @@ PROPOSAL = "term string, paraphrase string, assistant_line long, signal string,
 
 
 def salvage(text: str) -> list[dict]:
-    """The whole objects at the front of the list under "candidates" (without that key: of the first list), however it was cut off.
+    """The whole objects at the front of the list under "candidates" (none without that key), however it was cut off.
 
     One scan that counts brackets outside strings; the list ends at the first item that is no object.
     """
-    start = text.find("[", max(0, text.find('"candidates"')))
+    key = text.find('"candidates"')
+    start = text.find("[", key) if key >= 0 else -1
     out: list[dict] = []
     depth, began, quoted, skip = 0, 0, False, False
     for at in range(start + 1, len(text)) if start >= 0 else ():
@@ -60,28 +61,53 @@ def retrying(call: Callable, again: Callable) -> Callable:
     return both
 
 
-def decide(rows: DataFrame, call: Callable[[str, list[str]], dict]) -> DataFrame:
-    """Adds decision, concept_id and alias to submissions. rows: text, shortlist (array of concept ids).
+#: What a decider may decide; and its word for a typed text that names nothing.
+DECISIONS, UNRESOLVABLE = ("new", "existing", "alias"), "unclear"
+SAID = "decision string, concept_id string, canonical_name string, alias string, paraphrase string, reasoning string, error string"
 
-    A call that fails, or names a decision or a concept that it was not offered, is unclear; only an alias has an alias.
+
+def decide(rows: DataFrame, call: Callable[[str, list[str]], dict], known: DataFrame) -> DataFrame:
+    """Adds decision, concept_id, canonical_name, alias, proposed_name, paraphrase, reasoning and error to submissions.
+
+    rows: text, source (transcript, manual or material), shortlist (array of concept ids); known: concept_id (string),
+    canonical_name, of the whole graph, as a decision may name a concept that was not offered. What names a concept that
+    does not exist, or decides anything else, is new; unclear stays only for what a person typed. A new concept from a
+    transcript keeps the name it was met by, and the other name is kept as proposed; an alias is the text unless another
+    is named. A call that raises decides nothing (decision null) and says so in error.
     """
     ship(rows.sparkSession)
+    names = [x.split(" ")[0] for x in SAID.split(", ")]
 
     def run(batches: Iterator[tuple]) -> Iterator[pd.DataFrame]:
         for texts, lists in batches:
             out = []
             for text, offered in zip(texts, lists, strict=True):
                 try:
-                    said = call(text, list(offered)) or {}
-                except Exception:  # noqa: BLE001
-                    said = {}
-                decision, target = said.get("decision"), said.get("concept_id")
-                fits = decision == "new" or decision in ("existing", "alias") and target in list(offered)
-                out.append((decision if fits else "unclear", target if fits and decision != "new" else None, str(said.get("alias") or text) if fits and decision == "alias" else None))
-            yield pd.DataFrame(out, columns=["decision", "concept_id", "alias"])
-
-    made = F.pandas_udf(run, "decision string, concept_id string, alias string", F.PandasUDFType.SCALAR_ITER)("text", "shortlist")
-    return rows.withColumn("_d", made).select(*rows.columns, "_d.*")
+                    said, error = call(text, list(offered)) or {}, None
+                except Exception as e:  # noqa: BLE001  whatever the caller's function raises
+                    said, error = {}, f"{type(e).__name__}: {e}"[:200]
+                held = {n: str(said.get(n) or "").strip() for n in names}
+                out.append((held["decision"].lower(), *(held[n] or None for n in names[1:-1]), error))
+            yield pd.DataFrame(out, columns=names)
+
+    taken = [c for c in rows.columns if c not in names]
+    said = F.pandas_udf(run, SAID, F.PandasUDFType.SCALAR_ITER)("text", "shortlist")
+    asked = rows.select(*taken, said.alias("_d"))
+    there = known.select(F.col("concept_id").cast("string").alias("_id"), F.col("canonical_name").alias("_name")).dropDuplicates(["_id"])
+    both = asked.join(there, F.col("_d.concept_id") == F.col("_id"), "left")
+    text = F.trim("text")
+    unclear = (F.col("_d.decision") == UNRESOLVABLE) & (F.col("source") == "manual")
+    files = F.col("_d.decision").isin("existing", "alias") & F.col("_id").isNotNull()
+    decision = F.when(F.col("_d.error").isNotNull(), F.lit(None)).when(unclear, UNRESOLVABLE).when(files, F.col("_d.decision")).otherwise("new")
+    tidy = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    own = F.coalesce("_d.canonical_name", text)
+    renamed = (F.col("source") == "transcript") & (tidy(own) != tidy(text))
+    judged = both.withColumn("decision", decision)
+    new = F.col("decision") == "new"
+    return judged.select(
+        *taken, "decision", F.when(F.col("decision").isin("existing", "alias"), F.col("_id")).alias("concept_id"), F.when(new, F.when(renamed, text).otherwise(own)).when(F.col("decision").isin("existing", "alias"), F.col("_name")).alias("canonical_name"),
+        F.when(F.col("decision") == "alias", F.coalesce("_d.alias", text)).alias("alias"), F.when(new & renamed, own).alias("proposed_name"), "_d.paraphrase", "_d.reasoning", "_d.error",
+    )
 
 
 def write(rows: DataFrame, call: Callable[[str], dict]) -> DataFrame:

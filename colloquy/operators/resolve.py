@@ -6,9 +6,11 @@ The shortlist is an exact top-k search over inverted lists of distinct name vari
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from colloquy.functions import names as N
+from colloquy.functions import injected, names as N
 from colloquy.state import cut
 
 SHORTLIST = 12
@@ -126,6 +128,47 @@ def variant_scores(pairs: DataFrame, mine: DataFrame, theirs: DataFrame, alike:
     return sums.select("x", "y", F.when(F.col("floor") >= N.ABBREVIATION, F.col("floor")).otherwise(F.greatest("floor", soft)).alias("score"))
 
 
+def stem_weights(concepts: DataFrame) -> DataFrame:
+    """o and v of every stem of the graph, and the weight of any other stem under o = ''."""
+    n = concepts.agg(F.count(F.lit(1)).alias("n"))
+    other = n.select(F.lit("").alias("o"), (1 + F.log(F.col("n") + 1)).alias("v"))
+    return cut(rarity(concepts).select(F.col("stem").alias("o"), F.col("weight").alias("v")).where("o <> ''").unionByName(other), "weights")
+
+
+def _sides(asked: DataFrame, by_concept: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Variants known (y), stems of either side with weights and their sum, and the stems that are alike."""
+    other = weights.where("o = ''").select(F.col("v").alias("_other"))
+    known = cut(by_concept.select(F.col("v").alias("y")).distinct(), "known")
+
+    def stems(df: DataFrame, c: str, stem: str, weight: str, whole: str) -> DataFrame:
+        rows = df.select(c, F.explode(N.tokens(F.col(c))).alias(stem)).join(weights.select(F.col("o").alias(stem), F.col("v").alias(weight)), stem, "left").join(F.broadcast(other))
+        rows = rows.select(c, stem, F.coalesce(weight, "_other").alias(weight))
+        return cut(rows.join(rows.groupBy(c).agg(F.sum(weight).alias(whole)), c), "stems")
+
+    mine, theirs = stems(asked, "x", "t", "w", "total"), stems(known, "y", "o", "v", "size")
+    return known, mine, theirs, cut(alike_stems(mine.select("t").distinct(), theirs.select("o").distinct()), "alike")
+
+
+def _formed(asked: DataFrame, known: DataFrame, sharing: DataFrame) -> DataFrame:
+    """(x, y, floor) of all that look alike as a whole, and of what shares stems (x, y)."""
+    equal = _meet(asked, known, lambda v: F.array(_compact(v)), lambda v: F.array(_compact(v))).withColumn("floor", F.lit(N.COMPACT_EQUAL))
+    short = _meet(asked, known, _short_keys, _long_keys).unionByName(_meet(asked, known, _long_keys, _short_keys))
+    short = short.where(N.abbreviates(F.col("x"), F.col("y")) | N.abbreviates(F.col("y"), F.col("x"))).withColumn("floor", F.lit(N.ABBREVIATION))
+    whole = equal.unionByName(short).unionByName(holding(asked, known).withColumn("floor", F.lit(N.CONTAINED))).unionByName(sharing.withColumn("floor", F.lit(0.0)))
+    return whole.groupBy("x", "y").agg(F.max("floor").alias("floor"))
+
+
+def pair_scores(submissions: DataFrame, names: DataFrame, weights: DataFrame) -> DataFrame:
+    """submission_id, name_id, score of every pair that scores. names: name_id, name; weights: as ``stem_weights`` has them."""
+    by_name = variant_rows(names, "name", "name_id")
+    asked_by = cut(variant_rows(submissions, "text", "submission_id").withColumnRenamed("v", "x"), "asked")
+    asked = asked_by.select("x").distinct()
+    known, mine, theirs, alike = _sides(asked, by_name, weights)
+    sharing = mine.select("x", "t").join(alike, "t").join(theirs.select("y", "o"), "o").select("x", "y")
+    scores = variant_scores(cut(_formed(asked, known, sharing), "pairs"), mine, theirs, alike).where("score > 0")
+    return scores.join(asked_by, "x").join(by_name.withColumnRenamed("v", "y"), "y").groupBy("submission_id", "name_id").agg(F.max("score").alias("score"))
+
+
 def shortlist(submissions: DataFrame, concepts: DataFrame, most: int = SHORTLIST, rare: int = RARE) -> DataFrame:
     """The best concepts of each submission by score, encounters and name; the most met ones where nothing scores.
 
@@ -141,17 +184,8 @@ def shortlist(submissions: DataFrame, concepts: DataFrame, most: int = SHORTLIST
     first = Window.partitionBy("y").orderBy(F.desc("encounter_count"), "canonical_name", "concept_id")
     owners = cut(held.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n"), "owners")
     asked_by = cut(variant_rows(submissions, "text", "submission_id").withColumnRenamed("v", "x"), "asked")
-    asked, known = asked_by.select("x").distinct(), cut(by_concept.select(F.col("v").alias("y")).distinct().withColumn("ts", N.tokens(F.col("y"))), "known")
-    # by concept, a stem counts once for all its variants
-    n = concepts.agg(F.count(F.lit(1)).alias("n"))
-    stems = by_concept.join(known, by_concept["v"] == known["y"]).select("concept_id", F.explode("ts").alias("o"))
-    weights = cut(stems.groupBy("o").agg(F.countDistinct("concept_id").alias("df")).join(F.broadcast(n)).select("o", (1 + F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("v")), "weights")
-    lists = known.select("y", F.explode("ts").alias("o")).join(weights, "o")
-    theirs = cut(lists.join(lists.groupBy("y").agg(F.sum("v").alias("size")), "y"), "lists")
-    own = asked.select("x", F.explode(N.tokens(F.col("x"))).alias("t"))
-    own = own.join(weights.select(F.col("o").alias("t"), F.col("v").alias("w")), "t", "left").join(F.broadcast(n)).select("x", "t", F.coalesce("w", 1 + F.log(F.col("n") + 1)).alias("w"))
-    mine = cut(own.join(own.groupBy("x").agg(F.sum("w").alias("total")), "x"), "own")
-    alike = cut(alike_stems(mine.select("t").distinct(), weights.select("o")), "alike")
+    asked = asked_by.select("x").distinct()
+    known, mine, theirs, alike = _sides(asked, by_concept, stem_weights(concepts))
 
     # what each stem of a variant can add at most, how long its list is, and the least weight of a name that has it
     lengths = theirs.groupBy("o", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -159,11 +193,7 @@ def shortlist(submissions: DataFrame, concepts: DataFrame, most: int = SHORTLIST
     reach = reach.withColumn("early", (F.col("n") <= rare) | (F.row_number().over(Window.partitionBy("x").orderBy("n", "t")) == 1))
     reach = cut(reach, "reach")
     early = reach.where("early").join(alike, "t").join(theirs.select("y", "o"), "o").select("x", "y")
-    equal = _meet(asked, known, lambda v: F.array(_compact(v)), lambda v: F.array(_compact(v))).withColumn("floor", F.lit(N.COMPACT_EQUAL))
-    short = _meet(asked, known, _short_keys, _long_keys).unionByName(_meet(asked, known, _long_keys, _short_keys))
-    short = short.where(N.abbreviates(F.col("x"), F.col("y")) | N.abbreviates(F.col("y"), F.col("x"))).withColumn("floor", F.lit(N.ABBREVIATION))
-    whole = equal.unionByName(short).unionByName(holding(asked, known.select("y")).withColumn("floor", F.lit(N.CONTAINED))).unionByName(early.withColumn("floor", F.lit(0.0)))
-    pairs = cut(whole.groupBy("x", "y").agg(F.max("floor").alias("floor")), "pairs")
+    pairs = cut(_formed(asked, known, early), "pairs")
     scores = cut(variant_scores(pairs, mine, theirs, alike), "scores")
 
     def best(scored: DataFrame) -> DataFrame:
@@ -197,3 +227,90 @@ def resolve_all(submissions: DataFrame, concepts: DataFrame) -> DataFrame:
     new_id = F.concat(N.slug(F.col("text")), F.lit("-"), F.left(F.sha2("norm", 256), F.lit(6)))
     decision = F.when(F.col("norm") == "", "unclear").when(F.col("concept_id").isNotNull() | (F.col("_n") > 1), "existing").otherwise("new")
     return staged.select("submission_id", "text", decision.alias("decision"), F.when(F.col("norm") != "", F.coalesce(F.col("concept_id").cast("string"), new_id)).alias("concept_id"))
+
+
+def _initial(submissions: DataFrame, concepts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Exact hits (submission_id, canonical_name, concept_id) and shortlists (submission_id, name, count, concept_id, score) by the graph alone."""
+    named = name_rows(concepts).withColumn("norm", N.normalise("name")).where("norm <> ''")
+    one = named.groupBy("norm").agg(F.min(F.struct("canonical_name", "concept_id")).alias("hit"))
+    exact = submissions.join(one, "norm").select("submission_id", "hit.canonical_name", "hit.concept_id")
+    listed = shortlist(submissions, concepts, most).join(concepts.select("concept_id", "encounter_count"), "concept_id")
+    return cut(exact, "exact"), cut(listed.select("submission_id", "canonical_name", "encounter_count", "concept_id", "score"), "listed")
+
+
+def resolve_in_order(submissions: DataFrame, concepts: DataFrame, call: Callable[[str, list[str]], dict], most: int = SHORTLIST, reference: bool = False) -> DataFrame:
+    """Every submission as if one were resolved after the other, each seeing what earlier ones created.
+
+    submissions: submission_id (a total order), text, source; concepts: concept_id, canonical_name, aliases, encounter_count.
+    Returns submission_id, text, source, decision, concept_id, canonical_name, alias, proposed_name, paraphrase,
+    reasoning, error, used_model, recorded (an encounter is filed; never for a reference).
+
+    All submissions are decided in rounds. A round decides together all whose input (exact hit or shortlist) is not the one
+    they were decided on; of those with equal names only the first, as the others will meet what it creates. Then what
+    the decisions add (names of new concepts, aliases) is scored against later submissions that meet it, and only those
+    whose input it changes are decided again. The order is total, so each round settles at least the next one, and the
+    result is that of a replay one by one. Weights of stems and encounter counts are those of the graph at the start.
+    """
+    graph = concepts.select(F.col("concept_id").cast("string").alias("concept_id"), "canonical_name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.col("encounter_count").cast("long").alias("encounter_count"))
+    subs = cut(submissions.select("submission_id", F.coalesce("text", F.lit("")).alias("text"), "source", N.normalise("text").alias("norm")), "submissions")
+    graph = cut(graph, "graph")
+    exact, listed = _initial(subs, graph, most)
+    weights = stem_weights(graph)
+    id_type, columns = dict(subs.dtypes)["submission_id"], ("decision", "concept_id", "canonical_name", "alias", "proposed_name", "paraphrase", "reasoning", "error")
+    spark = subs.sparkSession
+    outcome = spark.createDataFrame([], f"submission_id {id_type}, {', '.join(f'{c} string' for c in columns)}, used_model boolean, input string")
+    scored = spark.createDataFrame([], f"submission_id {id_type}, name string, score double")
+    wordless = (F.col("source") == "manual") & ~F.col("text").rlike(r"\p{L}")
+    while True:
+        # what each decision so far adds to the graph, for later submissions
+        added = outcome.where("decision in ('new', 'alias')").select(F.col("submission_id").alias("by"), "concept_id", "canonical_name", F.coalesce("alias", "canonical_name").alias("name"))
+        counts = graph.select("concept_id", "encounter_count")
+        added = cut(added.join(counts, "concept_id", "left").select("by", "concept_id", "canonical_name", "name", F.coalesce("encounter_count", F.lit(0).cast("long")).alias("encounter_count"), N.normalise("name").alias("norm")), "added")
+        fresh = added.select("name").distinct().join(scored.select("name").distinct(), "name", "left_anti")
+        fresh = cut(fresh.where("name is not null"), "fresh")
+        if not fresh.isEmpty():
+            pairs = pair_scores(subs, fresh.select(F.col("name").alias("name_id"), "name"), weights).withColumnRenamed("name_id", "name")
+            none = fresh.select(F.lit(None).cast(id_type).alias("submission_id"), "name", F.lit(0.0).alias("score"))  # so that it counts as scored
+            scored = cut(scored.unionByName(pairs).unionByName(none), "scored")
+        own = added.where("norm <> ''").alias("a").join(subs.alias("s"), (F.col("a.norm") == F.col("s.norm")) & (F.col("a.by") < F.col("s.submission_id"))).select("s.submission_id", "a.canonical_name", "a.concept_id")
+        hits = exact.unionByName(own).groupBy("submission_id").agg(F.min(F.struct("canonical_name", "concept_id")).alias("hit"))
+        later = scored.join(added, "name").where("by < submission_id").select("submission_id", "canonical_name", "encounter_count", "concept_id", "score")
+        every = listed.unionByName(later).groupBy("submission_id", "concept_id", "canonical_name", "encounter_count").agg(F.max("score").alias("score"))
+        best = Window.partitionBy("submission_id").orderBy(F.desc(F.round("score", 9)), F.desc("encounter_count"), "canonical_name", "concept_id")
+        some = F.max("score").over(Window.partitionBy("submission_id")) > 0  # the most met stand in only where nothing scores
+        lists = every.withColumn("_some", some).where((F.col("score") > 0) | ~F.col("_some")).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).groupBy("submission_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "concept_id"))), lambda x: x["concept_id"]).alias("shortlist"))
+        asked = subs.join(hits, "submission_id", "left").join(lists, "submission_id", "left").withColumn("shortlist", F.coalesce("shortlist", F.array().cast("array<string>")))
+        asked = asked.withColumn("input", F.when(wordless, "").when(F.col("hit").isNotNull(), F.concat(F.lit("="), F.col("hit.concept_id"))).otherwise(F.concat(F.lit("?"), F.array_join("shortlist", "|"))))
+        before = outcome.select("submission_id", F.col("input").alias("_before"))
+        changed = cut(asked.join(before, "submission_id", "left").where(~F.col("input").eqNullSafe(F.col("_before"))).drop("_before"), "changed")
+        if changed.isEmpty():
+            break
+        # of equal names that no concept has, the first alone is decided
+        first = changed.where(~wordless & F.col("hit").isNull() & (F.col("norm") != "")).groupBy("norm").agg(F.min("submission_id").alias("_first"))
+        now = changed.join(first, "norm", "left").where(F.col("_first").isNull() | (F.col("submission_id") <= F.col("_first")) | F.col("hit").isNotNull() | wordless)
+        now = cut(now.drop("_first"), "now")
+        free = now.where(wordless | F.col("hit").isNotNull())
+        null = F.lit(None).cast("string")
+        known_names = free.select(
+            "submission_id", F.when(wordless, injected.UNRESOLVABLE).otherwise("existing").alias("decision"), F.when(~wordless, F.col("hit.concept_id")).alias("concept_id"), F.when(~wordless, F.col("hit.canonical_name")).alias("canonical_name"),
+            *[null.alias(c) for c in columns[3:]], F.lit(False).alias("used_model"), "input",
+        )
+        there = graph.select("concept_id", "canonical_name", F.lit(None).cast(id_type).alias("by")).unionByName(added.select("concept_id", "canonical_name", "by"))
+        said = injected.decide(now.where(~wordless & F.col("hit").isNull()), call, there.select("concept_id", "canonical_name"))
+        # a concept that only a later submission creates does not exist yet
+        made_by = there.groupBy(F.col("concept_id").alias("_c")).agg(F.min(F.coalesce(F.col("by").cast("string"), F.lit(""))).alias("_any"), F.min("by").alias("_by"), F.bool_or(F.col("by").isNull()).alias("_old"))
+        said = said.join(made_by, F.col("concept_id") == F.col("_c"), "left")
+        early = F.col("_c").isNull() | F.col("_old") | (F.col("_by") < F.col("submission_id"))
+        decision = F.when(early, F.col("decision")).otherwise("new")
+        name = F.when(early, F.col("canonical_name")).otherwise(F.trim("text"))
+        new_id = F.concat(N.slug(name), F.lit("-"), F.left(F.sha2(F.concat_ws("|", N.normalise(name), F.col("submission_id").cast("string")), 256), F.lit(6)))
+        said = said.withColumns({"decision": decision, "canonical_name": name, "concept_id": F.when(decision == "new", new_id).otherwise(F.col("concept_id")), "alias": F.when(early, F.col("alias")), "used_model": F.lit(True)})
+        fixed = known_names.unionByName(said.select("submission_id", *columns, "used_model", "input"))
+        outcome = cut(outcome.join(now.select("submission_id"), "submission_id", "left_anti").unionByName(fixed), "outcome")
+    filed = subs.join(outcome.drop("input"), "submission_id")
+    return filed.drop("norm").withColumn("recorded", F.lit(not reference) & F.coalesce(F.col("decision") != injected.UNRESOLVABLE, F.lit(False)))
+
+
+def resolve_references(names: DataFrame, concepts: DataFrame, call: Callable[[str, list[str]], dict], most: int = SHORTLIST) -> DataFrame:
+    """Names that learning material mentions, in order, as concepts without an encounter. names: submission_id, text."""
+    return resolve_in_order(names.withColumn("source", F.lit("material")), concepts, call, most, reference=True)

@@ -35,6 +35,23 @@ def submissions(s, d, one_in=1):
     return own.union(named)
 
 
+def kits(s, d):
+    """The submissions, and a kit of every part, which no concept names."""
+    kit = table(s, d, "part").select((F.col("p_partkey") + 10_000_000).alias("submission_id"), F.concat("p_name", F.lit(" kit "), (F.col("p_partkey") % 4).cast("string")).alias("text"))
+    return submissions(s, d).unionByName(kit).withColumn("source", F.lit("transcript"))
+
+
+def files_kits():
+    """Kits of an even number are another name of concept 1, what begins with r names a concept that is not there, the rest is undecided."""
+
+    def decide(text: str, offered: list[str]) -> dict:
+        if text.endswith((" kit 0", " kit 2")):
+            return {"decision": "alias", "concept_id": "1"}
+        return {"decision": "existing", "concept_id": "none such"} if text.startswith("r") else {}
+
+    return decide
+
+
 SUBMISSIONS_SQL = f"""submissions AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{p}')" for k, p in enumerate(PROBES))}) t(submission_id, text)
   UNION ALL SELECT p_partkey + 1000, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) || '  ' || lower(p_type) || '!' FROM part)"""
 
@@ -73,6 +90,8 @@ QUERIES = {
     "exact_match": lambda s, d: R.exact_match(submissions(s, d), concepts(s, d)),
     "shortlist_topk": lambda s, d: R.shortlist(submissions(s, d, 100), concepts(s, d)),
     "resolve_all": lambda s, d: R.resolve_all(submissions(s, d), concepts(s, d)),
+    "resolve_decided": lambda s, d: R.resolve_in_order(kits(s, d), concepts(s, d), files_kits()).select("submission_id", "decision", "concept_id", "canonical_name", "alias", "used_model", "recorded"),
+    "resolve_reference": lambda s, d: R.resolve_references(table(s, d, "part").select(F.col("p_partkey").alias("submission_id"), F.col("p_type").alias("text")), concepts(s, d), lambda text, offered: {}).select("submission_id", "decision", "concept_id", "canonical_name", "recorded"),
     "slug_id": lambda s, d: concepts(s, d).select("concept_id", N.slug(F.col("canonical_name")).alias("slug")),
     "fingerprint": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", N.fingerprint(F.col("conv_id"), F.col("turn"), F.col("turn") + 1, F.col("text")).alias("content_id")),
     "spot_check": lambda s, d: table(s, d, "part").select("p_partkey", N.spot_hash(F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string"))).alias("spot")),
@@ -89,7 +108,17 @@ QUERIES = {
     "prose": lambda s, d: table(s, d, "nation").select("n_nationkey", N.prose(F.concat("n_name", F.lit(" ```a\nb``` tail ```open "), "n_name")).alias("text")),
 }
 
+IN_ORDER_SQL = f"""every AS (SELECT concept_id, canonical_name, canonical_name AS name FROM concepts UNION ALL SELECT concept_id, canonical_name, alias FROM concepts),
+ named AS (SELECT {norm_sql('name')} AS norm, min((canonical_name, concept_id)) AS hit FROM every GROUP BY ALL),
+ n AS (SELECT submission_id, trim(text) AS text, {norm_sql('text')} AS norm FROM asked),
+ m AS (SELECT n.*, hit, row_number() OVER (PARTITION BY n.norm ORDER BY submission_id) AS place, first_value(submission_id) OVER (PARTITION BY n.norm ORDER BY submission_id) AS maker, first_value(text) OVER (PARTITION BY n.norm ORDER BY submission_id) AS made FROM n LEFT JOIN named ON named.norm = n.norm AND n.norm <> ''),
+ r AS (SELECT *, norm <> '' AND (hit IS NOT NULL OR place > 1) AS is_known, CASE WHEN norm = '' THEN submission_id ELSE maker END AS owner, CASE WHEN norm = '' THEN text ELSE made END AS said FROM m),
+ x AS (SELECT *, hit IS NULL AND (said LIKE '% kit 0' OR said LIKE '% kit 2') AS filed, left(replace({norm_sql('said')}, ' ', '-'), 48) || '-' || left(sha256({norm_sql('said')} || '|' || owner), 6) AS new_id, (SELECT canonical_name FROM concepts WHERE concept_id = 1) AS one FROM r)
+ SELECT submission_id, CASE WHEN is_known THEN 'existing' WHEN filed THEN 'alias' ELSE 'new' END AS decision, CASE WHEN hit IS NOT NULL THEN hit[2]::varchar WHEN filed THEN '1' ELSE new_id END AS concept_id, CASE WHEN hit IS NOT NULL THEN hit[1] WHEN filed THEN one ELSE said END AS canonical_name"""
+
 ORACLE_SQL = {
+    "resolve_decided": f"WITH {CONCEPTS_SQL}, {SUBMISSIONS_SQL}, asked AS (SELECT * FROM submissions UNION ALL SELECT p_partkey + 10000000, p_name || ' kit ' || (p_partkey % 4) FROM part), {IN_ORDER_SQL}, CASE WHEN NOT is_known AND filed THEN text END AS alias, NOT is_known AS used_model, true AS recorded FROM x",
+    "resolve_reference": f"WITH {CONCEPTS_SQL}, asked AS (SELECT p_partkey AS submission_id, p_type AS text FROM part), {IN_ORDER_SQL}, false AS recorded FROM x",
     "normalise": f"SELECT s_suppkey, {norm_sql(chr(39) + ' --' + chr(39) + ' || s_name || ' + chr(39) + '/(Á) x ' + chr(39))} AS norm FROM supplier",
     "name_variants": f"WITH {CONCEPTS_SQL}, {VARIANTS_SQL} SELECT concept_id, string_agg(v, '|' ORDER BY v) AS variants FROM variants WHERE v <> '' GROUP BY concept_id",
     "stem": f"WITH {WORDS_SQL}, {stem_sql('words')} SELECT word, stem FROM st",

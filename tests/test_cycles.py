@@ -63,10 +63,15 @@ def test_regeneration_leaves_what_was_judged(spark):
 
 
 def test_deciders_and_writers_are_not_trusted(spark):
-    rows = spark.createDataFrame([("a", ["c1"]), ("b", ["c1"]), ("c", []), ("d", ["c1"])], "text string, shortlist array<string>")
-    said = {"a": {"decision": "alias", "concept_id": "c1"}, "b": {"decision": "existing", "concept_id": "c7"}, "c": {"decision": "new"}}
-    got = {r.text: (r.decision, r.concept_id, r.alias) for r in injected.decide(rows, lambda t, offered: said[t]).collect()}
-    assert got == {"a": ("alias", "c1", "a"), "b": ("unclear", None, None), "c": ("new", None, None), "d": ("unclear", None, None)}
+    rows = [("a", "manual"), ("b", "transcript"), ("c", "transcript"), ("d", "manual"), ("e", "transcript"), ("f", "manual"), ("g", "manual")]
+    frame = spark.createDataFrame([(t, source, ["c1"]) for t, source in rows], "text string, source string, shortlist array<string>")
+    known = spark.createDataFrame([("c1", "One"), ("c2", "Two")], "concept_id string, canonical_name string")
+    said = {"a": {"decision": "alias", "concept_id": "c1"}, "b": {"decision": "existing", "concept_id": "c7"}, "c": {"decision": "existing", "concept_id": "c2"}, "d": {"decision": "unclear"}, "e": {"decision": "Unclear", "canonical_name": "E (expanded)"}, "f": {"decision": "new", "canonical_name": "Eff"}}
+    got = {r.text: (r.decision, r.concept_id, r.canonical_name, r.alias, r.proposed_name) for r in injected.decide(frame, lambda t, offered: said[t], known).collect()}
+    assert got == {
+        "a": ("alias", "c1", "One", "a", None), "b": ("new", None, "b", None, None), "c": ("existing", "c2", "Two", None, None), "d": ("unclear", None, None, None, None),
+        "e": ("new", None, "e", None, "E (expanded)"), "f": ("new", None, "Eff", None, None), "g": (None, None, None, None, None),
+    }
     prompts = spark.createDataFrame([("p", ["x", "y"]), ("q", ["x"])], "prompt string, wanted array<string>")
     got = {r.prompt: (r.body, r.covers) for r in injected.write(prompts, lambda p: {"body": " text ", "covers": ["y", "z", "x"]} if p == "p" else {}).collect()}
     assert got == {"p": ("text", ["x", "y"]), "q": (None, None)}

@@ -130,7 +130,7 @@ def test_proposals_and_grades(spark):
     chunks = spark.createDataFrame([(1, 1, "p1"), (1, 2, "")], "session_id long, chunk long, prompt string")
     got = injected.propose(chunks, lambda prompt: [{"term": prompt, "signal": "accepted"}] * 2 if prompt else [], 2).collect()
     assert [(r.pos, r.term, r.paraphrase) for r in sorted(got, key=lambda r: r.pos)] == [(0, "p1", None), (1, "p1", None)]
-    assert injected.salvage('[{"a": 1}, {"b": [2]}, {"c": ') == [{"a": 1}, {"b": [2]}] and injected.salvage("nothing") == []
+    assert injected.salvage('{"candidates": [{"a": 1}, {"b": [2]}, {"c": ') == [{"a": 1}, {"b": [2]}] and injected.salvage("nothing") == [] and injected.salvage('{"notes": [{"a": 1}]}') == []
     assert injected.salvage('{"notes": ["x"], "candidates": [{"a": "]}\\\\\\""}, {"b": {"c": [1]}}, 7, {"d": 1}]}') == [{"a": "]}\\\""}, {"b": {"c": [1]}}]
     answers = spark.createDataFrame([("q", "x because y"), ("q", "one"), ("q", "a, b")], "question string, answer string")
     assert [r.level for r in injected.grade(answers).collect()] == ["causal", "isolated", "listed"]
