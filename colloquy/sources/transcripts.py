@@ -126,7 +126,7 @@ def ingest_status(files: DataFrame, prior: DataFrame) -> DataFrame:
     j = whole.join(prior, "session_id", "left")
     status = (
         F.when((size == 0) & F.col("bytes").isNull(), "empty").when(size == 0, "unchanged").when(F.col("bytes").isNull(), "new").when(F.col("bytes") > size, "rewritten")
-        .when(F.sha2(F.substring(F.col("b"), F.lit(1), F.col("bytes").cast("int")), 256) != F.col("sha256"), "rewritten").when(F.col("bytes") == size, "unchanged").otherwise("appended")
+        .when(F.sha2(F.substring(F.col("b"), F.lit(1), F.least("bytes", F.lit((1 << 31) - 1)).cast("int")), 256) != F.col("sha256"), "rewritten").when(F.col("bytes") == size, "unchanged").otherwise("appended")
     )
     staged = j.withColumn("status", status)
     start = F.when(F.col("status") == "appended", F.col("lines") + 1).when(F.col("status").isin("new", "rewritten"), F.lit(1))
@@ -139,19 +139,23 @@ def resolve_pointer(rows: DataFrame, session: str, first: int, last: int) -> Dat
 
 
 def sweep(spark: SparkSession, folder: str, prior: DataFrame, limit: int | None = None) -> DataFrame:
-    """ingest_status of every transcript below a folder, newest first up to limit; a file that cannot be read has status error.
+    """ingest_status of every transcript below a folder, with its path, newest first up to limit; a file that cannot be read has status error.
 
     Names come from the listing and contents from a read that passes over unreadable files, so one of them stops nothing.
+    Both are joined by path: files of one name in several folders are each their own, and all of one session's prior.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(folder).select("path", "modificationTime")
     if limit is not None:
         listed = listed.orderBy(F.desc("modificationTime"), "path").limit(limit)
-    name = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
     whole = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    read = whole.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1).alias("session_id"), F.col("value").alias("content"))
-    asked = listed.select(name.alias("session_id"))
-    found = ingest_status(asked.join(read, "session_id"), prior)
-    return found.unionByName(asked.join(found.select("session_id"), "session_id", "left_anti").withColumn("status", F.lit("error")), allowMissingColumns=True)
+    bare = lambda path: F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:/*", "/")  # noqa: E731  both forms of a path
+    read = whole.select(bare(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
+    asked = listed.select(bare(F.col("path")).alias("path"))
+    session = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
+    by_path = asked.select(F.col("path").alias("file"), session.alias("session_id")).join(prior, "session_id").drop("session_id").withColumnRenamed("file", "session_id")
+    found = ingest_status(asked.join(read, "path").select(F.col("path").alias("session_id"), "content"), by_path).withColumnRenamed("session_id", "path")
+    every = found.unionByName(asked.join(found.select("path"), "path", "left_anti").withColumn("status", F.lit("error")), allowMissingColumns=True)
+    return every.select(session.alias("session_id"), "path", *[c for c in found.columns if c != "path"])
 
 
 def ingested(files: DataFrame, status: DataFrame) -> DataFrame:

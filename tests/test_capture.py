@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,24 +62,63 @@ def test_merge_counts(spark):
 
 
 def test_tail_reads_what_is_new_and_starts_over_after_a_rewrite(tmp_path):
-    p = tmp_path / "s.jsonl"
-    reader = tail.TailReader(str(tmp_path))
+    (tmp_path / "deep").mkdir()
+    p, state = tmp_path / "deep" / "s.jsonl", str(tmp_path / "state")
+    reader = tail.TailReader(tmp_path.as_uri(), state)
 
-    def step(start):
+    def step(start, reader=reader):
+        reader.read_bytes = 0
         end = reader.latestOffset()
-        return end, [(g, n, raw) for part in reader.partitions(start, end) for _, g, n, raw in reader.read(part)]
-
-    p.write_text("one\ntw")
-    at, got = step(reader.initialOffset())
-    assert got == [(0, 1, "one")]
-    p.write_text("one\ntwo\nthree\n")
-    at, got = step(at)
-    assert got == [(0, 2, "two"), (0, 3, "three")]
-    at, got = step(at)
+        read = reader.read_bytes
+        rows = [(g, n, raw) for part in reader.partitions(start, end) for _, g, n, raw in reader.read(part)]
+        reader.commit(end)
+        return end, rows, read
+
+    def write(text, mode="w"):
+        before = p.stat().st_mtime_ns if p.exists() else 0
+        with open(p, mode) as f:
+            f.write(text)
+        os.utime(p, ns=(before + 10**9, before + 10**9))
+
+    write("one\ntw")
+    at, got, read = step(reader.initialOffset())
+    assert got == [(0, 1, "one")] and read == 6
+    write("o\nthree\n", "a")
+    at, got, read = step(at)
+    assert got == [(0, 2, "two"), (0, 3, "three")] and read == 4 + len("two\nthree\n")  # four bytes that were there are compared
+    at, got, read = step(at)
+    assert got == [] and read == 0
+    lines = "".join(f"{k} {'x' * 99}\n" for k in range(40_000))
+    write(lines, "a")
+    at, got, read = step(at)
+    assert len(got) == 40_000 and got[-1][:2] == (0, 40_003) and read == len(lines) + len("one\ntwo\nthree\n")
+    write("more\n", "a")
+    at, got, read = step(at)
+    assert got == [(0, 40_004, "more")] and read == 5 + tail.WINDOW  # of four megabytes
+    os.utime(p, ns=(10**18, 10**18))  # another time, the same bytes
+    at, got, _ = step(at)
     assert got == []
-    p.write_text("changed\nall\n")
-    at, got = step(at)
+    write("changed\nall\n")
+    at, got, _ = step(at)
     assert got == [(1, 1, "changed"), (1, 2, "all")]
+    write("CHANGED\nall\n")  # as many bytes
+    at, got, _ = step(at)
+    assert got == [(2, 1, "CHANGED"), (2, 2, "all")]
+    write("other\nbytes\nand more of them\n")
+    at, got, _ = step(at)
+    assert [g for g, *_ in got] == [3, 3, 3]
+    # a restarted reader goes on from the state
+    again = tail.TailReader(str(tmp_path), state)
+    write("last\n", "a")
+    end, got, read = step(at, again)
+    assert got == [(3, 4, "last")] and read == 5 + len("other\nbytes\nand more of them\n")
+
+
+def test_digests_are_carried_on():
+    data = bytes(range(256)) * 40
+    for k in (0, 1, 999, 10_239):
+        assert tail.extend(tail.extend(0, data[:k]), data[k:]) == tail.extend(0, data)
+    assert tail.extend(0, data) != tail.extend(0, data[1:] + data[:1])
 
 
 def test_tail_as_a_stream(spark, tmp_path):
@@ -133,17 +174,58 @@ def test_streaming_occasions_and_replays(spark, tmp_path):
     assert sorted(r.key for r in got) == [1, 2]
 
 
-def test_streaming_quiet_projects_and_daily_notices(spark, tmp_path):
-    rows = [("a", "x", at(0)), ("a", "y", at(5)), ("b", "z", at(6)), ("c", "w", at(60)), ("c", "w", at(120))]
-    frames = [spark.createDataFrame([r], "project string, path string, changed_at timestamp") for r in rows]
-    got = stream(spark, tmp_path, frames, live.stream_quiet, "quiet_rows")
-    assert {(r.project, tuple(r.paths)) for r in got} >= {("a", ("x", "y")), ("b", ("z",))}
+def test_streaming_daily_notices(spark, tmp_path):
     rows = [("u", "k1", at(0), "t"), ("u", "k1", at(1500), "t"), ("u", "k2", at(1501), "t"), ("u", "k3", at(1502), "t")]
     frames = [spark.createDataFrame(rows, "user string, key string, at timestamp, text string")]
     got = stream(spark, tmp_path, frames, lambda s: live.daily_once(s, 9), "notices")
     assert [(r.user, r.key) for r in got] == [("u", "k1"), ("u", "k2")]
 
 
+def test_streaming_quiet_projects_lose_no_change(spark, tmp_path):
+    """b changed a second before a's newest change and arrives a batch later; c changes again while it waits, d after it came out."""
+    now = dt.datetime.now().replace(microsecond=0)
+    old = lambda seconds: now - dt.timedelta(hours=1, seconds=seconds)
+    schema = "project string, path string, changed_at timestamp"
+    batches = [[("a", "x", old(9)), ("a", "y", old(0)), ("d", "v", old(4))], [("b", "z", old(1))], [("c", "w", now)], [("c", "u", now)], [("d", "v", old(2))]]
+    for k in range(2):
+        spark.createDataFrame(batches[k], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    from colloquy.shipping import ship
+
+    ship(spark)
+    source = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = live.stream_quiet(source, 10).writeStream.format("memory").queryName("quiet_rows").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+
+    def wait(done):
+        until = time.monotonic() + 120
+        while time.monotonic() < until and q.exception() is None:
+            got = [(r.project, tuple(r.paths)) for r in spark.table("quiet_rows").collect()]
+            if done(got):
+                return got
+            time.sleep(0.5)
+        raise AssertionError((q.exception(), got))
+
+    try:
+        wait(lambda got: len(got) >= 3)
+        for k in range(2, 5):
+            spark.createDataFrame(batches[k], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        got = wait(lambda got: got.count(("d", ("v",))) == 2)
+        assert sorted(got) == [("a", ("x", "y")), ("b", ("z",)), ("d", ("v",)), ("d", ("v",))]  # c waits for its ten minutes
+    finally:
+        q.stop()
+        spark.conf.unset(provider)
+
+
+def test_sweep_tells_files_of_one_name_apart(spark, tmp_path):
+    for folder, body in (("a", "one\n"), ("b b+c", "two\nthree\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s1.jsonl").write_text(body)
+    prior = spark.createDataFrame([("s1", 4, 1, hashlib.sha256(b"one\n").hexdigest())], "session_id string, bytes long, lines long, sha256 string")
+    got = sorted((r.path.split("/")[-2], r.session_id, r.status, r.bytes) for r in T.sweep(spark, str(tmp_path), prior).collect())
+    assert got == [("a", "s1", "unchanged", 4), ("b b+c", "s1", "rewritten", 10)]
+
+
 def test_derived_queue(spark):
     got = []
     turns = spark.createDataFrame([(1, 1, "user", "hi", False, False), (2, 1, "user", "hi", False, False)], "session_id long, line_no long, role string, text string, is_meta boolean, is_sidechain boolean")
