@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from colloquy.functions import names as N
 from colloquy.operators import fold as D, grading as G, probes as P, regeneration as A, repair as R
@@ -12,6 +12,7 @@ from colloquy.plans.folds import JUDGMENT_SQL
 from colloquy.plans.graphs_terms import TERMS_SQL, terms_of
 from colloquy.plans.naming import norm_sql, stem_sql
 from colloquy.sources.domain import LOG_SQL, TURNS_SQL, log, table, turns
+from colloquy.state import new_dir
 
 REC = "event_type = 'encounter_recorded'"
 
@@ -105,7 +106,38 @@ def chained(s, d):
     return log(s, d).select(F.col("event_type").alias("extractor"), F.col("key").alias("session_id"), (F.col("value") > 100).alias("is_gold"), (F.col("k") % 2 == 0).alias("even"), (F.col("k") % 3 == 0).alias("third"))
 
 
+def long_answers(s, d):
+    """What a detector finds: assistant turns of over 500 characters."""
+    said = table(s, d, "conversations").where("role = 'assistant' AND length(text) > 500")
+    return said.select(F.col("conv_id").cast("string").alias("session_id"), "turn", F.left("text", F.lit(40)).alias("term"))
+
+
+def regeneration_resumed(s, d):
+    """All conversations in thirds; the run stops after the first one, and another goes on from the ledger."""
+    sessions = table(s, d, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
+    folder, wave = new_dir(s, "regeneration"), sessions.count() // 3 + 1
+    work = lambda todo: long_answers(s, d).join(todo, "session_id", "left_semi")
+    A.Regeneration(s, folder, "v1").run(sessions, work, wave, most_waves=1)
+    again = A.Regeneration(s, folder, "v1")
+    again.run(sessions, work, wave)
+    terms = again.found().groupBy("session_id").agg(F.min("term").alias("first_term"), F.max("turn").alias("last_turn"))
+    return again.ledger().select("session_id", "found").join(terms, "session_id", "left")
+
+
+def detections_recorded(s, d):
+    """Long answers by turn, two of a session emitted; every conversation was examined."""
+    every = table(s, d, "conversations")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn"))
+    ranked = long_answers(s, d).withColumn("rank", place.cast("long")).withColumns({"line_start": F.col("turn"), "line_end": F.col("turn") + 1, "emitted": F.col("rank") <= 2})
+    sessions = every.select(F.col("conv_id").cast("string").alias("session_id"))
+    windows = sessions.groupBy("session_id").agg(F.count(F.lit(1)).alias("windows_examined"))
+    listed = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["rank"].cast("string"), c["line_start"].cast("string"), F.coalesce(c["encounter_id"], F.lit("-")))), "|")
+    return A.record_detection(sessions, windows, ranked).select("session_id", "windows_examined", "candidates_found", "n_emitted", listed.alias("candidates"))
+
+
 QUERIES = {
+    "regeneration_resumed": regeneration_resumed,
+    "record_detection": detections_recorded,
     "graph_repair": graph_repair,
     "concept_merges": lambda s, d: R.merge(log(s, d).select(F.col("event_id").alias("origin"), text_of("k").alias("from_concept_id"), F.floor(F.col("k") / 2).cast("string").alias("into_concept_id"), F.lit("same").alias("reasoning"))).select("origin", F.element_at("payload", "from_concept_id").alias("src"), F.element_at("payload", "into_concept_id").alias("dst")),
     "submit_answers": submitted,
@@ -141,7 +173,13 @@ QUERIES = {
 WORDS_OF = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
 REPO_GRAMS = " UNION ALL ".join(f"SELECT repo, array_to_string(ss[i:i + {n - 1}], ' ') AS run FROM (SELECT repo, ss, unnest(range(1, len(ss) - {n - 2})) AS i FROM stemmed WHERE len(ss) >= {n})" for n in range(1, 5))
 
+LONG_SQL = "said AS (SELECT conv_id::varchar AS session_id, turn, left(text, 40) AS term FROM conversations WHERE role = 'assistant' AND length(text) > 500)"
+
 ORACLE_SQL = {
+    "regeneration_resumed": f"WITH {LONG_SQL} SELECT c.session_id, count(turn) AS found, min(term) AS first_term, max(turn) AS last_turn FROM (SELECT DISTINCT conv_id::varchar AS session_id FROM conversations) c LEFT JOIN said USING (session_id) GROUP BY c.session_id",
+    "record_detection": f"""WITH {LONG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS rank FROM said), w AS (SELECT conv_id::varchar AS session_id, count(*) AS windows_examined FROM conversations GROUP BY ALL),
+ c AS (SELECT session_id, count(*) AS candidates_found, count(*) FILTER (rank <= 2) AS n_emitted, string_agg(rank || ':' || turn || ':' || CASE WHEN rank <= 2 THEN 'e-' || upper(left(sha256(session_id || '|' || turn || '|' || (turn + 1) || '|' || {norm_sql('term')}), 26)) ELSE '-' END, '|' ORDER BY rank) AS candidates FROM r GROUP BY session_id)
+ SELECT session_id, windows_examined, coalesce(candidates_found, 0) AS candidates_found, coalesce(n_emitted, 0) AS n_emitted, coalesce(candidates, '') AS candidates FROM w LEFT JOIN c USING (session_id)""",
     "graph_repair": REPAIR_SQL,
     "concept_merges": f"WITH {LOG_SQL} SELECT event_id AS origin, CAST(k AS VARCHAR) AS src, CAST(k // 2 AS VARCHAR) AS dst FROM log WHERE k <> k // 2",
     "submit_answers": f"""WITH {LOG_SQL}, a AS (SELECT event_id AS answer_id, k % 30 AS concept_id, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN '' ELSE 'said ' || k END AS raw_text, coalesce(CASE WHEN event_id % 2 = 0 THEN 'What is it?' END, 'In your own words, what is ' || n_name || ' and why does it matter here?') AS prompt_text FROM log LEFT JOIN nation ON n_nationkey = k % 30)

@@ -1,7 +1,8 @@
 """The event log and derived tables as Parquet folders: append, read, rewrite, drop, back up.
 
-The log is partitioned by event type, so readers of a few types touch only those folders. Derived tables are written
-beside the old ones and swapped in by one rename, so a reader never meets half a table.
+The log is partitioned by event type, so readers of a few types touch only those folders. A derived table is a folder of
+versions. A new one is written beside the present one and counts once a marker file names it, which is made in one step
+and never overwritten; the version before stays for those who read it. So a reader meets a whole table at any time.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from colloquy.operators.dml import validated
 LOG = "event_id string, occurred_at timestamp, actor string, subject string, payload map<string,string>, supersedes string, event_type string"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -39,28 +40,42 @@ class Store:
 
     def log(self, *kinds: str) -> DataFrame:
         """The log, of some types only if named (partition pruning)."""
-        fs, p = _fs(self.spark, f"{self.root}/log")
+        fs, p = file_system(self.spark, f"{self.root}/log")
         if not fs.exists(p):
             return self.spark.createDataFrame([], LOG)
         every = self.spark.read.schema(LOG).parquet(f"{self.root}/log")
         return every.where(F.col("event_type").isin(*kinds)) if kinds else every
 
+    def _versions(self, name: str) -> list[int]:
+        fs, p = file_system(self.spark, f"{self.root}/derived/{name}")
+        found = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removeprefix("_version-")) for n in found if n.startswith("_version-"))
+
     def rewrite(self, name: str, table: DataFrame) -> None:
-        """Replaces a derived table; table may read the present one."""
-        made, final = f"{self.root}/derived/_{name}-{uuid.uuid4().hex}", f"{self.root}/derived/{name}"
-        table.write.parquet(made)
-        fs, new = _fs(self.spark, made)
-        _, old = _fs(self.spark, final)
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"could not put {made} in place of {final}")
+        """Replaces a derived table; table may read the present one. Of two writers at once the later one raises."""
+        version = (self._versions(name) or [0])[-1] + 1
+        folder, held = f"{self.root}/derived/{name}", f"{version}-{uuid.uuid4().hex}"
+        table.write.parquet(f"{folder}/{held}")
+        fs, marker = file_system(self.spark, f"{folder}/_version-{version}")
+        out = fs.create(marker, False)
+        out.write(bytearray(held.encode()))
+        out.close()
+        for x in fs.listStatus(file_system(self.spark, folder)[1]):
+            n = x.getPath().getName()
+            if int(n.removeprefix("_version-").split("-")[0]) < version - 1:
+                fs.delete(x.getPath(), True)
 
     def derived(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/derived/{name}")
+        folder = f"{self.root}/derived/{name}"
+        fs, marker = file_system(self.spark, f"{folder}/_version-{self._versions(name)[-1]}")
+        stream = fs.open(marker)
+        held = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return self.spark.read.parquet(f"{folder}/{held}")
 
     def drop_derived(self) -> list[str]:
         """Drops every derived table, as after a change of schema, and names them."""
-        fs, p = _fs(self.spark, f"{self.root}/derived")
+        fs, p = file_system(self.spark, f"{self.root}/derived")
         names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
         fs.delete(p, True)
         return names
@@ -73,11 +88,17 @@ class Store:
 
 
 def meter_sink(store: Store):
-    """For foreachBatch: appends a micro-batch of model calls to the log, once an epoch by the event ids."""
+    """For foreachBatch: appends a micro-batch of model calls to the log, each once by its event id.
+
+    Only the days on which the batch's calls were made are looked at for calls that a replay brings again.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
-        known = store.log("model_called").select("event_id")
-        store.append(batch.join(known, "event_id", "left_anti"))
+        known = store.log("model_called")
+        span = batch.agg(F.min("occurred_at").alias("a"), F.max("occurred_at").alias("b")).first() if "occurred_at" in batch.columns else None
+        if span and span["a"]:
+            known = known.where(F.col("occurred_at").isNull() | F.col("occurred_at").between(span["a"], span["b"]))
+        store.append(batch.join(known.select("event_id"), "event_id", "left_anti").dropDuplicates(["event_id"]))
 
     return each
 

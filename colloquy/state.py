@@ -30,13 +30,18 @@ def drop(path: str) -> None:
         p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder. All of them go when the driver ends."""
+    mine = f"{shared_dir(spark)}/state-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_state_dir", None) != mine:
+        spark.sparkContext._state_dir = mine
+        atexit.register(drop, mine)
+    return f"{mine}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The same rows read from a table in the shared folder; it goes when the driver ends."""
-    mine = f"{shared_dir(df.sparkSession)}/state-{df.sparkSession.sparkContext.applicationId}"
-    if getattr(df.sparkSession.sparkContext, "_state_dir", None) != mine:
-        df.sparkSession.sparkContext._state_dir = mine
-        atexit.register(drop, mine)
-    path = f"{mine}/{name}-{uuid.uuid4().hex}"
+    path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -37,3 +37,19 @@ def test_metered_calls_are_appended_once(spark, tmp_path):
     for epoch in range(2):
         meter_sink(store)(calls, epoch)
     assert store.log("model_called").count() == 1
+
+
+def test_a_table_is_whole_at_any_time(spark, tmp_path):
+    """A reader keeps what it has read through a rewrite; of two writers at once one raises; a broken write changes nothing."""
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.rewrite("t", spark.range(3))
+    held = store.derived("t")
+    store.rewrite("t", spark.range(5))
+    assert held.count() == 3 and store.derived("t").count() == 5
+    with pytest.raises(Exception, match="(?i)divi"):
+        store.rewrite("t", spark.range(4).select(F.expr("1 div (id - 2)").alias("id")))
+    assert store.derived("t").count() == 5
+    (tmp_path / "s" / "derived" / "t" / "_version-3").write_text("taken")
+    with pytest.raises(Exception, match="(?i)exists"):
+        store._versions = lambda name: [1, 2]
+        store.rewrite("t", spark.range(1))
