@@ -59,11 +59,20 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{mine}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """The same rows read from a table in the shared folder: lineage ends there and a lost executor costs nothing."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of a small table that go to one file.
+FILE_ROWS = 20_000
+
+
+def cut(df: DataFrame, name: str, compression: str | None = None, rows: int | None = None) -> DataFrame:
+    """The same rows read from a table in the shared folder: lineage ends there and a lost executor costs nothing.
+
+    rows: about how many there are; a table of few is written by as few tasks as they need.
+    """
+    spark = df.sparkSession
+    path = new_dir(spark, name)
+    made = df if rows is None else df.coalesce(max(1, min(rows // FILE_ROWS + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    made.write.parquet(path, compression=compression)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(path: str) -> None:

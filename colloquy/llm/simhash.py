@@ -58,12 +58,8 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def links(points: DataFrame, bits: int = BITS) -> DataFrame:
-    """Verified edges (a, b), a < b, between distinct fingerprints (column fp) at 2 or fewer differing bits of the lowest so many.
-
-    One edge joins every member of a ball's meeting point to the smallest there; members of one meeting point are
-    within 2 bits of each other, so no connection is lost, and there are fewer edges than members.
-    """
+def ball_points(points: DataFrame, bits: int = BITS) -> DataFrame:
+    """v and all: the points that lie in the balls of two or more distinct fingerprints (column fp), and those fingerprints."""
     masks = F.array(*[F.lit(1 << k if k < BITS - 1 else -(1 << k)).cast("long") for k in range(bits)])
     flips = F.transform(masks, lambda m: F.struct(F.col("fp").bitwiseXOR(m).alias("v"), m.alias("m")))
     own = F.array(F.struct(F.col("fp").alias("v"), F.lit(0).cast("long").alias("m")))
@@ -75,36 +71,43 @@ def links(points: DataFrame, bits: int = BITS) -> DataFrame:
         F.when(F.col("own"), F.array("v")).otherwise(F.array().cast("array<long>")),
         F.transform(F.filter(masks, lambda m: F.col("m").bitwiseAND(m) != 0), lambda m: F.col("v").bitwiseXOR(m)),
     )
-    star = met.select(members.alias("all")).select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b")
+    return met.select("v", members.alias("all"))
+
+
+def links(points: DataFrame, bits: int = BITS) -> DataFrame:
+    """Verified edges (a, b), a < b, between distinct fingerprints (column fp) at 2 or fewer differing bits of the lowest so many.
+
+    One edge joins every member of a ball's meeting point to the smallest there; members of one meeting point are
+    within 2 bits of each other, so no connection is lost, and there are fewer edges than members.
+    """
+    star = ball_points(points, bits).select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b")
     return star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
-def components(points: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(points: DataFrame, edges: DataFrame) -> DataFrame:
     """fp and label: the smallest id within reach. points: fp, id (its smallest); edges: a, b.
 
     Each round takes the least label among neighbours and then jumps to that of the label's own point. A point has at
-    most 2,080 possible neighbours, so no neighbour list is hot. Each round is a written table; it ends when no label
-    falls, and raises if most_rounds did not suffice.
+    most 2,080 possible neighbours, so no neighbour list is hot. Each round is a written table, by as few tasks as its
+    rows need; it ends when no label falls, which it does as labels are ids of the points.
     """
     both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")), "edges")
-    if both.isEmpty():
+    n = both.count()
+    if not n:
         return points.select("fp", F.col("id").alias("label"))
+    none = F.lit((1 << 63) - 1)
     linked = both.select(F.col("x").alias("fp")).distinct()
-    labels = cut(points.join(linked, "fp").select("fp", F.col("id").alias("label")), "labels")
-    name = F.coalesce("label", F.lit((1 << 63) - 1))
-    for _ in range(most_rounds):
-        least = both.join(labels, both.y == labels.fp).groupBy("x").agg(F.min(name).alias("near"))
-        step = labels.join(least, labels.fp == least.x).select("fp", F.least(name, "near").alias("new"), name.alias("old"))
-        step = cut(step, "labels")
-        jump = step.groupBy(F.col("old").alias("at")).agg(F.min("new").alias("to")).where("to < at")
-        jumped = step.join(jump, step.new == jump["at"], "left").select("fp", F.coalesce("to", "new").alias("label"), (F.coalesce("to", "new") < F.col("old")).alias("fell"))
-        found = cut(jumped, "labels")
-        labels = found.select("fp", F.nullif("label", F.lit((1 << 63) - 1)).alias("label"))
-        if found.where("fell").isEmpty():
+    labels = cut(points.join(linked, "fp").select("fp", F.coalesce("id", none).alias("label")), "labels", rows=n)
+    while True:
+        least = both.join(labels, both.y == labels.fp).groupBy("x").agg(F.min("label").alias("near"))
+        step = labels.join(least, labels.fp == least.x).select("fp", F.least("label", "near").alias("new"), F.col("label").alias("old"))
+        step = cut(step, "labels", rows=n)
+        if step.where("new < old").isEmpty():
             break
-    else:
-        raise RuntimeError(f"labels still fall after {most_rounds} rounds")
-    return points.join(labels, "fp", "left").select("fp", F.coalesce("label", "id").alias("label"))
+        jump = step.groupBy(F.col("old").alias("at")).agg(F.min("new").alias("to")).where("to < at")
+        labels = cut(step.join(jump, step.new == jump["at"], "left").select("fp", F.coalesce("to", "new").alias("label")), "jumped", rows=n)
+    found = step.select("fp", F.nullif("new", none).alias("label"))
+    return points.join(found, "fp", "left").select("fp", F.coalesce("label", "id").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -128,6 +131,8 @@ BANDS, BAND_ROWS = 16, 4
 SKETCH_SLACK = 30
 #: Members of a meeting up to which all pairs are compared at once; and members of a block, where larger ones are left.
 SMALL, GRID = 32, 512
+#: Hashes of a block's sets, 8 MB, on average: long texts make more blocks.
+GRID_HASHES = 1 << 20
 #: Shingles of a cell that are looked at at once.
 COLUMNS = 1 << 12
 #: Rounds of pivots at most, before what is still left is compared pair by pair in blocks.
@@ -204,17 +209,17 @@ def band_meetings(sketched: DataFrame) -> DataFrame:
 
 
 def ball_meetings(sketched: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
-    """(key, id) of all whose fingerprints hang together in a table by steps of 2 or fewer bits.
+    """(key, id) of all whose fingerprints in a table are within 2 bits: they meet at a point that lies in the balls of both.
 
-    A node is (table, fingerprint). Distinct nodes emit their balls and are linked where these meet; the nodes that hang
-    together are one meeting, so an id comes once a table, however many points its ball shares with others'.
+    A node is (table, fingerprint). Distinct nodes emit their balls; a point in several balls is a meeting of the ids of
+    those nodes, and a node that several texts have is one as well. Meetings are local, so a chain of fingerprints, each
+    near the next, is many small meetings and never a large one.
     """
     nodes = cut(sketched.select("id", F.posexplode("tables").alias("t", "f")).select("id", (F.col("t") * F.lit(1 << bits) + F.col("f")).alias("fp")), "nodes")
-    points = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "nodes")
-    linked = components(points.select("fp", F.col("fp").alias("id")), links(points.select("fp"), bits))
-    found = cut(points.join(linked, "fp"), "linked")
-    several = found.groupBy("label").agg(F.sum("n").alias("n")).where("n > 1").select("label")
-    return nodes.join(found.join(several, "label", "left_semi").select("fp", "label"), "fp").select(F.col("label").alias("key"), "id")
+    points = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "points")
+    met = ball_points(points.select("fp"), bits).select(F.col("v").alias("key"), F.explode("all").alias("fp"))
+    alone = points.where("n > 1").select(F.col("fp").alias("key"), "fp")  # a point of its own ball, if none else has it
+    return nodes.join(met.unionByName(alone).distinct(), "fp").select("key", "id")
 
 
 def verified(near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -231,7 +236,9 @@ def blockwise(left: DataFrame, sizes: DataFrame, sets: DataFrame, least: float)
     """
     ship(left.sparkSession)
     block = F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")
-    held = left.join(sizes.select("key", F.ceil(F.col("n") / GRID).alias("blocks")), "key").withColumn("at", block)
+    weights = left.join(sets.select("id", F.size("set").alias("w")), "id").groupBy("key").agg(F.sum("w").alias("w"))
+    blocks = F.greatest(F.ceil(F.col("n") / GRID), F.ceil(F.col("w") / GRID_HASHES))
+    held = left.join(sizes.join(weights, "key").select("key", blocks.alias("blocks")), "key").withColumn("at", block)
     cells = held.select("key", "id", "label", "at", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"))
     cells = cells.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "id", "label").join(sets, "id")
 
@@ -291,21 +298,22 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
     number. When pivots merge little more, all pairs that are left are compared in blocks: nothing that meets is skipped.
     """
     held, degrees, before = meetings.join(light, "id"), None, None
+    rows = meetings.count()
     key = F.xxhash64("id")
     for round_ in range(PIVOT_ROUNDS + 1):
         live = held.join(labels, "id")
         live = live.withColumn("deg", F.lit(0).cast("long")) if degrees is None else live.join(degrees, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0).cast("long")))
-        live = cut(live.select("key", "id", "s1", "s2", "label", "deg"), "live")
+        live = cut(live.select("key", "id", "s1", "s2", "label", "deg"), "live", rows=rows)
         hubs = [F.max_by(F.when(F.col("deg") > 0, F.col("id")), F.when(key.bitwiseAND(1) == k, F.struct("deg", key.alias("k")))) for k in range(2)]
         picked = F.array_compact(F.array(F.min_by("id", key), F.min_by("id", F.struct("label", key.alias("k"))), F.max_by("id", F.struct("label", key.alias("k"))), *hubs))
-        found = cut(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), picked.alias("picked")).where("lo < hi").drop("lo", "hi"), "found")
+        found = cut(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), picked.alias("picked")).where("lo < hi").drop("lo", "hi"), "found", rows=rows)
         large = F.when(F.col("n") > SMALL, F.col("n").cast("double"))
         keys, pairs = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(large * large), F.lit(0.0))).first()
         if not keys:
             return labels
         last = not pairs or round_ == PIVOT_ROUNDS or before is not None and pairs > before / 2
         pivot = (F.col("n") <= SMALL) | (F.array_contains("picked", F.col("id")) & F.lit(not last))
-        marked = cut(live.join(found, "key").select("key", "id", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large")), "marked")
+        marked = cut(live.join(found, "key").select("key", "id", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large")), "marked", rows=rows)
         one = marked.where("pivot").select("key", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
         other = marked.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), "s1", "s2", "pivot")
         met = one.join(other, "key").where((F.col("pl") != F.col("ql")) & (~F.col("pivot") | (F.col("p") < F.col("q"))) & close("p1", "p2", "s1", "s2"))
@@ -317,9 +325,9 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
         edges = cut(edges, "edges")
         degrees, before = edges.select(F.col("a").alias("id")).union(edges.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("deg")), pairs
         named = edges.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        named = cut(named, "named")
+        named = cut(named, "named", rows=rows)
         points = named.select(F.col("a").alias("fp")).union(named.select("b")).distinct().select("fp", F.col("fp").alias("id"))
-        moved = components(cut(points, "points"), named).toDF("label", "to")
+        moved = components(cut(points, "points", rows=rows), named).toDF("label", "to")
         labels = cut(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
         if last or not pairs:
             return labels
