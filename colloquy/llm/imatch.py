@@ -50,7 +50,7 @@ class Lexicon:
         """df with an array column of the terms of each text that are in the lexicon. texts: new name -> text column."""
         if self.buckets is not None:
             mask = F.lit((1 << self.bits) - 1)
-            inside = lambda t: F.array_contains(F.get(self.buckets, t.bitwiseAND(mask).cast("int")), t)
+            inside = lambda t: F.array_contains(F.get(self.buckets, t.bitwiseAND(mask).cast("int")), F.shiftrightunsigned(t, self.bits))
             return df.withColumns({name: F.filter(terms(text), inside) for name, text in texts.items()})
         rows = cut(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
         for name, text in texts.items():
@@ -68,8 +68,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
     if size > most_terms:
         return Lexicon(table, bits, None)
     buckets: list[list[int]] = [[] for _ in range(1 << bits)]
-    for r in table.collect():  # most_terms numbers at most
-        buckets[r["term"] & ((1 << bits) - 1)].append(r["term"])
+    for (term,) in table.collect():  # most_terms numbers at most; a bucket's place stands for the low bits
+        buckets[term & ((1 << bits) - 1)].append((term & ((1 << 64) - 1)) >> bits)
     return Lexicon(table, bits, F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>"))
 
 
