@@ -1,14 +1,23 @@
 """Flat export: one frame a kind of thing, redaction, manifest, files.
 
 Each frame is built from the log by folds and joins on ids; nothing is collected. ``write_frames`` refuses a folder
-that holds something and leaves JSON lines with the columns in sorted order.
+that holds something and leaves JSON lines with the columns in sorted order; ``archive`` puts frames of any size into one zip.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, functions as F
+
+from colloquy.shipping import ship
+from colloquy.sources.store import file_system
+from colloquy.state import cut
 
 #: Text that leaves the machine only when asked for, by event type.
 TEXT_KEYS = {"encounter_recorded": ("paraphrase",), "session_analysed": ("candidates",), "encounter_dismissed": ("reason",)}
@@ -70,17 +79,80 @@ def write_frames(frames: dict[str, DataFrame], folder: str) -> None:
         frame.select(*sorted(frame.columns)).write.mode("errorifexists").json(f"{folder}/{name}")
 
 
-def archive(frames: dict[str, DataFrame], names: dict[str, str] | None = None, most_rows: int = 10_000) -> bytes:
-    """A zip of small report frames as JSON lines, made on the driver; a frame of over most_rows rows is refused."""
-    import io
-    import json
-    import zipfile
-
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, frame in sorted(frames.items()):
-            rows = frame.limit(most_rows + 1).toJSON().collect()
-            if len(rows) > most_rows:
-                raise ValueError(f"{name} has over {most_rows} rows; write it with write_frames")
-            z.writestr(f"{(names or {}).get(name, name)}.jsonl", "".join(json.dumps(json.loads(r), sort_keys=True) + "\n" for r in rows))
-    return held.getvalue()
+#: Bytes of JSON lines of a member, before they are compressed.
+MEMBER_BYTES = 8 << 20
+MEMBER = "frame string, part long, rows long, size long, crc long, body binary"
+
+
+def _members(frame: DataFrame, name: str, member_bytes: int) -> DataFrame:
+    """The frame's rows as compressed members, made where the rows are: part counts up in the frame's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lines, held = TaskContext.get().partitionId() << 32, [], 0
+
+        def member() -> pa.RecordBatch:
+            data, press = b"".join(lines), zlib.compressobj(6, zlib.DEFLATED, -15)
+            body = press.compress(data) + press.flush()
+            row = {"frame": [name], "part": [at], "rows": [len(lines)], "size": [len(data)], "crc": [zlib.crc32(data)], "body": pa.array([body], pa.binary())}
+            return pa.RecordBatch.from_pydict(row)
+
+        for batch in batches:
+            for (line,) in zip(*batch.columns, strict=True):
+                lines.append(line.as_py().encode() + b"\n")
+                held += len(lines[-1])
+                if held >= member_bytes:
+                    yield member()
+                    at, lines, held = at + 1, [], 0
+        if lines:
+            yield member()
+
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(frame.columns)]), {"ignoreNullFields": "false"})
+    return frame.select(row.alias("line")).mapInArrow(run, MEMBER)
+
+
+def _wide(*values: int) -> bytes:
+    """The extra field that holds numbers of 64 bits."""
+    return struct.pack(f"<HH{len(values)}Q", 1, 8 * len(values), *values)
+
+
+def archive(frames: dict[str, DataFrame], path: str, names: dict[str, str] | None = None, member_bytes: int = MEMBER_BYTES) -> DataFrame:
+    """Writes frames of any size as one zip of JSON lines on any file system, and returns its index: member, rows, size.
+
+    Members are compressed by tasks, each with its own checksum, and kept as a table in the shared folder. The driver then
+    passes them on to the file, one partition of compressed members at a time, and ends it with the directory, of which it
+    knows a row a member. A frame of several members has them as numbered parts of a folder; one without rows has an empty
+    one. Sizes and places are numbers of 64 bits. A file that is there is refused.
+    """
+    if not frames:
+        raise ValueError("nothing to archive")
+    spark = next(iter(frames.values())).sparkSession
+    ship(spark)
+    fs, target = file_system(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    index, offset = [], 0
+    out = fs.create(target, False)
+
+    def put(data: bytes) -> int:
+        out.write(bytearray(data))
+        return len(data)
+
+    for name, frame in sorted(frames.items()):
+        made = cut(_members(frame, name, member_bytes), "members")
+        count, shown = made.count(), (names or {}).get(name, name)
+        parts = made.orderBy("part").toLocalIterator() if count else [Row(rows=0, size=0, crc=0, body=b"\x03\x00")]
+        for k, m in enumerate(parts):
+            member = (f"{shown}.jsonl" if count <= 1 else f"{shown}/part-{k:06d}.jsonl").encode()
+            common = struct.pack("<HHHHH", 45, 0x800, 8, 0, 0x21) + struct.pack("<III", m["crc"], 0xFFFFFFFF, 0xFFFFFFFF)
+            extra = _wide(m["size"], len(m["body"]))
+            index.append((member, common, m["size"], len(m["body"]), offset, m["rows"]))
+            offset += put(b"PK\x03\x04" + common + struct.pack("<HH", len(member), len(extra)) + member + extra)
+            offset += put(m["body"])
+    start = offset
+    for member, common, size, packed, at, _ in index:
+        extra = _wide(size, packed, at)
+        offset += put(b"PK\x01\x02" + struct.pack("<H", 45) + common + struct.pack("<HHHHHII", len(member), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + member + extra)
+    end = struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, len(index), len(index), offset - start, start)
+    put(b"PK\x06\x06" + end + b"PK\x06\x07" + struct.pack("<IQI", 0, offset, 1) + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+    out.close()
+    return spark.createDataFrame([(member.decode(), rows, size) for member, _, size, _, _, rows in index], "member string, rows long, size long")

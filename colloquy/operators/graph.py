@@ -35,14 +35,17 @@ def merge_chain(merges: DataFrame) -> DataFrame:
     return merge_chain(broken).union(inner)
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 64) -> DataFrame:
-    """node and component (its smallest node). edges: a, b; nodes: node (those without an edge too)."""
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node and component (its smallest node). edges: a, b; nodes: node (those without an edge too).
+
+    Rounds go on until no label falls; labels are nodes and only fall, so they end.
+    """
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).where("x <> y").distinct()
     every = both.select(F.col("x").alias("node"))
     every = (every.union(nodes.select("node")) if nodes is not None else every).distinct()
     both = cut(both, "edges")
     labels = cut(every.withColumn("component", F.col("node")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.node == near.x, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("new"), F.col("component").alias("old"))
         step = cut(step, "labels")
@@ -52,7 +55,6 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
         labels = found.select("node", "component")
         if found.where("fell").isEmpty():
             return labels
-    raise RuntimeError(f"labels still fall after {most_rounds} rounds")
 
 
 def component_sizes(labels: DataFrame, least: int = 3) -> DataFrame:

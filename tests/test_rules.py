@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 
 import pytest
@@ -142,7 +141,18 @@ def test_export_refuses_to_overwrite_and_zips(spark, tmp_path):
     export.write_frames(frames, f"{tmp_path}/out")
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         export.write_frames(frames, f"{tmp_path}/out")
-    z = zipfile.ZipFile(io.BytesIO(export.archive(frames)))
-    assert z.read("a.jsonl") == b'{"a": "x", "b": 1}\n'
-    with pytest.raises(ValueError, match="over 0 rows"):
-        export.archive(frames, most_rows=0)
+    index = export.archive(frames | {"none": frames["a"].where("b > 1")}, f"file://{tmp_path}/a.zip", {"a": "first"})
+    assert sorted(map(tuple, index.collect())) == [("first.jsonl", 1, 16), ("none.jsonl", 0, 0)]
+    z = zipfile.ZipFile(tmp_path / "a.zip")
+    assert z.testzip() is None and z.read("first.jsonl") == b'{"a":"x","b":1}\n' and z.read("none.jsonl") == b""
+    with pytest.raises(FileExistsError):
+        export.archive(frames, f"file://{tmp_path}/a.zip")
+
+
+def test_a_million_rows_go_into_one_archive(spark, tmp_path):
+    rows = spark.range(1_000_000, numPartitions=6).select("id", F.concat(F.lit("é"), (F.col("id") % 7).cast("string")).alias("t"))
+    index = export.archive({"rows": rows}, f"file://{tmp_path}/big.zip", member_bytes=1 << 20)
+    z = zipfile.ZipFile(tmp_path / "big.zip")
+    assert z.testzip() is None and len(z.namelist()) == index.count() > 20
+    text = b"".join(z.read(n) for n in z.namelist()).decode().splitlines()
+    assert len(text) == 1_000_000 and text[0] == '{"id":0,"t":"é0"}' and text[-1] == '{"id":999999,"t":"é0"}' and text == sorted(text, key=lambda x: int(x[6 : x.index(",")]))
