@@ -95,3 +95,62 @@ def round_robin(rows: DataFrame, group: str, order: list, most: int) -> DataFram
     """One row of each group before a second of any."""
     depth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn("depth", depth.cast("long")).orderBy("depth", group).limit(most)
+
+
+#: Verdicts that make two terms one, and that relate two concepts.
+SAME, RELATED = ("identity",), ("related", "a_extends_b", "b_extends_a")
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    """What a verdict on two terms is kept under, in whatever order and case they come."""
+    return F.struct(F.least(F.lower(a), F.lower(b)).alias("a"), F.greatest(F.lower(a), F.lower(b)).alias("b"))
+
+
+def unjudged(items: DataFrame, unit: list[str], term: str, memo: DataFrame) -> DataFrame:
+    """a, b: each pair of terms that some unit holds and the memo has no verdict on, once for all units. memo: a, b, verdict."""
+    one = items.select(F.struct(*unit).alias("unit"), F.lower(term).alias("t")).distinct()
+    asked = pairs(one, "unit", "t").select("a", "b").distinct()
+    return asked.join(memo.where("verdict is not null").select(pair_key(F.col("a"), F.col("b")).alias("k")).select("k.*").distinct(), ["a", "b"], "left_anti")
+
+
+def unit_graphs(items: DataFrame, unit: list[str], term: str, memo: DataFrame) -> DataFrame:
+    """Each unit's own graph of concepts, all units at once: unit columns, n_terms, distinct_concepts, identity_merges, clusters, connected, clique.
+
+    Terms that are one (verdict identity) are one concept; concepts hang together by the other verdicts. clusters: those of
+    three concepts or more; connected: there is one; clique: three concepts are related each to each. Units are told
+    apart in the names of their nodes, so one run of components serves them all; pairs of a unit are its own bound.
+    """
+    node = lambda t: F.concat_ws("\x1f", *[F.coalesce(F.col(u).cast("string"), F.lit("")) for u in unit], t)
+    one = cut(items.select(*unit, F.col(term).alias("term")).distinct().withColumn("node", node(F.col("term"))), "units")
+    known = memo.select(pair_key(F.col("a"), F.col("b")).alias("k"), "verdict").groupBy("k.a", "k.b").agg(F.first("verdict", ignorenulls=True).alias("verdict"))
+    left, right = (one.select(*[F.col(u).alias(f"_{u}{side}") for u in unit], F.col("term").alias(f"t{side}"), F.col("node").alias(side)) for side in ("a", "b"))
+    same_unit = [F.col(f"_{u}a").eqNullSafe(F.col(f"_{u}b")) for u in unit]
+    both = left.join(right, [*same_unit, F.col("ta") < F.col("tb")]).select(F.col("a").alias("x"), F.col("b").alias("y"), pair_key(F.col("ta"), F.col("tb")).alias("k"))
+    judged = cut(both.select("x", "y", "k.*").join(known, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"), "verdict"), "judged")
+    merged = components(judged.where(F.col("verdict").isin(*SAME)), one)
+    named = cut(one.join(merged, "node").select(*unit, "node", F.col("component").alias("concept")), "concepts")
+    end = lambda side: named.select(F.col("node").alias(side), F.col("concept").alias(f"c{side}"))
+    edges = judged.where(F.col("verdict").isin(*RELATED)).join(end("a"), "a").join(end("b"), "b").where("ca <> cb")
+    edges = cut(edges.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "related")
+    groups = component_sizes(components(edges))
+    heads = named.where("node = concept").select(*unit, "concept")
+    clusters = groups.join(heads, groups["component"] == heads["concept"]).groupBy(*unit).agg(F.count(F.lit(1)).alias("clusters"))
+    cliques = triangles(edges).join(heads, F.col("a") == F.col("concept")).groupBy(*unit).agg(F.count(F.lit(1)).alias("cliques"))
+    counts = named.groupBy(*unit).agg(F.count(F.lit(1)).alias("n_terms"), F.countDistinct("concept").alias("distinct_concepts"))
+
+    def add(df: DataFrame, more: DataFrame) -> DataFrame:
+        renamed = more.select(*[F.col(u).alias(f"_{u}") for u in unit], more.columns[-1])
+        return df.join(renamed, [F.col(u).eqNullSafe(F.col(f"_{u}")) for u in unit], "left").drop(*[f"_{u}" for u in unit])
+
+    none = F.lit(0).cast("long")
+    every = add(add(counts, clusters), cliques).withColumns({"clusters": F.coalesce("clusters", none), "cliques": F.coalesce("cliques", none)})
+    return every.select(*unit, "n_terms", "distinct_concepts", (F.col("n_terms") - F.col("distinct_concepts")).alias("identity_merges"), "clusters", (F.col("clusters") > 0).alias("connected"), (F.col("cliques") > 0).alias("clique"))
+
+
+def umbrella_rates(graphs: DataFrame, source: str, session: str, least: int = 3) -> DataFrame:
+    """Per source: units, those with three candidates or more, connected and clique ones among them, and sessions with a connected one."""
+    able = F.col("n_terms") >= least
+    return graphs.groupBy(source).agg(
+        F.count(F.lit(1)).alias("units_total"), F.count_if(able).alias("units_with_3plus"), F.count_if(able & F.col("connected")).alias("connected"), F.count_if(able & F.col("clique")).alias("clique"),
+        F.count_distinct(F.when(able & F.col("connected"), F.col(session))).alias("sessions_with_connected"),
+    )

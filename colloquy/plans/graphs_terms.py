@@ -54,7 +54,26 @@ TERMS_SQL = f"""bs AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-
  br AS (SELECT unnest(string_split(array_to_string(list_transform(list_filter(regexp_split_to_array(s, ' +'), lambda w: w <> ''), lambda w: CASE WHEN w IN ({', '.join(repr(x) for x in T.STOP)}) THEN '|' ELSE w END), ' '), '|')) AS p FROM bs),
  terms AS (SELECT unnest(['that', 'the of', 'is the', 'en la', 'Der Die', 'de la', 'nothing at all', 'with the']) AS term UNION SELECT trim(p) FROM br WHERE trim(p) <> '' AND len(string_split(trim(p), ' ')) <= 4)"""
 
+def unit_items(s, d):
+    """What a user did, as terms: a unit is a kind of event of one user in one week."""
+    return log(s, d).select(F.col("event_type").alias("source"), F.col("key").alias("session_id"), F.weekofyear("occurred_at").alias("unit"), F.concat(F.when(F.col("event_id") % 2 == 0, "T").otherwise("t"), (F.col("k") % 23).cast("string")).alias("term"))
+
+
+def verdicts(s, d):
+    """Verdicts on pairs of terms that some unit holds; some are missing."""
+    terms = unit_items(s, d).select(F.lower("term").alias("t")).distinct()
+    x, y = (F.substring(c, 2, 9).cast("long") for c in ("a", "b"))
+    low, high = F.least(x, y), F.greatest(x, y)
+    said = F.when((low * 7 + high) % 11 == 0, "identity").when((low + high) % 6 == 0, "related").when((low + high) % 13 == 0, "a_extends_b").when(low % 4 != 0, "unrelated")
+    return G.pairs(terms.withColumn("one", F.lit(1)), "one", "t").select("a", "b", said.alias("verdict"))
+
+
+UNIT = ["source", "session_id", "unit"]
+
 QUERIES = {
+    "umbrella_units": lambda s, d: G.unit_graphs(unit_items(s, d).withColumn("term", F.lower("term")), UNIT, "term", verdicts(s, d)),
+    "umbrella_rates": lambda s, d: G.umbrella_rates(G.unit_graphs(unit_items(s, d).withColumn("term", F.lower("term")), UNIT, "term", verdicts(s, d)), "source", "session_id"),
+    "umbrella_unjudged": lambda s, d: G.unjudged(unit_items(s, d), UNIT, "term", verdicts(s, d)),
     "merge_chain": lambda s, d: G.merge_chain(merges(s, d)),
     "components": lambda s, d: G.components(edges(s, d)),
     "component_sizes": lambda s, d: G.component_sizes(G.components(edges(s, d))),
@@ -87,7 +106,20 @@ MATRIX_SQL = f"""WITH {TERMS_SQL}, docs AS (SELECT doc_id AS id, source AS unit,
  hits AS (SELECT DISTINCT w.term, r.form, r.id, unit, copy FROM want w JOIN runs r ON r.form = w.form AND r.run = array_to_string(w.ws, ' ') JOIN docs USING (id))
  SELECT term, {', '.join(f"count(*) FILTER (form = '{form}'{extra}) AS mentions_{form}{name}, count(DISTINCT unit) FILTER (form = '{form}'{extra}) AS units_{form}{name}" for form in ('exact', 'stem') for name, extra in (('', ''), ('_dedup', ' AND NOT copy')))} FROM (SELECT DISTINCT term FROM terms) LEFT JOIN hits USING (term) GROUP BY term"""
 
+ITEMS_SQL = f"""{LOG_SQL}, items AS (SELECT DISTINCT event_type AS source, key AS session_id, weekofyear(occurred_at) AS unit, k % 23 AS t FROM log),
+ pr AS (SELECT a.source || '|' || a.session_id || '|' || a.unit AS u, a.t AS a, b.t AS b, CASE WHEN (a.t * 7 + b.t) % 11 = 0 THEN 'identity' WHEN (a.t + b.t) % 6 = 0 OR (a.t + b.t) % 13 = 0 THEN 'related' WHEN a.t % 4 <> 0 THEN 'unrelated' END AS v FROM items a JOIN items b ON a.source = b.source AND a.session_id = b.session_id AND a.unit = b.unit AND a.t < b.t)"""
+UNITS_SQL = f"""{ITEMS_SQL}, n AS (SELECT source || '|' || session_id || '|' || unit AS u, * FROM items), same AS (SELECT u, a, b FROM pr WHERE v = 'identity' UNION SELECT u, b, a FROM pr WHERE v = 'identity'),
+ r1 AS (SELECT u, t AS node, t AS r FROM n UNION SELECT r1.u, same.b, r1.r FROM r1 JOIN same ON same.u = r1.u AND same.a = r1.node), lab AS (SELECT u, node, min(r) AS c FROM r1 GROUP BY ALL),
+ e AS (SELECT DISTINCT pr.u, x.c AS a, y.c AS b FROM pr JOIN lab x ON x.u = pr.u AND x.node = a JOIN lab y ON y.u = pr.u AND y.node = b WHERE v = 'related' AND x.c <> y.c), e2 AS (SELECT u, a, b FROM e UNION SELECT u, b, a FROM e),
+ r2 AS (SELECT u, a AS node, a AS r FROM e2 UNION SELECT r2.u, e2.b, r2.r FROM r2 JOIN e2 ON e2.u = r2.u AND e2.a = r2.node), g AS (SELECT u, c, count(*) AS size FROM (SELECT u, node, min(r) AS c FROM r2 GROUP BY ALL) GROUP BY ALL),
+ cl AS (SELECT u, count(*) AS clusters FROM g WHERE size >= 3 GROUP BY u), tri AS (SELECT DISTINCT p.u FROM e2 p JOIN e2 q ON q.u = p.u AND q.a = p.b JOIN e2 z ON z.u = p.u AND z.a = p.a AND z.b = q.b WHERE p.a < p.b AND p.b < q.b),
+ units AS (SELECT source, session_id, unit, count(*) AS n_terms, count(DISTINCT c) AS distinct_concepts, count(*) - count(DISTINCT c) AS identity_merges, coalesce(any_value(clusters), 0) AS clusters, coalesce(any_value(clusters), 0) > 0 AS connected, bool_or(tri.u IS NOT NULL) AS clique
+  FROM n JOIN lab ON lab.u = n.u AND lab.node = n.t LEFT JOIN cl ON cl.u = n.u LEFT JOIN tri ON tri.u = n.u GROUP BY ALL)"""
+
 ORACLE_SQL = {
+    "umbrella_units": f"WITH RECURSIVE {UNITS_SQL} SELECT * FROM units",
+    "umbrella_rates": f"WITH RECURSIVE {UNITS_SQL} SELECT source, count(*) AS units_total, count(*) FILTER (n_terms >= 3) AS units_with_3plus, count(*) FILTER (n_terms >= 3 AND connected) AS connected, count(*) FILTER (n_terms >= 3 AND clique) AS clique, count(DISTINCT session_id) FILTER (n_terms >= 3 AND connected) AS sessions_with_connected FROM units GROUP BY source",
+    "umbrella_unjudged": f"WITH {ITEMS_SQL} SELECT DISTINCT least('t' || a, 't' || b) AS a, greatest('t' || a, 't' || b) AS b FROM pr WHERE v IS NULL",
     "mention_matrix": MATRIX_SQL,
     "merge_chain": f"""WITH RECURSIVE {MERGES_SQL}, walk AS (SELECT src, dst, [src] AS seen FROM merges UNION ALL SELECT w.src, m.dst, list_append(w.seen, w.dst) FROM walk w JOIN merges m ON m.src = w.dst WHERE NOT list_contains(w.seen, w.dst))
   SELECT src, arg_max(dst, len(seen)) AS dst FROM walk GROUP BY src""",
