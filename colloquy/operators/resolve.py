@@ -230,12 +230,14 @@ def resolve_all(submissions: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def _initial(submissions: DataFrame, concepts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Exact hits (submission_id, canonical_name, concept_id) and shortlists (submission_id, name, count, concept_id, score) by the graph alone."""
+    """By the graph alone: exact hits (submission_id, canonical_name, concept_id), and of texts without one, each once, the
+    shortlist (text, canonical_name, encounter_count, concept_id, score)."""
     named = name_rows(concepts).withColumn("norm", N.normalise("name")).where("norm <> ''")
     one = named.groupBy("norm").agg(F.min(F.struct("canonical_name", "concept_id")).alias("hit"))
-    exact = submissions.join(one, "norm").select("submission_id", "hit.canonical_name", "hit.concept_id")
-    listed = shortlist(submissions, concepts, most).join(concepts.select("concept_id", "encounter_count"), "concept_id")
-    return cut(exact, "exact"), cut(listed.select("submission_id", "canonical_name", "encounter_count", "concept_id", "score"), "listed")
+    exact = cut(submissions.join(one, "norm").select("submission_id", "hit.canonical_name", "hit.concept_id"), "exact")
+    texts = submissions.join(exact.select("submission_id"), "submission_id", "left_anti").select("text").distinct()
+    listed = shortlist(texts.select(F.col("text").alias("submission_id"), "text"), concepts, most).join(concepts.select("concept_id", "encounter_count"), "concept_id")
+    return exact, cut(listed.select(F.col("submission_id").alias("text"), "canonical_name", "encounter_count", "concept_id", "score"), "listed")
 
 
 def resolve_in_order(submissions: DataFrame, concepts: DataFrame, call: Callable[[str, list[str]], dict], most: int = SHORTLIST, reference: bool = False) -> DataFrame:
@@ -259,7 +261,9 @@ def resolve_in_order(submissions: DataFrame, concepts: DataFrame, call: Callable
     id_type, columns = dict(subs.dtypes)["submission_id"], ("decision", "concept_id", "canonical_name", "alias", "proposed_name", "paraphrase", "reasoning", "error")
     spark = subs.sparkSession
     outcome = spark.createDataFrame([], f"submission_id {id_type}, {', '.join(f'{c} string' for c in columns)}, used_model boolean, input string")
-    scored = spark.createDataFrame([], f"submission_id {id_type}, name string, score double")
+    open_ = subs.join(exact.select("submission_id"), "submission_id", "left_anti").select("submission_id", "text")
+    texts = cut(open_.select("text").distinct(), "texts")
+    scored = spark.createDataFrame([], "text string, name string, score double")
     wordless = (F.col("source") == "manual") & ~F.col("text").rlike(r"\p{L}")
     while True:
         # what each decision so far adds to the graph, for later submissions
@@ -269,13 +273,14 @@ def resolve_in_order(submissions: DataFrame, concepts: DataFrame, call: Callable
         fresh = added.select("name").distinct().join(scored.select("name").distinct(), "name", "left_anti")
         fresh = cut(fresh.where("name is not null"), "fresh")
         if not fresh.isEmpty():
-            pairs = pair_scores(subs, fresh.select(F.col("name").alias("name_id"), "name"), weights).withColumnRenamed("name_id", "name")
-            none = fresh.select(F.lit(None).cast(id_type).alias("submission_id"), "name", F.lit(0.0).alias("score"))  # so that it counts as scored
+            pairs = pair_scores(texts.select(F.col("text").alias("submission_id"), "text"), fresh.select(F.col("name").alias("name_id"), "name"), weights).select(F.col("submission_id").alias("text"), F.col("name_id").alias("name"), "score")
+            none = fresh.select(F.lit(None).cast("string").alias("text"), "name", F.lit(0.0).alias("score"))  # so that it counts as scored
             scored = cut(scored.unionByName(pairs).unionByName(none), "scored")
         own = added.where("norm <> ''").alias("a").join(subs.alias("s"), (F.col("a.norm") == F.col("s.norm")) & (F.col("a.by") < F.col("s.submission_id"))).select("s.submission_id", "a.canonical_name", "a.concept_id")
         hits = exact.unionByName(own).groupBy("submission_id").agg(F.min(F.struct("canonical_name", "concept_id")).alias("hit"))
-        later = scored.join(added, "name").where("by < submission_id").select("submission_id", "canonical_name", "encounter_count", "concept_id", "score")
-        every = listed.unionByName(later).groupBy("submission_id", "concept_id", "canonical_name", "encounter_count").agg(F.max("score").alias("score"))
+        later = scored.join(added, "name").join(open_, "text").where("by < submission_id").select("submission_id", "canonical_name", "encounter_count", "concept_id", "score")
+        at_start = listed.join(open_, "text").select("submission_id", "canonical_name", "encounter_count", "concept_id", "score")
+        every = at_start.unionByName(later).groupBy("submission_id", "concept_id", "canonical_name", "encounter_count").agg(F.max("score").alias("score"))
         best = Window.partitionBy("submission_id").orderBy(F.desc(F.round("score", 9)), F.desc("encounter_count"), "canonical_name", "concept_id")
         some = F.max("score").over(Window.partitionBy("submission_id")) > 0  # the most met stand in only where nothing scores
         lists = every.withColumn("_some", some).where((F.col("score") > 0) | ~F.col("_some")).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most).groupBy("submission_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "concept_id"))), lambda x: x["concept_id"]).alias("shortlist"))
