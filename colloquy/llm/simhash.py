@@ -203,13 +203,14 @@ def jaccard(x: Column, y: Column) -> Column:
 
 
 def band_meetings(sketched: DataFrame) -> DataFrame:
-    """(key, id) of all that share a band's key with another."""
+    """(key, id, fp: null) of all that share a band's key with another."""
     keys = sketched.select(F.explode("bands").alias("key"), "id")
-    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
+    shared = keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
+    return shared.withColumn("fp", F.lit(None).cast("long"))
 
 
 def ball_meetings(sketched: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
-    """(key, id) of all whose fingerprints in a table are within 2 bits: they meet at a point that lies in the balls of both.
+    """(key, id, fp) of all whose fingerprints in a table are within 2 bits: they meet at a point that lies in the balls of both.
 
     A node is (table, fingerprint). Distinct nodes emit their balls; a point in several balls is a meeting of the ids of
     those nodes, and a node that several texts have is one as well. Meetings are local, so a chain of fingerprints, each
@@ -219,7 +220,14 @@ def ball_meetings(sketched: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
     points = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "points")
     met = ball_points(points.select("fp"), bits).select(F.col("v").alias("key"), F.explode("all").alias("fp"))
     alone = points.where("n > 1").select(F.col("fp").alias("key"), "fp")  # a point of its own ball, if none else has it
-    return nodes.join(met.unionByName(alone).distinct(), "fp").select("key", "id")
+    return nodes.join(met.unionByName(alone).distinct(), "fp").select("key", "id", "fp")
+
+
+def met_here(x: str, y: str) -> Column:
+    """Whether a pair with these fingerprints is compared at this key: equal ones at their own point, others at the smaller
+    of the two points that their balls share. Meetings by other keys have no fingerprints and compare all their pairs."""
+    a, b, key = F.col(x), F.col(y), F.col("key")
+    return F.coalesce(F.when(a == b, key == a).otherwise(key <= key.bitwiseXOR(a).bitwiseXOR(b)), F.lit(True))
 
 
 def verified(near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -291,7 +299,7 @@ def close(s1: str, s2: str, t1: str, t2: str) -> Column:
 def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """labels (id, label) after every pair of ids that meet and are not linked already was verified.
 
-    meetings: key, id; light: id, s1, s2; sets: id and the distinct shingles. Small meetings compare all their pairs of
+    meetings: key, id, fp; light: id, s1, s2; sets: id and the distinct shingles. Small meetings compare all their pairs of
     different labels at once. A large one names pivots, compares them with all of its ids of other labels, and lets
     them go; from the second round on the ids that were linked most come first (the original of many copies). Links
     merge labels, and a meeting ends when what is left of it has one label, so likes need pairs in proportion to their
@@ -303,7 +311,7 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
     for round_ in range(PIVOT_ROUNDS + 1):
         live = held.join(labels, "id")
         live = live.withColumn("deg", F.lit(0).cast("long")) if degrees is None else live.join(degrees, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0).cast("long")))
-        live = cut(live.select("key", "id", "s1", "s2", "label", "deg"), "live", rows=rows)
+        live = cut(live.select("key", "id", "fp", "s1", "s2", "label", "deg"), "live", rows=rows)
         hubs = [F.max_by(F.when(F.col("deg") > 0, F.col("id")), F.when(key.bitwiseAND(1) == k, F.struct("deg", key.alias("k")))) for k in range(2)]
         picked = F.array_compact(F.array(F.min_by("id", key), F.min_by("id", F.struct("label", key.alias("k"))), F.max_by("id", F.struct("label", key.alias("k"))), *hubs))
         found = cut(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), picked.alias("picked")).where("lo < hi").drop("lo", "hi"), "found", rows=rows)
@@ -313,13 +321,13 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
             return labels
         last = not pairs or round_ == PIVOT_ROUNDS or before is not None and pairs > before / 2
         pivot = (F.col("n") <= SMALL) | (F.array_contains("picked", F.col("id")) & F.lit(not last))
-        marked = cut(live.join(found, "key").select("key", "id", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large")), "marked", rows=rows)
-        one = marked.where("pivot").select("key", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
-        other = marked.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), "s1", "s2", "pivot")
-        met = one.join(other, "key").where((F.col("pl") != F.col("ql")) & (~F.col("pivot") | (F.col("p") < F.col("q"))) & close("p1", "p2", "s1", "s2"))
+        marked = cut(live.join(found, "key").select("key", "id", "fp", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large")), "marked", rows=rows)
+        one = marked.where("pivot").select("key", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("fp").alias("pf"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
+        other = marked.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), F.col("fp").alias("qf"), "s1", "s2", "pivot")
+        met = one.join(other, "key").where((F.col("pl") != F.col("ql")) & (~F.col("pivot") | (F.col("p") < F.col("q"))) & close("p1", "p2", "s1", "s2") & met_here("pf", "qf"))
         near = cut(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "near")
         edges = verified(near, sets, least)
-        held = marked.where("large and not pivot").select("key", "id", "s1", "s2")
+        held = marked.where("large and not pivot").select("key", "id", "fp", "s1", "s2")
         if last and pairs:
             edges = edges.union(blockwise(marked.where("large"), found.where(F.col("n") > SMALL), sets, least)).distinct()
         edges = cut(edges, "edges")
