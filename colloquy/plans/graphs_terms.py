@@ -56,7 +56,7 @@ TERMS_SQL = f"""bs AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z0-
 
 def unit_items(s, d):
     """What a user did, as terms: a unit is a kind of event of one user in one week."""
-    return log(s, d).select(F.col("event_type").alias("source"), F.col("key").alias("session_id"), F.weekofyear("occurred_at").alias("unit"), F.concat(F.when(F.col("event_id") % 2 == 0, "T").otherwise("t"), (F.col("k") % 23).cast("string")).alias("term"))
+    return log(s, d).select(F.col("event_type").alias("source"), F.col("key").alias("session_id"), F.weekofyear("occurred_at").cast("long").alias("unit"), F.concat(F.when(F.col("event_id") % 2 == 0, "T").otherwise("t"), (F.col("k") % 23).cast("string")).alias("term"))
 
 
 def verdicts(s, d):
