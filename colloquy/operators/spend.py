@@ -22,13 +22,22 @@ def totals() -> list[Column]:
     ]
 
 
-def spend(calls: DataFrame, by: list[Column] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+def spend(calls: DataFrame, by: list[Column] | None = None, since: str | None = None, until: str | None = None, order: str | None = None) -> DataFrame:
+    """Totals of each group. order: a column in whose order the costs of a group are added up, one after the other.
+
+    A sum of doubles depends on the order in its last digits, which shows where it is cut to whole units afterwards.
+    """
     kept = calls
     if since:
         kept = kept.where(F.col("occurred_at") >= F.lit(since).cast("timestamp"))
     if until:
         kept = kept.where(F.col("occurred_at") < F.lit(until).cast("timestamp"))
-    return (kept.groupBy(*by) if by else kept.groupBy()).agg(*totals())
+    cells = totals()
+    if by and order:
+        line = Window.partitionBy(*by).orderBy(order, "cost").rowsBetween(Window.unboundedPreceding, 0)
+        kept = kept.withColumn("_upto", F.sum(F.when(~F.col("local"), F.col("cost"))).over(line))
+        cells[5] = F.max_by("_upto", F.struct(order, "cost")).alias("cost")
+    return (kept.groupBy(*by) if by else kept.groupBy()).agg(*cells)
 
 
 def per_session(calls: DataFrame) -> DataFrame:

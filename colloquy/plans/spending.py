@@ -29,7 +29,7 @@ QUERIES = {
     "latency_by_purpose": lambda s, d: S.latency(calls(s, d)),
     "session_spend": lambda s, d: S.session_spend(calls(s, d)),
     "money_text": lambda s, d: table(s, d, "events").select("event_id", S.money(F.when(F.col("event_id") % 13 != 0, F.floor(F.col("value")) / F.when(F.col("event_id") % 3 == 0, 8).when(F.col("event_id") % 3 == 1, 65536).otherwise(1 << 24))).alias("text")),
-    "total_text": lambda s, d: S.spend(calls(s, d), [F.col("session_id")]).select("session_id", S.total_text(F.floor("cost").cast("double"), F.col("unpriced"), F.col("priced"), F.col("local_calls")).alias("text")),
+    "total_text": lambda s, d: S.spend(calls(s, d), [F.col("session_id")], order="call_id").select("session_id", S.total_text(F.floor("cost").cast("double"), F.col("unpriced"), F.col("priced"), F.col("local_calls")).alias("text")),
     "ratio_text": lambda s, d: S.spend(calls(s, d), [F.col("session_id"), F.col("purpose")]).select("session_id", "purpose", S.ratio_text(F.col("failed"), F.col("priced")).alias("text")),
     "cost_ceiling": lambda s, d: S.cost_ceiling(jobs(s, d), 1e-6, 4e-6),
     "progress_accumulate": lambda s, d: S.running_totals(calls(s, d).select("call_id", "session_id", "tokens"), "session_id", "call_id", "tokens"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import injected, names as N
-from colloquy.operators import exchange as X, export, fold as D, graph as G, resolve as R, triage as T
+from colloquy.operators import exchange as X, export, fold as D, graph as G, resolve as R, spend as S, triage as T
 
 
 def one(spark, column):
@@ -156,3 +157,19 @@ def test_a_million_rows_go_into_one_archive(spark, tmp_path):
     assert z.testzip() is None and len(z.namelist()) == index.count() > 20
     text = b"".join(z.read(n) for n in z.namelist()).decode().splitlines()
     assert len(text) == 1_000_000 and text[0] == '{"id":0,"t":"é0"}' and text[-1] == '{"id":999999,"t":"é0"}' and text == sorted(text, key=lambda x: int(x[6 : x.index(",")]))
+
+
+def test_costs_are_added_in_order_of_the_calls(spark):
+    """Sums of cents that are whole units: the last digit, and so the text, must not depend on where rows lie."""
+    rng = random.Random(4)
+    costs = {s: [rng.randrange(1, 20_000) for _ in range(60)] for s in range(300)}
+    for cents in costs.values():
+        cents.append(-sum(cents) % 100 + 100)
+    rows = [(k * 300 + s, s, cents[k] / 100) for s, cents in costs.items() for k in range(61)]
+    rng.shuffle(rows)
+    calls = spark.createDataFrame(rows, "call_id long, session_id long, cost double").repartition(6).withColumns({"local": F.lit(False), "ok": F.lit(True), "tokens": F.lit(1).cast("long")})
+    got = {r["session_id"]: r["cost"] for r in S.spend(calls, [F.col("session_id")], order="call_id").collect()}
+    want = dict.fromkeys(costs, 0.0)
+    for _, s, cost in sorted(rows):
+        want[s] += cost
+    assert got == want
