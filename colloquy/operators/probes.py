@@ -71,9 +71,12 @@ def title_state(terms: DataFrame, titles: DataFrame) -> DataFrame:
 
 def in_repo(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """Whether a term's stems stand in a run in its repository's texts; null without one. terms: id, repo, term; texts: repo, text."""
-    asked = terms.withColumn("ws", T.stems(F.col("term")))
-    found = T.matched(asked.where("repo is not null"), texts.select("repo", T.stems(F.col("text")).alias("ws")), [], ("repo",)).distinct().withColumn("found", F.lit(True))
-    return asked.withColumn("run", F.array_join("ws", " ")).join(found, ["repo", "run"], "left").select("id", "repo", "term", F.when(F.col("repo").isNotNull(), F.coalesce("found", F.lit(False))).alias("in_repo"))
+    # stems are made once a distinct term and text of a repository, and written, as every lookup reads them
+    asked = cut(terms.where("repo is not null").select("repo", "term").distinct().withColumn("ws", T.stems(F.col("term"))), "asked-terms")
+    said = texts.where("repo is not null").select("repo", "text").distinct().select("repo", T.stems(F.col("text")).alias("ws"))
+    found = T.matched(asked, said, [], ("repo",)).distinct().withColumn("found", F.lit(True))
+    there = asked.withColumn("run", F.array_join("ws", " ")).join(found, ["repo", "run"], "left_semi").select("repo", "term").withColumn("found", F.lit(True))
+    return terms.join(small(cut(there, "found-terms")), ["repo", "term"], "left").select("id", "repo", "term", F.when(F.col("repo").isNotNull(), F.coalesce("found", F.lit(False))).alias("in_repo"))
 
 
 def filter_chains(items: DataFrame, chains: dict[str, tuple[str, ...]]) -> DataFrame:

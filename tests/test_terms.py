@@ -63,3 +63,22 @@ def test_substrings_equal_a_plain_search(spark, most):
     got = P.contained(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(t,) for t in terms] * 2, "term string"), "id", "text", most)
     want = sorted((i, t) for i, text in texts for t in terms if t and t.lower() in (text or "").lower())
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_equal_terms_and_texts_of_a_repository_are_stemmed_once(spark, monkeypatch):
+    from colloquy import state
+    from colloquy.operators import probes
+
+    written = []
+
+    def counted(df, name):
+        out = state.cut(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(probes, "cut", counted)
+    terms = spark.range(400).selectExpr("id", "if(id % 4 = 0, null, 'r1') as repo", "if(id % 2 = 0, 'red boxes', 'blue box') as term")
+    texts = spark.range(300).selectExpr("'r1' as repo", "'the red box of cards' as text")
+    got = {r["id"]: r["in_repo"] for r in probes.in_repo(terms, texts).collect()}
+    assert got == {k: None if k % 4 == 0 else k % 2 == 0 for k in range(400)}
+    assert written and max(written) == 2
