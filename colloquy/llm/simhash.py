@@ -124,6 +124,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # alone, whatever kind of edit led to it: at 0.8 one of 16 bands of four agrees in 99.98 % of cases. Balls around four
 # short fingerprints of the distinct words add what changes one word here and there. All that meets is verified.
 
+#: Bits of a short fingerprint are fixed, so what meets does not depend on how many texts there are. Random meetings of n
+#: texts are some n * 2.5e-7 a text (3.7 among 15 million); they cost a comparison of sketches each.
 TABLES, TABLE_BITS = 4, 32
 BANDS, BAND_ROWS = 16, 4
 #: Bits of 128 in which sketches of texts at 0.8 may differ: one bit of each minimum, so 13 on average, 3.4 the
@@ -164,11 +166,6 @@ def _minima(ws: list[bytes], shingle: int) -> np.ndarray:
     return low
 
 
-def table_bits(texts: int) -> int:
-    """Bits of a short fingerprint: enough that random meetings of so many texts stay in proportion to them."""
-    return min(56, max(TABLE_BITS, texts.bit_length() + 12))
-
-
 def sketch(text: str | None, shingle: int, bits: int = TABLE_BITS) -> tuple[list[int], list[int], int, int]:
     """TABLES fingerprints of the distinct words (unsigned, of so many bits), BANDS keys, and two longs of one bit a minimum."""
     ws = (text or "").encode().lower().split()
@@ -312,19 +309,26 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
         live = held.join(labels, "id")
         live = live.withColumn("deg", F.lit(0).cast("long")) if degrees is None else live.join(degrees, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0).cast("long")))
         live = cut(live.select("key", "id", "fp", "s1", "s2", "label", "deg"), "live", rows=rows)
-        hubs = [F.max_by(F.when(F.col("deg") > 0, F.col("id")), F.when(key.bitwiseAND(1) == k, F.struct("deg", key.alias("k")))) for k in range(2)]
-        picked = F.array_compact(F.array(F.min_by("id", key), F.min_by("id", F.struct("label", key.alias("k"))), F.max_by("id", F.struct("label", key.alias("k"))), *hubs))
+        it = F.struct("id", "fp", "s1", "s2", "label")
+        hubs = [F.max_by(F.when(F.col("deg") > 0, it), F.when(key.bitwiseAND(1) == k, F.struct("deg", key.alias("k")))) for k in range(2)]
+        picked = F.array_distinct(F.array_compact(F.array(F.min_by(it, key), F.min_by(it, F.struct("label", key.alias("k"))), F.max_by(it, F.struct("label", key.alias("k"))), *hubs)))
         found = cut(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), picked.alias("picked")).where("lo < hi").drop("lo", "hi"), "found", rows=rows)
         large = F.when(F.col("n") > SMALL, F.col("n").cast("double"))
         keys, pairs = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(large * large), F.lit(0.0))).first()
         if not keys:
             return labels
         last = not pairs or round_ == PIVOT_ROUNDS or before is not None and pairs > before / 2
-        pivot = (F.col("n") <= SMALL) | (F.array_contains("picked", F.col("id")) & F.lit(not last))
-        marked = cut(live.join(found, "key").select("key", "id", "fp", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large")), "marked", rows=rows)
-        one = marked.where("pivot").select("key", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("fp").alias("pf"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
-        other = marked.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), F.col("fp").alias("qf"), "s1", "s2", "pivot")
-        met = one.join(other, "key").where((F.col("pl") != F.col("ql")) & (~F.col("pivot") | (F.col("p") < F.col("q"))) & close("p1", "p2", "s1", "s2") & met_here("pf", "qf"))
+        pivot = (F.col("n") <= SMALL) | (F.array_contains("picked.id", F.col("id")) & F.lit(not last))
+        marked = cut(live.join(found, "key").select("key", "id", "fp", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large"), F.when((F.col("n") > SMALL) & F.lit(not last), F.col("picked")).alias("picked")), "marked", rows=rows)
+        # in a small meeting all pairs are compared; a member of a large one carries its few pivots, so rows stay those of members
+        few = marked.where("not large")
+        one = few.select("key", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("fp").alias("pf"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
+        other = few.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), F.col("fp").alias("qf"), "s1", "s2")
+        alike = (F.col("pl") != F.col("ql")) & close("p1", "p2", "s1", "s2") & met_here("pf", "qf")
+        met = one.join(other, "key").where((F.col("p") < F.col("q")) & alike).select("p", "q")
+        carried = marked.where("large").select("key", F.col("id").alias("q"), F.col("label").alias("ql"), F.col("fp").alias("qf"), "s1", "s2", "pivot", F.explode("picked").alias("_p"))
+        carried = carried.select("*", F.col("_p.id").alias("p"), F.col("_p.label").alias("pl"), F.col("_p.fp").alias("pf"), F.col("_p.s1").alias("p1"), F.col("_p.s2").alias("p2"))
+        met = met.unionByName(carried.where((~F.col("pivot") | (F.col("p") < F.col("q"))) & alike).select("p", "q"))
         near = cut(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "near")
         edges = verified(near, sets, least)
         held = marked.where("large and not pivot").select("key", "id", "fp", "s1", "s2")
@@ -352,10 +356,9 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.unhex(F.sha2("text", 256)))
     # a class has a number of its own, for an id may come with several texts
     classes = cut(keyed.groupBy("h").agg(F.min("id").alias("first")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    bits = table_bits(classes.count())
     rows, least_id = keyed.alias("k"), classes.alias("c")
     one = rows.join(least_id, (F.col("k.h") == F.col("c.h")) & F.col("k.id").eqNullSafe(F.col("c.first"))).select(F.col("class").alias("id"), "text")
-    sketched = cut(sketches(one, shingle, bits).dropDuplicates(["id"]), "sketches")
+    sketched = cut(sketches(one, shingle, TABLE_BITS).dropDuplicates(["id"]), "sketches")
     light, labels = sketched.select("id", "s1", "s2"), sketched.select("id", F.col("id").alias("label"))
 
     def settled(meetings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -366,7 +369,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
         return settle(meetings, labels, light, sets, least)
 
     labels = settled(band_meetings(sketched), labels)
-    labels = settled(ball_meetings(sketched, bits), labels)
+    labels = settled(ball_meetings(sketched, TABLE_BITS), labels)
     named = labels.join(classes.select(F.col("class").alias("id"), "h", "first"), "id")
     order = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("h"))
     heads = named.groupBy("label").agg(F.min(order).alias("head"))

@@ -50,3 +50,14 @@ def test_5000_short_texts_of_common_words(spark):
     wrong = [i for i in texts if got[i] != want[i]]
     assert linked > 100 and len(wrong) <= 0.01 * sum(want[i] != i for i in texts), (linked, len(wrong))
     assert all(want[got[i]] == want[i] for i in texts)  # nothing is linked that is not alike
+
+
+def test_what_meets_does_not_depend_on_the_number_of_texts(spark, monkeypatch):
+    """The width of short fingerprints is one for all sizes."""
+    seen = []
+    made = simhash.sketches
+    monkeypatch.setattr(simhash, "TABLE_BITS", 16)
+    monkeypatch.setattr(simhash, "sketches", lambda texts, shingle, bits: seen.append(bits) or made(texts, shingle, bits))
+    for n in (3, 300):
+        simhash.similar_texts(spark.range(n).selectExpr("id as doc_id", "concat('some words of text ', id) as text"))
+    assert seen == [16, 16]
