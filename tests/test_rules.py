@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy import state
 from colloquy.functions import injected, names as N
-from colloquy.operators import exchange as X, export, fold as D, graph as G, resolve as R, spend as S, triage as T
+from colloquy.operators import evals as E, exchange as X, export, fold as D, graph as G, resolve as R, spend as S, triage as T
 
 
 def one(spark, column):
@@ -205,3 +206,15 @@ def test_units_of_the_same_terms_are_one_graph(spark, monkeypatch):
     got = {r["id"]: tuple(r)[2:] for r in G.unit_graphs(items, ["id", "s"], "t", memo).collect()}
     assert got == {k: (4, 3, 1, 1, True, True) if k < 40 else (3, 3, 0, 1, True, True) for k in range(50)}
     assert max(written["judged"], written["related"]) <= 7
+
+
+def test_nearest_of_equal_vectors_is_the_lower_id():
+    """Copies of vectors have equal products wherever they lie, so the lower ids win, as in a sum from left to right."""
+    rng = np.random.default_rng(3)
+    own = rng.normal(size=(9, 64))
+    own /= np.sqrt((own * own).sum(1))[:, None]
+    ps, ids = np.concatenate([own] * 11), rng.permutation(99)
+    for row, near, sims in E.nearest(ids[:20], ps[:20], ids, ps, 7):
+        exact = [sum((x * y for x, y in zip(ps[row], p, strict=True)), 0.0) for p in ps.tolist()]
+        want = sorted((k for k in range(99) if k != row), key=lambda k: (-exact[k], ids[k]))[:7]
+        assert near.tolist() == want and sims.tolist() == [exact[k] for k in want]
