@@ -296,12 +296,14 @@ def close(s1: str, s2: str, t1: str, t2: str) -> Column:
 def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """labels (id, label) after every pair of ids that meet and are not linked already was verified.
 
-    meetings: key, id, fp; light: id, s1, s2; sets: id and the distinct shingles. Small meetings compare all their pairs of
+    meetings: key, id and fp, if there is one; light: id, s1, s2; sets: id and the distinct shingles. Small meetings compare all their pairs of
     different labels at once. A large one names pivots, compares them with all of its ids of other labels, and lets
     them go; from the second round on the ids that were linked most come first (the original of many copies). Links
     merge labels, and a meeting ends when what is left of it has one label, so likes need pairs in proportion to their
     number. When pivots merge little more, all pairs that are left are compared in blocks: nothing that meets is skipped.
     """
+    if "fp" not in meetings.columns:
+        meetings = meetings.withColumn("fp", F.lit(None).cast("long"))
     held, degrees, before = meetings.join(light, "id"), None, None
     rows = meetings.count()
     key = F.xxhash64("id")
