@@ -206,17 +206,24 @@ def band_meetings(sketched: DataFrame) -> DataFrame:
     return shared.withColumn("fp", F.lit(None).cast("long"))
 
 
-def ball_meetings(sketched: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
-    """(key, id, fp) of all whose fingerprints in a table are within 2 bits: they meet at a point that lies in the balls of both.
+def ball_meetings(sketched: DataFrame, labels: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """(key, id, fp) of all of different labels (id, label) whose fingerprints in a table are within 2 bits: they meet at a point that lies in the balls of both.
 
     A node is (table, fingerprint). Distinct nodes emit their balls; a point in several balls is a meeting of the ids of
     those nodes, and a node that several texts have is one as well. Meetings are local, so a chain of fingerprints, each
-    near the next, is many small meetings and never a large one.
+    near the next, is many small meetings and never a large one. A node goes only to those points at which a pair of it is
+    compared (``met_here``) and can be of different labels: a fingerprint of many near copies would meet them at every bit.
     """
-    nodes = cut(sketched.select("id", F.posexplode("tables").alias("t", "f")).select("id", (F.col("t") * F.lit(1 << bits) + F.col("f")).alias("fp")), "nodes")
-    points = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "points")
-    met = ball_points(points.select("fp"), bits).select(F.col("v").alias("key"), F.explode("all").alias("fp"))
-    alone = points.where("n > 1").select(F.col("fp").alias("key"), "fp")  # a point of its own ball, if none else has it
+    nodes = sketched.join(labels, "id").select("id", "label", F.posexplode("tables").alias("t", "f"))
+    nodes = cut(nodes.select("id", "label", (F.col("t") * F.lit(1 << bits) + F.col("f")).alias("fp")), "nodes")
+    points = cut(nodes.groupBy("fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "points")
+    balls = ball_points(points.select("fp"), bits).select(F.col("v").alias("key"), F.explode("all").alias("fp")).join(points, "fp")
+    balls = balls.groupBy("key").agg(F.collect_list(F.struct("fp", "lo", "hi")).alias("all"))  # so many as a fingerprint has bits, and one, at most
+    apart = lambda a, b: (a["fp"] != b["fp"]) & (F.least(a["lo"], b["lo"]) < F.greatest(a["hi"], b["hi"]))
+    here = lambda a, b: F.col("key") <= F.col("key").bitwiseXOR(a["fp"]).bitwiseXOR(b["fp"])
+    asked = F.filter("all", lambda a: F.exists("all", lambda b: apart(a, b) & here(a, b)))
+    met = balls.select("key", F.explode(F.transform(asked, lambda a: a["fp"])).alias("fp"))
+    alone = points.where("lo < hi").select(F.col("fp").alias("key"), "fp")  # its texts are compared at its own point
     return nodes.join(met.unionByName(alone).distinct(), "fp").select("key", "id", "fp")
 
 
@@ -233,18 +240,15 @@ def verified(near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(jaccard(F.col("sa"), F.col("sb")) >= least).select("a", "b")
 
 
-def blockwise(left: DataFrame, sizes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def blockwise(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between the members of each meeting (key), dealt over cells of two blocks of some GRID members.
 
-    A task holds one cell with its sets of shingles; of a cell's pairs only a forest of those that are like comes out,
+    left: key, id, label and blocks, how many the meeting is dealt into. A task holds one cell with its sets of shingles; of a cell's pairs only a forest of those that are like comes out,
     so there are fewer links than members, however many pairs are compared.
     """
     ship(left.sparkSession)
     block = F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")
-    weights = left.join(sets.select("id", F.size("set").alias("w")), "id").groupBy("key").agg(F.sum("w").alias("w"))
-    blocks = F.greatest(F.ceil(F.col("n") / GRID), F.ceil(F.col("w") / GRID_HASHES))
-    held = left.join(sizes.join(weights, "key").select("key", blocks.alias("blocks")), "key").withColumn("at", block)
-    cells = held.select("key", "id", "label", "at", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"))
+    cells = left.withColumn("at", block).select("key", "id", "label", "at", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("to"))
     cells = cells.select("key", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "id", "label").join(sets, "id")
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
@@ -301,27 +305,30 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
     them go; from the second round on the ids that were linked most come first (the original of many copies). Links
     merge labels, and a meeting ends when what is left of it has one label, so likes need pairs in proportion to their
     number. When pivots merge little more, all pairs that are left are compared in blocks: nothing that meets is skipped.
+    Where they merge nothing at all, that is done in the same round, for no meeting has changed but by its pivots.
     """
     if "fp" not in meetings.columns:
         meetings = meetings.withColumn("fp", F.lit(None).cast("long"))
-    held, degrees, before = meetings.join(light, "id"), None, None
+    weighed = light.join(sets.select("id", F.size("set").cast("long").alias("w")), "id")
+    held, degrees, before = meetings.join(weighed, "id"), None, None
     rows = meetings.count()
     key = F.xxhash64("id")
     for round_ in range(PIVOT_ROUNDS + 1):
         live = held.join(labels, "id")
         live = live.withColumn("deg", F.lit(0).cast("long")) if degrees is None else live.join(degrees, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0).cast("long")))
-        live = cut(live.select("key", "id", "fp", "s1", "s2", "label", "deg"), "live", rows=rows)
+        live = cut(live.select("key", "id", "fp", "s1", "s2", "w", "label", "deg"), "live", rows=rows)
         it = F.struct("id", "fp", "s1", "s2", "label")
         hubs = [F.max_by(F.when(F.col("deg") > 0, it), F.when(key.bitwiseAND(1) == k, F.struct("deg", key.alias("k")))) for k in range(2)]
         picked = F.array_distinct(F.array_compact(F.array(F.min_by(it, key), F.min_by(it, F.struct("label", key.alias("k"))), F.max_by(it, F.struct("label", key.alias("k"))), *hubs)))
-        found = cut(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), picked.alias("picked")).where("lo < hi").drop("lo", "hi"), "found", rows=rows)
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / GRID), F.ceil(F.sum("w") / GRID_HASHES)).alias("blocks")
+        found = cut(live.groupBy("key").agg(F.count(F.lit(1)).alias("n"), blocks, F.min("label").alias("lo"), F.max("label").alias("hi"), picked.alias("picked")).where("lo < hi").drop("lo", "hi"), "found", rows=rows)
         large = F.when(F.col("n") > SMALL, F.col("n").cast("double"))
         keys, pairs = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(large * large), F.lit(0.0))).first()
         if not keys:
             return labels
         last = not pairs or round_ == PIVOT_ROUNDS or before is not None and pairs > before / 2
         pivot = (F.col("n") <= SMALL) | (F.array_contains("picked.id", F.col("id")) & F.lit(not last))
-        marked = cut(live.join(found, "key").select("key", "id", "fp", "label", "s1", "s2", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large"), F.when((F.col("n") > SMALL) & F.lit(not last), F.col("picked")).alias("picked")), "marked", rows=rows)
+        marked = cut(live.join(found, "key").select("key", "id", "fp", "label", "s1", "s2", "w", "blocks", pivot.alias("pivot"), (F.col("n") > SMALL).alias("large"), F.when((F.col("n") > SMALL) & F.lit(not last), F.col("picked")).alias("picked")), "marked", rows=rows)
         # in a small meeting all pairs are compared; a member of a large one carries its few pivots, so rows stay those of members
         few = marked.where("not large")
         one = few.select("key", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("fp").alias("pf"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
@@ -333,10 +340,11 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
         met = met.unionByName(carried.where((~F.col("pivot") | (F.col("p") < F.col("q"))) & alike).select("p", "q"))
         near = cut(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "near")
         edges = verified(near, sets, least)
-        held = marked.where("large and not pivot").select("key", "id", "fp", "s1", "s2")
-        if last and pairs:
-            edges = edges.union(blockwise(marked.where("large"), found.where(F.col("n") > SMALL), sets, least)).distinct()
+        left = marked.where("large and not pivot")
+        held = left.select("key", "id", "fp", "s1", "s2", "w")
         edges = cut(edges, "edges")
+        if pairs and (last or edges.isEmpty()):
+            edges, last = cut(edges.union(blockwise(left, sets, least)).distinct(), "edges"), True
         degrees, before = edges.select(F.col("a").alias("id")).union(edges.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("deg")), pairs
         named = edges.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         named = cut(named, "named", rows=rows)
@@ -371,7 +379,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col:
         return settle(meetings, labels, light, sets, least)
 
     labels = settled(band_meetings(sketched), labels)
-    labels = settled(ball_meetings(sketched, TABLE_BITS), labels)
+    labels = settled(ball_meetings(sketched, labels, TABLE_BITS), labels)
     named = labels.join(classes.select(F.col("class").alias("id"), "h", "first"), "id")
     order = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("h"))
     heads = named.groupBy("label").agg(F.min(order).alias("head"))

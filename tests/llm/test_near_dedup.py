@@ -61,3 +61,40 @@ def test_what_meets_does_not_depend_on_the_number_of_texts(spark, monkeypatch):
     for n in (3, 300):
         simhash.similar_texts(spark.range(n).selectExpr("id as doc_id", "concat('some words of text ', id) as text"))
     assert seen == [16, 16]
+
+
+def test_fingerprints_meet_where_a_pair_of_other_labels_is_compared(spark):
+    """Each pair of different labels within 2 bits meets at one point, and nobody is at a point without such a pair."""
+    rng = random.Random(5)
+    fps = {k: 0b1111 if k < 40 else 0b1111 ^ (1 << rng.randrange(8)) ^ (1 << rng.randrange(8)) if k < 80 else rng.getrandbits(8) for k in range(120)}
+    labels = {k: 0 if k < 70 and k != 7 else k for k in fps}
+    sketched = spark.createDataFrame([(k, [f]) for k, f in fps.items()], "id long, tables array<long>")
+    met = simhash.ball_meetings(sketched, spark.createDataFrame(list(labels.items()), "id long, label long"), 8).collect()
+    at = defaultdict(set)
+    for r in met:
+        at[r.key].add(r.id)
+    here = lambda key, a, b: key == a if a == b else key <= key ^ a ^ b
+    found = {(key, x): [y for y in ids if labels[x] != labels[y] and here(key, fps[x], fps[y])] for key, ids in at.items() for x in ids}
+    pairs = sorted((x, y) for (_, x), ys in found.items() for y in ys if x < y)
+    assert pairs == [(x, y) for x in fps for y in fps if x < y and labels[x] != labels[y] and (fps[x] ^ fps[y]).bit_count() <= 2]
+    nodes = defaultdict(int)
+    for (key, x), ys in found.items():
+        nodes[key, fps[x]] += len(ys)
+    assert len(met) == len(found) and all(nodes.values())
+
+
+def test_a_meeting_whose_pivots_link_nothing_is_joined_once(spark, monkeypatch):
+    rng, marked, made = random.Random(6), [], simhash.cut
+    texts = [(k, " ".join(f"w{rng.randrange(9_000)}" for _ in range(12))) for k in range(200)]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    light, sets = rows.selectExpr("id", "xxhash64(id) as s1", "xxhash64(text) as s2"), rows.select("id", simhash.shingle_set("text", 5).alias("set"))
+
+    def counted(df, name, *args, **kwargs):
+        out = made(df, name, *args, **kwargs)
+        if name == "marked":
+            marked.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    got = simhash.settle(rows.selectExpr("1L as key", "id"), rows.selectExpr("id", "id as label"), light, sets, 0.8).collect()
+    assert marked == [200] and all(r.id == r.label for r in got) and len(got) == 200
