@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colloquy.functions.names import let, stem_token
-from colloquy.state import small
+from colloquy.state import cut, small
 
 #: Words that end a phrase.
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "der", "die", "for", "from", "in", "is", "it", "la", "le", "of", "on", "or", "that", "the", "this", "to", "und", "was", "with")
@@ -87,24 +87,65 @@ def mentions(terms: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return found.join(small(spelled), "run").select("term", "id", "n")
 
 
+def known_stems(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """word and stem of those words of the texts (column text) whose stem is asked (column stem). Each distinct word is stemmed once."""
+    words = cut(texts.select(F.explode(clean_words(F.col("text"))).alias("word")).distinct(), "vocabulary")
+    return cut(words.withColumn("stem", stem_token(F.col("word"))).join(small(asked.select("stem").distinct()), "stem", "left_semi").select("word", "stem"), "stems")
+
+
+def matched_forms(asked: DataFrame, texts: DataFrame, keep: list[str]) -> DataFrame:
+    """Which asked runs of words stand in a text: keep and run_id, distinct. asked: run_id, form (exact or stem) and ws, distinct by form and ws; texts: text and keep.
+
+    One pass finds both forms: a place looks up its first word and then its second, as they are spelled, in tables of
+    those spellings that begin an asked run; only what follows the second word of a place that got so far is stemmed there.
+    """
+    clean = asked.where(F.size("ws") > 0).select("run_id", "form", F.get("ws", F.lit(0)).alias("first"), F.get("ws", F.lit(1)).alias("second"), F.size("ws").alias("n"), F.array_join("ws", " ").alias("run"))
+    longest = clean.agg(F.max("n")).first()[0] or 1
+    known = known_stems(clean.where("form = 'stem'").select(F.explode(F.array_compact(F.array("first", "second"))).alias("stem")), texts)
+
+    def spelled(table: DataFrame, of: str, word: str) -> DataFrame:
+        """The rows of a table of runs, once for each spelling (word) of the word in column of."""
+        exact = table.where("form = 'exact'").withColumn(word, F.col(of))
+        return exact.unionByName(table.where("form = 'stem'").join(known.select(F.col("stem").alias(of), F.col("word").alias(word)), of))
+
+    # runs of several words that share form, first word and length go by the least of their numbers until the second word is looked up
+    several = clean.where("n > 1").join(clean.where("n > 1").groupBy("form", "first", "n").agg(F.min("run_id").alias("at")), ["form", "first", "n"])
+    starts = clean.where("n = 1").select("form", "first", "n", F.col("run_id").alias("at")).unionByName(several.select("form", "first", "n", "at").distinct())
+    begins = spelled(starts, "first", "w1").groupBy("w1").agg(F.collect_list(F.struct("n", "at")).alias("runs"))
+    seconds = several.groupBy("form", "first", "n", "at", "second").agg(F.min(F.when(F.col("n") == 2, F.col("run_id"))).alias("two"))
+    follow = spelled(seconds, "second", "w2").select("at", "w2", "two", F.struct("form", "first", "second").alias("head"))
+    whole = clean.where("n > 2").select(F.col("run_id").alias("more"), F.col("form").alias("f"), F.col("run").alias("r"))
+
+    names = [f"w{k + 1}" for k in range(max(longest, 2))]
+    shifted = F.arrays_zip("ws", *[F.when(F.size("ws") > k, F.slice("ws", F.lit(k + 1), F.size("ws"))).otherwise(F.array().cast("array<string>")) for k in range(1, len(names))])
+    places = texts.select(*keep, clean_words(F.col("text")).alias("ws")).select(*keep, F.inline(shifted)).toDF(*keep, *names)
+    ahead = F.array(*names)
+    near = places.join(small(begins), "w1").select(*keep, *names, F.inline("runs")).where(F.get(ahead, F.col("n") - 1).isNotNull())
+    near = near.join(small(follow), ["at", "w2"], "left").where("n = 1 or head is not null")
+    rest = F.slice(ahead, F.lit(3), F.greatest(F.col("n") - 2, F.lit(0)))
+    rest = F.when(F.col("head.form") == "stem", F.transform(rest, stem_token)).otherwise(rest)
+    near = near.withColumn("r", F.when(F.col("n") > 2, F.array_join(F.concat(F.array("head.first", "head.second"), rest), " "))).withColumn("f", F.col("head.form"))
+    found = F.when(F.col("n") == 1, F.col("at")).when(F.col("n") == 2, F.col("two")).otherwise(F.col("more"))
+    return near.join(small(whole), ["f", "r"], "left").select(*keep, found.alias("run_id")).where("run_id is not null").distinct()
+
+
 def mention_matrix(terms: DataFrame, docs: DataFrame, id_col: str, unit_col: str, text_col: str) -> DataFrame:
     """Per term: texts with it and their units, by exact words and by stems, over all texts and over first copies only.
 
-    A text is a copy if one of a smaller id has the same content. Both forms are found in one pass.
+    A text is a copy if one of a smaller id has the same content. Both forms are found in one pass, by content.
     """
     forms = lambda text: F.array(F.struct(F.lit("exact").alias("form"), clean_words(text).alias("ws")), F.struct(F.lit("stem").alias("form"), stems(text).alias("ws")))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(unit_col).alias("unit"), F.col(text_col).alias("text"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("content"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(unit_col).alias("unit"), F.col(text_col).alias("text"), F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)).alias("content"))
     first = texts.groupBy("content").agg(F.min("id").alias("first"))
-    rows = texts.join(first, "content").select("id", "unit", (F.col("id") != F.col("first")).alias("copy"), F.inline(forms(F.col("text"))))
-    asked = terms.select("term", F.inline(forms(F.col("term"))))
-    hits = matched(asked, rows, ["id", "unit", "copy"], ("form",)).distinct()
-    spelled = asked.select("term", "form", F.array_join("ws", " ").alias("run")).distinct()
-    found = hits.join(small(spelled), ["form", "run"])
-    cells = []
-    for form in ("exact", "stem"):
-        for name, kept in (("", F.lit(True)), ("_dedup", ~F.col("copy"))):
-            here = (F.col("form") == form) & kept
-            cells += [F.count_if(here).alias(f"mentions_{form}{name}"), F.count_distinct(F.when(here, F.col("unit"))).alias(f"units_{form}{name}")]
+    rows = texts.select("content", "id", "unit").join(first, "content").select("content", "id", "unit", (F.col("id") != F.col("first")).alias("copy"))
+    asked = cut(terms.distinct().select("term", F.inline(forms(F.col("term")))), "asked")
+    runs = cut(asked.groupBy("form", "ws").agg(F.collect_set("term").alias("terms")).withColumn("run_id", F.monotonically_increasing_id()), "runs")
+    hits = matched_forms(runs, texts.select("content", "text"), ["content"]).join(rows, "content").select("id", "unit", "copy", "run_id").distinct()
+    units = hits.groupBy("run_id", "unit").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("copy")).alias("kept"))
+    met = lambda c: F.count_if(F.col("unit").isNotNull() & (F.col(c) > 0))
+    counts = units.groupBy("run_id").agg(F.sum("all").alias("mentions"), met("all").alias("units"), F.sum("kept").alias("mentions_dedup"), met("kept").alias("units_dedup"))
+    found = runs.join(counts, "run_id").select(F.explode("terms").alias("term"), "form", *counts.columns[1:])
+    cells = [F.coalesce(F.sum(F.when(F.col("form") == form, F.col(f"{c}{name}"))), F.lit(0).cast("long")).alias(f"{c}_{form}{name}") for form in ("exact", "stem") for name in ("", "_dedup") for c in ("mentions", "units")]
     counted = found.groupBy("term").agg(*cells)
     none = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counted.columns if c != "term"]
     return terms.select("term").distinct().join(counted, "term", "left").select("term", *none)

@@ -82,3 +82,20 @@ def test_equal_terms_and_texts_of_a_repository_are_stemmed_once(spark, monkeypat
     got = {r["id"]: r["in_repo"] for r in probes.in_repo(terms, texts).collect()}
     assert got == {k: None if k % 4 == 0 else k % 2 == 0 for k in range(400)}
     assert written and max(written) == 2
+
+
+def test_each_distinct_word_of_texts_is_stemmed_once(spark, monkeypatch):
+    written, made = {}, T.cut
+
+    def counted(df, name):
+        out = made(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(T, "cut", counted)
+    docs = spark.range(400).selectExpr("id", "if(id % 2 = 0, 'u', 'v') as unit", "if(id % 4 = 0, 'red boxes of indexing cards sit', 'a red box of index card sits') as text")
+    terms = spark.createDataFrame([("Red boxes of",), ("box",), ("index cards sits",), ("card sit",), ("red",)], "term string")
+    got = {r["term"]: tuple(r)[1:] for r in T.mention_matrix(terms, docs, "id", "unit", "text").collect()}
+    both, four, three = (400, 2, 2, 2), (100, 1, 1, 1), (300, 2, 1, 1)
+    assert got == {"Red boxes of": four + both, "box": three + both, "index cards sits": (0, 0, 0, 0) + both, "card sit": (0, 0, 0, 0) + both, "red": both + both}
+    assert written["vocabulary"] == 11 and written["stems"] == 11 - 2  # "a" and "of" begin no asked run and are no second word of one
