@@ -1,10 +1,11 @@
 """URL filter: fixed host and path rules first, association rules mined from labels for the rest.
 
-Spark's FP-growth mines sets of URL tokens from labelled URLs that are bad; the sets' supports among all labelled URLs
-give their confidence, and a set whose confidence and support reach their bounds becomes a rule. What cannot change a
-verdict is left out before mining, for the number of sets grows exponentially: tokens that always occur together count
-as one (the first by name), a token of every URL tells nothing, a token that is a rule alone needs no company, and a
-set of which a part is a rule already is none. Rules are a table, matched by inverted index: each rule is filed under
+Sets of URL tokens are mined level by level, from pairs up; a set whose confidence among all labelled URLs and whose
+support among the bad ones reach their bounds becomes a rule. What cannot change a verdict is left out, for the number of
+sets grows exponentially: tokens that always occur together count as one (the first by name), a token of every URL tells
+nothing, a set of which a part is a rule already is none, and a set that occurs wherever one of its parts does is as good
+or bad as that part, and so is every larger set compared with one that lacks the token. No set is left out otherwise,
+however many tokens a URL has. Rules are a table, matched by inverted index: each rule is filed under
 its rarest token, the distinct tokens of a URL look up that index, and a rule fits if the URL has all its tokens.
 
 Defined cases: a null URL, or one without ://, has an empty host and path and no tokens, fits no rule and is allowed;
@@ -15,7 +16,6 @@ have a name of the result's.
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.llm.common import cut, local_rows, ranked
@@ -65,11 +65,13 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def mine_rules(labelled: DataFrame, least: int = 5, min_confidence: float = 0.6, most_items: int = 10) -> DataFrame:
+def mine_rules(labelled: DataFrame, least: int = 5, min_confidence: float = 0.6) -> DataFrame:
     """rule_id (from 0, best first), items, hits and confidence, from (items, bad).
 
-    least: bad URLs that a rule must hit; most_items: of each URL the rarest tokens, so many, take part in sets of
-    several (single tokens all do), which bounds the sets that one URL brings to 2**most_items.
+    least: bad URLs that a rule must hit. A level holds one row a set and URL that has it; two sets of a level make one of
+    the next if they differ in their last (most frequent) token, so of a set and a URL each row comes from one pair, and
+    what meets under a key are at most the tokens of one URL. The number of sets can be exponential where URLs share many
+    tokens in all combinations; a level is a written table then, and no task holds more than its share.
     """
     spark = labelled.sparkSession
     none = local_rows(spark, [], "rule_id long, items array<string>, hits long, confidence double")
@@ -83,25 +85,28 @@ def mine_rules(labelled: DataFrame, least: int = 5, min_confidence: float = 0.6,
     live = seen.where((F.col("hits") >= least) & (F.col("n") < rows))
     one = cut(live.groupBy("n", "hits", "where").agg(F.min("token").alias("token")).withColumn("confidence", F.col("hits") / F.col("n")), "tokens")
     single = one.where(F.col("confidence") >= min_confidence).select(F.array("token").alias("items"), "hits", "confidence")
-    rest = one.where(F.col("confidence") < min_confidence).select("token", "n")
-
-    several = found.join(_small(rest), "token")
-    items = F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, most_items)
-    sets = several.where("bad = 1").groupBy("basket").agg(items.alias("items")).where("size(items) > 1").select(F.col("items.token").alias("items"))
-    if sets.isEmpty():
-        rules = single
-    else:
-        mined = FPGrowth(itemsCol="items", minSupport=least / sets.count(), minConfidence=min_confidence).fit(sets).freqItemsets
-        mined = cut(mined.where((F.size("items") > 1) & (F.col("freq") >= least)).select(F.sort_array("items").alias("needs")), "sets")
-        filed = mined.select("needs", F.explode("needs").alias("token")).join(_small(rest), "token").groupBy("needs").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-        all_items = several.groupBy("basket").agg(F.collect_set("token").alias("items"), F.max("bad").alias("bad"))
-        looked = all_items.select("items", "bad", F.explode("items").alias("token")).join(_small(filed), "token")
-        counted = looked.where(F.size(F.array_except("needs", "items")) == 0).groupBy("needs").agg(F.sum("bad").alias("hits"), (F.sum("bad") / F.count(F.lit(1))).alias("confidence"))
-        good = cut(counted.where(F.col("confidence") >= min_confidence).select(F.col("needs").alias("items"), "hits", "confidence"), "good")
-        # a set is none of the rules if a strict part of it is one: parts are looked up like rules of a URL
-        parts = good.select(F.col("items").alias("part"), F.get("items", F.lit(0)).alias("token"))
-        inside = good.select("items", F.explode("items").alias("token")).join(parts, "token").where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0))
-        rules = single.union(good.join(inside.select("items").distinct(), "items", "left_anti"))
+    rest = one.where(F.col("confidence") < min_confidence).select("token", "n", "hits")
+
+    # a token's number is its place by frequency, so a set is filed under its rarest tokens first
+    rest = cut(ranked(rest, [F.asc("n"), F.asc("token")], "item").select("token", F.col("item").cast("int").alias("item"), "n", "hits"), "items")
+    level = rest.select(F.array("item").alias("needs"), "n", "hits")
+    covers = cut(found.join(_small(rest.select("token", "item")), "token").select("basket", "bad", F.array().cast("array<int>").alias("head"), F.col("item").alias("tail")), "covers")
+    rules, size = single, 1
+    while not covers.isEmpty():
+        other = covers.select("basket", "head", F.col("tail").alias("next"))
+        pairs = cut(covers.join(other, ["basket", "head"]).where("tail < next").select("basket", "bad", F.concat("head", F.array("tail")).alias("head"), F.col("next").alias("tail")), "pairs")
+        size += 1
+        counted = pairs.groupBy("head", "tail").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("hits")).where(F.col("hits") >= least)
+        counted = counted.select(F.concat("head", F.array("tail")).alias("needs"), "head", "tail", "n", "hits")
+        # every part with one token less must be a set that goes on, and occur more often
+        parts = counted.select("needs", "n", F.explode(F.transform("needs", lambda x: F.array_remove("needs", x))).alias("part"))
+        free = parts.join(_small(level.select(F.col("needs").alias("part"), F.col("n").alias("of"))), "part").where("n < of").groupBy("needs").agg(F.count(F.lit(1)).alias("parts")).where(F.col("parts") == size)
+        counted = cut(counted.join(free.select("needs"), "needs").withColumn("confidence", F.col("hits") / F.col("n")), "sets")
+        good = counted.where(F.col("confidence") >= min_confidence)
+        named = good.select("needs", "hits", "confidence", F.explode("needs").alias("item")).join(_small(rest.select("token", "item")), "item")
+        rules = rules.union(named.groupBy("needs", "hits", "confidence").agg(F.sort_array(F.collect_list("token")).alias("items")).select("items", "hits", "confidence"))
+        level = counted.where(F.col("confidence") < min_confidence)
+        covers = cut(pairs.join(_small(level.select("head", "tail")), ["head", "tail"]).select("basket", "bad", "head", "tail"), "covers")
     return ranked(rules, [F.desc("confidence"), F.desc("hits"), F.size("items").asc(), F.asc("items")], "rule_id").select("rule_id", "items", "hits", "confidence")
 
 

@@ -404,6 +404,14 @@ def test_supports_are_those_of_a_plain_count(spark):
     assert want and got == want
 
 
+def test_sets_of_a_url_with_more_than_ten_tokens(spark):
+    """Every pair is bad together and none alone; a and b are more frequent than the ten others of the same URLs."""
+    rare = [f"r{k}" for k in range(10)]
+    baskets = [(["a", "b", *rare], 1)] * 40 + [(["a"], 0)] * 60 + [(["b"], 0)] * 60 + [([r], 0) for k, r in enumerate(rare) for _ in range(30 + k)]
+    got = {tuple(r["items"]): (r.hits, r.confidence) for r in url_rules.mine_rules(spark.createDataFrame(baskets, "items array<string>, bad int")).collect()}
+    assert got == {pair: (40, 1.0) for pair in itertools.combinations(["a", "b", *rare], 2)}
+
+
 def plain_licences(text, least=0.8):
     """(score, size, name, place) of every window that reaches least."""
     ws, found = license_scan._words(text or ""), []
