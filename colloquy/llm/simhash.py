@@ -335,9 +335,11 @@ def settle(meetings: DataFrame, labels: DataFrame, light: DataFrame, sets: DataF
         other = few.select("key", F.col("id").alias("q"), F.col("label").alias("ql"), F.col("fp").alias("qf"), "s1", "s2")
         alike = (F.col("pl") != F.col("ql")) & close("p1", "p2", "s1", "s2") & met_here("pf", "qf")
         met = one.join(other, "key").where((F.col("p") < F.col("q")) & alike).select("p", "q")
-        carried = marked.where("large").select("key", F.col("id").alias("q"), F.col("label").alias("ql"), F.col("fp").alias("qf"), "s1", "s2", "pivot", F.explode("picked").alias("_p"))
-        carried = carried.select("*", F.col("_p.id").alias("p"), F.col("_p.label").alias("pl"), F.col("_p.fp").alias("pf"), F.col("_p.s1").alias("p1"), F.col("_p.s2").alias("p2"))
-        met = met.unionByName(carried.where((~F.col("pivot") | (F.col("p") < F.col("q"))) & alike).select("p", "q"))
+        bits = lambda x, s: F.bit_count(x[s].bitwiseXOR(F.col(s)))
+        at_key = lambda x: F.coalesce(F.when(x["fp"] == F.col("fp"), F.col("key") == x["fp"]).otherwise(F.col("key") <= F.col("key").bitwiseXOR(x["fp"]).bitwiseXOR(F.col("fp"))), F.lit(True))
+        fits = lambda x: (x["label"] != F.col("label")) & (bits(x, "s1") + bits(x, "s2") <= SKETCH_SLACK) & at_key(x) & (~F.col("pivot") | (x["id"] < F.col("id")))
+        carried = marked.where("large").select(F.col("id").alias("q"), F.explode(F.filter("picked", fits)).alias("_p"))  # a row only for a pivot that is alike
+        met = met.unionByName(carried.select(F.col("_p.id").alias("p"), "q"))
         near = cut(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "near")
         edges = verified(near, sets, least)
         left = marked.where("large and not pivot")
